@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenejobs.llm import chat, language_id, mixing, packing, token_counts
+from scenejobs.llm import chat, fingerprints, language_id, mixing, outliers, packing, token_counts
 
 SEQUENCE_TOKENS = 2048
 
@@ -17,6 +17,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "contained_in_edited",
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language_id.fit_languages(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -61,6 +69,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, SEQUENCE_TOKENS)
 
 
+def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.robust_outliers(_read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -92,10 +104,12 @@ FROM placed
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_language_id": op2_language_id,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_token_counts": op5_token_counts,
         "op7_packing": op7_packing,
+        "op8_quality_outliers": op8_quality_outliers,
         "op10_mixing": op10_mixing,
     }
 
