@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -11,42 +11,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import TABLE_ENTRIES, slices, written
-from scenejobs.llm.token_counts import tokenizer
+from scenejobs.llm.shared import written
+from scenejobs.llm.token_counts import byte_letters
 
 #: About so many pieces are packed together in one task.
 PIECES_PER_SHARD = 25_000
-#: White space as byte-level BPE splits it (Unicode White_Space).
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Runs that such a tokenizer never joins: a word with at most one space before it, or white space.
-_UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_UNITS: dict[str, dict[str, bytes]] = {}
-
-
-class UnitTable:
-    """Ids of words with the space before them, as little-endian bytes, remembered up to a bound."""
-
-    def __init__(self, path: str) -> None:
-        self.path, self.table = path, _UNITS.setdefault(path, {})
-        special = {t.content: i for i, t in tokenizer(path).get_added_tokens_decoder().items()}
-        self.special = {k: np.array([i], "<u4").tobytes() for k, i in special.items()}
-        self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-
-    def units(self, text: str) -> list[str]:
-        if self.splitter is None or not any(s in text for s in self.special):
-            return _UNIT.findall(text)
-        return [u for part in self.splitter.split(text) for u in ([part] if part in self.special else _UNIT.findall(part))]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
-        self.table.update(self.special)
-        units = [self.units(t) for t in texts]
-        new = list(set().union(*units).difference(self.table))
-        for unit, e in zip(new, tokenizer(self.path).encode_batch(new, add_special_tokens=False)):
-            self.table[unit] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.table.__getitem__, u)) for u in units]
+_ENCODINGS: dict[str, object] = {}
+
+
+def byte_encoding(path: str):
+    """A byte-level BPE file of tokenizers as a tiktoken encoding, which gives the same ids sooner.
+
+    Such a file numbers the bytes first and then the merges in order, so ids serve as ranks;
+    a file that doesn't is refused.
+    """
+    if path not in _ENCODINGS:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        vocabulary, added = data["model"]["vocab"], {t["content"]: t["id"] for t in data["added_tokens"]}
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in data["model"]["merges"]]
+        if merged != list(range(256, 256 + len(merged))):
+            raise ValueError(f"{path}: ids don't follow the merges")
+        byte = {letter: b for b, letter in byte_letters().items()}
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if token not in added}
+        _ENCODINGS[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return _ENCODINGS[path]
 
 
 def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -59,25 +51,24 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = UnitTable(path)
+        encoding = byte_encoding(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for a, b in slices(texts):
-                for i, data in enumerate(table.ids([t or "" for t in texts[a:b]]), a):
-                    data += tail
-                    n = len(data) // 4
-                    ends = range(n % limit or limit, n + 1, limit)
-                    for k, end in enumerate(ends):
-                        at = ends[k - 1] if k else 0
-                        part = data[4 * at : 4 * end]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(end - at)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            ids.append(part)
+            for i, text in enumerate(texts):
+                data = encoding.encode_to_numpy(text or "", allowed_special="all").astype("<u4").tobytes() + tail
+                n = len(data) // 4
+                ends = range(n % limit or limit, n + 1, limit)
+                for k, end in enumerate(ends):
+                    at = ends[k - 1] if k else 0
+                    part = data[4 * at : 4 * end]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(end - at)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
             columns = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 #: The same as a regular expression, a run of them.
 GAP = r"[\x20\x09-\x0D]+"
-#: A process keeps at most so many entries in each of its word tables.
-TABLE_ENTRIES = 400_000
+#: A process keeps about so many entries in each of its word tables.
+TABLE_ENTRIES = 600_000
 #: Arrow batches are worked through in slices of about so many bytes of text.
 SLICE_BYTES = 4_000_000
 
@@ -63,6 +63,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def make_room(table: dict, wanted: set) -> None:
+    """Once a table is full, only what is wanted now stays in it."""
+    if len(table) > TABLE_ENTRIES:
+        stay = {w: table[w] for w in wanted.intersection(table)}
+        table.clear()
+        table.update(stay)
+
+
 class WordHashes:
     """Stable 64-bit hashes of words, remembered up to a bound."""
 
@@ -70,9 +78,8 @@ class WordHashes:
         self.table: dict[bytes, int] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
         table = self.table
+        make_room(table, set(words) if len(table) > TABLE_ENTRIES else set())
         for w in set(words).difference(table):
             table[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(table.__getitem__, words), dtype=U64, count=len(words))

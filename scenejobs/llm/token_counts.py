@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import TABLE_ENTRIES, slices
+from scenejobs.llm.shared import make_room, slices
 
 _TOKENIZERS: dict[str, object] = {}
 _PIECES: dict[str, dict[bytes, int]] = {}
@@ -27,14 +28,41 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter of each byte: printable Latin-1 stays, the rest follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = byte_letters()
+
+
+def as_letters(text: str) -> str:
+    """A text as byte-level BPE's model sees it."""
+    return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_LETTERS)
+
+
 def _pieces(path: str, wanted: set[bytes]) -> dict[bytes, int]:
-    """Pieces of every wanted pre-token; each is tokenised once while the process remembers it."""
+    """Pieces of every wanted pre-token; each is tokenised once while the process remembers it.
+
+    A word of Latin letters alone goes straight to the library's model, in lower case as its
+    normaliser gives it; anything else takes the library's whole path.
+    """
     table = _PIECES.setdefault(path, {})
-    if len(table) > TABLE_ENTRIES:
-        table.clear()
-    new = list(wanted.difference(table))
-    encoded = tokenizer(path).encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-    table.update((w, len(e)) for w, e in zip(new, encoded))
+    make_room(table, wanted)
+    library = tokenizer(path)
+    tokenize, others = library.model.tokenize, []
+    for w in wanted.difference(table):
+        word = w.decode("utf-8", "replace")
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        if word.isalpha() and max(word) < "\u0250":
+            table[w] = len(tokenize(as_letters(word.lower())))
+        else:
+            others.append(w)
+    encoded = library.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
+    table.update((w, len(e)) for w, e in zip(others, encoded))
     return table
 
 
