@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenejobs.llm import chat, fingerprints, language_id, mixing, outliers, packing, token_counts
+from scenejobs.llm import chat, fingerprints, language_id, line_dedup, mixing, outliers, packing, token_counts
 
 SEQUENCE_TOKENS = 2048
 
@@ -64,6 +64,35 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs)
+    return kept.select("doc_id", F.col("n_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS raw, string_split(text, chr(10))[i] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM lines WHERE regexp_matches(line, '[^ 	-
+]')
+), runs AS (
+  SELECT doc_id, pos, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+  SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n FROM runs WHERE c IS NOT NULL) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(3) t(k)
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.raw) AS text, count(*) AS n
+  FROM lines l LEFT JOIN numbered x ON x.doc_id = l.doc_id AND x.raw = l.raw LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.pos = x.pos
+  WHERE g.doc_id IS NULL GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=SEQUENCE_TOKENS)
     return packing.pack(pieces, SEQUENCE_TOKENS)
@@ -108,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_token_counts": op5_token_counts,
+        "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_quality_outliers": op8_quality_outliers,
         "op10_mixing": op10_mixing,
@@ -115,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
