@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenejobs.llm import chat, fingerprints, language_id, line_dedup, mixing, outliers, packing, token_counts
+from scenejobs.llm import chat, fingerprints, language_id, line_dedup, mixing, outliers, packing, repeats, token_counts
 
 SEQUENCE_TOKENS = 2048
 
@@ -102,6 +102,30 @@ def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.robust_outliers(_read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.drop_repeats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM windows) WHERE f < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later, range(13) t(k)
+), kept AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS text, count(*) AS n
+  FROM (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)) x
+  LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i WHERE g.i IS NULL GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -140,9 +164,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_quality_outliers": op8_quality_outliers,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
