@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenejobs.llm import chat, fingerprints, language_id, line_dedup, mixing, outliers, packing, repeats, token_counts
+from scenejobs.llm import chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, outliers, packing, repeats, token_counts
 
 SEQUENCE_TOKENS = 2048
 
@@ -32,6 +32,30 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reached AS (
+  SELECT doc_id, doc_id AS y FROM documents
+  UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT doc_id, min(y) AS c FROM reached GROUP BY doc_id) r ON r.doc_id = d.doc_id
+"""
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -109,7 +133,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
 ), later AS (
@@ -159,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_language_id": op2_language_id,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_token_counts": op5_token_counts,
         "op6_line_dedup": op6_line_dedup,
@@ -170,4 +196,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
