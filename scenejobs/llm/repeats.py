@@ -118,14 +118,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             digests = [xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= WINDOW else None for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["id", "digest"])
 
-    digests = texts.where("id IS NOT NULL").mapInArrow(digest, f"id {kind}, digest binary").where("digest IS NOT NULL")
+    known = texts.where("id IS NOT NULL")
+    digests = known.mapInArrow(digest, f"id {kind}, digest binary").where("digest IS NOT NULL")
     firsts = digests.groupBy("digest").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first")).distinct()
-    dealt = texts.repartition("id")
+    dealt = known.repartition("id")  # one exchange, which every join below reads
     taking_part = dealt.join(firsts, "id").select("id", "text")
     shared = _owners(_postings(taking_part, kind, lambda h, _: anchors(h)[0]), lambda i, least, greatest: F.lit(True))
     near = dealt.join(firsts.join(shared, "id"), "id").select("id", "text", "hashes")
     gone = _owners(_postings(near, kind, lambda h, found: around(h, _array(found))[0]), lambda i, least, greatest: i > least)
     rows = dealt.join(firsts, "id", "left").join(gone, "id", "left").select("id", "text", "first", "hashes")
+    rows = rows.unionAll(texts.where("id IS NULL").select("id", "text", F.lit(True).alias("first"), F.lit(None).cast("array<long>").alias("hashes")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -136,7 +138,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i in range(a, b):
                     words = _words(texts[i])
                     count.append(len(words))
-                    if batch.column(0)[i].is_valid and len(words) >= WINDOW and not firsts[i]:
+                    if len(words) >= WINDOW and not firsts[i]:
                         words = []
                     elif gone[i].is_valid:
                         windows = gram_hashes(table.of(words), WINDOW)
