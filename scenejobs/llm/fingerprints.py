@@ -86,11 +86,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     links = followers(texts, "id").join(texts.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).alias("wanted")), "id")
-    dealt = texts.withColumn("sketch", sketch(F.col("text"), scale)).repartition("id")
+    sketched = texts.withColumn("sketch", sketch(F.col("text"), scale))
+    dealt = sketched.where("id IS NOT NULL").repartition("id")  # one exchange, which both joins read
     heads = dealt.alias("d").join(links.alias("l"), F.expr("d.id = l.next_id"))
     heads = heads.select(F.col("l.id").alias("id"), F.struct(F.substring(F.col("d.text"), F.lit(1), F.col("wanted").cast("int")).alias("head"), F.col("d.sketch").alias("sketch")).alias("next"))
     heads = heads.groupBy("id").agg(F.min("next").alias("next"))
     rows = dealt.join(heads, "id", "left")
+    rows = rows.unionAll(sketched.where("id IS NULL").withColumn("next", F.lit(None).cast(rows.schema["next"].dataType)))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     empty = F.array().cast("array<long>")
