@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scenejobs.functions.tables import written
+
+__all__ = ["GAP", "SPACES", "TABLE_ENTRIES", "U64", "WordHashes", "gram_hashes", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
+
 #: The characters between words: space and tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
 #: The same as a regular expression, a run of them.
@@ -23,26 +24,6 @@ U64 = np.uint64
 _MIX_A, _MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = made.get() if made.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it again, which cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
