@@ -186,3 +186,38 @@ def s6(spark, sf_dir):
     from scenejobs.sources import scenes
 
     return scenes.sample_k(views.graph_edges(spark, sf_dir).select("graph_id").distinct(), "graph_id", 20, 7)
+
+
+def _lines(spark, sf_dir):
+    return _points(spark, sf_dir).select("sid", F.col("fid").alias("seg"), F.col("pt_idx").alias("pos"), "x", "y")
+
+
+@query("p8_cut_at_endpoints", with_views(["lane_points"], """WITH e AS (SELECT sid, fid AS seg, x, y, pt_idx = 0 AS st FROM lane_points WHERE pt_idx IN (0, 31)),
+f AS (SELECT * FROM e WHERE abs(x) < 39 AND abs(y) < 39 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.sid = e.sid AND o.st <> e.st AND sqrt((o.x - e.x) ** 2 + (o.y - e.y) ** 2) < 2)),
+h AS (SELECT f.sid, p.fid, p.pt_idx, row_number() OVER (PARTITION BY f.sid, f.seg, f.st, p.fid ORDER BY sqrt((p.x - f.x) ** 2 + (p.y - f.y) ** 2), p.pt_idx) AS rn FROM f JOIN lane_points p ON p.sid = f.sid AND p.fid <> f.seg AND sqrt((p.x - f.x) ** 2 + (p.y - f.y) ** 2) <= 1.5),
+c AS (SELECT DISTINCT sid, fid, pt_idx FROM h WHERE rn = 1 AND pt_idx > 3 AND pt_idx < 29),
+s AS (SELECT p.sid, p.fid, p.pt_idx, x, y, CAST(sum(CASE WHEN c.fid IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.sid, p.fid ORDER BY p.pt_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS piece
+  FROM lane_points p LEFT JOIN c ON c.sid = p.sid AND c.fid = p.fid AND c.pt_idx = p.pt_idx),
+z AS (SELECT *, count(*) OVER (PARTITION BY sid, fid, piece) AS size FROM s)
+SELECT sid, fid AS seg, piece, pt_idx AS pos FROM z WHERE size >= 3"""))
+def p8(spark, sf_dir):
+    return polylines.cut_at_endpoints(_lines(spark, sf_dir), 40.0).select("sid", "seg", "piece", "pos")
+
+
+@query("p10_root_leaf_paths", with_views(["lane_points"], """WITH e AS (SELECT sid, fid AS seg, arg_min(x, pt_idx) AS sx, arg_min(y, pt_idx) AS sy, arg_max(x, pt_idx) AS ex, arg_max(y, pt_idx) AS ey FROM lane_points GROUP BY 1, 2),
+m AS (SELECT *, least(abs(abs(sx) - 30), abs(abs(sy) - 30)) <= 2 AS root, least(abs(abs(ex) - 30), abs(abs(ey) - 30)) <= 2 AS leaf FROM e),
+paths AS (SELECT sid, [seg] AS path, leaf, ex, ey FROM m WHERE root
+  UNION ALL SELECT p.sid, list_append(p.path, n.seg), n.leaf, n.ex, n.ey FROM paths p JOIN m n ON n.sid = p.sid AND sqrt((n.sx - p.ex) ** 2 + (n.sy - p.ey) ** 2) <= 3 WHERE NOT p.leaf AND NOT list_contains(p.path, n.seg))
+SELECT sid, array_to_string(path, ',') AS path FROM paths WHERE leaf"""))
+def p10(spark, sf_dir):
+    ends = _points(spark, sf_dir).groupBy("sid", F.col("fid").alias("seg")).agg(*[f(c, "pt_idx").alias(f"{n}_{c}") for n, f in (("start", F.min_by), ("end", F.max_by)) for c in "xy"])
+    return polylines.root_leaf_paths(ends, 30.0, 2.0, 3.0).select("sid", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query("p11_vertices_and_edges", with_views(["lane_points"], """WITH g AS (SELECT sid, fid, pt_idx, round(x) AS x, round(y) AS y FROM lane_points),
+k AS (SELECT *, min(fid * 100 + pt_idx) OVER (PARTITION BY sid, x, y) AS key FROM g)
+SELECT sid, fid AS path_id, string_agg(CAST(key AS VARCHAR), ',' ORDER BY pt_idx) AS vertices FROM k GROUP BY 1, 2"""))
+def p11(spark, sf_dir):
+    points = _points(spark, sf_dir).select("sid", F.col("fid").alias("path_id"), F.col("pt_idx").alias("pos"), (F.round("x") + 0.0).alias("x"), (F.round("y") + 0.0).alias("y"))
+    found = polylines.vertices_and_edges(points)
+    return found.select("sid", "path_id", F.array_join(F.transform("vertices", lambda k: (k["path_id"] * 100 + k["pos"]).cast("string")), ",").alias("vertices"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.geometry import rotated
+from scenejobs.functions.tables import written
 
 
 def ego_pose(tracks: DataFrame, scenarios: DataFrame, t: int = 10) -> DataFrame:
@@ -150,3 +151,66 @@ def nearest_polylines(centers: DataFrame, points: DataFrame, k: int, offset: tup
     rows = rows.select("sid", "center_index", "rank", "fid", "pt_idx", x.alias("x"), y.alias("y"))
     w = W.partitionBy("sid", "center_index", "fid").orderBy("pt_idx")
     return rows.withColumns({f"prev_{a}": F.coalesce(F.lag(a).over(w), F.col(a)) for a in "xy"})
+
+
+def cut_at_endpoints(segments: DataFrame, half: float, near: float = 1.5, apart: float = 2.0) -> DataFrame:
+    """sid, seg, piece, pos, x, y: polylines cut where a free endpoint of another one touches them.
+
+    segments has sid, seg, pos, x, y. An endpoint is free if it lies more than 1 m inside the
+    view on both axes and no opposite endpoint (its own line's included) is closer than apart.
+    It cuts lines of four or more points at their nearest point, if that is within near and
+    more than three points from both ends. Pieces of fewer than three points are dropped.
+    """
+    n = F.count(F.lit(1)).over(W.partitionBy("sid", "seg"))
+    rows = segments.withColumn("n", n)
+    ends = rows.where("pos = 0 OR pos = n - 1").select("sid", "seg", "x", "y", (F.col("pos") == 0).alias("start")).withColumn("end_id", F.struct("seg", "start"))
+    gx, gy = (lambda c, cell: F.floor(F.col(c) / cell)), (lambda c, cell: F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))
+    inner = ends.where((F.abs("x") < half - 1) & (F.abs("y") < half - 1))
+    around = lambda df, cell: df.withColumn("gx", F.explode(gy("x", cell))).withColumn("gy", F.explode(gy("y", cell)))
+    other = ends.select("sid", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("start").alias("o_start"), gx("x", apart).alias("gx"), gx("y", apart).alias("gy"))
+    met = around(inner, apart).join(other, ["sid", "gx", "gy"]).where((F.col("start") != F.col("o_start")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) < apart)).select("sid", "end_id").distinct()
+    free = inner.join(met, ["sid", "end_id"], "left_anti")
+    points = rows.where("n >= 4").select("sid", F.col("seg").alias("p_seg"), F.col("pos").alias("p_pos"), "n", F.col("x").alias("px"), F.col("y").alias("py"), gx("x", near).alias("gx"), gx("y", near).alias("gy"))
+    hits = around(free, near).join(points, ["sid", "gx", "gy"]).where("seg != p_seg").withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("d") <= near)
+    best = hits.groupBy("sid", "end_id", "p_seg", "n").agg(F.min(F.struct("d", "p_pos")).alias("m"))
+    cuts = best.where((F.col("m.p_pos") > 3) & (F.col("m.p_pos") < F.col("n") - 3)).select("sid", F.col("p_seg").alias("seg"), F.col("m.p_pos").alias("pos"), F.lit(1).alias("cut")).distinct()
+    order = W.partitionBy("sid", "seg").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    split = rows.join(cuts, ["sid", "seg", "pos"], "left").withColumn("piece", F.sum(F.coalesce("cut", F.lit(0))).over(order))
+    size = F.count(F.lit(1)).over(W.partitionBy("sid", "seg", "piece"))
+    return split.withColumn("size", size).where("size >= 3 OR size = n").select("sid", "seg", "piece", "pos", "x", "y")
+
+
+def root_leaf_paths(ends: DataFrame, half: float, edge: float = 0.5, link: float = 0.5, rounds: int = 32) -> DataFrame:
+    """sid, path: all simple chains of polylines from a root to the first leaf.
+
+    ends has sid, seg, start_x, start_y, end_x, end_y. A root starts, a leaf ends within edge of
+    the view's border; a link joins an end to a start at most link away. rounds bounds the
+    length of a chain; every round is written, so plans stay short.
+    """
+    border = lambda x, y: F.least(F.abs(F.abs(x) - half), F.abs(F.abs(y) - half)) <= edge
+    ends = ends.withColumns({"root": border("start_x", "start_y"), "leaf": border("end_x", "end_y")})
+    cell = lambda c: F.floor(F.col(c) / link)
+    a = ends.select("sid", F.col("seg").alias("last"), "end_x", "end_y", F.explode(F.sequence(cell("end_x") - 1, cell("end_x") + 1)).alias("gx"), cell("end_y").alias("gy0"))
+    a = a.select("*", F.explode(F.sequence(F.col("gy0") - 1, F.col("gy0") + 1)).alias("gy"))
+    b = ends.select("sid", F.col("seg").alias("next"), F.col("leaf").alias("next_leaf"), "start_x", "start_y", cell("start_x").alias("gx"), cell("start_y").alias("gy"))
+    links = written(a.join(b, ["sid", "gx", "gy"]).where(F.hypot(F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")) <= link).select("sid", "last", "next", "next_leaf"))
+    grown = ends.where("root").select("sid", F.array("seg").alias("path"), "leaf")
+    done = grown.where("leaf").select("sid", "path")
+    for _ in range(rounds):
+        open_paths = grown.where("NOT leaf").withColumn("last", F.element_at("path", -1))
+        grown = written(open_paths.join(links, ["sid", "last"]).where(~F.array_contains("path", F.col("next"))).select("sid", F.concat("path", F.array("next")).alias("path"), F.col("next_leaf").alias("leaf")))
+        if grown.isEmpty():
+            break
+        done = done.unionAll(grown.where("leaf").select("sid", "path"))
+    return done
+
+
+def vertices_and_edges(points: DataFrame) -> DataFrame:
+    """sid, path_id, vertices: paths as lists of vertex keys; points at the same place share the first key.
+
+    points has sid, path_id, pos, x, y; a key is the (path_id, pos) of the first point there.
+    """
+    first = W.partitionBy("sid", "x", "y")
+    keyed = points.withColumn("key", F.min(F.struct("path_id", "pos")).over(first))
+    listed = keyed.groupBy("sid", "path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("v"))
+    return listed.select("sid", "path_id", F.transform("v", lambda v: v["key"]).alias("vertices"))
