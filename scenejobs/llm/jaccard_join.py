@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import U64, WordHashes, gram_hashes, mixed, signed, written
+from scenejobs.llm.shared import U64, HashedTexts, WordHashes, gram_hashes, mixed, signed, slices, written
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
 #: Rows of a bucket that are compared with as many others at a time.
-CELL_ROWS = 64
+CELL_ROWS = 1024
 #: About so many rows of cells go to one task.
 ROWS_PER_TASK = 100_000
 
@@ -47,53 +48,102 @@ def groups_of(n: int) -> list[int]:
     return [x for x in (g - 1, g) if x >= 0 and FAR[x] > 0 and (x == g or n <= LARGEST[x])]
 
 
-def shingle_set(words: list[bytes], table: WordHashes) -> np.ndarray:
-    """Distinct shingle hashes, ascending; fewer words than a shingle are one."""
-    return np.unique(gram_hashes(table.of(words), min(SHINGLE_WORDS, len(words)))) if words else np.empty(0, U64)
+@dataclass
+class ShingleSets:
+    """Distinct shingle hashes of several texts, ascending within each; text i has items begin[i] to end[i]."""
 
+    items: np.ndarray
+    end: np.ndarray
 
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+    def __post_init__(self) -> None:
+        self.sizes = np.diff(self.end, prepend=0)
+        self.begin = self.end - self.sizes
 
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.items[self.begin[i] : self.end[i]]
 
-def set_digest(s: np.ndarray) -> int:
-    """Hash of a set of shingle hashes, as a Spark long."""
-    return int(signed(mixed(np.array([mixed(s).sum(dtype=U64) + U64(len(s))], U64)))[0])
+    def digests(self) -> np.ndarray:
+        """Hash of each set, as Spark longs."""
+        sums = np.concatenate([[U64(0)], np.cumsum(mixed(self.items), dtype=U64)])
+        return signed(mixed(sums[self.end] - sums[self.begin] + self.sizes.astype(U64)))
 
+    def expand(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of the chosen sets one after another, and the place in chosen of each."""
+        sizes = self.sizes[chosen]
+        place = np.repeat(np.arange(len(chosen)), sizes)
+        return self.items[np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.begin[chosen], sizes)], place
 
-def _slots(s: np.ndarray, g: int) -> np.ndarray:
-    return ((mixed(s + U64(2 * g + 1)) >> U64(32)) * U64(SYMBOLS[g])) >> U64(32)
 
+def shingle_sets(texts: list[bytes | None], table: WordHashes) -> ShingleSets:
+    """Runs of five words with A-Z in lower case; fewer words are one shingle, none give an empty set."""
+    hashed = HashedTexts([t.lower() if t else t for t in texts], table)
+    grams, at = hashed.grams(SHINGLE_WORDS)
+    owner = hashed.owner[at]
+    short = np.flatnonzero((hashed.counts > 0) & (hashed.counts < SHINGLE_WORDS))
+    whole = [gram_hashes(hashed.hashes[hashed.begin[i] : hashed.end[i]], int(hashed.counts[i])) for i in short]
+    items, owner = np.concatenate([grams, *whole]), np.concatenate([owner, short])
+    order = np.lexsort((items, owner))
+    items, owner = items[order], owner[order]
+    new = np.r_[True, (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])] if len(items) else np.empty(0, bool)
+    return ShingleSets(items[new], np.cumsum(np.bincount(owner[new], minlength=len(texts))))
 
-def symbols(s: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the parity sketch of a set in band g, and which of them are empty.
+
+def bands_of(sets: ShingleSets) -> tuple[np.ndarray, np.ndarray]:
+    """Sets and the bands in which they can meet partners, see groups_of(); in order of sets."""
+    own = np.searchsorted(LEAST, sets.sizes, side="right") - 1
+    far, largest = np.array(FAR), np.array(LARGEST)
+    here = (own >= 0) & (far[own] > 0)
+    below = (own >= 1) & (far[own - 1] > 0) & (sets.sizes <= largest[own - 1])
+    chosen, band = np.r_[np.flatnonzero(below), np.flatnonzero(here)], np.r_[own[below] - 1, own[here]]
+    order = np.lexsort((band, chosen))
+    return chosen[order], band[order]
+
+
+def symbols(sets: ShingleSets, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the parity sketches of the chosen sets in their bands: key, place in chosen, is it empty.
 
     Every shingle falls into one slot, and a slot's symbol is the XOR of its shingles' hashes.
     A shingle that only one of two sets has changes one symbol, so the symbols that differ
     are at most as many as the symmetric difference. Empty slots are left out where the others
     give at least FAR + 1 symbols; else the first empty ones make up the number.
     """
-    slot = _slots(s, g)
-    order = np.argsort(slot, kind="stable")
-    slot, values = slot[order], mixed(s[order] ^ U64(0xA5A5A5A5A5A5A5A5))
-    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-    place = mixed((U64(g + 1) << U64(40)) + slot[first])
-    keys = mixed(np.bitwise_xor.reduceat(values, first) ^ place)
-    missing = FAR[g] + 1 - len(keys)
-    if missing <= 0:
-        return keys, np.zeros(len(keys), bool)
-    empty = np.setdiff1d(np.arange(SYMBOLS[g], dtype=U64), slot[first])
-    empty = np.sort(mixed(mixed((U64(g + 1) << U64(40)) + empty)))[:missing]
-    return np.r_[keys, empty], np.arange(len(keys) + len(empty)) >= len(keys)
-
-
-def bit_sketch(s: np.ndarray, g: int) -> np.ndarray:
-    """Parities of the shingles that hash to each bit; the Hamming distance of two sketches bounds the symmetric difference from below."""
-    bit = mixed(s ^ U64(0x5BD1E995)) & U64(64 * BIT_WORDS[g] - 1)
-    odd = np.flatnonzero(np.bincount(bit.astype(np.int64), minlength=64 * BIT_WORDS[g]) & 1)
-    out = np.zeros(BIT_WORDS[g], U64)
-    np.bitwise_or.at(out, odd >> 6, U64(1) << (odd & 63).astype(U64))
-    return out
+    s, place = sets.expand(chosen)
+    slots, g = np.array(SYMBOLS, U64)[band], band.astype(U64)
+    slot = ((mixed(s + U64(2) * g[place] + U64(1)) >> U64(32)) * slots[place]) >> U64(32)
+    order = np.lexsort((slot, place))
+    slot, place, values = slot[order], place[order], mixed(s[order] ^ U64(0xA5A5A5A5A5A5A5A5))
+    first = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (place[1:] != place[:-1])]) if len(slot) else np.empty(0, np.int64)
+    at = place[first]
+    keys = mixed(np.bitwise_xor.reduceat(values, first) ^ _named(g[at], slot[first])) if len(first) else np.empty(0, U64)
+    full = np.bincount(at, minlength=len(chosen))
+    lacking = np.flatnonzero(full < np.array(FAR)[band] + 1)
+    fill, owner, end = [], [], np.cumsum(full)
+    for i in lacking:
+        taken = slot[first[end[i] - full[i] : end[i]]]
+        empty = np.setdiff1d(np.arange(slots[i], dtype=U64), taken)
+        fill.append(np.sort(mixed(_named(g[i], empty)))[: FAR[band[i]] + 1 - full[i]])
+        owner.append(np.full(len(fill[-1]), i))
+    out, owner = np.concatenate([keys, *fill]), np.concatenate([at, *owner]).astype(np.int64)
+    empty = np.arange(len(out)) >= len(keys)
+    order = np.argsort(owner, kind="stable")
+    return out[order], owner[order], empty[order]
+
+
+def _named(g: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return mixed(((g + U64(1)) << U64(40)) + slot)
+
+
+def bit_sketches(sets: ShingleSets, chosen: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the shingles that hash to each bit, as 64-bit words, and where each sketch ends.
+
+    The Hamming distance of two sketches bounds the symmetric difference from below.
+    """
+    s, place = sets.expand(chosen)
+    size = np.array(BIT_WORDS)[band]
+    end = np.cumsum(size)
+    bit = mixed(s ^ U64(0x5BD1E995)) & (U64(64) * size.astype(U64) - U64(1))[place]
+    odd = np.bincount(bit.astype(np.int64) + 64 * (end - size)[place], minlength=64 * int(end[-1]) if len(end) else 0) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64), end
 
 
 def _by_band(values: list[int], g: Column) -> Column:
@@ -106,15 +156,15 @@ def _sets(texts: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            size, cls, sketches = [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                s = shingle_set(_words(text.as_py()), table)
-                size.append(len(s))
-                cls.append(set_digest(s))
-                sketches.append([(g, signed(bit_sketch(s, g))) for g in groups_of(len(s))] if len(s) else [])
-            kinds = pa.list_(pa.struct([("g", pa.int32()), ("bits", pa.list_(pa.int64()))]))
-            rows = [[{"g": g, "bits": b} for g, b in x] for x in sketches]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(rows, kinds)], ["id", "n", "cls", "sketches"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], table)
+                chosen, band = bands_of(sets)
+                bits, end = bit_sketches(sets, chosen, band)
+                words = pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(signed(bits), pa.int64()))
+                pairs = pa.StructArray.from_arrays([pa.array(band, pa.int32()), words], ["g", "bits"])
+                sketches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(chosen, minlength=b - a))], pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.sizes, pa.int64()), pa.array(sets.digests(), pa.int64()), sketches], ["id", "n", "cls", "sketches"])
 
     return texts.mapInArrow(run, f"id {kind}, n long, cls long, sketches array<struct<g:int,bits:array<long>>>")
 
@@ -128,34 +178,28 @@ def _symbol_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = WordHashes(), set()
         for batch in batches:
-            keys, cls, info, rows = [], [], [], 0
-            for text in batch.column(0).cast(pa.binary()):
-                s = shingle_set(_words(text.as_py()), table)
-                digest = set_digest(s)
-                if not len(s) or digest in seen:
-                    continue
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], table)
+                digests, chosen = sets.digests(), []
+                for i, digest in enumerate(digests.tolist()):
+                    if digest not in seen:
+                        chosen.append(i)
+                        seen.add(digest)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                seen.add(digest)
-                for g in groups_of(len(s)):
-                    k, empty = symbols(s, g)
-                    keys.append(signed(k))
-                    cls.append(np.full(len(k), digest))
-                    info.append((len(k) << 16 | g << 1) + empty.astype(np.int64))
-                    rows += len(k)
-                if rows > 200_000:
-                    yield _packed(keys, cls, info)
-                    keys, cls, info, rows = [], [], [], 0
-            if rows:
-                yield _packed(keys, cls, info)
+                fresh, (owner, band) = np.zeros(b - a, bool), bands_of(sets)
+                fresh[chosen] = True
+                owner, band = owner[fresh[owner]], band[fresh[owner]]
+                keys, place, empty = symbols(sets, owner, band)
+                given = np.bincount(place, minlength=len(owner))
+                info = (given[place] << 16 | band[place] << 1) + empty
+                columns = [signed(keys), digests[owner[place]], info.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "cls", "info"])
 
     return texts.mapInArrow(run, "key long, cls long, info long")
 
 
-def _packed(*columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["key", "cls", "info"])
-
-
 def _buckets(rows: DataFrame) -> DataFrame:
     """Returns key, cls, g, alone: the symbols that sets must be looked up by.
 
@@ -290,9 +334,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            sets = [shingle_set(_words(t.as_py()), table) for t in batch.column(1).cast(pa.binary())]
-            digests = pa.array([set_digest(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["cls", "digest", "items"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], table)
+                items = pa.ListArray.from_arrays(pa.array(np.r_[0, sets.end], pa.int32()), pa.array(signed(sets.items), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.digests(), pa.int64()), items], ["cls", "digest", "items"])
 
     owners = classes.select("cls", F.col("label").alias("id"))
     sets = texts.join(owners, "id").select("cls", "text").mapInArrow(items, "cls long, digest long, items array<long>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import U64, WordHashes, gram_hashes, signed, slices
+from scenejobs.llm.shared import U64, HashedTexts, WordHashes, mixed, signed, slices
 
 #: A repeat is a window of so many consecutive words.
 WINDOW = 13
@@ -22,66 +23,92 @@ BLOCK = 7
 STARTS = (0, 1, 3)
 
 
-def anchors(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchor blocks of a document."""
-    grams = gram_hashes(word_hashes, BLOCK)
-    at = np.flatnonzero(np.isin(np.arange(len(grams)) % BLOCK, STARTS))
-    return grams[at], at
+_IS_START = np.isin(np.arange(BLOCK), STARTS)
 
 
-def around(word_hashes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the windows that hold an anchor whose hash is in found."""
-    windows = gram_hashes(word_hashes, WINDOW)
-    hashes, at = anchors(word_hashes)
-    hit = at[np.isin(hashes, found)]
-    starts = (hit[:, None] - np.arange(WINDOW - BLOCK + 1)[None, :]).ravel()
-    starts = np.unique(starts[(starts >= 0) & (starts < len(windows))])
-    return windows[starts], starts
+def anchors(texts: HashedTexts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the anchor blocks."""
+    grams, at = texts.grams(BLOCK)
+    chosen = _IS_START[(at - texts.begin[texts.owner[at]]) % BLOCK]
+    return grams[chosen], at[chosen]
 
 
-def covered(starts: np.ndarray, n: int) -> np.ndarray:
-    """Which of n words lie in a window that begins at one of starts."""
-    change = np.zeros(n + 1, dtype=np.int64)
+def _of_text(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes that belong to one text only."""
+    return mixed(hashes + owner.astype(U64) * U64(0xD1342543DE82EF95))
+
+
+def _listed(lists: pa.ListArray) -> np.ndarray:
+    """The hashes of a column of lists, each bound to its row."""
+    owner = np.repeat(np.arange(len(lists)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    return _of_text(lists.flatten().to_numpy(zero_copy_only=False).view(U64), owner)
+
+
+def around(texts: HashedTexts, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of the windows that hold an anchor of found, as _listed() gives them."""
+    hashes, at = anchors(texts)
+    hit = at[np.isin(_of_text(hashes, texts.owner[at]), found)]
+    change = np.zeros(len(texts.owner) + 1, np.int64)
+    np.add.at(change, np.maximum(hit - (WINDOW - BLOCK), texts.begin[texts.owner[hit]]), 1)
+    np.add.at(change, hit + 1, -1)
+    windows, at = texts.grams(WINDOW)
+    wanted = np.cumsum(change[:-1])[at] > 0
+    return windows[wanted], at[wanted]
+
+
+def covered(texts: HashedTexts, gone: np.ndarray) -> np.ndarray:
+    """Which words lie in a window of gone, as _listed() gives them."""
+    windows, at = texts.grams(WINDOW)
+    starts = at[np.isin(_of_text(windows, texts.owner[at]), gone)]
+    change = np.zeros(len(texts.owner) + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + WINDOW, -1)
-    return np.cumsum(change[:n]) > 0
+    return np.cumsum(change[:-1]) > 0
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def _postings(rows: DataFrame, kind: str, hashes_of: Callable[[np.ndarray, pa.Scalar | None], np.ndarray]) -> DataFrame:
-    """Returns hash, id, more: one row per distinct hash and batch of documents.
+def _postings(rows: DataFrame, kind: str, hashes_of: Callable[[HashedTexts, np.ndarray | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Returns hash, id, more: one row per distinct hash and slice of documents.
 
     id is the smallest that has the hash there; more lists all of them where they are several.
-    So a hash that most documents share leaves a task a few times only.
+    So a hash that most documents share leaves a task a few times only. Rows lie in order of
+    documents, which compresses well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             batch = batch.sort_by("id")
-            found = batch.column(2) if batch.num_columns > 2 else None
-            texts, parts = batch.column(1).cast(pa.binary()), []
-            for i in range(len(texts)):
-                words = _words(texts[i].as_py())
-                parts.append(np.unique(hashes_of(table.of(words), found[i] if found is not None else None)) if len(words) >= WINDOW else np.empty(0, U64))
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            hashes = np.concatenate(parts) if parts else np.empty(0, U64)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
-            count = np.diff(np.r_[first, len(hashes)]) if len(hashes) else first
-            several = count > 1
-            offsets = np.r_[0, np.cumsum(np.where(several, count, 0))].astype(np.int32)
-            values = batch.column(0).take(pa.array(owner[np.repeat(several, count)]))
-            more = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~several))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[first]), pa.int64()), batch.column(0).take(pa.array(owner[first])), more], ["hash", "id", "more"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in slices(texts):
+                part = HashedTexts(texts[a:b], table)
+                hashes, at = hashes_of(part, _listed(batch.column(2).slice(a, b - a)) if batch.num_columns > 2 else None)
+                yield _grouped(hashes, part.owner[at], batch.column(0).slice(a, b - a))
 
     return rows.mapInArrow(run, f"hash long, id {kind}, more array<{kind}>")
 
 
+def _grouped(hashes: np.ndarray, owner: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    again = np.r_[False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])] if len(hashes) else np.empty(0, bool)
+    hashes, owner = hashes[~again], owner[~again]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
+    count = np.diff(np.r_[first, len(hashes)]).astype(np.int64)
+    order = np.argsort(owner[first], kind="stable")
+    first, count = first[order], count[order]
+    several = count > 1
+    lengths = np.where(several, count, 0)
+    ends = np.cumsum(lengths)
+    within = np.arange(lengths.sum()) - np.repeat(ends - lengths, lengths)
+    values = ids.take(pa.array(owner[np.repeat(first, lengths) + within]))
+    more = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), pa.int32()), values, mask=pa.array(~several))
+    return pa.RecordBatch.from_arrays([pa.array(signed(hashes[first]), pa.int64()), ids.take(pa.array(owner[first])), more], ["hash", "id", "more"])
+
+
 def _owners(postings: DataFrame, wanted: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Returns id and hashes (a set): postings for which wanted(id, least id, greatest id of the hash) holds."""
     of = W.partitionBy("hash")
@@ -123,34 +150,34 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     firsts = digests.groupBy("digest").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first")).distinct()
     dealt = known.repartition("id")  # one exchange, which every join below reads
     taking_part = dealt.join(firsts, "id").select("id", "text")
-    shared = _owners(_postings(taking_part, kind, lambda h, _: anchors(h)[0]), lambda i, least, greatest: F.lit(True))
+    shared = _owners(_postings(taking_part, kind, lambda t, _: anchors(t)), lambda i, least, greatest: F.lit(True))
     near = dealt.join(firsts.join(shared, "id"), "id").select("id", "text", "hashes")
-    gone = _owners(_postings(near, kind, lambda h, found: around(h, _array(found))[0]), lambda i, least, greatest: i > least)
+    gone = _owners(_postings(near, kind, around), lambda i, least, greatest: i > least)
     rows = dealt.join(firsts, "id", "left").join(gone, "id", "left").select("id", "text", "first", "hashes")
     rows = rows.unionAll(texts.where("id IS NULL").select("id", "text", F.lit(True).alias("first"), F.lit(None).cast("array<long>").alias("hashes")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            texts, firsts, gone = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            texts, gone = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3)
+            firsts, touched = batch.column(2).to_pylist(), np.asarray(gone.is_valid())
             for a, b in slices(texts):
-                count, removed, kept = [], [], []
+                some = [i for i in range(a, b) if touched[i]]
+                part = HashedTexts([texts[i] for i in some], table)
+                stays = ~covered(part, _listed(gone.take(pa.array(some, pa.int64()))))
+                place, count, removed, kept = {i: k for k, i in enumerate(some)}, [], [], []
                 for i in range(a, b):
-                    words = _words(texts[i])
+                    k = place.get(i)
+                    words = _words(texts[i]) if k is None else part.words[k]
                     count.append(len(words))
                     if len(words) >= WINDOW and not firsts[i]:
                         words = []
-                    elif gone[i].is_valid:
-                        windows = gram_hashes(table.of(words), WINDOW)
-                        drop = covered(np.flatnonzero(np.isin(windows, _array(gone[i]))), len(words))
-                        words = [words[k] for k in np.flatnonzero(~drop)]
+                    elif k is not None:
+                        words = list(compress(words, stays[part.begin[k] : part.end[k]]))
                     removed.append(count[-1] - len(words))
                     kept.append(b" ".join(words))
                 kept = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(count, pa.int64()), pa.array(removed, pa.int64()), kept], ["id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), kept], ["id", "n_words", "n_removed", "kept"])
 
     return rows.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
-
-def _array(hashes: pa.ListScalar) -> np.ndarray:
-    return hashes.values.to_numpy(zero_copy_only=False).view(U64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scenejobs.functions.tables import written
 
-__all__ = ["GAP", "SPACES", "TABLE_ENTRIES", "U64", "WordHashes", "gram_hashes", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
+__all__ = ["GAP", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "WordHashes", "gram_hashes", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
 
 #: The characters between words: space and tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -66,6 +68,9 @@ class WordHashes:
         return np.fromiter(map(table.__getitem__, words), dtype=U64, count=len(words))
 
 
+_STEP = U64(0x9E3779B97F4A7C15)
+
+
 def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every run of k consecutive words, in order; empty below k words."""
     n = len(word_hashes) - k + 1
@@ -73,8 +78,26 @@ def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, dtype=U64)
     out = np.full(n, k, dtype=U64)
     for i in range(k):
-        out = mixed(out + word_hashes[i : i + n]) + U64(i + 1)
-    return out
+        out *= _STEP
+        out += word_hashes[i : i + n]
+    return mixed(out)
+
+
+class HashedTexts:
+    """Word hashes of several texts in one array; text i has words begin[i] to end[i]."""
+
+    def __init__(self, texts: list[bytes | None], table: WordHashes) -> None:
+        self.words = [(t or b"").split() for t in texts]
+        self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.end = np.cumsum(self.counts)
+        self.begin = self.end - self.counts
+        self.hashes = table.of(list(chain.from_iterable(self.words)))
+        self.owner = np.repeat(np.arange(len(self.words)), self.counts)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of k words that lie in one text, and their positions."""
+        at = np.flatnonzero(np.arange(len(self.owner)) + k <= self.end[self.owner])
+        return gram_hashes(self.hashes, k)[at] if len(at) else np.empty(0, U64), at
 
 
 def signed(x: np.ndarray) -> np.ndarray:
