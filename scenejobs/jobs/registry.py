@@ -29,7 +29,7 @@ def rounded(df: DataFrame, places: int = 4) -> DataFrame:
 
 
 def _load() -> None:
-    from scenejobs.jobs import graph_queries, lane_queries, map_queries, raster_queries, track_queries  # noqa: F401
+    from scenejobs.jobs import graph_queries, helper_queries, lane_queries, map_queries, raster_queries, track_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
