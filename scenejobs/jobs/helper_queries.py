@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.jobs.raster_queries import HALF, RES, _agents, _pixels
 from scenejobs.jobs.registry import query, rounded
-from scenejobs.operators import curves, raster, tracing, vectorize
+from scenejobs.operators import curves, graphs, lanes, raster, tracing, vectorize
 from scenejobs.sources import views
 from scenejobs.sources.views import with_views
 
@@ -62,3 +63,19 @@ SELECT image_id, edge_id, k, round(x1 * u ** 3 + (x1 + d * cos(0.5)) * 3 * u **
   round(y1 * u ** 3 + (y1 + d * sin(0.5)) * 3 * u ** 2 * t + (y2 - d * sin(-0.25)) * 3 * u * t ** 2 + y2 * t ** 3, 4) + 0.0::DOUBLE AS y FROM t"""))
 def v13_bezier(spark, sf_dir):
     return rounded(curves.bezier(_ends(spark, sf_dir).withColumns({"yaw1": F.lit(0.5), "yaw2": F.lit(-0.25)}), 9))
+
+
+@query("v17_routes", None)
+def v17(spark, sf_dir):
+    edges = views.graph_edges(spark, sf_dir).withColumn("edge_id", F.col("n1") * 1000 + F.col("n2"))
+    ends = edges.select("graph_id", F.explode(F.array("n1", "n2")).alias("node")).groupBy("graph_id", "node").count().where("count = 1")
+    terminals = ends.select("graph_id", "node", F.when(F.col("node") < 100, "inlet").otherwise("outlet").alias("kind"))
+    return graphs.routes(edges, terminals).select("graph_id", "source", "target", "length", F.size("nodes").alias("n_nodes"))
+
+
+@query("l6_drop_overlapping", None)
+def l6(spark, sf_dir):
+    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label AS sid", "vec_id AS fid", "row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank")
+    found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), ranked.where("rank <= 2"), ranked.selectExpr("sid", "fid", "32L AS n"), 60)
+    listed = found.select("sid", F.lit(0).alias("track_index"), F.row_number().over(W.partitionBy("sid").orderBy("path")).alias("pos"), "path")
+    return lanes.drop_overlapping(listed).select("sid", "pos", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))

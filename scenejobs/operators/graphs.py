@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,3 +176,43 @@ def attribute_histogram(df: DataFrame, columns: list[str], bins: int = 21) -> Da
     width = (F.col("high") - F.col("low")) / bins
     place: Column = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1)))
     return tall.join(F.broadcast(ends), "attribute").groupBy("attribute", place.cast("int").alias("bin"), "low", "high").agg(F.count(F.lit(1)).alias("n"))
+
+
+def routes(edges: DataFrame, terminals: DataFrame) -> DataFrame:
+    """graph_id, source, target, length, edge_ids, nodes: shortest paths from every inlet to every outlet that it reaches.
+
+    edges has graph_id, edge_id, n1, n2, dist; terminals has graph_id, node, kind ("inlet" or
+    "outlet"). Each graph is one group; ties fall to the smaller predecessor.
+    """
+    kind = edges.schema["graph_id"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        real, near = frame[frame["kind"].isna()], {}
+        for e in real.itertuples():
+            near.setdefault(e.n1, []).append((e.n2, e.dist, e.edge_id))
+            near.setdefault(e.n2, []).append((e.n1, e.dist, e.edge_id))
+        rows = []
+        for source in sorted(frame.loc[frame["kind"] == "inlet", "n1"]):
+            far, back, queue, done = {source: 0.0}, {}, [(0.0, source)], set()
+            while queue:
+                d, node = heapq.heappop(queue)
+                if node in done:
+                    continue
+                done.add(node)
+                for other, step, edge in near.get(node, []):
+                    if d + step < far.get(other, np.inf) or d + step == far.get(other) and other not in done and node < back[other][0]:
+                        far[other], back[other] = d + step, (node, edge)
+                        heapq.heappush(queue, (d + step, other))
+            for target in sorted(frame.loc[frame["kind"] == "outlet", "n1"]):
+                if target != source and target in far:
+                    nodes, used = [target], []
+                    while nodes[-1] != source:
+                        node, edge = back[nodes[-1]]
+                        nodes.append(node)
+                        used.append(edge)
+                    rows.append((frame["graph_id"].iloc[0], source, target, far[target], used[::-1], nodes[::-1]))
+        return pd.DataFrame(rows, columns=["graph_id", "source", "target", "length", "edge_ids", "nodes"])
+
+    both = edges.select("graph_id", "edge_id", "n1", "n2", "dist", F.lit(None).cast("string").alias("kind"))
+    both = both.unionAll(terminals.select("graph_id", F.lit(0).cast("long"), F.col("node"), F.col("node"), F.lit(0.0), "kind"))
+    return both.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, source long, target long, length double, edge_ids array<long>, nodes array<long>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,3 +112,21 @@ def annotate_path(path: DataFrame, signals: DataFrame, crosswalks: DataFrame, li
     inside = path.join(edges, "sid").where(crossing).groupBy(*key, "polygon_id").count().where("count % 2 = 1").select(*key).distinct()
     rows = path.join(at_stop.withColumn("stop", F.lit(0.0)), key, "left").join(inside.withColumn("walk", F.lit(1.0)), key, "left").join(limits.select("sid", "fid", "speed_limit_mph"), ["sid", "fid"], "left")
     return rows.select(*path.columns, F.coalesce("stop", "walk", F.col("speed_limit_mph") / 2.237).alias("annotation"))
+
+
+def drop_overlapping(sequences: DataFrame) -> DataFrame:
+    """sid, track_index, pos, path of the lane sequences that no earlier kept one makes redundant.
+
+    In order of pos, a kept sequence removes any other whose tail after the first lane is equal
+    or whose lanes all lie in it. The order decides, so each agent's few sequences are one group.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos", ignore_index=True)
+        paths, gone = [list(p) for p in frame["path"]], set()
+        for i, p in enumerate(paths):
+            if i not in gone:
+                gone |= {j for j, q in enumerate(paths) if j != i and j not in gone and (p[1:] == q[1:] or set(q) <= set(p))}
+        return frame.drop(index=sorted(gone))
+
+    return sequences.groupBy("sid", "track_index").applyInPandas(run, sequences.schema)

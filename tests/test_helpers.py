@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from scenejobs.operators import curves, tracing
+from scenejobs.operators import curves, graphs, lanes, tracing
 
 
 def test_labels_equal_flood_fill():
@@ -90,3 +90,26 @@ def test_fits_of_a_circle_and_of_a_point(spark, method):
     assert np.hypot([r["x"] for r in circle], [r["y"] - 20 for r in circle]) == pytest.approx(20, abs=0.05)
     assert np.median([r["curvature"] for r in circle]) == pytest.approx(0.05, abs=0.01)
     assert [r["error"] for r in got if r["edge_id"] == 1] == ["fewer than two different points"]
+
+
+def test_overlapping_sequences(spark):
+    rows = [(0, 1, 0, [1, 2, 3]), (0, 1, 1, [9, 2, 3]), (0, 1, 2, [2, 3]), (0, 1, 3, [4, 5]), (0, 2, 0, [2, 3])]
+    got = lanes.drop_overlapping(spark.createDataFrame(rows, "sid int, track_index int, pos int, path array<long>")).orderBy("track_index", "pos").collect()
+    assert [(r["track_index"], r["pos"]) for r in got] == [(1, 0), (1, 3), (2, 0)]
+
+
+def test_routes_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    pairs = sorted({tuple(sorted(map(int, rng.choice(12, 2, replace=False)))) for _ in range(22)})
+    rows = [(0, i, a, b, float(rng.integers(1, 9))) for i, (a, b) in enumerate(pairs)]
+    d = np.full((12, 12), np.inf)
+    np.fill_diagonal(d, 0)
+    for _, _, a, b, w in rows:
+        d[a, b] = d[b, a] = w
+    for k in range(12):
+        d = np.minimum(d, d[:, k, None] + d[None, k])
+    ends = spark.createDataFrame([(0, n, "inlet" if n < 5 else "outlet") for n in range(12)], "graph_id int, node long, kind string")
+    got = graphs.routes(spark.createDataFrame(rows, "graph_id int, edge_id long, n1 long, n2 long, dist double"), ends).collect()
+    assert {(r["source"], r["target"]): r["length"] for r in got} == {(a, b): d[a, b] for a in range(5) for b in range(5, 12) if np.isfinite(d[a, b])}
+    dist = {i: w for _, i, _, _, w in rows}
+    assert all(sum(dist[e] for e in r["edge_ids"]) == r["length"] for r in got)
