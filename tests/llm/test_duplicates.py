@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from scenejobs.llm import jaccard_join, line_dedup, repeats
-from scenejobs.llm.shared import WordHashes
+from scenejobs.llm.shared import HashedTexts, WordHashes
 from tests.llm.conftest import ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,12 +68,18 @@ def test_sketches_bound_the_symmetric_difference():
         for share in (0.0, 0.02, 0.1, 0.2):
             d = int(len(a) * share)
             b = np.unique(np.r_[a[d // 2 :], rng.integers(0, 2**63, d - d // 2).astype(np.uint64)])
-            far = len(np.setxor1d(a, b))
-            for g in set(jaccard_join.groups_of(len(a))) & set(jaccard_join.groups_of(len(b))):
-                bits = np.bitwise_count(jaccard_join.bit_sketch(a, g) ^ jaccard_join.bit_sketch(b, g)).sum()
-                assert bits <= far
-                (x, ex), (y, ey) = jaccard_join.symbols(a, g), jaccard_join.symbols(b, g)
-                if not ex.any() and not ey.any():
+            far, sets = len(np.setxor1d(a, b)), jaccard_join.ShingleSets(np.r_[a, b], np.array([len(a), len(a) + len(b)]))
+            chosen, band = jaccard_join.bands_of(sets)
+            assert [band[chosen == i].tolist() for i in (0, 1)] == [jaccard_join.groups_of(len(x)) for x in (a, b)]
+            bits, end = jaccard_join.bit_sketches(sets, chosen, band)
+            keys, place, empty = jaccard_join.symbols(sets, chosen, band)
+            for g in set(band[chosen == 0]) & set(band[chosen == 1]):
+                i, j = (int(np.flatnonzero((chosen == x) & (band == g))[0]) for x in (0, 1))
+                words = [bits[end[k] - jaccard_join.BIT_WORDS[g] : end[k]] for k in (i, j)]
+                assert np.bitwise_count(words[0] ^ words[1]).sum() <= far
+                assert min(np.count_nonzero(place == k) for k in (i, j)) > jaccard_join.FAR[g]
+                if not empty[np.isin(place, (i, j))].any():
+                    x, y = keys[place == i], keys[place == j]
                     assert max(len(x), len(y)) - len(np.intersect1d(x, y)) <= far
 
 
@@ -115,7 +121,8 @@ def test_anchors_meet_at_every_offset():
             pad = lambda n: [b"p%d" % x for x in rng.integers(0, 1 << 40, n)]
             a, b = pad(p) + window + pad(3), pad(q) + window + pad(2)
             table = WordHashes()
-            assert len(np.intersect1d(repeats.anchors(table.of(a))[0], repeats.anchors(table.of(b))[0])) > 0
+            x, y = (repeats.anchors(HashedTexts([b" ".join(w)], table))[0] for w in (a, b))
+            assert len(np.intersect1d(x, y)) > 0
 
 
 def test_repeats_edge_tables(make_docs):
