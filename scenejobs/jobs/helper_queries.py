@@ -79,3 +79,14 @@ def l6(spark, sf_dir):
     found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), ranked.where("rank <= 2"), ranked.selectExpr("sid", "fid", "32L AS n"), 60)
     listed = found.select("sid", F.lit(0).alias("track_index"), F.row_number().over(W.partitionBy("sid").orderBy("path")).alias("pos"), "path")
     return lanes.drop_overlapping(listed).select("sid", "pos", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query("l7_lane_bfs", None)
+def l7(spark, sf_dir):
+    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label AS sid", "vec_id AS lane_id", "row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank", "lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS beside")
+    exits = views.lane_topology(spark, sf_dir).groupBy("sid", F.col("fid").alias("lane_id")).agg(F.array_sort(F.collect_list("exit_fid")).alias("exits"))
+    known = ranked.join(exits, ["sid", "lane_id"], "left").selectExpr(
+        "sid", "lane_id", "32 AS n", "coalesce(exits, array()) AS exits", "CASE WHEN beside IS NULL THEN array() ELSE array(named_struct('id', beside, 'first', 0, 'last', 31)) END AS neighbors"
+    )
+    starts = ranked.where("rank <= 3").selectExpr("sid", "rank AS agent", "0 AS pos", "lane_id", "10 AS start")
+    return lanes.lane_bfs(starts, known, 120, 20)

@@ -130,3 +130,50 @@ def drop_overlapping(sequences: DataFrame) -> DataFrame:
         return frame.drop(index=sorted(gone))
 
     return sequences.groupBy("sid", "track_index").applyInPandas(run, sequences.schema)
+
+
+def lane_bfs(starts: DataFrame, lanes: DataFrame, waypoint_budget: int, lane_budget: int) -> DataFrame:
+    """sid, agent, pos, lane_id, first, last, reached: lanes found from an agent's start lanes, in order of discovery.
+
+    starts has sid, agent, pos, lane_id, start; lanes has sid, lane_id, n (points), exits (array
+    of ids) and neighbors (array of struct id, first, last; left ones before right ones).
+    Lanes are expanded first come first served: for each exit its neighbours and then the exit
+    itself join, once each, up to lane_budget lanes. reached counts points along the way; a
+    lane that would pass waypoint_budget is cut there and not expanded. Order decides, so an
+    agent and its scenario's lanes are one group.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lane = {r.lane_id: r for r in frame.itertuples()}
+        begin = frame[frame["pos"].notna()].sort_values("pos")
+        found, queue = {}, []
+
+        def add(lane_id: int, first: int, size: int, before: int) -> None:
+            """Takes in one lane of size points from first on, reached after `before` points."""
+            if before + size > waypoint_budget:
+                found[lane_id] = (first, first + waypoint_budget if not before else waypoint_budget - before, waypoint_budget)
+            else:
+                found[lane_id] = (first, first + size, before + size)
+                queue.append(lane_id)
+
+        for r in begin.itertuples():
+            add(r.lane_id, int(r.start), int(lane[r.lane_id].n - r.start), 0)
+        while queue and len(found) < lane_budget:
+            parent = queue.pop(0)
+            reached = found[parent][2]
+            if reached >= waypoint_budget:
+                continue
+            for child in lane[parent].exits:
+                if child not in lane:
+                    continue
+                nearby = [(b["id"], b["first"], b["last"] + 1 - b["first"]) for b in lane[child].neighbors]
+                for lane_id, first, size in [*nearby, (child, 0, int(lane[child].n))]:
+                    if lane_id in lane and lane_id not in found and len(found) < lane_budget:
+                        add(lane_id, first, size, reached)
+        rows = [(frame["sid"].iloc[0], frame["agent"].iloc[0], i, k, *v) for i, (k, v) in enumerate(found.items())]
+        return pd.DataFrame(rows, columns=["sid", "agent", "pos", "lane_id", "first", "last", "reached"])
+
+    agents = starts.select("sid", "agent").distinct().join(lanes, "sid")
+    rows = agents.join(starts.select("sid", "agent", "lane_id", "pos", "start"), ["sid", "agent", "lane_id"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy("sid", "agent").applyInPandas(run, f"sid {kinds['sid']}, agent {kinds['agent']}, pos int, lane_id long, first int, last int, reached int")

@@ -113,3 +113,14 @@ def test_routes_equal_all_pairs(spark):
     assert {(r["source"], r["target"]): r["length"] for r in got} == {(a, b): d[a, b] for a in range(5) for b in range(5, 12) if np.isfinite(d[a, b])}
     dist = {i: w for _, i, _, _, w in rows}
     assert all(sum(dist[e] for e in r["edge_ids"]) == r["length"] for r in got)
+
+
+def test_lane_search_by_hand(spark):
+    known = [(0, 1, 10, [2, 3], []), (0, 2, 10, [4], [(5, 2, 6)]), (0, 3, 40, [], []), (0, 4, 10, [1], []), (0, 5, 10, [], [])]
+    table = spark.createDataFrame(known, "sid int, lane_id long, n int, exits array<long>, neighbors array<struct<id:long,first:int,last:int>>")
+    starts = spark.createDataFrame([(0, 7, 0, 1, 4)], "sid int, agent int, pos int, lane_id long, start int")
+    got = lanes.lane_bfs(starts, table, 30, 10).orderBy("pos").collect()
+    assert [(r["lane_id"], r["first"], r["last"], r["reached"]) for r in got] == [(1, 4, 10, 6), (5, 2, 7, 11), (2, 0, 10, 16), (3, 0, 24, 30), (4, 0, 10, 26)]
+    assert [r["lane_id"] for r in lanes.lane_bfs(starts, table, 30, 2).orderBy("pos").collect()] == [1, 5]
+    alone = lanes.lane_bfs(starts, table, 3, 9).collect()
+    assert [(r["lane_id"], r["first"], r["last"], r["reached"]) for r in alone] == [(1, 4, 7, 3)]
