@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import U64, HashedTexts, WordHashes, gram_hashes, mixed, signed, slices, written
+from scenejobs.llm.shared import U64, HashedTexts, gram_hashes, mixed, signed, slices, written
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
@@ -74,9 +74,9 @@ class ShingleSets:
         return self.items[np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.begin[chosen], sizes)], place
 
 
-def shingle_sets(texts: list[bytes | None], table: WordHashes) -> ShingleSets:
+def shingle_sets(texts: list[bytes | None]) -> ShingleSets:
     """Runs of five words with A-Z in lower case; fewer words are one shingle, none give an empty set."""
-    hashed = HashedTexts([t.lower() if t else t for t in texts], table)
+    hashed = HashedTexts([t.lower() if t else t for t in texts])
     grams, at = hashed.grams(SHINGLE_WORDS)
     owner = hashed.owner[at]
     short = np.flatnonzero((hashed.counts > 0) & (hashed.counts < SHINGLE_WORDS))
@@ -154,11 +154,10 @@ def _sets(texts: DataFrame, kind: str) -> DataFrame:
     """Returns id, n, cls (digest of the set) and sketches (band, bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], table)
+                sets = shingle_sets(texts[a:b])
                 chosen, band = bands_of(sets)
                 bits, end = bit_sketches(sets, chosen, band)
                 words = pa.ListArray.from_arrays(pa.array(np.r_[0, end], pa.int32()), pa.array(signed(bits), pa.int64()))
@@ -176,11 +175,11 @@ def _symbol_rows(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], table)
+                sets = shingle_sets(texts[a:b])
                 digests, chosen = sets.digests(), []
                 for i, digest in enumerate(digests.tolist()):
                     if digest not in seen:
@@ -332,11 +331,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketches = classes.select("cls", "n", F.inline("sketches"))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], table)
+                sets = shingle_sets(texts[a:b])
                 items = pa.ListArray.from_arrays(pa.array(np.r_[0, sets.end], pa.int32()), pa.array(signed(sets.items), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.digests(), pa.int64()), items], ["cls", "digest", "items"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import U64, HashedTexts, WordHashes, mixed, signed, slices
+from scenejobs.llm.shared import U64, HashedTexts, mixed, signed, slices
 
 #: A repeat is a window of so many consecutive words.
 WINDOW = 13
@@ -79,12 +79,11 @@ def _postings(rows: DataFrame, kind: str, hashes_of: Callable[[HashedTexts, np.n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
             batch = batch.sort_by("id")
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in slices(texts):
-                part = HashedTexts(texts[a:b], table)
+                part = HashedTexts(texts[a:b])
                 hashes, at = hashes_of(part, _listed(batch.column(2).slice(a, b - a)) if batch.num_columns > 2 else None)
                 yield _grouped(hashes, part.owner[at], batch.column(0).slice(a, b - a))
 
@@ -136,7 +135,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if their 64-bit hashes are. Null and blank texts have 0 words. Rows with an equal id
     don't repeat each other; rows with a null id neither lose words nor take any.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")  # an alias of the same name would keep the exchange below from reuse
+    texts = docs.select(F.col(id_col).alias("id"), text)
     kind = texts.schema["id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,18 +157,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.unionAll(texts.where("id IS NULL").select("id", "text", F.lit(True).alias("first"), F.lit(None).cast("array<long>").alias("hashes")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
             texts, gone = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3)
             firsts, touched = batch.column(2).to_pylist(), np.asarray(gone.is_valid())
             for a, b in slices(texts):
                 some = [i for i in range(a, b) if touched[i]]
-                part = HashedTexts([texts[i] for i in some], table)
+                part = HashedTexts([texts[i] for i in some])
                 stays = ~covered(part, _listed(gone.take(pa.array(some, pa.int64()))))
                 place, count, removed, kept = {i: k for k, i in enumerate(some)}, [], [], []
                 for i in range(a, b):
                     k = place.get(i)
-                    words = _words(texts[i]) if k is None else part.words[k]
+                    words = _words(texts[i])
                     count.append(len(words))
                     if len(words) >= WINDOW and not firsts[i]:
                         words = []

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scenejobs.functions.tables import written
 
-__all__ = ["GAP", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "WordHashes", "gram_hashes", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
+__all__ = ["GAP", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "gram_hashes", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
 
 #: The characters between words: space and tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -54,20 +51,6 @@ def make_room(table: dict, wanted: set) -> None:
         table.update(stay)
 
 
-class WordHashes:
-    """Stable 64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self) -> None:
-        self.table: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        table = self.table
-        make_room(table, set(words) if len(table) > TABLE_ENTRIES else set())
-        for w in set(words).difference(table):
-            table[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(table.__getitem__, words), dtype=U64, count=len(words))
-
-
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -83,16 +66,51 @@ def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+_INVERSE = U64(pow(int(_STEP), -1, 1 << 64))
+_BYTE_VALUES = mixed(np.arange(1, 257, dtype=U64) * _STEP)
+_IS_GAP = np.isin(np.arange(256), list(SPACES.encode()))
+#: Bytes whose words are hashed at once.
+HASH_BLOCK = 1 << 20
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the power 0, 1, ... modulo 2**64, at least n of them."""
+    if len(_POWERS.get(int(base), ())) < n:
+        _POWERS[int(base)] = np.multiply.accumulate(np.r_[U64(1), np.full(max(n, HASH_BLOCK) - 1, base)])
+    return _POWERS[int(base)]
+
+
+def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable 64-bit hashes of the words in an array of bytes, and where they begin.
+
+    A word's hash is the sum of its bytes' values times powers of an odd number, so all words
+    of a block come from one running sum, with the power of their place divided out.
+    """
+    gap = np.r_[True, _IS_GAP[data], True]
+    begin = np.flatnonzero(gap[:-1] & ~gap[1:])
+    end = np.flatnonzero(~gap[:-1] & gap[1:])
+    out, i = np.empty(len(begin), U64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + HASH_BLOCK, side="right")))
+        low, n = begin[i], int(end[j - 1] - begin[i])
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE_VALUES[data[low : low + n]] * _powers(_STEP, n)[:n], out=sums[1:])
+        out[i:j] = (sums[end[i:j] - low] - sums[begin[i:j] - low]) * _powers(_INVERSE, n)[begin[i:j] - low]
+        i = j
+    return mixed(out + (end - begin).astype(U64)), begin
+
+
 class HashedTexts:
     """Word hashes of several texts in one array; text i has words begin[i] to end[i]."""
 
-    def __init__(self, texts: list[bytes | None], table: WordHashes) -> None:
-        self.words = [(t or b"").split() for t in texts]
-        self.counts = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.end = np.cumsum(self.counts)
+    def __init__(self, texts: list[bytes | None]) -> None:
+        texts = [t or b"" for t in texts]
+        self.hashes, at = hash_words(np.frombuffer(b"\n".join(texts), np.uint8))
+        self.end = np.searchsorted(at, np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))))
+        self.counts = np.diff(self.end, prepend=0)
         self.begin = self.end - self.counts
-        self.hashes = table.of(list(chain.from_iterable(self.words)))
-        self.owner = np.repeat(np.arange(len(self.words)), self.counts)
+        self.owner = np.repeat(np.arange(len(texts)), self.counts)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of k words that lie in one text, and their positions."""

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from scenejobs.llm import jaccard_join, line_dedup, repeats
-from scenejobs.llm.shared import HashedTexts, WordHashes
+from scenejobs.llm.shared import HashedTexts, hash_words
 from tests.llm.conftest import ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,8 +120,7 @@ def test_anchors_meet_at_every_offset():
         for q in range(8):
             pad = lambda n: [b"p%d" % x for x in rng.integers(0, 1 << 40, n)]
             a, b = pad(p) + window + pad(3), pad(q) + window + pad(2)
-            table = WordHashes()
-            x, y = (repeats.anchors(HashedTexts([b" ".join(w)], table))[0] for w in (a, b))
+            x, y = (repeats.anchors(HashedTexts([b" ".join(w)]))[0] for w in (a, b))
             assert len(np.intersect1d(x, y)) > 0
 
 
@@ -166,3 +165,20 @@ def test_line_edge_tables(make_docs):
     rows = line_dedup.dedup_lines(make_docs([(None, "a\nb\nc"), (3, "a\nb\nc"), (5, "a\nb\nc")])).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == sorted([(None, "a\nb\nc"), (3, "a\nb\nc"), (5, "")], key=str)
     assert rows[0]["id"] == "clash"
+
+
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    from scenejobs.llm import shared
+
+    texts = [(t or "").encode() for t in TEXTS]
+    known = {}
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(shared, "HASH_BLOCK", block)
+        hashed = HashedTexts(texts)
+        assert hashed.counts.tolist() == [len(t.split()) for t in texts]
+        for t, a, b in zip(texts, hashed.begin, hashed.end):
+            for word, h in zip(t.split(), hashed.hashes[a:b].tolist()):
+                assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+    pairs = np.array([f"{a:c}{b:c}{c:c}" for a in range(97, 123) for b in range(97, 123) for c in range(97, 123)])
+    assert len(np.unique(hash_words(np.frombuffer(" ".join(pairs).encode(), np.uint8))[0])) == len(pairs)
