@@ -27,10 +27,14 @@ _IS_START = np.isin(np.arange(BLOCK), STARTS)
 
 
 def anchors(texts: HashedTexts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchor blocks."""
+    """Hashes and positions of the anchor blocks.
+
+    48 bits of the hashes are kept: anchors only propose windows, which are compared in full,
+    and the shorter keys take less room when they move.
+    """
     grams, at = texts.grams(BLOCK)
     chosen = _IS_START[(at - texts.begin[texts.owner[at]]) % BLOCK]
-    return grams[chosen], at[chosen]
+    return grams[chosen] >> U64(16), at[chosen]
 
 
 def _of_text(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
