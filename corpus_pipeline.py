@@ -29,17 +29,35 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row, a number of its own for each row, and same, a hash of all columns; written, so both stay."""
+    same = F.xxhash64(*docs.columns, *[F.isnull(c) for c in docs.columns])
+    return written(docs.withColumns({"__same": same, "__row": F.monotonically_increasing_id()}))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
-    found = jaccard_join.jaccard_components(docs)
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(docs.columns)
+    """The row with the smallest id of each group of near-duplicates stays.
+
+    Each row is judged by itself: rows that share an id are compared like any others, and of
+    equal rows one stays, even if they hold no word. A row with a null id is a class of its own.
+    """
+    named = _numbered(docs.where("doc_id IS NOT NULL"))
+    found = jaccard_join.jaccard_components(named, id_col="__row").withColumnRenamed("n_shingles", "n")
+    rows = named.select("__row", "__same", "doc_id").join(found, "__row")
+    alike = [F.when(F.col("n") > 0, F.col("component_id")), *[F.when(F.col("n") == 0, F.col(c)) for c in ("doc_id", "__same")]]
+    firsts = rows.groupBy(*alike).agg(F.min(F.struct("doc_id", "__same", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    return named.join(firsts, "__row", "left_semi").select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that is taken in part keeps its first words."""
-    taken = mixing.mix(docs).select("doc_id", "size", "taken").where("taken > 0")
-    rows = docs.join(taken, "doc_id").withColumn("part", F.col("taken") % F.col("size"))
+    """Each row as often as the mix takes it; one that is taken in part keeps its first words.
+
+    Size and share belong to the row, not to its id: rows with a null or a repeated id are taken
+    by their own words like any others.
+    """
+    named = _numbered(docs)
+    taken = mixing.mix(named, carry=("__same", "__row")).select("__row", "size", "taken").where("taken > 0")
+    rows = named.join(taken, "__row").withColumn("part", F.col("taken") % F.col("size"))
     copies = F.expr("transform(sequence(1L, (taken + size - 1) div size), i -> CASE WHEN i * size <= taken THEN 0L ELSE part END)")
     rows = rows.withColumn("first", F.explode(copies))
     text = F.when(F.col("first") > 0, F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("first").cast("int")), " ")).otherwise(F.col("text"))

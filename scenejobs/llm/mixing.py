@@ -41,8 +41,8 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return per.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Returns id, source, size, source_size, target, taken for every row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Returns id, source, size, source_size, target, taken and the columns to carry for every row.
 
     size is the number of words. A document's random key is the digest of its id, so reruns
     agree. Within a source the documents lie in order of key; whole passes are taken while
@@ -52,16 +52,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the range does the rest, so that a source with most of the rows is spread over all tasks.
 
     Null and empty texts have size 0 and take 0. A null source is a source. Repeated rows
-    are rows of their own (ties fall by size, and equal rows are alike). Null ids share a key.
+    are rows of their own (ties fall by size and then by carry). Null ids share a key.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry)
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("part", F.substring("key", 1, RANGE_DIGITS))
     targets = source_targets(rows, max_epochs)
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.withColumn("part_start", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     starts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select("p.source", "p.part", "part_start", "source_size", "target")
-    inside = W.partitionBy("r.source", "r.part").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("r.source", "r.part").orderBy("key", "id", "size", *carry).rowsBetween(W.unboundedPreceding, -1)
     placed = rows.alias("r").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source AND r.part = s.part"))
     budget = F.floor("target").cast("long")
@@ -70,5 +70,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("part_start") - F.col("before")))
     return placed.select(
         F.col("id").alias(id_col), F.col("r.source").alias(source_col), "size", "source_size", "target",
-        F.when(passes >= max_epochs, F.col("size") * max_epochs).otherwise(F.col("size") * passes + part).cast("long").alias("taken"),
+        F.when(passes >= max_epochs, F.col("size") * max_epochs).otherwise(F.col("size") * passes + part).cast("long").alias("taken"), *carry,
     )
