@@ -131,7 +131,7 @@ def _scored(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _estimates(core: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of each group's core."""
+    """Mean and Cholesky factor of the covariance of each group's core; a variance under LEAST_SPREAD squared is raised to it."""
     p = range(len(VECTOR))
     sums = core.groupBy("grp").agg(
         F.count(F.lit(1)).alias("core"), *[F.sum(F.col(x).cast("decimal(20,0)")).alias(f"t{i}") for i, x in enumerate(VECTOR)],
@@ -139,7 +139,10 @@ def _estimates(core: DataFrame) -> DataFrame:
     )
     n = F.col("core").cast("double")
     sums = sums.select("grp", "core", *[(F.col(f"t{i}").cast("double") / n).alias(f"a{i}") for i in p], *[(F.col(f"q{i}_{j}").cast("double") / n).alias(f"q{i}_{j}") for i in p for j in range(i + 1)])
-    out = sums.select("grp", "core", *[(F.col(f"a{i}") / UNIT).alias(f"m{i}") for i in p], *[((F.col(f"q{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / UNIT**2 + (LEAST_SPREAD[i] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i in p for j in range(i + 1)])
+    covariance = {f"c{i}_{j}": (F.col(f"q{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) / UNIT**2 for i in p for j in range(i + 1)}
+    for i in p:
+        covariance[f"c{i}_{i}"] = F.greatest(covariance[f"c{i}_{i}"], F.lit(LEAST_SPREAD[i] ** 2))
+    out = sums.select("grp", "core", *[(F.col(f"a{i}") / UNIT).alias(f"m{i}") for i in p], *[v.alias(k) for k, v in covariance.items()])
     for i in p:
         for j in range(i + 1):
             left = F.col(f"c{i}_{j}")
@@ -155,8 +158,9 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base_failed: under 50 words, or more than half of the words repeated. The others are judged by
     minimum-covariance-determinant estimates of their language and source: from medians,
     concentration steps keep the 75 % nearest documents and estimate anew from these, which
-    lowers the determinant each time. A last pass scales distances so that their median is
-    that of the reference distribution, and rejects what lies beyond its quantile.
+    lowers the determinant each time. Where the median distance is above that of the reference
+    distribution, a last pass shrinks distances to it (it never stretches them, which would undo
+    the floor under spreads), and rejects what lies beyond its quantile.
     Languages and sources with under 100 documents are pooled by language, then all together.
 
     Texts are read once; each step groups the small table of statistics with partial sums of
