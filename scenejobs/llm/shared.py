@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scenejobs.functions.tables import written
 
-__all__ = ["GAP", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "gram_hashes", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
+__all__ = ["GAP", "SLICE_BYTES", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "gram_hashes", "groups", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
 
 #: The characters between words: space and tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -18,6 +18,8 @@ GAP = r"[\x20\x09-\x0D]+"
 TABLE_ENTRIES = 600_000
 #: Arrow batches are worked through in slices of about so many bytes of text.
 SLICE_BYTES = 4_000_000
+#: A slice has so many texts at most, so a text's place in it fits 16 bits.
+SLICE_TEXTS = 1 << 16
 
 U64 = np.uint64
 _MIX_A, _MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -124,12 +126,18 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def slices(texts: list, limit: int = SLICE_BYTES):
-    """Index ranges over texts that hold about `limit` bytes each."""
+    """Index ranges over texts that hold about `limit` bytes each, and SLICE_TEXTS texts at most."""
     start, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t) if t else 0
-        if total >= limit:
+        if total >= limit or i + 1 - start == SLICE_TEXTS:
             yield start, i + 1
             start, total = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins in an ordered array, and its length."""
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    return first, np.diff(np.r_[first, len(ordered)])

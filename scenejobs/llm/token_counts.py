@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections import Counter
+import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import make_room, slices
+from scenejobs.llm.shared import SLICE_TEXTS, TABLE_ENTRIES, groups, make_room, slices
 
 _TOKENIZERS: dict[str, object] = {}
-_PIECES: dict[str, dict[bytes, int]] = {}
+_PRE_TOKENS: dict[str, dict[bytes, tuple[str, ...]]] = {}
+#: The first letter of a pre-token says whether it is ordinary or a special string of the tokenizer; documents' own rows have another.
+ORDINARY, SPECIAL, DOCUMENT = "p", "s", "d"
+#: An entry of a posting: a text's place in its slice, and how often it holds the pre-token.
+ENTRY = np.dtype([("place", "<u2"), ("times", "u1")])
+#: Bytes of text of a slice.
+SLICE = 8_000_000
+#: Largest frequency of one entry of a posting; a larger one is split into several entries.
+MOST = 255
 
 
 def tokenizer(path: str):
@@ -35,62 +46,171 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_LETTERS = byte_letters()
+def pre_tokens(path: str, words: list[bytes]) -> list[tuple[str, ...]]:
+    """The pre-tokens of each word between white space, which a tokenizer that drops white space never joins.
 
-
-def as_letters(text: str) -> str:
-    """A text as byte-level BPE's model sees it."""
-    return text if text.isascii() and " " not in text else text.encode().decode("latin-1").translate(_LETTERS)
-
-
-def _pieces(path: str, wanted: set[bytes]) -> dict[bytes, int]:
-    """Pieces of every wanted pre-token; each is tokenised once while the process remembers it.
-
-    A word of Latin letters alone goes straight to the library's model, in lower case as its
-    normaliser gives it; anything else takes the library's whole path.
+    The library takes special strings out, normalises what is left and cuts it. A word of
+    plain letters alone is one pre-token, in lower case as the normaliser gives it. The
+    process remembers the words that it has cut, in a table of bounded size.
     """
-    table = _PIECES.setdefault(path, {})
-    make_room(table, wanted)
-    library = tokenizer(path)
-    tokenize, others = library.model.tokenize, []
-    for w in wanted.difference(table):
-        word = w.decode("utf-8", "replace")
-        if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-        if word.isalpha() and max(word) < "\u0250":
-            table[w] = len(tokenize(as_letters(word.lower())))
-        else:
-            others.append(w)
-    encoded = library.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
-    table.update((w, len(e)) for w, e in zip(others, encoded))
-    return table
+    table, library = _PRE_TOKENS.setdefault(path, {}), tokenizer(path)
+    make_room(table, set(words))
+    special = sorted((t.content for t in library.get_added_tokens_decoder().values()), key=len, reverse=True)
+    cut_at = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+    out = []
+    for word in words:
+        found = table.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            if text.isascii() and text.isalpha():
+                found = (ORDINARY + text.lower(),)
+            else:
+                parts = cut_at.split(text) if cut_at else [text]
+                ordinary = ([ORDINARY + x for x, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(p))] for p in parts[::2])
+                strange = [[SPECIAL + p] for p in parts[1::2]]
+                found = tuple(chain.from_iterable(x for pair in zip(ordinary, [*strange, []]) for x in pair))
+            table[word] = found
+        out.append(found)
+    return out
+
+
+def frequencies(path: str, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens of several texts, where each one's entries end, and per entry the text's place and its frequency there."""
+    split = [t.split() if t else [] for t in texts]
+    coded = pa.array(chain.from_iterable(split), pa.binary()).dictionary_encode()
+    found = pre_tokens(path, coded.dictionary.to_pylist())
+    number: dict[str, int] = {}
+    flat = np.fromiter((number.setdefault(x, len(number)) for x in chain.from_iterable(found)), np.int64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    if not len(flat):
+        return [], *(np.empty(0, np.int64) for _ in range(3))
+    owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
+    pairs, times = np.unique(owner * len(sizes) + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    owner, word = np.divmod(pairs, len(sizes))
+    n = sizes[word]
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[word], n)
+    keys = flat[at] * len(texts) + np.repeat(owner, n)
+    order = np.argsort(keys, kind="stable")
+    first, _ = groups(keys[order])
+    total = np.add.reduceat(np.repeat(times, n)[order], first)
+    again = -(-total // MOST)
+    token, place = np.divmod(np.repeat(keys[order][first], again), len(texts))
+    each = np.full(len(token), MOST)
+    each[np.cumsum(again) - 1] = total - MOST * (again - 1)
+    return list(number), np.searchsorted(token, np.arange(len(number)), side="right"), place, each
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values as binary cells."""
+    offsets = np.r_[0, ends * values.itemsize].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Returns id, n_bytes, n_tokens, over_limit for every row, for a tokenizer that drops white space.
 
-    The text falls into pre-tokens at white space, which such a tokenizer never joins. A task
-    counts the frequencies of the pre-tokens of each document, tokenises each distinct
-    pre-token once, and sums frequency times pieces; no token ids are kept. The table of
-    pieces is local to a process and bounded, so nothing is shuffled and memory doesn't
-    grow with the input.
-
-    Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each. Other
-    columns are ignored; an id may be null.
+    1. A task cuts slices of documents into pre-tokens and gives a posting for each distinct
+       one: the documents of the slice that hold it, and how often. Postings are dealt by
+       pre-token, once.
+    2. The distinct pre-tokens of all postings make one table, and each is tokenised once.
+    3. Postings are joined to that table by pre-token. A task adds up frequency times pieces
+       for the documents of each slice that it meets, and slices add up these sums. No ids
+       are kept.
+
+    A pre-token that all documents share has one posting per slice, so it doesn't draw all
+    documents into one task; beyond that Spark splits large partitions of the join as it
+    runs. A slice holds a few megabytes of text. Null and empty texts have 0 bytes and 0
+    tokens. Repeated rows are counted each. Other columns are ignored; an id may be null.
     """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            sizes, totals = [], []
-            for a, b in slices(texts):
-                frequencies = [Counter((t or b"").split()) for t in texts[a:b]]
-                pieces = _pieces(path, set().union(*frequencies))
-                sizes += [len(t or b"") for t in texts[a:b]]
-                totals += [sum(n * pieces[w] for w, n in f.items()) for f in frequencies]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            for a, b in slices(texts, SLICE):
+                n = b - a
+                size = pa.array([len(t or b"") for t in texts[a:b]], pa.int64())
+                names = pa.array([f"{DOCUMENT}{number + i}" for i in range(n)])
+                own = np.zeros(n, ENTRY)
+                own["place"] = np.arange(n)
+                yield _batch(names, number, ids.slice(a, n), size, _packed(own, np.arange(1, n + 1)))
+                tokens, ends, place, times = frequencies(path, texts[a:b])
+                n = len(tokens)
+                if n:
+                    entries = np.empty(len(place), ENTRY)
+                    entries["place"], entries["times"] = place, times
+                    yield _batch(pa.array(tokens, pa.string()), number, pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), _packed(entries, ends))
+                number += SLICE_TEXTS
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenize = tokenizer(path).model.tokenize
+        for batch in batches:
+            tokens = [t for t in batch.column(0).to_pylist() if t[0] != DOCUMENT]
+            counts = [len(tokenize(t[1:])) if t[0] == ORDINARY else 1 for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["token", "pieces"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
-    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for number, total in sums.items():
+                at = np.flatnonzero(total)
+                yield _sums([number], pa.nulls(1, id_type), pa.nulls(1, pa.int64()), [at.astype("<u2").tobytes()], [total[at].astype("<i8").tobytes()])
+            sums.clear()
+
+        for batch in batches:
+            payload, n = batch.column(0), batch.column(1)
+            number, ids, size, entries = (payload.field(k) for k in range(4))
+            id_type = ids.type
+            isdoc = n.is_null().to_numpy(zero_copy_only=False)
+            if isdoc.any():
+                chosen = pa.array(np.flatnonzero(isdoc))
+                places = [np.frombuffer(e, ENTRY)["place"].tobytes() for e in entries.take(chosen).to_pylist()]
+                yield _sums(number.take(chosen), ids.take(chosen), size.take(chosen), places, [None] * len(places))
+            chosen = np.flatnonzero(~isdoc)
+            if len(chosen):
+                number, n, cells = (c.take(pa.array(chosen)) for c in (number, n, entries))
+                cells = cells.to_pylist()
+                flat = np.frombuffer(b"".join(cells), ENTRY)
+                counts = np.fromiter(map(len, cells), np.int64, len(cells)) // ENTRY.itemsize
+                each, owner = np.repeat(n.to_numpy(), counts) * flat["times"], np.repeat(number.to_numpy(), counts)
+                order = np.argsort(owner, kind="stable")
+                first, count = groups(owner[order])
+                for k, a in zip(owner[order[first]].tolist(), range(len(first))):
+                    part = order[first[a] : first[a] + count[a]]
+                    total = np.bincount(flat["place"][part], weights=each[part]).astype(np.int64)
+                    if len(total) > len(sums.setdefault(k, total * 0)):
+                        sums[k], total = total, sums[k]
+                    sums[k][: len(total)] += total
+                if sum(map(len, sums.values())) > TABLE_ENTRIES:
+                    yield from flush()
+        yield from flush()
+
+    def added(table: pa.Table) -> pa.Table:
+        own = pc.is_null(table["sums"])
+        known, parts = table.filter(own), table.filter(pc.invert(own))
+        total = np.zeros(SLICE_TEXTS, np.int64)
+        for place, n in zip(parts["places"].to_pylist(), parts["sums"].to_pylist()):
+            np.add.at(total, np.frombuffer(place, "<u2"), np.frombuffer(n, "<i8"))
+        place = np.frombuffer(b"".join(known["places"].to_pylist()), "<u2")
+        return pa.table({"id": known["id"], "n_bytes": known["n_bytes"], "n_tokens": pa.array(total[place])})
+
+    dealt = rows.mapInArrow(posted, f"token string, payload struct<slice:long,id:{kind},n_bytes:long,entries:binary>").repartition("token")  # one exchange, which both sides read
+    vocabulary = dealt.groupBy("token").agg(F.count("payload").alias("n_postings")).mapInArrow(pieces, "token string, pieces long")
+    joined = dealt.join(vocabulary, "token", "left").select("payload", "pieces")
+    parts = joined.mapInArrow(combined, f"slice long, id {kind}, n_bytes long, places binary, sums binary")
+    out = parts.groupBy("slice").applyInArrow(added, f"id {kind}, n_bytes long, n_tokens long")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _batch(tokens: pa.Array, number: int, ids: pa.Array, size: pa.Array, entries: pa.Array) -> pa.RecordBatch:
+    payload = pa.StructArray.from_arrays([pa.array(np.full(len(tokens), number)), ids, size, entries], ["slice", "id", "n_bytes", "entries"])
+    return pa.RecordBatch.from_arrays([tokens, payload], ["token", "payload"])
+
+
+def _sums(number, ids: pa.Array, size: pa.Array, places: list[bytes], sums: list[bytes | None]) -> pa.RecordBatch:
+    number = number if isinstance(number, pa.Array) else pa.array(number, pa.int64())
+    return pa.RecordBatch.from_arrays([number, ids, size, pa.array(places, pa.binary()), pa.array(sums, pa.binary())], ["slice", "id", "n_bytes", "places", "sums"])
