@@ -99,8 +99,7 @@ WITH lines AS (
   SELECT doc_id, i - 1 AS raw, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM lines WHERE regexp_matches(line, '[^ 	-
-]')
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), runs AS (
   SELECT doc_id, pos, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), later AS (
@@ -133,8 +132,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
 ), later AS (

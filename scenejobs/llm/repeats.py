@@ -1,125 +1,126 @@
-"""Substring dedup: fixed-block anchors find the word windows that an earlier document holds."""
+"""Substring dedup: fixed-block anchors, probed by every rolling window, find the word windows that an earlier document holds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import U64, HashedTexts, mixed, signed, slices
+from scenejobs.llm.shared import SLICE_BYTES, U64, HashedTexts, groups, signed
 
 #: A repeat is a window of so many consecutive words.
 WINDOW = 13
-#: Anchor blocks have so many words, so every window holds this many block starts in a row.
+#: Reference blocks have so many words and don't overlap, so every window holds one whole, wherever it starts.
 BLOCK = 7
-#: Block starts modulo BLOCK. Every difference modulo 7 is one of two of these, so two equal
-#: windows, wherever they start, have an anchor at the same distance from their starts.
-STARTS = (0, 1, 3)
+#: Bits of a block's hash. Blocks only propose windows, which are compared by 64 bits.
+KEY_BITS = 48
+#: Documents are dealt by id to slices of about so many bytes of text.
+DOCUMENT_SLICE = SLICE_BYTES
+#: About so many bytes of text give the probes that meet in one bucket.
+BUCKET_BYTES = 12_000_000
+_FILL = (1 << 32) - 1
 
 
-_IS_START = np.isin(np.arange(BLOCK), STARTS)
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers as 32-bit steps; a step too long for 32 bits is led by filling steps, which are no numbers."""
+    steps = np.diff(values, prepend=U64(0))
+    fill, rest = np.divmod(steps, U64(_FILL))
+    out = np.full(len(values) + int(fill.sum()), _FILL, "<u4")
+    out[np.arange(len(values)) + np.cumsum(fill).astype(np.int64)] = rest
+    return out.tobytes()
 
 
-def anchors(texts: HashedTexts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchor blocks.
-
-    48 bits of the hashes are kept: anchors only propose windows, which are compared in full,
-    and the shorter keys take less room when they move.
-    """
-    grams, at = texts.grams(BLOCK)
-    chosen = _IS_START[(at - texts.begin[texts.owner[at]]) % BLOCK]
-    return grams[chosen] >> U64(16), at[chosen]
-
-
-def _of_text(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Hashes that belong to one text only."""
-    return mixed(hashes + owner.astype(U64) * U64(0xD1342543DE82EF95))
-
-
-def _listed(lists: pa.ListArray) -> np.ndarray:
-    """The hashes of a column of lists, each bound to its row."""
-    owner = np.repeat(np.arange(len(lists)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-    return _of_text(lists.flatten().to_numpy(zero_copy_only=False).view(U64), owner)
-
-
-def around(texts: HashedTexts, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the windows that hold an anchor of found, as _listed() gives them."""
-    hashes, at = anchors(texts)
-    hit = at[np.isin(_of_text(hashes, texts.owner[at]), found)]
-    change = np.zeros(len(texts.owner) + 1, np.int64)
-    np.add.at(change, np.maximum(hit - (WINDOW - BLOCK), texts.begin[texts.owner[hit]]), 1)
-    np.add.at(change, hit + 1, -1)
-    windows, at = texts.grams(WINDOW)
-    wanted = np.cumsum(change[:-1])[at] > 0
-    return windows[wanted], at[wanted]
-
-
-def covered(texts: HashedTexts, gone: np.ndarray) -> np.ndarray:
-    """Which words lie in a window of gone, as _listed() gives them."""
-    windows, at = texts.grams(WINDOW)
-    starts = at[np.isin(_of_text(windows, texts.owner[at]), gone)]
-    change = np.zeros(len(texts.owner) + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + WINDOW, -1)
-    return np.cumsum(change[:-1]) > 0
+def unpack_sorted(data: bytes) -> np.ndarray:
+    """The inverse of pack_sorted()."""
+    steps = np.frombuffer(data, "<u4")
+    return np.cumsum(steps, dtype=U64)[steps != _FILL]
 
 
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
-def _postings(rows: DataFrame, kind: str, hashes_of: Callable[[HashedTexts, np.ndarray | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Returns hash, id, more: one row per distinct hash and slice of documents.
-
-    id is the smallest that has the hash there; more lists all of them where they are several.
-    So a hash that most documents share leaves a task a few times only. Rows lie in order of
-    documents, which compresses well.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.sort_by("id")
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                part = HashedTexts(texts[a:b])
-                hashes, at = hashes_of(part, _listed(batch.column(2).slice(a, b - a)) if batch.num_columns > 2 else None)
-                yield _grouped(hashes, part.owner[at], batch.column(0).slice(a, b - a))
-
-    return rows.mapInArrow(run, f"hash long, id {kind}, more array<{kind}>")
-
-
-def _grouped(hashes: np.ndarray, owner: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+class Slice:
+    """Hashed texts of a slice in order of id, but for short ones and all but the first of equal ones, and what was answered to it."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table) -> None:
+        self.table = texts.sort_by("id").combine_chunks()
+        ids = self.table["id"].combine_chunks()
+        self.ids, self.texts = ids, self.table["text"].cast(pa.binary()).to_pylist()
+        new = pc.not_equal(ids.slice(1), ids.slice(0, max(len(ids) - 1, 0))).to_numpy(zero_copy_only=False)
+        self.rank = np.cumsum(np.r_[False, new].astype(np.int64)) if len(ids) else np.empty(0, np.int64)
+        first = pc.is_in(ids, value_set=answers["id"].combine_chunks()).to_numpy(zero_copy_only=False)
+        long = np.fromiter((len(_words(t)) >= WINDOW for t in self.texts), bool, len(self.texts))
+        self.copies = long & ~first
+        self.hashed = HashedTexts([t if f and n else None for t, f, n in zip(self.texts, first, long)])
+
+    def probes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key and position of every rolling window of BLOCK words."""
+        grams, at = self.hashed.grams(BLOCK)
+        return grams >> U64(64 - KEY_BITS), at
+
+    def is_block(self, at: np.ndarray) -> np.ndarray:
+        """Whether a reference block begins at each position."""
+        return (at - self.hashed.begin[self.hashed.owner[at]]) % BLOCK == 0
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.hashed.grams(WINDOW)
+
+    def rank_at(self, at: np.ndarray) -> np.ndarray:
+        return self.rank[self.hashed.owner[at]]
+
+    def extended(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hits of keys extended both ways: hashes and positions of all windows of WINDOW words around them."""
+        probes, at = self.probes()
+        hit = at[np.isin(probes, keys)]
+        change = np.zeros(len(self.hashed.owner) + 1, np.int64)
+        np.add.at(change, np.maximum(hit - (WINDOW - BLOCK), self.hashed.begin[self.hashed.owner[hit]]), 1)
+        np.add.at(change, hit + 1, -1)
+        windows, at = self.windows()
+        wanted = np.cumsum(change[:-1])[at] > 0
+        return windows[wanted], at[wanted]
+
+    def stays(self, foreign: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which words of the hashed texts stay.
+
+        foreign are windows whose first document lies in another slice; those of own have it
+        here, and go from the other documents only. Neighbouring windows that go make up the
+        maximal repeats.
+        """
+        windows, at = self.windows()
+        goes = np.isin(windows, foreign)
+        among = np.flatnonzero(np.isin(windows, own))
+        among = among[np.argsort(windows[among], kind="stable")]
+        first, count = groups(windows[among])
+        rank = self.rank_at(at[among])
+        goes[among] |= rank > np.repeat(rank[first], count)
+        change = np.zeros(len(self.hashed.owner) + 1, np.int64)
+        np.add.at(change, at[goes], 1)
+        np.add.at(change, at[goes] + WINDOW, -1)
+        return np.cumsum(change[:-1]) == 0
+
+
+def _joined(answers: pa.Table, name: str) -> np.ndarray:
+    """The hashes of all lists of an answer's column."""
+    lists = answers[name].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).view(U64) if len(lists) else np.empty(0, U64)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(signed(values), pa.int64()))
+
+
+def _distinct(hashes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, first of each hash in that order (with the least rank), and whether several ranks have it; ranks must ascend."""
     order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    again = np.r_[False, (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])] if len(hashes) else np.empty(0, bool)
-    hashes, owner = hashes[~again], owner[~again]
-    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
-    count = np.diff(np.r_[first, len(hashes)]).astype(np.int64)
-    order = np.argsort(owner[first], kind="stable")
-    first, count = first[order], count[order]
-    several = count > 1
-    lengths = np.where(several, count, 0)
-    ends = np.cumsum(lengths)
-    within = np.arange(lengths.sum()) - np.repeat(ends - lengths, lengths)
-    values = ids.take(pa.array(owner[np.repeat(first, lengths) + within]))
-    more = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), pa.int32()), values, mask=pa.array(~several))
-    return pa.RecordBatch.from_arrays([pa.array(signed(hashes[first]), pa.int64()), ids.take(pa.array(owner[first])), more], ["hash", "id", "more"])
-
-
-def _owners(postings: DataFrame, wanted: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """Returns id and hashes (a set): postings for which wanted(id, least id, greatest id of the hash) holds."""
-    of = W.partitionBy("hash")
-    last = F.coalesce(F.array_max("more"), F.col("id"))
-    ranged = postings.select("*", F.min("id").over(of).alias("least"), F.max(last).over(of).alias("greatest")).where("least < greatest")
-    ids = F.explode(F.coalesce("more", F.array("id")))
-    rows = ranged.select("hash", "least", "greatest", ids.alias("id")).where(wanted(F.col("id"), F.col("least"), F.col("greatest")))
-    return rows.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
+    first, count = groups(hashes[order])
+    return order, first, rank[order[first]] != rank[order[first + count - 1]]
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,19 +130,28 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     1. Documents of 13 words or more that are equal word by word are grouped by digest; all
        but those with the smallest id go wholly and take no further part.
-    2. The others are cut into anchor blocks of seven words at fixed places. Blocks are
-       grouped by hash, and those that no other document has are let go.
-    3. Around the anchors left, hits are extended to all windows of 13 words, and these are
-       grouped by hash: documents with a larger id than the first lose the words they cover.
-       Maximal repeats are the unions of such windows.
-
-    No group is paired: each keeps its smallest and largest id only. Windows count as equal
-    if their 64-bit hashes are. Null and blank texts have 0 words. Rows with an equal id
-    don't repeat each other; rows with a null id neither lose words nor take any.
+    2. The others are cut into reference blocks of seven words that don't overlap, and probe
+       these with every rolling window of seven words. A block that several documents hold
+       is a hit in each of them.
+    3. Hits are extended both ways to all windows of 13 words around them, which meet again by
+       hash: documents with a larger id than the first lose the words they cover.
+       Neighbouring windows that go join to maximal repeats.
+
+    Documents are dealt by id to slices of a few megabytes. A slice asks for its distinct
+    keys, packed by the bucket of keys that they fall into, and each bucket answers to the
+    slices; so a passage that most documents hold is one entry per slice, no group is ever
+    paired, and slices and buckets are of bounded size at any size of the corpus.
+
+    Windows count as equal if their 64-bit hashes are. Null and blank texts have 0 words. Rows
+    with an equal id don't repeat each other; rows with a null id neither lose words nor take any.
     """
-    text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")  # an alias of the same name would keep the exchange below from reuse
-    texts = docs.select(F.col(id_col).alias("id"), text)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
+    known = texts.where("id IS NOT NULL")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_slices, bits = size // DOCUMENT_SLICE + 1, max(0, int(size // BUCKET_BYTES).bit_length())
+    slice_of = F.pmod(F.xxhash64("id"), F.lit(n_slices)).alias("slice")
+    low = KEY_BITS - bits
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,38 +159,83 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             digests = [xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= WINDOW else None for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["id", "digest"])
 
-    known = texts.where("id IS NOT NULL")
-    digests = known.mapInArrow(digest, f"id {kind}, digest binary").where("digest IS NOT NULL")
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("first")).distinct()
-    dealt = known.repartition("id")  # one exchange, which every join below reads
-    taking_part = dealt.join(firsts, "id").select("id", "text")
-    shared = _owners(_postings(taking_part, kind, lambda t, _: anchors(t)), lambda i, least, greatest: F.lit(True))
-    near = dealt.join(firsts.join(shared, "id"), "id").select("id", "text", "hashes")
-    gone = _owners(_postings(near, kind, around), lambda i, least, greatest: i > least)
-    rows = dealt.join(firsts, "id", "left").join(gone, "id", "left").select("id", "text", "first", "hashes")
-    rows = rows.unionAll(texts.where("id IS NULL").select("id", "text", F.lit(True).alias("first"), F.lit(None).cast("array<long>").alias("hashes")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_blocks(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Slice(texts, answers)
+        keys, at = part.probes()
+        order, first, several = _distinct(keys, part.rank_at(at))
+        block = np.logical_or.reduceat(part.is_block(at)[order], first) if len(first) else np.empty(0, bool)
+        keys = keys[order[first]]
+        begin, count = groups(keys >> U64(low))
+        cells = [(k, pack_sorted(keys[a : a + n] - (U64(k) << U64(low))), np.packbits(block[a : a + n]).tobytes(), np.packbits(several[a : a + n]).tobytes()) for k, a, n in zip((keys[begin] >> U64(low)).tolist(), begin, count)]
+        bucket, packed, blocks, severals = zip(*cells) if cells else ((), (), (), ())
+        number = pa.array([texts["slice"][0].as_py()] * len(cells), pa.int64())
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "slice": number, "n": pa.array(count, pa.int64()), "keys": pa.array(packed, pa.binary()), "blocks": pa.array(blocks, pa.binary()), "several": pa.array(severals, pa.binary())})
+
+    def answer_blocks(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        keys = np.concatenate([unpack_sorted(x) for x in table["keys"].to_pylist()])
+        flags = [np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table[c].to_pylist(), n.tolist())]).astype(bool) for c in ("blocks", "several")]
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(keys, kind="stable")
+        first, count = groups(keys[order])
+        hit = np.logical_or.reduceat(flags[0][order], first) & ((count > 1) | flags[1][order[first]])
+        chosen = order[np.repeat(hit, count)]
+        chosen = np.sort(chosen)
+        counts = np.bincount(owner[chosen], minlength=len(n))
+        found = _lists(keys[chosen] + (U64(table["bucket"][0].as_py()) << U64(low)), counts)
+        return pa.table({"slice": table["slice"], "keys": found}).filter(pa.array(counts > 0))
+
+    def ask_windows(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Slice(texts, answers)
+        hashes, at = part.extended(_joined(answers, "keys"))
+        order, first, several = _distinct(hashes, part.rank_at(at))
+        hashes, least = hashes[order[first]], part.hashed.owner[at[order[first]]]
+        begin, count = groups(hashes >> U64(64 - bits) if bits else np.zeros(len(hashes), U64))
+        ends = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
+        ids = pa.ListArray.from_arrays(ends, part.ids.take(pa.array(least)))
+        bucket = (hashes[begin] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(begin), np.int64)
+        number = pa.array([texts["slice"][0].as_py()] * len(begin), pa.int64())
+        packed = pa.array([np.packbits(several[a : a + n]).tobytes() for a, n in zip(begin, count)], pa.binary())
+        return pa.table({"bucket": bucket, "slice": number, "hashes": _lists(hashes, count), "least": ids, "several": packed})
+
+    def answer_windows(table: pa.Table) -> pa.Table:
+        lists = table["hashes"].combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        hashes, owner = lists.flatten().to_numpy(zero_copy_only=False).view(U64), np.repeat(np.arange(len(n)), n)
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table["several"].to_pylist(), n.tolist())]).astype(bool)
+        rank = np.unique(table["least"].combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((rank, hashes))
+        first, count = groups(hashes[order])
+        foreign = np.zeros(len(hashes), bool)
+        foreign[order] = rank[order] > np.repeat(rank[order[first]], count)
+        found = {name: (hashes[chosen], np.bincount(owner[chosen], minlength=len(n))) for name, chosen in (("foreign", foreign), ("own", several & ~foreign))}
+        return pa.table({"slice": table["slice"], **{name: _lists(*x) for name, x in found.items()}}).filter(pa.array(found["foreign"][1] + found["own"][1] > 0))
+
+    def cut(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Slice(texts, answers)
+        stays = part.stays(_joined(answers, "foreign"), _joined(answers, "own"))
+        count, removed, kept = [], [], []
+        for text, copy, a, b in zip(part.texts, part.copies, part.hashed.begin, part.hashed.end):
+            words = _words(text)
+            count.append(len(words))
+            words = [] if copy else words if a == b else list(compress(words, stays[a:b]))
+            removed.append(count[-1] - len(words))
+            kept.append(b" ".join(words))
+        return pa.table({"id": part.ids, "n_words": pa.array(count, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3)
-            firsts, touched = batch.column(2).to_pylist(), np.asarray(gone.is_valid())
-            for a, b in slices(texts):
-                some = [i for i in range(a, b) if touched[i]]
-                part = HashedTexts([texts[i] for i in some])
-                stays = ~covered(part, _listed(gone.take(pa.array(some, pa.int64()))))
-                place, count, removed, kept = {i: k for k, i in enumerate(some)}, [], [], []
-                for i in range(a, b):
-                    k = place.get(i)
-                    words = _words(texts[i])
-                    count.append(len(words))
-                    if len(words) >= WINDOW and not firsts[i]:
-                        words = []
-                    elif k is not None:
-                        words = list(compress(words, stays[part.begin[k] : part.end[k]]))
-                    removed.append(count[-1] - len(words))
-                    kept.append(b" ".join(words))
-                kept = pa.array(kept, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), kept], ["id", "n_words", "n_removed", "kept"])
-
-    return rows.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+            words = list(map(_words, batch.column(1).cast(pa.binary()).to_pylist()))
+            n = pa.array(map(len, words), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pc.multiply(n, 0), pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
+    digests = known.mapInArrow(digest, f"id {kind}, digest binary").where("digest IS NOT NULL")
+    firsts = digests.groupBy("digest").agg(F.min("id").alias("id")).select("id", slice_of)
+    dealt = known.select("id", "text", slice_of).repartition("slice").groupBy("slice")  # one exchange, which every pass below reads
+    asked = dealt.cogroup(firsts.groupBy("slice")).applyInArrow(ask_blocks, "bucket long, slice long, n long, keys binary, blocks binary, several binary")
+    shared = asked.groupBy("bucket").applyInArrow(answer_blocks, "slice long, keys array<long>")
+    asked = dealt.cogroup(firsts.unionByName(shared, allowMissingColumns=True).groupBy("slice")).applyInArrow(ask_windows, f"bucket long, slice long, hashes array<long>, least array<{kind}>, several binary")
+    gone = asked.groupBy("bucket").applyInArrow(answer_windows, "slice long, foreign array<long>, own array<long>")
+    out = f"id {kind}, n_words long, n_removed long, kept string"
+    rows = dealt.cogroup(firsts.unionByName(gone, allowMissingColumns=True).groupBy("slice")).applyInArrow(cut, out)
+    return rows.unionAll(texts.where("id IS NULL").mapInArrow(whole, out)).withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from scenejobs.llm import jaccard_join, line_dedup, repeats
@@ -108,20 +109,32 @@ def _without_repeats(texts):
         yield d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)
 
 
-def test_repeats_equal_brute_force(make_docs):
-    got = repeats.drop_repeats(make_docs(TEXTS)).collect()
-    assert sorted(map(tuple, got)) == list(_without_repeats(TEXTS))
+@pytest.mark.parametrize("size", [None, 300])
+def test_repeats_equal_brute_force(make_docs, monkeypatch, size):
+    if size:  # many slices and buckets
+        monkeypatch.setattr(repeats, "DOCUMENT_SLICE", size)
+        monkeypatch.setattr(repeats, "BUCKET_BYTES", size)
+    texts = TEXTS + [" ".join(f"v{i}" for i in range(k, k + 13 + k)) for k in range(9)] + ["v1\x0bv2\x0cv3\rv4 v5 v6 v7 v8 v9 v10 v11 v12 v13 \xa0 v14"]
+    got = repeats.drop_repeats(make_docs(texts)).collect()
+    assert sorted(map(tuple, got)) == list(_without_repeats(texts))
 
 
-def test_anchors_meet_at_every_offset():
+def test_packed_numbers_come_back():
     rng = np.random.default_rng(5)
-    window = [b"x%d" % i for i in range(13)]
+    for values in ([], [0], [2**48 - 1], [0, 1, 2**32 - 2, 2**32 - 1, 2**33, 2**47], np.unique(rng.integers(0, 2**48, 3000))):
+        values = np.array(values, np.uint64)
+        assert (repeats.unpack_sorted(repeats.pack_sorted(values)) == values).all()
+
+
+def test_every_window_holds_a_block_that_a_rolling_probe_hits():
+    window = [b"x%d" % i for i in range(repeats.WINDOW)]
+    ids, none = pa.array([1]), pa.table({"id": pa.array([1])})
     for p in range(8):
         for q in range(8):
-            pad = lambda n: [b"p%d" % x for x in rng.integers(0, 1 << 40, n)]
-            a, b = pad(p) + window + pad(3), pad(q) + window + pad(2)
-            x, y = (repeats.anchors(HashedTexts([b" ".join(w)]))[0] for w in (a, b))
-            assert len(np.intersect1d(x, y)) > 0
+            pad = lambda n, c: [b"%s%d" % (c, x) for x in range(n)]
+            one, two = (repeats.Slice(pa.table({"id": ids, "text": [b" ".join(w).decode()]}), none) for w in (pad(p, b"a") + window + pad(3, b"b"), pad(q, b"c") + window + pad(2, b"d")))
+            keys, at = one.probes()
+            assert len(np.intersect1d(keys[one.is_block(at)], two.probes()[0])) > 0
 
 
 def test_repeats_edge_tables(make_docs):
