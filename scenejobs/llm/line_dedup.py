@@ -6,125 +6,204 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import U64, gram_hashes, mixed, signed, written
+from scenejobs.llm.shared import U64, gram_hashes, groups, mixed, signed, unused, written
 
-#: Runs of so many lines are removed where they come again.
+#: Runs of so many lines are removed where they come again, however short the lines are.
 RUN_LINES = 3
+#: So are shorter runs that hold so many words.
+RUN_WORDS = 20
+#: Documents are dealt by id to slices of about so many lines.
+SLICE_LINES = 200_000
 
 
-def line_hashes(text: str | None) -> np.ndarray:
-    """Hash of each line that has a word; the others take no part."""
-    lines = [x for x in (text or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=U64, count=len(lines))
+def line_hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of words of each line that has a word; the others take no part."""
+    lines = [x for x in (text or b"").split(b"\n") if x.strip()]
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), U64, len(lines))
+    return hashes, np.fromiter((len(x.split()) for x in lines), np.int32, len(lines))
+
+
+def minima(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Position of the least hash in the window that begins at each of at, the last one on ties."""
+    ordered = mixed(hashes)
+    best = at + window - 1
+    for k in range(window - 2, -1, -1):
+        best = np.where(ordered[at + k] < ordered[best], at + k, best)
+    return best
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the minimum of every window of consecutive hashes, the last one on ties.
+    """Positions of the minimum of every window of consecutive hashes.
 
     Two equal runs of `window` hashes select the same positions, relative to their starts.
     """
-    if len(hashes) < window:
-        return np.empty(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(mixed(hashes)[::-1], window)
-    starts = len(hashes) - window - np.arange(len(views))
-    return np.unique(starts + window - 1 - views.argmin(axis=1))
-
-
-def _exploded(rows: list[tuple[np.ndarray, np.ndarray]], keys: pa.Array) -> pa.RecordBatch:
-    counts = [len(h) for h, _ in rows]
-    owner = keys.take(pa.array(np.repeat(np.arange(len(rows)), counts)))
-    pick = lambda i, kind: np.concatenate([r[i] for r in rows]) if rows else np.empty(0, kind)
-    return pa.RecordBatch.from_arrays([owner, pa.array(signed(pick(0, U64).astype(U64)), pa.int64()), pa.array(pick(1, np.int64), pa.int32())], ["id", "hash", "at"])
-
-
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id and gone (ascending numbers of lines with a word) for documents that lose lines.
-
-    A line goes if it lies in a run of run_lines lines whose equal also starts at an earlier
-    place, by document id and then line. A run of that length holds at least one window
-    minimum, and its equals hold it at the same place; so
-
-    1. the minima are grouped by hash, and those that occur once are let go;
-    2. each that is left is extended both ways to all runs of run_lines lines around it;
-    3. the runs are grouped by their hash; all but the first go. Longer repeats are the
-       union of such runs.
-
-    Groups are only counted and reduced to their first place, with partial aggregation, so a
-    line or passage that most documents share makes no pairs. Ids should be unique: of rows
-    with an equal id the first runs stay in all of them. Rows with a null id lose nothing.
+    return np.unique(minima(hashes, np.arange(max(0, len(hashes) - window + 1)), window))
+
+
+class Lines:
+    """Line hashes of a slice of documents in order of id."""
+
+    def __init__(self, table: pa.Table, run_lines: int, run_words: int) -> None:
+        table = table.sort_by("id").combine_chunks()
+        self.ids, lists = table["id"].combine_chunks(), table["lines"].combine_chunks()
+        self.hashes, self.words = lists.flatten().to_numpy(zero_copy_only=False).view(U64), table["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.end = np.cumsum(sizes)
+        self.begin, self.owner = self.end - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        self.run_lines, self.run_words = run_lines, run_words
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Length, and starts of the least runs of that length that count: run_lines lines, or fewer with run_words words."""
+        to_end, sums = (self.end[self.owner] if len(self.owner) else self.owner) - np.arange(len(self.owner)), np.r_[0, np.cumsum(self.words, dtype=np.int64)]
+        for k in range(1, self.run_lines + 1):
+            at = np.flatnonzero(to_end >= k)
+            yield k, at if k == self.run_lines else at[sums[at + k] - sums[at] >= self.run_words]
+
+    def fingerprints(self) -> np.ndarray:
+        """Positions of the least hash in each run that counts: equal runs have it at the same place."""
+        return np.unique(np.concatenate([minima(self.hashes, at, k) for k, at in self.runs()]))
+
+    def around(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and length of the runs that hold a hit: each hit extended both ways."""
+        marked = np.r_[0, np.cumsum(np.isin(self.hashes, hits))]
+        found = [(gram_hashes(self.hashes, k)[at], at, np.full(len(at), k)) for k, starts in self.runs() if len(at := starts[marked[starts + k] > marked[starts]])]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def places(self, at: np.ndarray) -> pa.Array:
+        """Document and line number as structs that order as places do."""
+        return pa.StructArray.from_arrays([self.ids.take(pa.array(self.owner[at])), pa.array((at - self.begin[self.owner[at]]).astype(np.int32))], ["id", "at"])
+
+
+def _maximal(at: list[int], size: list[int], ids: list, places: list[int]) -> list[tuple[int, int, object, int]]:
+    """Matched runs (start, length, source, start there), in order, joined where they go on at the same distance from the same source."""
+    out: list[list] = []
+    for a, n, d, p in sorted(zip(at, size, ids, places), key=lambda x: (str(x[2]), x[3] - x[0], x[0])):
+        last = out[-1] if out else None
+        if last and last[2] == d and last[3] - last[0] == p - a and a <= last[0] + last[1]:
+            last[1] = max(last[1], a + n - last[0])
+        else:
+            out.append([a, n, d, p])
+    return sorted(map(tuple, out), key=lambda x: (x[0], x[1], str(x[2]), x[3]))
+
+
+def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """Returns id, runs (array of struct start, length, source_id, source_start) for documents that repeat lines.
+
+    start numbers lines with a word. A run counts if it has run_lines lines, or fewer that hold
+    run_words words, and is a repeat if its equal starts at an earlier place, by document id
+    and then line.
+
+    1. Winnowing: the least line hash of every run that counts is its fingerprint, so equal
+       runs have one at the same place. Fingerprints that occur once are let go.
+    2. Each that is left is extended both ways to the runs that hold it. These are joined to the
+       first place of their equals.
+    3. Joined runs that go on at the same distance from their source make up maximal runs.
+
+    Documents are dealt by id to slices. A slice names each hash once, with its first place, so
+    a line or passage that most documents share is one row per slice and makes no pairs. Ids
+    should be unique: rows with an equal id count as one long document in no fixed order.
+    Rows with a null id repeat nothing and are no source. An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
     kind = texts.schema["id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_hashes(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signed(h) for h in found], pa.list_(pa.int64()))], ["id", "lines"])
-
-    lines = written(texts.mapInArrow(hashed, f"id {kind}, lines array<long>").where(F.size("lines") >= run_lines))
-
-    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [_arrays(x) for x in batch.column(1)]
-            yield _exploded([(h[at := winnow(h, run_lines)], at) for h in rows], batch.column(0))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for hashes, places in zip(map(_arrays, batch.column(1)), batch.column(2).to_pylist()):
-                around = np.asarray(places)[:, None] - np.arange(run_lines)[None, :]
-                starts = np.unique(around[(around >= 0) & (around <= len(hashes) - run_lines)])
-                rows.append((gram_hashes(hashes, run_lines)[starts], starts))
-            yield _exploded(rows, batch.column(0))
-
-    spread = f"id {kind}, hash long, at int"
-    marks = lines.mapInArrow(minima, spread)
-    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    places = marks.join(often, "hash", "left_semi").groupBy("id").agg(F.collect_set("at").alias("places"))
-    found = written(lines.join(places, "id").select("id", "lines", "places").mapInArrow(runs, spread))
-    first = found.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
-    later = found.join(first, "hash").where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda a: F.transform(F.sequence(F.lit(0), F.lit(run_lines - 1)), lambda k: a + k)))))
-    return later.groupBy("id").agg(covered.alias("gone")).withColumnRenamed("id", id_col)
-
-
-def _arrays(row: pa.ListScalar) -> np.ndarray:
-    return row.values.to_numpy(zero_copy_only=False).view(U64)
-
-
-def without_lines(text: str | None, gone: list[int]) -> str | None:
+            found = [line_hashes(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [pa.array([signed(h) for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "lines", "words"])
+
+    def ask_fingerprints(table: pa.Table) -> pa.Table:
+        part = Lines(table, run_lines, run_words)
+        hashes = np.sort(part.hashes[part.fingerprints()])
+        first, count = groups(hashes)
+        return pa.table({"slice": pa.array(np.full(len(first), table["slice"][0].as_py())), "hash": signed(hashes[first]), "n": pa.array(count, pa.int64())})
+
+    def ask_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Lines(table, run_lines, run_words)
+        hashes, at, _ = part.around(answers["hash"].to_numpy().view(U64))
+        order = np.lexsort((at, hashes))
+        first, count = groups(hashes[order])
+        return pa.table({"slice": pa.array(np.full(len(first), table["slice"][0].as_py())), "hash": signed(hashes[order[first]]), "place": part.places(at[order[first]]), "n": pa.array(count, pa.int64())})
+
+    def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
+        part = Lines(table, run_lines, run_words)
+        answers = answers.combine_chunks()
+        known, place = answers["hash"].to_numpy().view(U64), answers["first"].combine_chunks() if len(answers) else None
+        if place is None or not len(part.hashes):
+            return pa.table({"id": part.ids.slice(0, 0), "runs": pa.array([], runs_type)})
+        starts, at, size = zip(*[(gram_hashes(part.hashes, k)[s], s, np.full(len(s), k)) for k, s in part.runs()])
+        hashes, at, size = np.concatenate(starts), np.concatenate(at), np.concatenate(size)
+        order = np.argsort(known)
+        spot = np.minimum(np.searchsorted(known[order], hashes), len(known) - 1)
+        joined = known[order][spot] == hashes
+        at, size, spot = at[joined], size[joined], order[spot[joined]]
+        source, own = place.take(pa.array(spot)), part.places(at)
+        later = ~(pc.equal(source.field(0), own.field(0)).to_numpy(zero_copy_only=False) & pc.equal(source.field(1), own.field(1)).to_numpy(zero_copy_only=False))
+        at, size, source = at[later], size[later], source.filter(pa.array(later))
+        by = np.argsort(part.owner[at], kind="stable")
+        first, count = groups(part.owner[at[by]])
+        line, ids, places, rows = at - part.begin[part.owner[at]], source.field(0).to_pylist(), source.field(1).to_pylist(), []
+        for a, n in zip(first, count):
+            chosen = by[a : a + n]
+            found = _maximal(line[chosen].tolist(), size[chosen].tolist(), [ids[i] for i in chosen], [places[i] for i in chosen])
+            rows.append([dict(zip(("start", "length", "source_id", "source_start"), r)) for r in found])
+        return pa.table({"id": part.ids.take(pa.array(part.owner[at[by[first]]])), "runs": pa.array(rows, runs_type)})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    runs_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source_id", to_arrow_type(texts.schema["id"].dataType)), ("source_start", pa.int32())]))
+    lines = written(texts.mapInArrow(hashed, f"id {kind}, lines array<long>, words array<int>").where("size(lines) > 0"))
+    n = (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) // SLICE_LINES + 1
+    dealt = lines.select("id", "lines", "words", F.pmod(F.xxhash64("id"), F.lit(n)).alias("slice")).repartition("slice").groupBy("slice")
+    marks = dealt.applyInArrow(ask_fingerprints, "slice long, hash long, n long")
+    often = marks.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+    hits = marks.join(often, "hash", "left_semi").select("slice", "hash")
+    asked = written(dealt.cogroup(hits.groupBy("slice")).applyInArrow(ask_runs, f"slice long, hash long, place struct<id:{kind},at:int>, n long"))
+    first = asked.groupBy("hash").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1").select("hash", "first")
+    answers = asked.select("slice", "hash").join(first, "hash").select("slice", "hash", "first")
+    found = dealt.cogroup(answers.groupBy("slice")).applyInArrow(extend, f"id {kind}, runs array<struct<start:int,length:int,source_id:{kind},source_start:int>>")
+    return found.withColumnRenamed("id", id_col)
+
+
+def without_lines(text: bytes | None, gone: set[int]) -> bytes | None:
     """The text without the numbered lines; lines without a word have no number and stay."""
     if text is None or not gone:
         return text
-    drop, k, kept = set(gone), 0, []
-    for line in text.split("\n"):
-        numbered = bool(line.strip(" \t\r\x0b\x0c"))
-        if not (numbered and k in drop):
+    k, kept = 0, []
+    for line in text.split(b"\n"):
+        numbered = bool(line.strip())
+        if not (numbered and k in gone):
             kept.append(line)
         k += numbered
-    return "\n".join(kept)
+    return b"\n".join(kept)
 
 
-def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the text freed from repeated runs of lines; adds n_gone.
+def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """The rows of docs with the text freed from later repeated runs of lines, see repeated_runs(); adds n_gone.
 
-    Null, empty and short texts stay as they are; a text may become empty. All columns stay.
+    Null, empty and short texts stay as they are; a text may become empty. All columns stay,
+    but for one named n_gone, which is replaced.
     """
-    gone = repeated_lines(docs, run_lines, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs[id_col] == F.col("__id"), "left")
+    docs = docs.drop("n_gone")
+    key, runs = unused(docs, "id"), unused(docs, "runs")
+    gone = repeated_runs(docs, run_lines, id_col, text_col, run_words).select(F.col(id_col).alias(key), F.col("runs").alias(runs))
     names = docs.columns
+    joined = docs.join(gone, docs[id_col] == F.col(key), "left").select(*[docs[c] for c in names], runs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for batch in batches:
-            gone = batch.column(len(names)).to_pylist()
+            gone = [{k for r in runs or () for k in range(r["start"], r["start"] + r["length"])} for runs in batch.column(len(names)).to_pylist()]
             columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array([without_lines(t, g) for t, g in zip(columns[at].to_pylist(), gone)], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(g or ()) for g in gone], pa.int64())], [*names, "n_gone"])
+            texts = columns[at].cast(pa.binary()).to_pylist()
+            columns[at] = pa.array(map(without_lines, texts, gone), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(len, gone), pa.int64())], [*names, "n_gone"])
 
-    return joined.select(*[docs[c] for c in names], "__gone").mapInArrow(rewrite, schema + ", n_gone long")
+    return joined.mapInArrow(rewrite, schema + ", n_gone long")

@@ -99,13 +99,17 @@ WITH lines AS (
   SELECT doc_id, i - 1 AS raw, string_split(text, chr(10))[i] AS line
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), ahead AS (
+  SELECT *, lead(line) OVER w AS line2, lead(w) OVER w AS w2, lead(line, 2) OVER w AS line3 FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), runs AS (
-  SELECT doc_id, pos, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, 1 AS k, [line] AS g FROM ahead WHERE w >= 20
+  UNION ALL SELECT doc_id, pos, 2, [line, line2] FROM ahead WHERE w + w2 >= 20
+  UNION ALL SELECT doc_id, pos, 3, [line, line2, line3] FROM ahead WHERE line3 IS NOT NULL
 ), later AS (
-  SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n FROM runs WHERE c IS NOT NULL) WHERE n > 1
+  SELECT doc_id, pos, k FROM (SELECT doc_id, pos, k, row_number() OVER (PARTITION BY k, g ORDER BY doc_id, pos) AS n FROM runs) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM later, range(3) t(k)
+  SELECT DISTINCT doc_id, pos + i AS pos FROM later, range(3) t(i) WHERE i < k
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.raw) AS text, count(*) AS n
   FROM lines l LEFT JOIN numbered x ON x.doc_id = l.doc_id AND x.raw = l.raw LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.pos = x.pos

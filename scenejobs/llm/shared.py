@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenejobs.functions.tables import written
 
-__all__ = ["GAP", "SLICE_BYTES", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "gram_hashes", "groups", "make_room", "mixed", "signed", "slices", "word_count", "words_of", "written"]
+__all__ = ["GAP", "SLICE_BYTES", "SPACES", "TABLE_ENTRIES", "U64", "HashedTexts", "gram_hashes", "groups", "make_room", "mixed", "signed", "slices", "unused", "word_count", "words_of", "written"]
 
 #: The characters between words: space and tab to carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -141,3 +141,11 @@ def groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values begins in an ordered array, and its length."""
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
     return first, np.diff(np.r_[first, len(ordered)])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name

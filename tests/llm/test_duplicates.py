@@ -144,31 +144,54 @@ def test_repeats_edge_tables(make_docs):
     assert sorted(((r["doc_id"], r["n_removed"]) for r in rows), key=str) == sorted([(None, 0), (4, 0), (4, 0), (6, 20), (7, 0)], key=str)
 
 
-def _without_lines(texts, run=3):
+def _without_lines(texts, run=3, least=20):
     numbered = [[x for x in (t or "").split("\n") if WORD.search(x)] for t in texts]
     seen, gone = set(), []
     for lines in numbered:
         drop = set()
-        for i in range(len(lines) - run + 1):
-            key = tuple(lines[i : i + run])
-            drop |= set(range(i, i + run)) if key in seen else set()
-            seen.add(key)
-        gone.append(sorted(drop))
-    return [(d, line_dedup.without_lines(t, g), len(g)) for d, (t, g) in enumerate(zip(texts, gone))]
+        for i in range(len(lines)):
+            for k in range(1, run + 1):
+                key = tuple(lines[i : i + k])
+                if len(key) == k and (k == run or sum(len(WORD.findall(x)) for x in key) >= least):
+                    drop |= set(range(i, i + k)) if key in seen else set()
+                    seen.add(key)
+        gone.append(drop)
+    return [(d, None if t is None else line_dedup.without_lines(t.encode(), g).decode(), len(g)) for d, (t, g) in enumerate(zip(texts, gone))]
 
 
-def test_line_runs_equal_brute_force(make_docs):
-    texts = TEXTS + ["k\nl\nm\nn\no", "x\nl\nm\nn\n\no\np", "k\nl\nm", "k\nl\nm\nk\nl\nm\nk\nl\nm"]
+LINES = ["k\nl\nm\nn\no", "x\nl\nm\nn\n\no\np", "k\nl\nm", "k\nl\nm\nk\nl\nm\nk\nl\nm", "1 " * 25, "a\n" + "1 " * 25 + "\nb", "c " * 12 + "\n" + "d " * 9, "e\n" + "c " * 12 + "\n" + "d " * 9 + "\nf", "c " * 12 + "\ng"]
+
+
+@pytest.mark.parametrize("size", [None, 5])
+def test_line_runs_equal_brute_force(make_docs, monkeypatch, size):
+    if size:
+        monkeypatch.setattr(line_dedup, "SLICE_LINES", size)
+    texts = TEXTS + LINES
     got = line_dedup.dedup_lines(make_docs(texts)).select("doc_id", "text", "n_gone").collect()
     assert sorted(map(tuple, got), key=lambda r: r[0]) == _without_lines(texts)
 
 
+def test_runs_are_maximal_and_equal_their_sources(make_docs):
+    texts = TEXTS + LINES
+    numbered = [[x for x in (t or "").split("\n") if WORD.search(x)] for t in texts]
+    rows = line_dedup.repeated_runs(make_docs(texts)).collect()
+    assert rows
+    for row in rows:
+        own = numbered[row["doc_id"]]
+        for r in row["runs"]:
+            source = numbered[r["source_id"]]
+            assert (r["source_id"], r["source_start"]) < (row["doc_id"], r["start"])
+            assert own[r["start"] : r["start"] + r["length"]] == source[r["source_start"] : r["source_start"] + r["length"]]
+    long = next(row["runs"] for row in rows if row["doc_id"] == len(TEXTS) + 1)
+    assert [(r["start"], r["length"], r["source_id"]) for r in long if r["source_id"] == len(TEXTS)] == [(1, 4, len(TEXTS))]
+
+
 def test_winnowing_selects_alike():
     rng = np.random.default_rng(2)
     for _ in range(50):
         run = rng.integers(0, 4, 6).astype(np.uint64)
         a, b = np.r_[rng.integers(0, 4, 5).astype(np.uint64), run], np.r_[rng.integers(0, 4, 2).astype(np.uint64), run, run]
-        inside = lambda h, at: {x - at for x in line_dedup.winnow(h, 3) if at <= x < at + 6}
+        inside = lambda h, at: {int(x) - at for x in line_dedup.winnow(h, 3) if at <= x < at + 6}
         for k in range(4):  # every window of the run has a common selected place
             assert {x for x in inside(a, 5) & inside(b, 2) if k <= x < k + 3}
 
