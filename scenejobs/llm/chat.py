@@ -10,6 +10,10 @@ START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 #: Content parts: kind is text, image, audio or document; ref and n_tokens belong to attachments.
 PART = "struct<kind:string,text:string,ref:string,n_tokens:int>"
+#: Kinds of attachments.
+KINDS = ("image", "audio", "document")
+#: A placeholder; text never holds one, for it is escaped.
+PLACEHOLDER = rf"<\|(?:{'|'.join(KINDS)}):[0-9]{{1,9}}\|>"
 
 
 def escaped(text: Column) -> Column:
@@ -35,25 +39,30 @@ def _role_back(role: Column) -> Column:
 def visit_parts(parts: Column) -> Column:
     """Flattens an array of PART into struct(body, attachments, n_expanded).
 
-    Text parts are escaped and joined in order. The k-th attachment of a message becomes the
-    placeholder `<|kind:k|>`; attachments lists position, kind, ref and expanded tokens in the
-    same order, and n_expanded sums the tokens that the placeholders stand for. Null parts, a
-    null array and unknown kinds without a ref give nothing but their text.
+    Text parts that follow each other are joined and then escaped, so no control string can
+    arise across their borders. The k-th attachment of a message becomes the placeholder
+    `<|kind:k|>`; the same string in a text is escaped, so the two stay apart. attachments
+    lists position, kind, ref and expanded tokens in the same order, and n_expanded sums the
+    tokens that the placeholders stand for. Null parts and a null array give nothing; a part of
+    an unknown or null kind is text.
     """
     known = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    is_file = lambda p: F.coalesce(p["kind"], F.lit("text")).isin("image", "audio", "document")
+    is_file = lambda p: F.coalesce(p["kind"], F.lit("text")).isin(*KINDS)
     files = F.filter(known, is_file)
     attachments = F.transform(files, lambda p, i: F.struct(i.alias("position"), p["kind"].alias("kind"), p["ref"].alias("ref"), F.coalesce(p["n_tokens"], F.lit(0)).alias("n_tokens")))
-    start = F.struct(F.lit("").alias("body"), F.lit(0).alias("k"))
+    start = F.struct(F.lit("").alias("body"), F.lit("").alias("run"), F.lit(0).alias("k"))
 
     def visit(state: Column, p: Column) -> Column:
         mark = F.concat(F.lit("<|"), p["kind"], F.lit(":"), state["k"].cast("string"), F.lit("|>"))
         return F.struct(
-            F.concat(state["body"], F.when(is_file(p), mark).otherwise(escaped(p["text"]))).alias("body"),
+            F.when(is_file(p), F.concat(state["body"], escaped(state["run"]), mark)).otherwise(state["body"]).alias("body"),
+            F.when(is_file(p), F.lit("")).otherwise(F.concat(state["run"], F.coalesce(p["text"], F.lit("")))).alias("run"),
             (state["k"] + is_file(p).cast("int")).alias("k"),
         )
 
-    body = F.when((F.size(known) == 1) & (F.size(files) == 0), escaped(known[0]["text"])).otherwise(F.aggregate(known, start, visit)["body"])
+    plain = F.concat_ws("", F.transform(known, lambda p: F.coalesce(p["text"], F.lit(""))))
+    mixed = F.aggregate(known, start, visit, lambda state: F.concat(state["body"], escaped(state["run"])))
+    body = F.when(F.size(files) == 0, escaped(plain)).otherwise(mixed)
     expanded = F.aggregate(attachments, F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"])
     return F.struct(body.alias("body"), attachments.alias("attachments"), expanded.alias("n_expanded"))
 
@@ -64,7 +73,9 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     Each message becomes `<|im_start|>role\\nbody<|im_end|>\\n`, in order of turn; rows with an
     equal turn follow by role and body, null turns come first, a null conversation is one.
     loss_spans are (start, length) in code points of the bodies of assistant messages.
+    attachments of the whole conversation carry the number of their message, from 0.
     A conversation is one output row, so its messages meet in one task, as they must.
+    Repeated rows are messages of their own.
     Empty input gives no rows; other columns are ignored.
     """
     seen = visit_parts(F.col(parts_col))
@@ -86,7 +97,7 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     return chats.select(
         "conv_id", text.alias("formatted"), F.aggregate("turns", zero, walk)["spans"].alias("loss_spans"),
-        F.flatten(F.transform("turns", lambda m: m["attachments"])).alias("attachments"),
+        F.flatten(F.transform("turns", lambda m, i: F.transform(m["attachments"], lambda a: F.struct(i.alias("message"), a["position"].alias("position"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens"))))).alias("attachments"),
         F.aggregate("turns", F.lit(0).cast("long"), lambda n, m: n + m["n_expanded"]).alias("n_expanded"),
     )
 
@@ -99,13 +110,31 @@ def _by_turn(a: Column, b: Column) -> Column:
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Adds turns (array of role, text) and loss_text, both read from the formatted string."""
-    pieces = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 2_000_000_000)
+    """Adds turns (array of role, text, parts) and loss_text, both read from the formatted string.
 
-    def parsed(piece: Column) -> Column:
+    parts are typed as they went in, with neighbouring texts joined and empty ones left out;
+    attachments get their ref and tokens back. text and loss_text hold the texts alone, without
+    placeholders.
+    """
+    pieces = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 2_000_000_000)
+    border = f"(?={PLACEHOLDER})|(?<={PLACEHOLDER})"
+    is_mark = lambda x: x.rlike(f"^{PLACEHOLDER}$")
+    cut = lambda body: F.filter(F.split(body, border, -1), lambda x: x != "")
+    words = lambda body: F.array_join(F.transform(cut(body), lambda x: F.when(is_mark(x), F.lit("")).otherwise(unescaped(x))), "")
+    texts = lambda body: F.when(body.rlike(PLACEHOLDER), words(body)).otherwise(unescaped(body))
+    none = F.lit(None).cast("string")
+
+    def part(x: Column, message: Column) -> Column:
+        position = F.regexp_extract(x, r":([0-9]+)\|>$", 1).cast("int")
+        file = F.filter("attachments", lambda a: (a["message"] == message) & (a["position"] == position))[0]
+        real = F.struct(file["kind"].alias("kind"), none.alias("text"), file["ref"].alias("ref"), file["n_tokens"].alias("n_tokens"))
+        return F.when(is_mark(x), real).otherwise(F.struct(F.lit("text").alias("kind"), unescaped(x).alias("text"), none.alias("ref"), F.lit(None).cast("int").alias("n_tokens")))
+
+    def parsed(piece: Column, message: Column) -> Column:
         at = F.locate("\n", piece)
         body = F.substring(piece, at + 1, F.length(piece) - at - len(END) - 1)
-        return F.struct(_role_back(F.substring(piece, F.lit(1), at - 1)).alias("role"), unescaped(body).alias("text"))
+        parts = F.transform(cut(body), lambda x: part(x, message))
+        return F.struct(_role_back(F.substring(piece, F.lit(1), at - 1)).alias("role"), texts(body).alias("text"), parts.alias("parts"))
 
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: texts(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     return chats.withColumns({"turns": F.transform(pieces, parsed), "loss_text": loss})

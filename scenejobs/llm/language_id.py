@@ -19,27 +19,67 @@ SAMPLE_PER_LANGUAGE = 5_000
 #: Additive smoothing.
 SMOOTHING = 0.5
 #: Code points that are hashed at once; longer texts are counted in pieces that overlap.
-PIECE = 1 << 20
-
-
-def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that occur in a text, ascending, and how often; every n-gram of the whole text counts."""
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    longest = max(LENGTHS)
-    text = text.lower()
-    for start in range(0, max(1, len(text)), PIECE):
-        codes = np.frombuffer(text[start : start + PIECE + longest - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        for n in LENGTHS:
-            count = min(len(codes) - n + 1, PIECE)
-            if count <= 0:
-                continue
-            h = np.full(count, 0x9E3779B1 * n & 0xFFFFFFFF, dtype=np.uint32)
-            for i in range(n):
-                h = (h ^ codes[i : i + count]) * np.uint32(0x85EBCA6B)
-                h ^= h >> np.uint32(13)
-            total += np.bincount((h * np.uint32(0xC2B2AE35)) >> np.uint32(18), minlength=BUCKETS)
-    found = np.flatnonzero(total)
-    return found, total[found]
+PIECE = 1 << 18
+#: Texts that are counted at once.
+ROWS = 32
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Code points of several texts in chunks of about PIECE: the code points, their text, their piece and their place in it."""
+    pending, size = [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        sizes = [len(part) for _, part in pending]
+        place = np.arange(sum(sizes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.concatenate([part for _, part in pending]), np.repeat([row for row, _ in pending], sizes), np.repeat(np.arange(len(pending)), sizes), place
+
+    for row, text in enumerate(texts):
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        for start in range(0, len(codes), PIECE):
+            pending.append((row, codes[start : start + PIECE + max(LENGTHS) - 1]))
+            size += len(pending[-1][1])
+            if size >= PIECE:
+                yield joined()
+                pending, size = [], 0
+    if pending:
+        yield joined()
+
+
+def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of counts, one for each text: where each row ends, its buckets in ascending order, and how often each occurs.
+
+    Every n-gram of each whole text counts; long texts are hashed in pieces that overlap.
+    """
+    ends, buckets, counts = [0], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for first in range(0, len(texts), ROWS):
+        chosen = texts[first : first + ROWS]
+        total = np.zeros(len(chosen) * BUCKETS, dtype=np.int64)
+        for codes, row, piece, place in _chunks(chosen):
+            for n in LENGTHS:
+                m = max(0, len(codes) - n + 1)
+                at = np.flatnonzero((piece[:m] == piece[n - 1 :]) & (place[:m] < PIECE))
+                h = np.full(len(at), 0x9E3779B1 * n & 0xFFFFFFFF, dtype=np.uint32)
+                for i in range(n):
+                    h = (h ^ codes[at + i]) * np.uint32(0x85EBCA6B)
+                    h ^= h >> np.uint32(13)
+                bucket = (h * np.uint32(0xC2B2AE35)) >> np.uint32(18)
+                total += np.bincount(row[at] * BUCKETS + bucket, minlength=len(total))
+        found = np.flatnonzero(total)
+        ends += (ends[-1] + np.cumsum(np.bincount(found // BUCKETS, minlength=len(chosen)))).tolist()
+        buckets.append(found % BUCKETS)
+        counts.append(total[found])
+    return np.array(ends[1:]), np.concatenate(buckets), np.concatenate(counts)
+
+
+def log_likelihoods(texts: list[str], log_prob: np.ndarray) -> np.ndarray:
+    """The sparse matrix of the texts' counts times the matrix of log probabilities (buckets by languages)."""
+    end, bucket, count = ngram_counts(texts)
+    sums = np.zeros((len(texts), log_prob.shape[1]))
+    begin = np.r_[0, end[:-1]].astype(np.int64)
+    some = np.flatnonzero(end > begin)
+    if len(some):
+        sums[some] = np.add.reduceat(count[:, None] * log_prob[bucket], begin[some], axis=0)
+    return sums
 
 
 @dataclass
@@ -70,11 +110,10 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, n = ngram_counts(text)
-                if lang not in totals:
-                    totals[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                totals[lang][found] += n
+            table = batch.to_pydict()
+            for lang in set(table["lang"]):
+                _, bucket, n = ngram_counts([t for t, own in zip(table["text"], table["lang"]) if own == lang])
+                np.add.at(totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64)), bucket, n)
         for lang, total in totals.items():
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["lang", "bucket", "n"])
@@ -92,9 +131,10 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     """Adds lang_pred and score (probability of that language) to every row.
 
     The log-probability matrix is broadcast; its size is buckets times languages. A task
-    multiplies the sparse counts of each whole text with it. Languages have equal priors.
-    Null texts and texts without a letter get `und` with score 0. Ties go to the language
-    that sorts first.
+    multiplies the sparse counts of a batch of whole texts with it. Languages have equal
+    priors. Null texts and texts without a letter get `und` with score 0. Ties go to the
+    language that sorts first. All columns stay, repeated rows and null ids like any others;
+    columns named lang_pred or score are replaced.
     """
     session = docs.sparkSession
     shared = session.sparkContext.broadcast((model.languages, model.log_prob))
@@ -102,17 +142,16 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, log_prob = shared.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                if not text or not languages or not any(c.isalpha() for c in text):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                found, n = ngram_counts(text)
-                likelihood = n @ log_prob[found]
-                best = int(np.argmax(likelihood))
-                names.append(languages[best])
-                scores.append(float(1.0 / np.exp(likelihood - likelihood[best]).sum()))
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            lettered = [i for i, t in enumerate(texts) if t and languages and any(c.isalpha() for c in t)]
+            for first in range(0, len(lettered), ROWS):
+                rows = lettered[first : first + ROWS]
+                likelihood = log_likelihoods([texts[i] for i in rows], log_prob)
+                best = likelihood.argmax(axis=1)
+                score = 1.0 / np.exp(likelihood - likelihood.max(axis=1, keepdims=True)).sum(axis=1)
+                for i, k, x in zip(rows, best, score):
+                    names[i], scores[i] = languages[k], float(x)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
