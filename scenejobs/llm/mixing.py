@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import word_count
+from scenejobs.llm.shared import word_count, written
 
 #: A document is taken at most so many times.
 MAX_EPOCHS = 3
-#: Leading hexadecimal digits of the random key that make one range of a source.
-RANGE_DIGITS = 3
+#: About so many documents of a source lie in one range of the random key.
+RANGE_ROWS = 4_000
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -48,14 +48,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     agree. Within a source the documents lie in order of key; whole passes are taken while
     they fit the target, and in the last pass the words up to the exact budget, so one
     document per source may be taken in part. The order is dealt in ranges of the key's
-    leading digits: sums of the ranges give each range its start, and a running sum within
-    the range does the rest, so that a source with most of the rows is spread over all tasks.
+    leading digits, as many as give a range about RANGE_ROWS documents of the corpus: sums of
+    the ranges give each range its start, and a running sum within the range does the rest,
+    so that a source with most of the rows is spread over all tasks. Texts are read once, for
+    the table of sizes.
 
     Null and empty texts have size 0 and take 0. A null source is a source. Repeated rows
-    are rows of their own (ties fall by size and then by carry). Null ids share a key.
+    are rows of their own (ties fall by size and then by carry). The key of a
+    row without an id is the digest of its text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry)
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string")))
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *carry))
+    digits = len(f"{rows.count() // RANGE_ROWS:x}")
+    rows = rows.withColumn("part", F.substring("key", 1, digits))
     targets = source_targets(rows, max_epochs)
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
