@@ -29,10 +29,12 @@ UNIT = 1024
 #: symbol, 2 for one repeated line and 1.2 for one repeated window: floors are three symbols, half a line, a window.
 LEAST_SPREAD = (0.5, 0.25, 0.1, 1.0, 1.0)
 VECTOR = [f"x{i}" for i in range(len(LEAST_SPREAD))]
-#: Bins per unit of distance in the histograms that give medians and cores.
-DISTANCE_BINS = 64
+#: Bins per unit of distance in the histograms that give cores and medians of distances.
+DISTANCE_BINS = 16
 #: Distances from here on share the last bin.
 FARTHEST = 64
+#: Bins per unit of a statistic in the histograms of the medians.
+VALUE_BINS = 64
 
 
 def statistics_of(text: Column) -> Column:
@@ -96,105 +98,91 @@ def _bin_at(counts: DataFrame, keys: list[str], share: Column, name: str) -> Dat
 
 
 _P = range(len(VECTOR))
-_MOMENTS = [f"a{i}" for i in _P] + [f"q{i}_{j}" for i in _P for j in range(i + 1)]
-_FACTORS = [f"m{i}" for i in _P] + [f"l{i}_{j}" for i in _P for j in range(i + 1)]
+_PAIRS = [(i, j) for i in _P for j in range(i + 1)]
+_MOMENTS = [f"a{i}" for i in _P] + [f"q{i}_{j}" for i, j in _PAIRS]
+_FACTORS = [f"m{i}" for i in _P] + [f"l{i}_{j}" for i, j in _PAIRS]
+#: Number of rows, and sums of the statistics and their products.
+_SUMS = ["count(1) AS n", *[f"sum({x}) AS a{i}" for i, x in enumerate(VECTOR)], *[f"sum({VECTOR[i]} * {VECTOR[j]}) AS q{i}_{j}" for i, j in _PAIRS]]
 
 
-def _sums() -> list[Column]:
-    """Number of rows, and sums of the statistics and their products."""
-    pairs = [(i, j) for i in _P for j in range(i + 1)]
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"a{i}") for i, x in enumerate(VECTOR)], *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"q{i}_{j}") for i, j in pairs]]
-
+def _exprs(texts: list[str]) -> list[Column]:
+    return [F.expr(t) for t in texts]
 
 
 def _medians(rows: DataFrame) -> DataFrame:
     """Mean and factor columns of each group from medians and median absolute deviations of each statistic."""
-    width = UNIT // DISTANCE_BINS
-    apart = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(x) / width).alias("bin")) for i, x in enumerate(VECTOR)]))
-    tall = rows.select("grp", apart.alias("v")).groupBy("grp", "v.i", "v.bin").agg(F.count(F.lit(1)).alias("n"))
+    width = UNIT // VALUE_BINS
+    apart = ", ".join(f"named_struct('i', {i}, 'bin', floor({x} / {width}))" for i, x in enumerate(VECTOR))
+    tall = rows.selectExpr("grp", f"explode(array({apart})) AS v").groupBy("grp", "v.i", "v.bin").agg(F.expr("count(1) AS n"))
     medians = _bin_at(tall, ["grp", "i"], F.lit(0.5), "median")
-    apart = tall.join(medians, ["grp", "i"]).select("grp", "i", "median", F.abs(F.col("bin") - F.col("median")).alias("bin"), "n")
-    apart = apart.groupBy("grp", "i", "median", "bin").agg(F.sum("n").alias("n"))
+    apart = tall.join(medians, ["grp", "i"]).selectExpr("grp", "i", "median", "abs(bin - median) AS bin", "n")
+    apart = apart.groupBy("grp", "i", "median", "bin").agg(F.expr("sum(n) AS n"))
     spread = _bin_at(apart, ["grp", "i", "median"], F.lit(0.5), "mad")
-    one = spread.groupBy("grp").agg(
-        *[F.max(F.when(F.col("i") == i, (F.col("median") + 0.5) / DISTANCE_BINS)).alias(f"m{i}") for i in _P],
-        *[F.max(F.when(F.col("i") == i, F.greatest(1.4826 * F.col("mad") / DISTANCE_BINS, F.lit(LEAST_SPREAD[i])))).alias(f"s{i}") for i in _P],
-    )
-    factor = [(F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in _P for j in range(i + 1)]
-    return one.select("grp", *[f"m{i}" for i in _P], *factor)
+    means = [f"max(CASE WHEN i = {i} THEN (median + 0.5D) / {VALUE_BINS} END) AS m{i}" for i in _P]
+    one = spread.groupBy("grp").agg(*_exprs(means + [f"max(CASE WHEN i = {i} THEN greatest(1.4826D * mad / {VALUE_BINS}, {LEAST_SPREAD[i]}D) END) AS l{i}_{i}" for i in _P]))
+    return one.selectExpr("grp", *_FACTORS[: len(VECTOR)], *[f"l{i}_{j}" if i == j else f"0.0D AS l{i}_{j}" for i, j in _PAIRS])
 
 
 def _scored(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution, and its bin; a row for each estimate of the group."""
-    out = rows.join(estimates, "grp")
-    for i, x in enumerate(VECTOR):
-        value = F.col(x) / UNIT - F.col(f"m{i}")
-        for j in range(i):
-            value = value - F.col(f"l{i}_{j}") * F.col(f"z{j}")
-        out = out.withColumn(f"z{i}", value / F.col(f"l{i}_{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(VECTOR))), F.col("z0") * F.col("z0"))
-    return out.withColumn("d2", d2).withColumn("bin", F.least(F.floor(F.sqrt("d2") * DISTANCE_BINS), F.lit(FARTHEST * DISTANCE_BINS)))
+    z = [f"({x} / {UNIT} - m{i}{''.join(f' - l{i}_{j} * z{j}' for j in range(i))}) / l{i}_{i} AS z{i}" for i, x in enumerate(VECTOR)]
+    distance = [" + ".join(f"z{i} * z{i}" for i in _P) + " AS d2", f"least(floor(sqrt(d2) * {DISTANCE_BINS}), {FARTHEST * DISTANCE_BINS}) AS bin"]
+    return rows.join(estimates, "grp").selectExpr("*", *z, *distance)
 
 
 def _core(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """grp, start, n and moments of the nearest documents, by one pass that adds up counts and products by bin of distance."""
-    cells = _scored(vectors, estimates).groupBy("grp", "start", "share", "bin").agg(*_sums())
-    up_to, whole = W.partitionBy("grp", "start").orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("grp", "start")
-    inner = cells.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))).withColumn("all", F.sum("n").over(whole)).where(F.col("before") < F.ceil(F.col("all") * F.col("share")))
-    return _means(inner.groupBy("grp", "start").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in _MOMENTS]), "grp", "start")
+    cells = _scored(vectors, estimates).groupBy("grp", "start", "share", "bin").agg(*_exprs(_SUMS))
+    placed = cells.selectExpr("*", "coalesce(sum(n) OVER (PARTITION BY grp, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before", "sum(n) OVER (PARTITION BY grp, start) AS all_n")
+    return _means(placed.where("before < ceil(all_n * share)").groupBy("grp", "start").agg(*_exprs(["sum(n) AS n", *[f"sum(CAST({c} AS DECIMAL(20, 0))) AS {c}" for c in _MOMENTS]])), "grp", "start")
 
 
 def _means(sums: DataFrame, *keys: str) -> DataFrame:
     """Sums over documents as means; sums are of integers, so their order doesn't matter."""
-    return sums.select(*keys, "n", *[(F.col(c).cast("double") / F.col("n") / (UNIT if c[0] == "a" else UNIT**2)).alias(c) for c in _MOMENTS])
+    return sums.selectExpr(*keys, "n", *[f"CAST({c} AS DOUBLE) / n / {UNIT if c[0] == 'a' else UNIT**2} AS {c}" for c in _MOMENTS])
 
 
 def _factored(moments: DataFrame) -> DataFrame:
     """Adds mean, Cholesky factor of the covariance and log of its determinant; a variance under LEAST_SPREAD squared is raised to it."""
-    out = moments
-    for i in _P:
-        for j in range(i + 1):
-            c = F.col(f"q{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")
-            out = out.withColumn(f"c{i}_{j}", F.greatest(c, F.lit(LEAST_SPREAD[i] ** 2)) if i == j else c)
-    for i in _P:
-        for j in range(i + 1):
-            left = F.col(f"c{i}_{j}")
-            for k in range(j):
-                left = left - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(left, F.lit(LEAST_SPREAD[i] ** 2 / 4))) if i == j else left / F.col(f"l{j}_{j}"))
-    logdet = sum((2 * F.log(f"l{i}_{i}") for i in _P), F.lit(0.0))
-    return out.select(*moments.columns, *[F.col(f"a{i}").alias(f"m{i}") for i in _P], *_FACTORS[len(VECTOR) :], logdet.alias("logdet"))
+    covariance = [f"q{i}_{j} - a{i} * a{j} AS c{i}_{j}" if i > j else f"greatest(q{i}_{i} - a{i} * a{i}, {LEAST_SPREAD[i] ** 2}D) AS c{i}_{i}" for i, j in _PAIRS]
+    factor = []
+    for i, j in _PAIRS:
+        left = f"c{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+        factor.append(f"({left}) / l{j}_{j} AS l{i}_{j}" if i > j else f"sqrt(greatest({left}, {LEAST_SPREAD[i] ** 2 / 4}D)) AS l{i}_{i}")
+    logdet = " + ".join(f"2 * ln(l{i}_{i})" for i in _P) + " AS logdet"
+    made = moments.selectExpr("*", *covariance, *factor, *[f"a{i} AS m{i}" for i in _P])
+    return made.selectExpr(*moments.columns, *_FACTORS, logdet)
 
 
 def least_determinants(vectors: DataFrame) -> DataFrame:
     """grp, n, moments, logdet of the core with the least determinant that concentration reaches from several starts.
 
     vectors has grp and VECTOR. From each start, steps take the nearest CORE_SHARE of the group and
-    estimate anew from these, until no determinant falls any more.
+    estimate anew from these, for as long as that lowers the determinant by a share that
+    matters; so every start comes to an end, and only the others go on.
     """
-    medians, whole = _medians(vectors), _factored(_means(vectors.groupBy("grp").agg(*_sums()), "grp")).select("grp", *_FACTORS)
+    medians, whole = _medians(vectors), _factored(_means(vectors.groupBy("grp").agg(*_exprs(_SUMS)), "grp")).select("grp", *_FACTORS)
     starts = [df.select("grp", F.lit(k).alias("start"), F.lit(share).alias("share"), *_FACTORS) for k, (df, share) in enumerate(zip((medians, medians, whole), FIRST_SHARES))]
-    estimates, before = written(starts[0].unionByName(starts[1]).unionByName(starts[2])), None
-    while True:
-        found = written(_factored(_core(vectors, estimates)))
-        if before is not None:
-            fell = found.join(before.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).where(F.col("logdet") < F.col("was") - LEAST_FALL)
-            if fell.isEmpty():
-                break
-        before, estimates = found, found.withColumn("share", F.lit(CORE_SHARE))
+    estimates = written(starts[0].unionByName(starts[1]).unionByName(starts[2]))
+    first = _factored(_core(vectors, estimates)).withColumn("logdet", F.lit(float("inf")))  # of another share of the group, so not compared
+    state, columns = written(first.withColumn("open", F.lit(True))), first.columns[2:]
+    while not state.where("open").isEmpty():
+        found = _factored(_core(vectors, state.where("open").selectExpr("grp", "start", f"{CORE_SHARE}D AS share", *_FACTORS)))
+        both = state.alias("s").join(found.alias("f"), ["grp", "start"], "left").withColumn("fell", F.expr(f"coalesce(f.logdet < s.logdet - {LEAST_FALL}, FALSE)"))
+        state = written(both.selectExpr("grp", "start", *[f"IF(fell, f.{c}, s.{c}) AS {c}" for c in columns], "fell AS open"))
     best = F.min_by(F.struct("n", *_MOMENTS, "logdet"), F.struct("logdet", "start")).alias("b")
-    return found.groupBy("grp").agg(best).select("grp", "b.*")
+    return state.groupBy("grp").agg(best).select("grp", "b.*")
 
 
 def _drawn(own: DataFrame, groups: DataFrame) -> DataFrame:
     """Moments of each group drawn towards those of its language, and these towards all documents', by PRIOR documents."""
-    total = [F.sum("n").alias("whole_n"), *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"whole_{c}") for c in _MOMENTS]]
+    mean = lambda name: _exprs([f"sum(n) AS {name}_n", *[f"sum(n * {c}) / sum(n) AS {name}_{c}" for c in _MOMENTS]])
+    towards = lambda n, a, b, name: f"({n} * {a} + {PRIOR} * {b}) / ({n} + {PRIOR}) AS {name}"
     named = own.join(groups, "grp")
-    whole = F.broadcast(named.agg(*total))  # one row
-    alike = named.groupBy("lang").agg(F.sum("n").alias("lang_n"), *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"lang_{c}") for c in _MOMENTS]).crossJoin(whole)
-    towards = lambda n, a, b: (n * a + PRIOR * b) / (n + PRIOR)
-    alike = alike.select(F.col("lang").alias("l_lang"), *[towards(F.col("lang_n"), F.col(f"lang_{c}"), F.col(f"whole_{c}")).alias(f"lang_{c}") for c in _MOMENTS])
-    return named.join(alike, F.expr("lang <=> l_lang")).select("grp", "n", *[towards(F.col("n"), F.col(c), F.col(f"lang_{c}")).alias(c) for c in _MOMENTS])
+    whole = F.broadcast(named.agg(*mean("whole")))  # one row
+    alike = named.groupBy("lang").agg(*mean("lang")).crossJoin(whole)
+    alike = alike.selectExpr("lang AS l_lang", *[towards("lang_n", f"lang_{c}", f"whole_{c}", f"lang_{c}") for c in _MOMENTS])
+    return named.join(alike, F.expr("lang <=> l_lang")).selectExpr("grp", "n", *[towards("n", c, f"lang_{c}", c) for c in _MOMENTS])
 
 
 def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

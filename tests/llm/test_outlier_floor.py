@@ -32,21 +32,22 @@ def _step(x, mean, factor, share):
 
 
 def _concentrated(x):
-    width = outliers.UNIT // outliers.DISTANCE_BINS
+    width = outliers.UNIT // outliers.VALUE_BINS
     b = np.floor(x * outliers.UNIT / width)
     middle = lambda v: np.sort(v, axis=0)[int(np.ceil(len(v) * 0.5)) - 1]
     median = middle(b)
-    spread = np.maximum(1.4826 * middle(np.abs(b - median)) / outliers.DISTANCE_BINS, FLOOR)
-    medians = (median + 0.5) / outliers.DISTANCE_BINS, np.diag(spread)
+    spread = np.maximum(1.4826 * middle(np.abs(b - median)) / outliers.VALUE_BINS, FLOOR)
+    medians = (median + 0.5) / outliers.VALUE_BINS, np.diag(spread)
     best = []
     for start, share in zip((medians, medians, _factor(x)[:2]), outliers.FIRST_SHARES):
-        mean, factor, logdet = *start, np.inf
-        for _ in range(60):
-            core = _step(x, mean, factor, share)
-            mean, factor, now = _factor(core)
-            share, fell, logdet = outliers.CORE_SHARE, logdet - now, now
-            if fell <= outliers.LEAST_FALL and _ > 0:
+        core = _step(x, *start, share)
+        logdet = np.inf
+        while True:
+            found = _step(x, *_factor(core)[:2], outliers.CORE_SHARE)
+            now = _factor(found)[2]
+            if not now < logdet - outliers.LEAST_FALL:
                 break
+            core, logdet = found, now
         best.append((logdet, len(core)))
     return min(best)
 
@@ -59,7 +60,7 @@ def test_spreads_above_the_floor_stay(spark):
     rng = np.random.default_rng(4)
     for times in (0.1, 1.5, 4.0):
         x = np.round(rng.normal(0, 1, (400, P)) * FLOOR * times * outliers.UNIT).astype(int)
-        got = outliers._factored(outliers._means(_rows(spark, {"g": x}).groupBy("grp").agg(*outliers._sums()), "grp")).collect()[0]
+        got = outliers._factored(outliers._means(_rows(spark, {"g": x}).groupBy("grp").agg(*outliers._exprs(outliers._SUMS)), "grp")).collect()[0]
         _, want, logdet = _factor(x / outliers.UNIT)
         assert np.allclose([[got[f"l{i}_{j}"] if j <= i else 0.0 for j in range(P)] for i in range(P)], want) and got["logdet"] == pytest.approx(logdet)
 
@@ -72,8 +73,7 @@ def test_the_least_determinant_equals_plain_concentration(spark):
     got = {r["grp"]: r for r in outliers.least_determinants(_rows(spark, groups)).collect()}
     for g in ("clean", "mixed"):
         logdet, n = _concentrated(groups[g] / outliers.UNIT)
-        # Spark goes on until no group and start falls, so it ends at this determinant or just below
-        assert logdet - 0.1 < got[g]["logdet"] < logdet + 0.02 and abs(got[g]["n"] - n) <= 4
+        assert got[g]["logdet"] == pytest.approx(logdet, abs=1e-6) and got[g]["n"] == n
     assert max(abs(got["mixed"][f"a{i}"]) / FLOOR[i] for i in range(P)) < 1.5  # far rows stay out of the core
     assert set(got) == set(groups)
 
