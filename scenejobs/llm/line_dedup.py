@@ -50,7 +50,7 @@ class Lines:
 
     def __init__(self, table: pa.Table, run_lines: int, run_words: int) -> None:
         table = table.sort_by("id").combine_chunks()
-        self.ids, lists = table["id"].combine_chunks(), table["lines"].combine_chunks()
+        self.ids, self.same, lists = table["id"].combine_chunks(), table["same"].combine_chunks(), table["lines"].combine_chunks()
         self.hashes, self.words = lists.flatten().to_numpy(zero_copy_only=False).view(U64), table["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.end = np.cumsum(sizes)
@@ -105,18 +105,24 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "do
     3. Joined runs that go on at the same distance from their source make up maximal runs.
 
     Documents are dealt by id to slices. A slice names each hash once, with its first place, so
-    a line or passage that most documents share is one row per slice and makes no pairs. Ids
-    should be unique: rows with an equal id count as one long document in no fixed order.
-    Rows with a null id repeat nothing and are no source. An empty table gives no rows.
+    a line or passage that most documents share is one row per slice and makes no pairs. Rows
+    with an equal id are documents of their own, but what they share at the same line number
+    is no repeat, as neither place is earlier. Rows with a null id repeat nothing and are no
+    source. An empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
+    return _runs_of_rows(docs, run_lines, id_col, text_col, run_words).drop("same")
+
+
+def _runs_of_rows(docs: DataFrame, run_lines: int, id_col: str, text_col: str, run_words: int) -> DataFrame:
+    """repeated_runs() with same, a hash of the row's text, which tells rows with an equal id apart."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same")).where(F.col(id_col).isNotNull())
     kind = texts.schema["id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [line_hashes(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = [pa.array([signed(h) for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "lines", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "same", "lines", "words"])
 
     def ask_fingerprints(table: pa.Table) -> pa.Table:
         part = Lines(table, run_lines, run_words)
@@ -136,7 +142,7 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "do
         answers = answers.combine_chunks()
         known, place = answers["hash"].to_numpy().view(U64), answers["first"].combine_chunks() if len(answers) else None
         if place is None or not len(part.hashes):
-            return pa.table({"id": part.ids.slice(0, 0), "runs": pa.array([], runs_type)})
+            return pa.table({"id": part.ids.slice(0, 0), "same": part.same.slice(0, 0), "runs": pa.array([], runs_type)})
         starts, at, size = zip(*[(gram_hashes(part.hashes, k)[s], s, np.full(len(s), k)) for k, s in part.runs()])
         hashes, at, size = np.concatenate(starts), np.concatenate(at), np.concatenate(size)
         order = np.argsort(known)
@@ -153,21 +159,22 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "do
             chosen = by[a : a + n]
             found = _maximal(line[chosen].tolist(), size[chosen].tolist(), [ids[i] for i in chosen], [places[i] for i in chosen])
             rows.append([dict(zip(("start", "length", "source_id", "source_start"), r)) for r in found])
-        return pa.table({"id": part.ids.take(pa.array(part.owner[at[by[first]]])), "runs": pa.array(rows, runs_type)})
+        chosen = pa.array(part.owner[at[by[first]]])
+        return pa.table({"id": part.ids.take(chosen), "same": part.same.take(chosen), "runs": pa.array(rows, runs_type)})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     runs_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source_id", to_arrow_type(texts.schema["id"].dataType)), ("source_start", pa.int32())]))
-    lines = written(texts.mapInArrow(hashed, f"id {kind}, lines array<long>, words array<int>").where("size(lines) > 0"))
+    lines = written(texts.mapInArrow(hashed, f"id {kind}, same long, lines array<long>, words array<int>").where("size(lines) > 0"))
     n = (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) // SLICE_LINES + 1
-    dealt = lines.select("id", "lines", "words", F.pmod(F.xxhash64("id"), F.lit(n)).alias("slice")).repartition("slice").groupBy("slice")
+    dealt = lines.select("id", "same", "lines", "words", F.pmod(F.xxhash64("id"), F.lit(n)).alias("slice")).repartition("slice").groupBy("slice")
     marks = dealt.applyInArrow(ask_fingerprints, "slice long, hash long, n long")
     often = marks.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     hits = marks.join(often, "hash", "left_semi").select("slice", "hash")
     asked = written(dealt.cogroup(hits.groupBy("slice")).applyInArrow(ask_runs, f"slice long, hash long, place struct<id:{kind},at:int>, n long"))
     first = asked.groupBy("hash").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1").select("hash", "first")
     answers = asked.select("slice", "hash").join(first, "hash").select("slice", "hash", "first")
-    found = dealt.cogroup(answers.groupBy("slice")).applyInArrow(extend, f"id {kind}, runs array<struct<start:int,length:int,source_id:{kind},source_start:int>>")
+    found = dealt.cogroup(answers.groupBy("slice")).applyInArrow(extend, f"id {kind}, same long, runs array<struct<start:int,length:int,source_id:{kind},source_start:int>>")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -191,10 +198,10 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_
     but for one named n_gone, which is replaced.
     """
     docs = docs.drop("n_gone")
-    key, runs = unused(docs, "id"), unused(docs, "runs")
-    gone = repeated_runs(docs, run_lines, id_col, text_col, run_words).select(F.col(id_col).alias(key), F.col("runs").alias(runs))
+    key, same, runs = unused(docs, "id"), unused(docs, "same"), unused(docs, "runs")
+    gone = _runs_of_rows(docs, run_lines, id_col, text_col, run_words).select(F.col(id_col).alias(key), F.col("same").alias(same), F.col("runs").alias(runs)).dropDuplicates([key, same])
     names = docs.columns
-    joined = docs.join(gone, docs[id_col] == F.col(key), "left").select(*[docs[c] for c in names], runs)
+    joined = docs.join(gone, (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(same)), "left").select(*[docs[c] for c in names], runs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

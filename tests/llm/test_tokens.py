@@ -51,6 +51,32 @@ def test_pieces_equal_the_library_and_fill_sequences(make_docs, texts):
     assert len(by_sequence) <= -(-total // 256) * 1.02 + 1
 
 
+def test_ids_of_many_documents_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in packing.cut_pieces(docs, BYTE).collect()}
+    rows = docs.collect()
+    for r, found in zip(rows, library.encode_batch_fast([r["text"] or "" for r in rows], add_special_tokens=False)):
+        ids, at = np.array([*found.ids, 0], "<u4"), 0
+        for k in range(-(-len(ids) // 2048)):
+            n, crc = got.pop((r["doc_id"], k))
+            assert crc == zlib.crc32(ids[at : at + n].tobytes())
+            at += n
+        assert at == len(ids)
+    assert not got
+
+
+def test_many_shards_cost_about_a_sequence_each(spark):
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(2048, rng.lognormal(5.5, 1.2, 6000).astype(int) + 1).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    for shard in (10_000, 600, 100):
+        n = packing.pack(pieces, 2048, pieces_per_shard=shard).select("sequence_id").distinct().count()
+        assert n <= -(-sum(sizes) // 2048) + 1.5 * -(-len(sizes) // shard)
+
+
 def test_best_fit_equals_a_linear_search():
     sizes = np.sort(np.random.default_rng(1).integers(1, 101, 400))[::-1]
     bins, offsets = packing.best_fit(sizes, 100)
