@@ -37,6 +37,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema that written() has made, as one scan, however many they are."""
+    first = tables[0]
+    paths = sorted({name.rsplit("/", 1)[0] for table in tables for name in table.inputFiles()})
+    return first.sparkSession.read.schema(first.schema).parquet(*paths) if paths else first
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Removes tables that written() has made."""
     jvm = spark.sparkContext._jvm

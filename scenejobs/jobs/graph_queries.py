@@ -106,9 +106,8 @@ def g7(spark, sf_dir):
 
 @query("g8_frechet_gaussian", None)
 def g8(spark, sf_dir):
-    names = [f"e{i}" for i in range(8)]
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return rounded(graphs.frechet_gaussian(rows.where("label % 2 = 0"), rows.where("label % 2 = 1"), names))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("embedding").alias("vector"))
+    return rounded(graphs.frechet_gaussian(rows.where("label % 2 = 0"), rows.where("label % 2 = 1")))
 
 
 MEANS = ", ".join(f"round(avg({c}), 4) AS {c}" for c in graphs.ATTRIBUTES)

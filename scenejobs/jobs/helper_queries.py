@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scenejobs.jobs.raster_queries import HALF, RES, _agents, _pixels
+from scenejobs.functions.tables import shared_folder, written
+from scenejobs.jobs.raster_queries import HALF, _agents, _pixels
 from scenejobs.jobs.registry import query, rounded
-from scenejobs.operators import curves, graphs, lanes, raster, tracing, vectorize
-from scenejobs.sources import views
+from scenejobs.operators import agents, curves, graphs, lanes, maps, raster, tracing, vectorize
+from scenejobs.sources import scenes, views
 from scenejobs.sources.views import with_views
 
 
@@ -65,28 +68,126 @@ def v13_bezier(spark, sf_dir):
     return rounded(curves.bezier(_ends(spark, sf_dir).withColumns({"yaw1": F.lit(0.5), "yaw2": F.lit(-0.25)}), 9))
 
 
-@query("v17_routes", None)
-def v17(spark, sf_dir):
-    edges = views.graph_edges(spark, sf_dir).withColumn("edge_id", F.col("n1") * 1000 + F.col("n2"))
+def _place(node: str) -> str:
+    """Node numbers as places on a grid."""
+    return f"named_struct('x', ({node} % 10) * 8.0D, 'y', ({node} DIV 10 % 10) * 8.0D)"
+
+
+def _routes(spark, sf_dir):
+    """Edges with paths over the nodes' places, the ends with one edge, and the shortest routes from those of the first kind of node to those of the other."""
+    middle = f"named_struct('x', ({_place('n1')}.x + {_place('n2')}.x) / 2, 'y', ({_place('n1')}.y + {_place('n2')}.y) / 2)"
+    edges = views.graph_edges(spark, sf_dir).selectExpr("*", "n1 * 1000 + n2 AS edge_id", f"array({_place('n1')}, {middle}, {_place('n2')}) AS path")
+    edges = written(edges)
     ends = edges.select("graph_id", F.explode(F.array("n1", "n2")).alias("node")).groupBy("graph_id", "node").count().where("count = 1")
     terminals = ends.select("graph_id", "node", F.when(F.col("node") < 100, "inlet").otherwise("outlet").alias("kind"))
-    return graphs.routes(edges, terminals).select("graph_id", "source", "target", "length", F.size("nodes").alias("n_nodes"))
+    return edges, terminals, written(graphs.routes(edges, terminals))
+
+
+def _sides(edges):
+    """Both ends of every edge, with the yaw that points away from the node, along the edge."""
+    sides = edges.selectExpr("graph_id", "edge_id", "explode(array(named_struct('node', n1, 'other', n2), named_struct('node', n2, 'other', n1))) AS s")
+    sides = sides.selectExpr("graph_id", "edge_id", "s.node AS node", f"{_place('s.node')} AS p", f"{_place('s.other')} AS q")
+    return sides.selectExpr("graph_id", "edge_id", "node", "p.x AS x", "p.y AS y", "atan2(q.y - p.y, q.x - p.x) AS yaw")
+
+
+def _route_rows(found):
+    return found.select("graph_id", "source", "target", "length", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"), F.array_join(F.transform("waypoints", lambda p: F.concat_ws(":", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))), " ").alias("waypoints"))
+
+
+@query("v17_routes", None)
+def v17(spark, sf_dir):
+    edges, _, found = _routes(spark, sf_dir)
+    pairs = vectorize.pair_edges_at_node(_sides(edges).selectExpr("graph_id AS image_id", "node", "edge_id AS end", "yaw")).withColumnRenamed("image_id", "graph_id")
+    return _route_rows(graphs.with_waypoints(graphs.smooth_routes(found, pairs), edges))
+
+
+@query("v12_connect_intersections", None)
+def v12(spark, sf_dir):
+    edges, terminals, found = _routes(spark, sf_dir)
+    ends = terminals.join(_sides(edges), ["graph_id", "node"]).selectExpr("graph_id AS image_id", "node", "kind", "x", "y", "IF(kind = 'inlet', yaw, yaw + pi()) AS yaw")
+    routes = graphs.with_waypoints(found, edges).withColumnRenamed("graph_id", "image_id")
+    joined = vectorize.connect_intersections(*[ends.where(f"kind = '{k}'").drop("kind") for k in ("inlet", "outlet")], routes)
+    return rounded(joined.select("image_id", "entry", "exit", "kind", F.posexplode("curve").alias("i", "p")).select("image_id", "entry", "exit", "kind", "i", "p.x", "p.y"))
+
+
+@query("l8_reference_path", None)
+def l8(spark, sf_dir):
+    points = maps.polyline_heading(views.lane_points(spark, sf_dir))
+    topology = views.lane_topology(spark, sf_dir)
+    entry = topology.select("sid", F.col("exit_fid").alias("fid"), F.col("fid").alias("entry"))
+    known = views.lanes(spark, sf_dir).select("sid", "fid").join(topology.groupBy("sid", "fid").agg(F.min("exit_fid").alias("exit")), ["sid", "fid"], "left").join(entry, ["sid", "fid"], "left")
+    return rounded(lanes.reference_path(views.tracks(spark, sf_dir), points, known, 10))
+
+
+SCENES_SQL = """SELECT CAST(sid AS VARCHAR) AS sid, track_index, count(*) AS n, CAST(min(t) AS INT) AS t0, CAST(max(t) AS INT) AS t1, round(sum(x), 3) AS x, round(sum((heading + pi()) - 2 * pi() * floor((heading + pi()) / (2 * pi())) - pi()), 3) AS heading, bool_and(valid) AS valid
+FROM (SELECT sid, x, heading, valid, row_number() OVER (PARTITION BY sid, track_index ORDER BY t) - 1 AS t, dense_rank() OVER (PARTITION BY sid ORDER BY track_index) - 1 AS track_index FROM tracks) q GROUP BY 1, 2"""
+
+
+def _scenes(spark, sf_dir):
+    """Lanes and tracks nested as scenario records, written in shards and read back."""
+    st = lambda *fields: F.struct(*[f.alias(n) for n, f in fields])
+    null = lambda kind: F.lit(None).cast(kind)
+    point = st(("x", F.col("x")), ("y", F.col("y")), ("z", F.col("z")))
+    lanes_ = views.lane_points(spark, sf_dir).groupBy("sid", "fid", "global_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", point.alias("p")))), lambda p: p["p"]).alias("points"))
+    kinds = {f.name: f.dataType.simpleString() for f in scenes.schema_of("map_features")}
+    lane, edge = F.col("global_type") != 3, F.col("global_type") == 3
+    feature = st(
+        ("id", F.col("fid")), ("lane", F.when(lane, st(("type", F.col("global_type")), ("speed_limit_mph", F.lit(25.0)), ("polyline", F.col("points")), ("entry_lanes", null("array<bigint>")), ("exit_lanes", null("array<bigint>")), ("left_neighbors", null(scenes.NEIGHBORS)), ("right_neighbors", null(scenes.NEIGHBORS))))),
+        ("road_line", null(kinds["road_line"])), ("road_edge", F.when(edge, st(("type", F.lit(2)), ("polyline", F.col("points"))))), ("stop_sign", null(kinds["stop_sign"])), ("crosswalk", null(kinds["crosswalk"])),
+        ("speed_bump", null(kinds["speed_bump"])), ("driveway", null(kinds["driveway"])),
+    )
+    features = lanes_.groupBy("sid").agg(F.array_sort(F.collect_list(feature), lambda a, b: (a["id"] - b["id"]).cast("int")).alias("map_features"))
+    state = st(*[(n, F.col(c)) for n, c in zip(scenes.STATES, ("x", "y", "z", "length", "width", "height", "heading", "vx", "vy", "valid"))])
+    tracks = views.tracks(spark, sf_dir).groupBy("sid", "track_index", "object_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", state.alias("s")))), lambda p: p["s"]).alias("states"))
+    nested = tracks.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("track_index", F.col("track_index").cast("int").alias("id"), "object_type", "states"))).alias("k"))
+    nested = nested.select("sid", F.transform("k", lambda k: F.struct(k["id"].alias("id"), k["object_type"].alias("object_type"), k["states"].alias("states"))).alias("tracks"))
+    records = features.join(nested, "sid", "full").select(F.col("sid").cast("string").alias("sid"), F.lit(0).alias("sdc_track_index"), F.lit(10).alias("current_time_index"), F.array(F.lit(0)).alias("predict_list"), "map_features", "tracks")
+    path = f"{shared_folder(spark)}/scenes-{uuid.uuid4().hex}"
+    scenes.write_scenarios(records, path, 8)
+    return scenes.read_scenarios(spark, path)
+
+
+@query("m1_explode_map", with_views(["lane_points"], """SELECT CAST(sid AS VARCHAR) AS sid, fid AS feature_id, CASE WHEN global_type = 3 THEN 'road_edge' ELSE 'lane' END AS kind, CAST(dense_rank() OVER (PARTITION BY sid ORDER BY fid) - 1 AS INT) AS feature_pos, pt_idx,
+round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y, z, CAST(CASE global_type WHEN 3 THEN 16 ELSE global_type END AS INT) AS global_type FROM lane_points"""))
+def m1(spark, sf_dir):
+    return rounded(maps.explode_map(_scenes(spark, sf_dir)))
+
+
+@query("t1_explode_tracks", with_views(["tracks"], """SELECT CAST(sid AS VARCHAR) AS sid, CAST(dense_rank() OVER (PARTITION BY sid ORDER BY track_index) - 1 AS INT) AS track_index, object_type, CAST(row_number() OVER (PARTITION BY sid, track_index ORDER BY t) - 1 AS INT) AS t,
+round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y, round((heading + pi()) - 2 * pi() * floor((heading + pi()) / (2 * pi())) - pi(), 4) + 0.0::DOUBLE AS heading, round(vx, 4) + 0.0::DOUBLE AS vx, round(length, 4) AS length, valid FROM tracks"""))
+def t1(spark, sf_dir):
+    return rounded(agents.explode_tracks(_scenes(spark, sf_dir)).select("sid", "track_index", "object_type", "t", "x", "y", "heading", "vx", "length", "valid"))
+
+
+@query("s1_s2_scenarios", with_views(["tracks"], SCENES_SQL))
+def s1(spark, sf_dir):
+    rows = agents.explode_tracks(_scenes(spark, sf_dir)).groupBy("sid", "track_index")
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("x").alias("x"), F.sum("heading").alias("heading"), F.bool_and("valid").alias("valid"))
+    return rounded(found.withColumn("track_index", F.col("track_index").cast("long")), 3)
+
+
+@query("s4_write_vectors", with_views(["lane_points", "tracks", "graph_edges"], """SELECT 'lanes' AS part, count(*) AS n, CAST(0 AS BIGINT) AS marks FROM lane_points UNION ALL SELECT 'agents', count(*), count(*) FROM tracks WHERE t = 10 AND valid UNION ALL SELECT 'edges', count(*), 0 FROM graph_edges"""))
+def s4(spark, sf_dir):
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    scenes.write_vectors(views.lane_points(spark, sf_dir), views.tracks(spark, sf_dir).where("t = 10 AND valid").drop("object_type"), views.graph_edges(spark, sf_dir), path)
+    count = lambda part, marks: spark.read.parquet(f"{path}/{part}").agg(F.count(F.lit(1)).alias("n"), marks.alias("marks")).select(F.lit(part).alias("part"), "n", F.coalesce("marks", F.lit(0).cast("long")).alias("marks"))
+    return count("lanes", F.lit(0).cast("long")).unionAll(count("agents", F.sum(F.expr("IF(object_type = 1 AND sdc_track_index = 0, 1, 0)")))).unionAll(count("edges", F.lit(0).cast("long")))
 
 
 @query("l6_drop_overlapping", None)
 def l6(spark, sf_dir):
-    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label AS sid", "vec_id AS fid", "row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank")
-    found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), ranked.where("rank <= 2"), ranked.selectExpr("sid", "fid", "32L AS n"), 60)
+    known = views.lanes(spark, sf_dir)
+    found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), known, known.selectExpr("sid", "fid", "32L AS n"))
     listed = found.select("sid", F.lit(0).alias("track_index"), F.row_number().over(W.partitionBy("sid").orderBy("path")).alias("pos"), "path")
     return lanes.drop_overlapping(listed).select("sid", "pos", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 @query("l7_lane_bfs", None)
 def l7(spark, sf_dir):
-    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label AS sid", "vec_id AS lane_id", "row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank", "lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS beside")
+    ranked = views.lanes(spark, sf_dir).withColumnRenamed("fid", "lane_id")
     exits = views.lane_topology(spark, sf_dir).groupBy("sid", F.col("fid").alias("lane_id")).agg(F.array_sort(F.collect_list("exit_fid")).alias("exits"))
     known = ranked.join(exits, ["sid", "lane_id"], "left").selectExpr(
         "sid", "lane_id", "32 AS n", "coalesce(exits, array()) AS exits", "CASE WHEN beside IS NULL THEN array() ELSE array(named_struct('id', beside, 'first', 0, 'last', 31)) END AS neighbors"
     )
-    starts = ranked.where("rank <= 3").selectExpr("sid", "rank AS agent", "0 AS pos", "lane_id", "10 AS start")
+    starts = ranked.selectExpr("sid", "rank AS agent", "0 AS pos", "lane_id", "10 AS start")
     return lanes.lane_bfs(starts, known, 120, 20)

@@ -35,7 +35,7 @@ SELECT sid, track_index, 'left' AS side, fid, pt_idx AS start FROM p WHERE rn =
 def l2(spark, sf_dir):
     points, agents = views.lane_points(spark, sf_dir), _agents(spark, sf_dir)
     current = lanes.nearest_point(agents, points).withColumnRenamed("pt_idx", "idx").join(agents.select("sid", "track_index", "x", "y"), ["sid", "track_index"])
-    rank = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label AS sid", "vec_id AS fid", "lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS neighbor_id").where("neighbor_id IS NOT NULL")
+    rank = views.lanes(spark, sf_dir).withColumnRenamed("beside", "neighbor_id").where("neighbor_id IS NOT NULL")
     neighbors = rank.selectExpr("sid", "fid", "'left' AS side", "0 AS pos", "neighbor_id", "0 AS self_start", "25 AS self_end")
     return lanes.neighbor_lanes(current, neighbors, points)
 
@@ -56,29 +56,29 @@ def l4(spark, sf_dir):
     return found.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("fid", "pt_idx")})
 
 
-@query("l5_lane_sequences", with_views(["lane_topology"], """WITH chains AS (SELECT sid, [fid] AS path, 0 AS points FROM lane_rank WHERE rank <= 2
-  UNION ALL SELECT c.sid, list_append(c.path, t.exit_fid), c.points + 32 FROM chains c JOIN lane_topology t ON t.sid = c.sid AND t.fid = c.path[len(c.path)] WHERE c.points <= 100 AND NOT list_contains(c.path, t.exit_fid))
-SELECT sid, array_to_string(path, ',') AS path FROM chains c WHERE points > 100 OR NOT EXISTS (SELECT 1 FROM lane_topology t WHERE t.sid = c.sid AND t.fid = c.path[len(c.path)])"""))
+@query("l5_lane_sequences", with_views(["lane_topology"], """WITH chains AS (SELECT sid, [fid] AS path, 0 AS points FROM lane_rank
+  UNION ALL SELECT c.sid, list_append(c.path, t.exit_fid), c.points + 32 FROM chains c JOIN lane_topology t ON t.sid = c.sid AND t.fid = c.path[len(c.path)] WHERE c.points <= 300 AND NOT list_contains(c.path, t.exit_fid))
+SELECT sid, array_to_string(path, ',') AS path FROM chains c WHERE points > 300 OR NOT EXISTS (SELECT 1 FROM lane_topology t WHERE t.sid = c.sid AND t.fid = c.path[len(c.path)])"""))
 def l5(spark, sf_dir):
-    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("label AS sid", "vec_id AS fid", "row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank")
-    found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), ranked.where("rank <= 2"), ranked.selectExpr("sid", "fid", "32L AS n"), 100)
+    known = views.lanes(spark, sf_dir)
+    found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), known, known.selectExpr("sid", "fid", "32L AS n"))
     return found.select("sid", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-SIGNALS_SQL = """signals AS (SELECT sid, round(x * 2) / 2 AS sx, round(y * 2) / 2 AS sy, track_index % 9 AS state FROM tracks WHERE t <= 20),
-walks AS (SELECT sid, fid, pt_idx, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM lane_points WHERE fid % 40 = 0 WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx))"""
+SIGNALS_SQL = """signals AS (SELECT sid, round(x * 2) / 2 AS sx, round(y * 2) / 2 AS sy, t % 9 AS state FROM tracks),
+walks AS (SELECT sid, fid, pt_idx, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM lane_points WHERE global_type = 3 WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx))"""
 
 
 @query("l9_annotate_path", with_views(BASE, f"""WITH {SIGNALS_SQL},
-p AS (SELECT sid, fid, pt_idx, x, y FROM lane_points WHERE fid % 4 = 0),
+p AS (SELECT sid, fid, pt_idx, x, y FROM lane_points),
 st AS (SELECT DISTINCT p.sid, p.fid, p.pt_idx FROM p JOIN signals s ON s.sid = p.sid WHERE state IN (1, 4, 7) AND sqrt((x - sx) ** 2 + (y - sy) ** 2) < 0.2),
 wk AS (SELECT DISTINCT sid, fid, pt_idx FROM (SELECT p.sid, p.fid, p.pt_idx, w.fid AS g FROM p JOIN walks w ON w.sid = p.sid WHERE y1 <> y2 AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2, 3, 4 HAVING count(*) % 2 = 1))
 SELECT p.sid, p.fid, p.pt_idx, round(CASE WHEN st.sid IS NOT NULL THEN 0 WHEN wk.sid IS NOT NULL THEN 1 ELSE (25 + 5 * (p.fid % 5)) / 2.237::DOUBLE END, 4) AS annotation
 FROM p LEFT JOIN st ON st.sid = p.sid AND st.fid = p.fid AND st.pt_idx = p.pt_idx LEFT JOIN wk ON wk.sid = p.sid AND wk.fid = p.fid AND wk.pt_idx = p.pt_idx"""))
 def l9(spark, sf_dir):
     points = views.lane_points(spark, sf_dir)
-    signals = views.tracks(spark, sf_dir).where("t <= 20").selectExpr("sid", "round(x * 2) / 2 AS x", "round(y * 2) / 2 AS y", "track_index % 9 AS state")
-    walks = points.where("fid % 40 = 0").withColumnRenamed("fid", "polygon_id").select("sid", "polygon_id", "pt_idx", "x", "y")
-    path = points.where("fid % 4 = 0").select("sid", "fid", "pt_idx", "x", "y")
+    signals = views.tracks(spark, sf_dir).selectExpr("sid", "round(x * 2) / 2 AS x", "round(y * 2) / 2 AS y", "t % 9 AS state")
+    walks = points.where("global_type = 3").withColumnRenamed("fid", "polygon_id").select("sid", "polygon_id", "pt_idx", "x", "y")
+    path = points.select("sid", "fid", "pt_idx", "x", "y")
     limits = path.select("sid", "fid").distinct().withColumn("speed_limit_mph", (25 + 5 * (F.col("fid") % 5)).cast("double"))
     return rounded(lanes.annotate_path(path, signals, walks, limits).select("sid", "fid", "pt_idx", "annotation"))

@@ -51,10 +51,10 @@ def m3(spark, sf_dir):
     return rounded(maps.polyline_heading(_points(spark, sf_dir)).select("sid", "fid", "pt_idx", "theta"))
 
 
-@query("m4_all_polylines", with_views(["lane_points"], "SELECT global_type, count(*) AS n, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 2) AS x FROM lane_points WHERE global_type IN (1, 3) GROUP BY 1"))
+@query("m4_all_polylines", with_views(["lane_points"], "SELECT global_type, count(*) AS n, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 2) AS x FROM lane_points GROUP BY 1"))
 def m4(spark, sf_dir):
     points = _points(spark, sf_dir)
-    whole = maps.all_polylines(points.where("global_type = 1"), points.where("global_type = 3"))
+    whole = maps.all_polylines(*[points.where(f"global_type = {k}") for k in (1, 2, 3)])
     return rounded(whole.groupBy("global_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("x")), 2)
 
 
@@ -136,42 +136,62 @@ def p9(spark, sf_dir):
     return polylines.cut_on_curvature(lanes).select("sid", F.col("seg").alias("fid"), F.col("pos").alias("pt_idx"), F.col("piece").cast("long").alias("piece"))
 
 
-@query("p12_resample", with_views(["lane_points"], f"""WITH d AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM lane_points WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx)),
-s AS (SELECT *, sum(step) OVER (PARTITION BY sid, fid ORDER BY pt_idx ROWS UNBOUNDED PRECEDING) AS s FROM d),
-u AS (SELECT sid, fid, pt_idx, x, y, s / max(s) OVER (PARTITION BY sid, fid) AS u FROM s),
-b AS (SELECT *, lead(u) OVER w AS nu, lead(x) OVER w AS nx, lead(y) OVER w AS ny, max(pt_idx) OVER (PARTITION BY sid, fid) AS m FROM u WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx)),
-t AS (SELECT CAST(unnest(range(16)) AS INT) AS k),
-o AS (SELECT sid, fid, k, x + (nx - x) * (k / 15.0::DOUBLE - u) / (nu - u) AS x, y + (ny - y) * (k / 15.0::DOUBLE - u) / (nu - u) AS y FROM b, t
-  WHERE nu > u AND k >= ceil(u * 15) AND (k < ceil(nu * 15) OR (pt_idx = m - 1 AND k <= 15)))
-SELECT sid, fid, k, {_r('x', 'y')} FROM o"""))
+def _along_sql(name: str, measured: list[str], values: list[str]) -> str:
+    gap = " + ".join(f"({c} - lag({c}) OVER w) ** 2" for c in measured)
+    ahead = ", ".join(f"lead({c}) OVER w AS n_{c}" for c in ("u", *values))
+    out = ", ".join(f"{c} + (n_{c} - {c}) * (k / 15.0::DOUBLE - u) / (n_u - u) AS {c}" for c in values)
+    return f"""{name}_s AS (SELECT *, coalesce(sqrt({gap}), 0) AS step FROM headed_points WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx)),
+{name}_t AS (SELECT *, sum(step) OVER (PARTITION BY sid, fid ORDER BY pt_idx ROWS UNBOUNDED PRECEDING) AS s FROM {name}_s),
+{name}_u AS (SELECT *, s / max(s) OVER (PARTITION BY sid, fid) AS u FROM {name}_t),
+{name}_b AS (SELECT *, {ahead} FROM {name}_u WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx)),
+{name}_m AS (SELECT *, max(n_u) OVER (PARTITION BY sid, fid) AS top FROM {name}_b WHERE n_u > u),
+{name} AS (SELECT sid, fid, k, {out} FROM {name}_m, steps WHERE k >= ceil(u * 15) AND (k < ceil(n_u * 15) OR (n_u = top AND k <= 15)))"""
+
+
+@query("p12_resample", with_views(["lane_points"], f"""WITH {DIRECTION_SQL}, {HEADING_SQL},
+headed_points AS (SELECT d.sid, d.fid, d.pt_idx, CAST(d.pt_idx AS DOUBLE) AS i, d.global_type, d.x, d.y, d.z, dir_x, dir_y, 0.0::DOUBLE AS dir_z, (raw + pi()) - 2 * pi() * floor((raw + pi()) / (2 * pi())) - pi() AS theta
+  FROM directed d JOIN headed h ON h.sid = d.sid AND h.fid = d.fid AND h.pt_idx = d.pt_idx),
+steps AS (SELECT CAST(unnest(range(16)) AS INT) AS k),
+{_along_sql('p', ['x', 'y', 'z'], ['x', 'y', 'z'])}, {_along_sql('q', ['dir_x', 'dir_y', 'dir_z'], ['dir_x', 'dir_y', 'dir_z'])}, {_along_sql('r', ['i', 'theta'], ['theta'])},
+o AS (SELECT p.sid, p.fid, p.k, x, y, z, dir_x, dir_y, dir_z, theta FROM p JOIN q ON q.sid = p.sid AND q.fid = p.fid AND q.k = p.k JOIN r ON r.sid = p.sid AND r.fid = p.fid AND r.k = p.k)
+SELECT o.sid, o.fid, k, {_r('x', 'y', 'z', 'dir_x', 'dir_y', 'dir_z', 'theta')}, global_type FROM o JOIN (SELECT sid, fid, max(global_type) AS global_type FROM lane_points GROUP BY 1, 2) t ON t.sid = o.sid AND t.fid = o.fid"""))
 def p12(spark, sf_dir):
-    return rounded(polylines.resample(_points(spark, sf_dir), 16))
+    points = maps.polyline_heading(maps.polyline_direction(_points(spark, sf_dir)))
+    return rounded(polylines.resample(points, 16).select("sid", "fid", "k", "x", "y", "z", "dir_x", "dir_y", "dir_z", "theta", "global_type"))
 
 
-@query("p13_pack", with_views(["lane_points"], """WITH l AS (SELECT sid, fid, avg(x) AS mean_x FROM lane_points GROUP BY 1, 2),
+@query("p13_pack", with_views(["lane_points"], """WITH l AS (SELECT sid, fid, avg(x) AS mean_x, list(x ORDER BY pt_idx) AS xs FROM lane_points WHERE global_type = 2 AND sid <> 1 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fid) - 1 AS slot FROM l),
-s AS (SELECT *, unnest(range(64)) AS slot FROM (SELECT DISTINCT sid FROM l))
-SELECT s.sid, CAST(s.slot AS INT) AS slot, CASE WHEN r.fid IS NULL THEN 0 ELSE 1 END AS mask, round(coalesce(mean_x, 0.2), 4) + 0.0::DOUBLE AS mean_x FROM s LEFT JOIN r ON r.sid = s.sid AND r.slot = s.slot"""))
+s AS (SELECT *, unnest(range(16)) AS slot FROM (SELECT DISTINCT p.sid, l.sid IS NULL AS empty FROM lane_points p LEFT JOIN l ON l.sid = p.sid)),
+c AS (SELECT s.sid, s.slot, s.empty, r.fid, mean_x, unnest(coalesce(xs, list_resize(CAST([] AS DOUBLE[]), 32, CASE WHEN s.empty THEN 0.0 ELSE 0.2 END))) AS x, unnest(range(32)) AS i FROM s LEFT JOIN r ON r.sid = s.sid AND r.slot = s.slot)
+SELECT sid, CAST(slot AS INT) AS slot, CASE WHEN fid IS NULL THEN 0 ELSE 1 END AS mask, empty, round(coalesce(mean_x, CASE WHEN empty THEN 0 ELSE 0.2 END), 4) + 0.0::DOUBLE AS mean_x, CAST(i AS INT) AS i, round(x, 4) + 0.0::DOUBLE AS x FROM c"""))
 def p13(spark, sf_dir):
-    lanes = _points(spark, sf_dir).groupBy("sid", "fid").agg(F.avg("x").alias("mean_x"))
-    return rounded(polylines.pack(lanes, 64, ["mean_x"]))
+    points = _points(spark, sf_dir)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pt_idx", "x"))), lambda p: p["x"])
+    lanes = points.where("global_type = 2 AND sid != 1").groupBy("sid", "fid").agg(F.avg("x").alias("mean_x"), ordered.alias("xs"))
+    packed = polylines.pack(lanes, 16, ["mean_x", "xs"], scenarios=points)
+    return rounded(packed.select("sid", "slot", "mask", "empty", "mean_x", F.posexplode("xs").alias("i", "x")))
 
 
 CENTERS_SQL = """listed AS (SELECT sid, unnest(predict_list) AS track_index, unnest(range(len(predict_list))) AS center_index FROM scenarios),
 centers AS (SELECT l.sid, CAST(center_index AS INT) AS center_index, l.track_index, x, y, z, heading, vx, vy FROM listed l JOIN tracks r ON r.sid = l.sid AND r.track_index = l.track_index WHERE t = 10)"""
 
 
-@query("p14_nearest_polylines", with_views(["lane_points", "tracks", "scenarios"], f"""WITH {CENTERS_SQL},
-m AS (SELECT sid, fid, avg(x) AS mx, avg(y) AS my FROM lane_points GROUP BY 1, 2),
-k AS (SELECT c.sid, center_index, fid, c.x AS cx, c.y AS cy, heading, CAST(row_number() OVER (PARTITION BY c.sid, center_index ORDER BY sqrt((mx - c.x - 30 * cos(heading)) ** 2 + (my - c.y - 30 * sin(heading)) ** 2), fid) AS INT) AS rank FROM centers c JOIN m ON m.sid = c.sid),
-p AS (SELECT k.sid, center_index, rank, k.fid, pt_idx, (x - cx) * cos(heading) + (y - cy) * sin(heading) AS x, (y - cy) * cos(heading) - (x - cx) * sin(heading) AS y FROM k JOIN lane_points p ON p.sid = k.sid AND p.fid = k.fid WHERE rank <= 8),
+@query("p14_nearest_polylines", with_views(["lane_points", "tracks", "scenarios"], f"""WITH {DIRECTION_SQL}, {CENTERS_SQL},
+v AS (SELECT *, (fid + pt_idx) % 7 <> 0 AS valid FROM directed),
+m AS (SELECT sid, fid, avg(x) AS mx, avg(y) AS my FROM v WHERE valid GROUP BY 1, 2),
+k AS (SELECT c.sid, center_index, fid, mx, my, c.x AS cx, c.y AS cy, heading, CAST(row_number() OVER (PARTITION BY c.sid, center_index ORDER BY sqrt((mx - c.x - 30 * cos(heading)) ** 2 + (my - c.y - 30 * sin(heading)) ** 2), fid) AS INT) AS rank FROM centers c JOIN m ON m.sid = c.sid),
+p AS (SELECT k.sid, center_index, rank, k.fid, pt_idx, valid, CASE WHEN valid THEN (x - cx) * cos(heading) + (y - cy) * sin(heading) ELSE 0 END AS x, CASE WHEN valid THEN (y - cy) * cos(heading) - (x - cx) * sin(heading) ELSE 0 END AS y, 0.0::DOUBLE AS z,
+  CASE WHEN valid THEN dir_x * cos(heading) + dir_y * sin(heading) ELSE 0 END AS dir_x, CASE WHEN valid THEN dir_y * cos(heading) - dir_x * sin(heading) ELSE 0 END AS dir_y,
+  (mx - cx) * cos(heading) + (my - cy) * sin(heading) AS mean_x, (my - cy) * cos(heading) - (mx - cx) * sin(heading) AS mean_y FROM k JOIN v p ON p.sid = k.sid AND p.fid = k.fid WHERE rank <= 8),
 q AS (SELECT *, coalesce(lag(x) OVER w, x) AS prev_x, coalesce(lag(y) OVER w, y) AS prev_y FROM p WINDOW w AS (PARTITION BY sid, center_index, fid ORDER BY pt_idx))
-SELECT sid, center_index, rank, fid, pt_idx, {_r('x', 'y', 'prev_x', 'prev_y')} FROM q"""))
+SELECT sid, center_index, rank, fid, pt_idx, valid, {_r('x', 'y', 'z', 'dir_x', 'dir_y', 'mean_x', 'mean_y', 'prev_x', 'prev_y')} FROM q"""))
 def p14(spark, sf_dir):
     from scenejobs.operators import agents
 
     centers = agents.center_objects(views.tracks(spark, sf_dir), views.scenarios(spark, sf_dir))
-    return rounded(polylines.nearest_polylines(centers, _points(spark, sf_dir), 8))
+    points = maps.polyline_direction(_points(spark, sf_dir)).withColumn("valid", F.expr("(fid + pt_idx) % 7 != 0"))
+    return rounded(polylines.nearest_polylines(centers, points, 8))
 
 
 @query("s5_manifest", with_views(["lane_points"], "WITH m AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS idx FROM (SELECT DISTINCT sid FROM lane_points)) SELECT sid, idx FROM m WHERE idx % 3 = 0"))

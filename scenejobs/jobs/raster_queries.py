@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scenejobs.functions.tables import written
 from scenejobs.jobs.map_queries import DIRECTION_SQL, _r
 from scenejobs.jobs.registry import query, rounded
 from scenejobs.operators import maps, raster, vectorize
@@ -27,7 +28,7 @@ def _directed(spark, sf_dir):
 
 
 def _pixels(spark, sf_dir):
-    return raster.filled(raster.rasterize_points(_directed(spark, sf_dir), HALF, RES), RES)
+    return written(raster.filled(raster.rasterize_points(_directed(spark, sf_dir), HALF, RES), RES))
 
 
 def _agents(spark, sf_dir, t=10):
@@ -130,17 +131,50 @@ def v5(spark, sf_dir):
     return vectorize.skeleton_nodes(raster.foreground(_pixels(spark, sf_dir)).select("image_id", "row", "col"))
 
 
-@query("v8_edge_flow", with_views(["lane_points"], f"""WITH {PIXELS_SQL},
+FLOW_SQL = f"""{PIXELS_SQL},
 pp AS (SELECT sid AS image_id, fid AS edge_id, pt_idx, CAST(floor((40 - y) / 1.25) AS INT) AS row, CAST(floor((x + 40) / 1.25) AS INT) AS col FROM lane_points WHERE abs(x) < 40 AND abs(y) < 40),
 n AS (SELECT *, count(*) OVER (PARTITION BY image_id, edge_id) AS n FROM pp),
 j AS (SELECT n.*, r * 255 - 128 AS u, 128 - g * 255 AS v FROM n JOIN pixels p ON p.image_id = n.image_id AND p.row = n.row AND p.col = n.col),
 s AS (SELECT image_id, edge_id, sum(u / greatest(sqrt(u * u + v * v), 1e-6)) AS u, sum(v / greatest(sqrt(u * u + v * v), 1e-6)) AS v,
-  arg_min(row, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS r0, arg_max(row, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS r1, arg_min(col, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS c0, arg_max(col, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS c1 FROM j GROUP BY 1, 2)
-SELECT image_id, edge_id, coalesce(u * (c1 - c0) + v * (r1 - r0) > 0, FALSE) AS keep FROM s"""))
+  arg_min(row, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS r0, arg_max(row, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS r1, arg_min(col, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS c0, arg_max(col, pt_idx) FILTER (pt_idx >= greatest(n - 20, 0)) AS c1 FROM j GROUP BY 1, 2),
+flow AS (SELECT image_id, edge_id, u * (c1 - c0) + v * (r1 - r0) > 0 AS keep FROM s)"""
+DIRECTED_SQL = FLOW_SQL + """,
+e AS (SELECT sid AS image_id, fid AS edge_id, CAST(floor(arg_min(x, pt_idx) / 5) * 1000 + floor(arg_min(y, pt_idx) / 5) AS BIGINT) AS a, CAST(floor(arg_max(x, pt_idx) / 5) * 1000 + floor(arg_max(y, pt_idx) / 5) AS BIGINT) AS b,
+  string_agg(CAST(pt_idx AS VARCHAR), ',' ORDER BY pt_idx) AS there, string_agg(CAST(pt_idx AS VARCHAR), ',' ORDER BY pt_idx DESC) AS back FROM lane_points GROUP BY 1, 2),
+directed_edges AS (SELECT e.image_id, e.edge_id, CASE WHEN coalesce(keep, TRUE) THEN a ELSE b END AS n1, CASE WHEN coalesce(keep, TRUE) THEN b ELSE a END AS n2, CASE WHEN coalesce(keep, TRUE) THEN there ELSE back END AS path
+  FROM e LEFT JOIN flow f ON f.image_id = e.image_id AND f.edge_id = e.edge_id)"""
+TERMINAL_SQL = DIRECTED_SQL + """,
+node_ends AS (SELECT image_id, edge_id, n1 AS node, 'inlet' AS kind FROM directed_edges UNION ALL SELECT image_id, edge_id, n2, 'outlet' FROM directed_edges)"""
+
+
+@query("v8_edge_flow", with_views(["lane_points"], f"WITH {FLOW_SQL} SELECT image_id, edge_id, coalesce(keep, FALSE) AS keep FROM flow"))
 def v8(spark, sf_dir):
+    return _flow(spark, sf_dir).withColumn("keep", F.coalesce("keep", F.lit(False)))
+
+
+def _flow(spark, sf_dir):
     points = views.lane_points(spark, sf_dir).where("abs(x) < 40 AND abs(y) < 40")
     path = points.select(F.col("sid").alias("image_id"), F.col("fid").alias("edge_id"), "pt_idx", F.floor((40 - F.col("y")) / 1.25).cast("int").alias("row"), F.floor((F.col("x") + 40) / 1.25).cast("int").alias("col"))
-    return vectorize.edge_flow(path, _pixels(spark, sf_dir)).withColumn("keep", F.coalesce("keep", F.lit(False)))
+    return vectorize.edge_flow(path, _pixels(spark, sf_dir))
+
+
+def _edges_by_flow(spark, sf_dir):
+    points = views.lane_points(spark, sf_dir)
+    edges = points.groupBy(F.col("sid").alias("image_id"), F.col("fid").alias("edge_id")).agg(F.sort_array(F.collect_list(F.struct("pt_idx", "x", "y"))).alias("path"))
+    spot = lambda i: F.expr(f"floor(element_at(path, {i}).x / 5) * 1000 + floor(element_at(path, {i}).y / 5)")
+    return vectorize.directed(edges.select("image_id", "edge_id", spot(1).alias("n1"), spot(-1).alias("n2"), "path"), _flow(spark, sf_dir))
+
+
+@query("v8_directed_edges", with_views(["lane_points"], f"WITH {DIRECTED_SQL} SELECT * FROM directed_edges"))
+def v8_directed(spark, sf_dir):
+    rows = _edges_by_flow(spark, sf_dir)
+    return rows.select("image_id", "edge_id", F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), F.array_join(F.transform("path", lambda p: p["pt_idx"].cast("string")), ",").alias("path"))
+
+
+@query("v8_inlets_and_outlets", with_views(["lane_points"], f"WITH {TERMINAL_SQL} SELECT image_id, node, min(edge_id) AS edge_id, min(kind) AS kind FROM node_ends GROUP BY 1, 2 HAVING count(*) = 1"))
+def v8_inlets(spark, sf_dir):
+    found = vectorize.inlets_and_outlets(_edges_by_flow(spark, sf_dir))
+    return found.withColumn("node", F.col("node").cast("long"))
 
 
 TERMINALS_SQL = "ends AS (SELECT sid AS image_id, fid * 2 + CASE WHEN pt_idx = 0 THEN 0 ELSE 1 END AS terminal, fid AS edge_id, x, y FROM lane_points WHERE pt_idx IN (0, 31))"
@@ -155,22 +189,33 @@ def v9(spark, sf_dir):
     return vectorize.close_gaps(ends)
 
 
-@query("v10_pair_edges_at_node", with_views(["graph_edges"], """WITH e AS (SELECT graph_id AS image_id, n1 AS node, n2 AS "end", (n2 * 37 % 63) / 10.0::DOUBLE - 3.1 AS yaw FROM graph_edges),
-p AS (SELECT a.image_id, a.node, a."end", b."end" AS partner, row_number() OVER (PARTITION BY a.image_id, a.node, a."end" ORDER BY round(abs((a.yaw - b.yaw) - 2 * pi() * floor((a.yaw - b.yaw) / (2 * pi())) - pi()), 9), b."end") AS rn
+ENDS_SQL = """e AS (SELECT graph_id AS image_id, n1 AS node, n2 AS "end", (n2 * 37 % 63) / 10.0::DOUBLE - 3.1 AS yaw FROM graph_edges)"""
+
+
+@query("v10_pair_edges_at_node", with_views(["graph_edges"], f"""WITH {ENDS_SQL},
+p AS (SELECT a.image_id, a.node, a."end", b."end" AS partner, round(abs((a.yaw - b.yaw) - 2 * pi() * floor((a.yaw - b.yaw) / (2 * pi())) - pi()), 9) AS bend
   FROM e a JOIN e b ON a.image_id = b.image_id AND a.node = b.node AND a."end" <> b."end"),
-v AS (SELECT * FROM p WHERE rn = 1)
-SELECT v.image_id, v.node, v."end", v.partner, w.node IS NOT NULL AS mutual FROM v LEFT JOIN v w ON w.image_id = v.image_id AND w.node = v.node AND w."end" = v.partner AND w.partner = v."end\""""))
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, node, "end" ORDER BY bend, partner) AS rn FROM p) WHERE rn = 1),
+d AS (SELECT image_id, node, "end", partner, bend, TRUE AS voted FROM v UNION ALL SELECT image_id, node, partner, "end", bend, FALSE FROM v),
+b AS (SELECT image_id, node, "end", partner, bend, bool_or(voted) AS voted FROM d GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT image_id, node, partner AS "end", count(*) AS votes FROM v GROUP BY 1, 2, 3)
+SELECT b.image_id, b.node, b."end", partner, round(bend, 4) AS bend, voted, coalesce(votes, 0) AS votes FROM b LEFT JOIN g ON g.image_id = b.image_id AND g.node = b.node AND g."end" = b."end\""""))
 def v10(spark, sf_dir):
-    return vectorize.pair_edges_at_node(views.graph_edges(spark, sf_dir).selectExpr("graph_id AS image_id", "n1 AS node", "n2 AS end", "(n2 * 37 % 63) / 10.0D - 3.1D AS yaw"))
+    return rounded(vectorize.pair_edges_at_node(views.graph_edges(spark, sf_dir).selectExpr("graph_id AS image_id", "n1 AS node", "n2 AS end", "(n2 * 37 % 63) / 10.0D - 3.1D AS yaw")))
 
 
-@query("v11_cut_lanes", with_views(["lane_points"], """WITH l AS (SELECT sid AS image_id, fid AS edge_id, fid % 3 = 0 AS st, fid % 5 = 0 AS et, max(pt_idx) + 1 AS n FROM lane_points GROUP BY 1, 2)
-SELECT p.sid AS image_id, p.fid AS edge_id, CAST(count(*) AS INT) AS n, CAST(min(pt_idx) AS INT) AS first_idx FROM lane_points p JOIN l ON l.image_id = p.sid AND l.edge_id = p.fid
-WHERE CASE WHEN st AND et THEN TRUE WHEN st THEN pt_idx < n - 5 WHEN et THEN pt_idx >= 5 ELSE pt_idx >= 5 AND pt_idx < n - 5 END GROUP BY 1, 2"""))
+@query("v11_cut_lanes", with_views(["lane_points"], """WITH l AS (SELECT sid AS image_id, fid AS edge_id, fid % 3 = 0 AS st, fid % 5 = 0 AS et, max(pt_idx) + 1 AS n FROM lane_points GROUP BY 1, 2),
+k AS (SELECT l.*, pt_idx, x, y FROM lane_points p JOIN l ON l.image_id = p.sid AND l.edge_id = p.fid
+  WHERE CASE WHEN st AND et THEN TRUE WHEN st THEN pt_idx < n - 5 WHEN et THEN pt_idx >= 5 ELSE pt_idx >= 5 AND pt_idx < n - 5 END),
+c AS (SELECT *, min(pt_idx) OVER w AS a, max(pt_idx) OVER w AS b FROM k WINDOW w AS (PARTITION BY image_id, edge_id))
+SELECT image_id, edge_id, pt_idx, round(x, 4) + 0.0::DOUBLE AS x, CASE WHEN pt_idx = a THEN CASE WHEN st THEN 'map_entry' ELSE 'exit' END WHEN pt_idx = b THEN CASE WHEN et THEN 'map_exit' ELSE 'entry' END ELSE '' END AS node_type,
+  CASE WHEN pt_idx IN (a, b) THEN round(x, 1) ELSE 0 END + 0.0::DOUBLE AS node_x, CASE WHEN pt_idx IN (a, b) THEN round(y, 1) ELSE 0 END + 0.0::DOUBLE AS node_y FROM c"""))
 def v11(spark, sf_dir):
     edges = views.lane_points(spark, sf_dir).groupBy(F.col("sid").alias("image_id"), F.col("fid").alias("edge_id")).agg(F.sort_array(F.collect_list(F.struct("pt_idx", "x", "y"))).alias("path"))
     cut = vectorize.cut_lanes(edges.withColumns({"start_terminal": F.expr("edge_id % 3 = 0"), "end_terminal": F.expr("edge_id % 5 = 0")}))
-    return cut.select("image_id", "edge_id", F.size("path").alias("n"), F.col("path")[0]["pt_idx"].alias("first_idx"))
+    rows = cut.withColumn("n", F.size("path")).select("*", F.posexplode("path").alias("i", "p"))
+    at = lambda c: F.when(F.col("i") == 0, F.col(f"start{c}")).when(F.col("i") == F.col("n") - 1, F.col(f"end{c}"))
+    return rounded(rows.select("image_id", "edge_id", "p.pt_idx", "p.x", F.coalesce(at("_type"), F.lit("")).alias("node_type"), F.coalesce(at(".x"), F.lit(0.0)).alias("node_x"), F.coalesce(at(".y"), F.lit(0.0)).alias("node_y")))
 
 
 @query("v14_downsample_path", with_views(["lane_points"], """WITH p AS (SELECT sid AS image_id, fid AS edge_id, pt_idx, x, max(pt_idx) OVER (PARTITION BY sid, fid) + 1 AS n FROM lane_points WHERE pt_idx < 4 + fid % 29),

@@ -84,11 +84,11 @@ def t8(spark, sf_dir):
 
 
 @query("t9_select_interesting", with_views(BASE, f"""WITH {CENTERS_SQL},
-lists AS (SELECT sid, center_index, CASE WHEN center_index = 0 THEN [track_index] ELSE [track_index, track_index + 32, -5] END AS l FROM centers),
+lists AS (SELECT sid, center_index, CASE WHEN center_index = 0 THEN [track_index] ELSE [track_index, track_index + 100000, -5] END AS l FROM centers),
 slots AS (SELECT *, unnest(range((SELECT max(len(l)) FROM lists))) AS slot FROM lists)
 SELECT s.sid, s.center_index, CAST(s.slot AS INT) AS slot, CASE WHEN EXISTS (SELECT 1 FROM tracks r WHERE r.sid = s.sid AND r.track_index = s.l[s.slot + 1]) THEN s.l[s.slot + 1] ELSE -1 END AS track_index FROM slots s"""))
 def t9(spark, sf_dir):
-    lists = _centers(spark, sf_dir).selectExpr("sid", "center_index", "CASE WHEN center_index = 0 THEN array(track_index) ELSE array(track_index, track_index + 32, -5L) END AS track_list")
+    lists = _centers(spark, sf_dir).selectExpr("sid", "center_index", "CASE WHEN center_index = 0 THEN array(track_index) ELSE array(track_index, track_index + 100000, -5L) END AS track_list")
     return agents.select_interesting(_samples(spark, sf_dir), lists).withColumn("track_index", F.coalesce("track_index", F.lit(-1)))
 
 
@@ -127,7 +127,7 @@ def _visible_sql() -> str:
     (ax, ay), (bx, by) = _box_frame("p.ex", "p.ey"), _box_frame("p.ax", "p.ay")
     low = lambda a, b, h: f"CASE WHEN abs({b} - {a}) < 1e-12 THEN CASE WHEN abs({a}) > {h} THEN 2.0 ELSE 0.0 END ELSE least((-{h} - {a}) / ({b} - {a}), ({h} - {a}) / ({b} - {a})) END"
     high = lambda a, b, h: f"CASE WHEN abs({b} - {a}) < 1e-12 THEN CASE WHEN abs({a}) > {h} THEN -1.0 ELSE 1.0 END ELSE greatest((-{h} - {a}) / ({b} - {a}), ({h} - {a}) / ({b} - {a})) END"
-    return f"""WITH s AS (SELECT r.*, r.track_index = sdc_track_index AS is_ego FROM tracks r JOIN scenarios USING (sid) WHERE valid AND t <= 10),
+    return f"""WITH s AS (SELECT r.*, r.track_index = sdc_track_index AS is_ego FROM tracks r JOIN scenarios USING (sid) WHERE valid),
 p AS (SELECT e.sid, e.t, e.track_index AS ego, a.track_index AS target, e.x AS ex, e.y AS ey, a.x AS ax, a.y AS ay FROM s e JOIN s a ON a.sid = e.sid AND a.t = e.t
   WHERE e.is_ego AND e.track_index <> a.track_index AND sqrt((a.x - e.x) ** 2 + (a.y - e.y) ** 2) <= 60),
 h AS (SELECT DISTINCT p.sid, p.t, ego, target FROM p JOIN s o ON o.sid = p.sid AND o.t = p.t WHERE o.x <> p.ex AND o.y <> p.ey AND o.x <> p.ax AND o.y <> p.ay
@@ -137,5 +137,5 @@ SELECT sid, t, ego, target FROM p ANTI JOIN h USING (sid, t, ego, target)"""
 
 @query("t13_visible_agents", with_views(BASE, _visible_sql()))
 def t13(spark, sf_dir):
-    rows = _tracks(spark, sf_dir).where("valid AND t <= 10").join(views.scenarios(spark, sf_dir).select("sid", "sdc_track_index"), "sid")
+    rows = _tracks(spark, sf_dir).where("valid").join(views.scenarios(spark, sf_dir).select("sid", "sdc_track_index"), "sid")
     return agents.visible_agents(rows.withColumn("is_ego", F.expr("track_index = sdc_track_index")), 60.0)

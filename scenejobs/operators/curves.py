@@ -33,13 +33,25 @@ def bezier(ends: DataFrame, n: int, reach: float = 3.0) -> DataFrame:
     return rows.select("image_id", "edge_id", "k", at("x", F.cos).alias("x"), at("y", F.sin).alias("y"))
 
 
+def _tridiagonal(side: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves a symmetric system with one diagonal on either side, by elimination down and up again."""
+    side, middle, right = side.tolist(), middle.tolist(), right.tolist()
+    for i in range(1, len(middle)):
+        share = side[i - 1] / middle[i - 1]
+        middle[i] -= share * side[i - 1]
+        right[i] -= share * right[i - 1]
+    out = [right[-1] / middle[-1]]
+    for i in range(len(middle) - 2, -1, -1):
+        out.append((right[i] - side[i] * out[-1]) / middle[i])
+    return np.array(out[::-1])
+
+
 def natural_spline(s: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Value, first and second derivative of the natural cubic spline through (s, v) at the places at."""
     h, n = np.diff(s), len(s)
     m = np.zeros(n)
     if n > 2:
-        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        m[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(v) / h))
+        m[1:-1] = _tridiagonal(h[1:-1], 2 * (h[:-1] + h[1:]), 6 * np.diff(np.diff(v) / h))
     i = np.clip(np.searchsorted(s, at, side="right") - 1, 0, n - 2)
     t, w = at - s[i], h[i]
     slope = (v[i + 1] - v[i]) / w - w * (2 * m[i] + m[i + 1]) / 6

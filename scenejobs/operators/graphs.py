@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scenejobs.functions.ranges import running
+
 STATS = ["connectivity", "density", "reach", "length", "orientation", "spectrum"]
 
 
@@ -98,15 +101,23 @@ def _counted(values: DataFrame, name: str) -> DataFrame:
     return values.groupBy(F.col("value").alias(name)).agg(F.count(F.lit(1)).cast("double").alias(f"{name}_n"))
 
 
+#: The kernel is left out beyond so many sigmas, where it is below 2e-8.
+REACH = 6
+
+
 def kernel_means(x: DataFrame, y: DataFrame, sigma: float = 1.0) -> DataFrame:
     """value, n, mean: mean Gaussian kernel of each distinct x value with all y values.
 
-    Values repeat heavily, so both sides shrink to (value, count) before they meet; the pairs
-    grow with the square of the distinct values, not of the rows.
+    Values repeat heavily, so both sides shrink to (value, count) before they meet, and they
+    meet in cells of REACH sigmas and their neighbours only; a mean is less than 2e-8 short.
     """
-    pairs = _counted(x, "x").crossJoin(_counted(y, "y"))
+    cell = lambda c: F.floor(F.col(c) / (REACH * sigma))
+    near = F.explode(F.sequence(cell("y") - 1, cell("y") + 1)).alias("cell")
+    whole = F.broadcast(y.agg(F.count(F.lit(1)).alias("whole")))  # one row
+    left, right = _counted(x, "x").withColumn("cell", cell("x")), _counted(y, "y").select("y", "y_n", near)
     kernel = F.exp(-((F.col("x") - F.col("y")) ** 2) / (2 * sigma**2))
-    return pairs.groupBy(F.col("x").alias("value"), F.col("x_n").alias("n")).agg((F.sum(kernel * F.col("y_n")) / F.sum("y_n")).alias("mean"))
+    sums = left.join(right, "cell", "left").groupBy(F.col("x").alias("value"), F.col("x_n").alias("n")).agg(F.coalesce(F.sum(kernel * F.col("y_n")), F.lit(0.0)).alias("sum"))
+    return sums.crossJoin(whole).select("value", "n", (F.col("sum") / F.col("whole")).alias("mean"))
 
 
 def mmd(x: DataFrame, y: DataFrame, sigma: float = 1.0) -> DataFrame:
@@ -126,31 +137,41 @@ def wasserstein_1d(x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def _wasserstein(x: DataFrame, y: DataFrame) -> DataFrame:
-    share = lambda df, sign: df.select("value", (F.col("n") * sign / F.sum("n").over(W.partitionBy())).alias("step"))
+    share = lambda df, sign: df.crossJoin(F.broadcast(df.agg(F.sum("n").alias("whole")))).select("value", (F.col("n") * sign / F.col("whole")).alias("step"))
     steps = share(x, 1).unionAll(share(y, -1)).groupBy("value").agg(F.sum("step").alias("step"))
-    order = W.orderBy("value")
-    area = F.abs(F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0))) * (F.lead("value").over(order) - F.col("value"))
-    return steps.select(area.alias("area")).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("distance"))
+    summed = running(steps, "value", F.col("step"), "apart")
+    return summed.agg(F.coalesce(F.sum(F.abs("apart") * (F.col("after") - F.col("value"))), F.lit(0.0)).alias("distance"))
 
 
-def frechet_gaussian(x: DataFrame, y: DataFrame, columns: list[str]) -> DataFrame:
-    """One row, frechet: distance of the Gaussians fitted to two tables of vectors.
+def frechet_gaussian(x: DataFrame, y: DataFrame, column: str = "vector") -> DataFrame:
+    """One row, frechet: distance of the Gaussians fitted to two tables of vectors (arrays of one length).
 
-    Means and covariances are aggregated over the rows; only these small matrices reach the
-    d x d eigenvalue step.
+    Tasks add up moments and products of their rows; these meet by place in the matrix, so what
+    comes together for the eigenvalues is one d x d matrix per side, whatever the rows.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    fit = lambda df, s: df.agg(*[F.avg(c).alias(f"{s}_{c}") for c in columns], *[F.covar_samp(a, b).alias(f"{s}_{a}__{b}") for a, b in pairs])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for frame in frames:
-            for _, row in frame.iterrows():
-                mu = {s: np.array([row[f"{s}_{c}"] for c in columns]) for s in "xy"}
-                cov = {s: np.array([[row[f"{s}_{a}__{b}" if (a, b) in pairs else f"{s}_{b}__{a}"] for b in columns] for a in columns]) for s in "xy"}
-                root = np.sqrt(np.linalg.eigvals(cov["x"] @ cov["y"]).astype(complex)).real.sum()
-                yield pd.DataFrame({"frechet": [((mu["x"] - mu["y"]) ** 2).sum() + np.trace(cov["x"]) + np.trace(cov["y"]) - 2 * root]})
-
-    return fit(x, "x").crossJoin(fit(y, "y")).mapInPandas(run, "frechet double")
+            v = np.stack(frame["v"].to_numpy()).astype(float) if len(frame) else np.empty((0, 0))
+            v = np.column_stack([v, np.ones(len(v))])
+            total = v.T @ v if total is None or not total.size else total + v.T @ v if v.size else total
+        if total is not None and total.size:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    def distance(frame: pd.DataFrame) -> pd.DataFrame:
+        mu, cov = {}, {}
+        for side, part in frame.groupby("side"):
+            m = part.pivot(index="i", columns="j", values="s").to_numpy()
+            n = m[-1, -1]
+            mu[side] = m[-1, :-1] / n
+            cov[side] = (m[:-1, :-1] - n * np.outer(mu[side], mu[side])) / (n - 1)
+        root = np.sqrt(np.linalg.eigvals(cov["x"] @ cov["y"]).astype(complex)).real.sum()
+        return pd.DataFrame({"frechet": [((mu["x"] - mu["y"]) ** 2).sum() + np.trace(cov["x"]) + np.trace(cov["y"]) - 2 * root]})
+
+    sums = [df.select(F.col(column).alias("v")).mapInPandas(moments, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).withColumns({"side": F.lit(side), "one": F.lit(1)}) for df, side in ((x, "x"), (y, "y"))]
+    return sums[0].unionAll(sums[1]).groupBy("one").applyInPandas(distance, "frechet double")
 
 
 ATTRIBUTES = ["x", "y", "z", "length", "width", "height", "heading", "vx", "vy"]
@@ -216,3 +237,28 @@ def routes(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     both = edges.select("graph_id", "edge_id", "n1", "n2", "dist", F.lit(None).cast("string").alias("kind"))
     both = both.unionAll(terminals.select("graph_id", F.lit(0).cast("long"), F.col("node"), F.col("node"), F.lit(0.0), "kind"))
     return both.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, source long, target long, length double, edge_ids array<long>, nodes array<long>")
+
+
+def smooth_routes(found: DataFrame, pairs: DataFrame, bend: float = math.pi / 4) -> DataFrame:
+    """The routes whose edges go on in each other at every inner node.
+
+    found comes from routes(); pairs has graph_id, node, end, partner, bend of the edge ends that are
+    matched at a node, in both directions (see pair_edges_at_node(); end and partner are edge
+    ids). A route stays if its edges are matched wherever they meet and bend by less than
+    `bend` there; a route of one edge always stays.
+    """
+    key = ["graph_id", "source", "target"]
+    steps = found.select(*key, F.explode(F.expr("transform(sequence(1, greatest(size(edge_ids) - 1, 1)), i -> named_struct('node', get(nodes, i), 'end', get(edge_ids, i - 1), 'partner', get(edge_ids, i)))")).alias("s"))
+    steps = steps.select(*key, "s.*").where("partner IS NOT NULL")
+    good = pairs.where(F.col("bend") < bend).select("graph_id", "node", "end", "partner")
+    broken = steps.join(good, ["graph_id", "node", "end", "partner"], "left_anti").select(*key).distinct()
+    return found.join(broken, key, "left_anti")
+
+
+def with_waypoints(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds waypoints: the paths of a route's edges (graph_id, edge_id, n1, path) joined in the direction of travel."""
+    key = ["graph_id", "source", "target"]
+    parts = found.select(*key, F.posexplode("edge_ids").alias("pos", "edge_id"), "nodes").join(edges.select("graph_id", "edge_id", "n1", "path"), ["graph_id", "edge_id"])
+    travelled = F.when(F.get("nodes", F.col("pos")) == F.col("n1"), F.col("path")).otherwise(F.reverse("path"))
+    joined = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", travelled.alias("path")))).alias("p"))
+    return found.join(joined.select(*key, F.flatten(F.col("p.path")).alias("waypoints")), key)

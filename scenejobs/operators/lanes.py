@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.geometry import wrap_angle
-from scenejobs.functions.tables import written
+from scenejobs.functions.tables import together, written
+from scenejobs.operators.curves import fit_path
+
+
+#: Height in metres of the strips in which path points meet polygon edges.
+EDGE_CELL = 4.0
 
 
 def reference_lanes(agents: DataFrame, lane_points: DataFrame) -> DataFrame:
@@ -55,40 +61,86 @@ def nearest_point(positions: DataFrame, points: DataFrame) -> DataFrame:
     return best.select("sid", "track_index", "m.fid", "m.pt_idx", "m.dist")
 
 
-def map_match(positions: DataFrame, points: DataFrame, degrees: float = 10.0) -> DataFrame:
-    """sid, track_index, fid, pt_idx: nearest waypoint among those headed alike; null if there is none or its lane id is not positive.
+def map_match(positions: DataFrame, points: DataFrame, degrees: float = 10.0, keys: tuple[str, ...] = ("sid", "track_index")) -> DataFrame:
+    """The keys, fid, pt_idx: nearest waypoint among those headed alike; null if there is none or its lane id is not positive.
 
-    positions has heading, points has theta; the difference of headings is folded to [0, pi].
+    positions has the keys, sid among them, x, y, heading; points has theta; the difference of
+    headings is folded to [0, pi].
     """
-    a = positions.select("sid", "track_index", F.col("x").alias("ax"), F.col("y").alias("ay"), "heading")
+    a = positions.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), "heading")
     p = points.select("sid", "fid", "pt_idx", "x", "y", "theta")
     near = a.join(p, "sid").where(F.abs(wrap_angle(F.col("heading") - F.col("theta"))) <= math.radians(degrees))
     d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-    best = near.groupBy("sid", "track_index").agg(F.min(F.struct(d, "fid", "pt_idx")).alias("m")).where("m.fid > 0")
-    return positions.select("sid", "track_index").join(best, ["sid", "track_index"], "left").select("sid", "track_index", "m.fid", "m.pt_idx")
+    best = near.groupBy(*keys).agg(F.min(F.struct(d, "fid", "pt_idx")).alias("m")).where("m.fid > 0")
+    return positions.select(*keys).join(best, list(keys), "left").select(*keys, "m.fid", "m.pt_idx")
+
 
+def reference_path(tracks: DataFrame, lane_points: DataFrame, topology: DataFrame, now: int, every: int = 10, near_end: int = 40, behind: int = 200, length: int = 1200, always_on: bool = False) -> DataFrame:
+    """sid, track_index, k, x, y, yaw, curvature: a smooth path every 0.1 m along the lanes that a track follows, around its place at step now.
 
-def lane_sequences(exits: DataFrame, starts: DataFrame, sizes: DataFrame, limit: int = 300, rounds: int = 64) -> DataFrame:
+    tracks has sid, track_index, t, x, y, heading; lane_points has theta; topology has sid, fid, entry,
+    exit (the first lane that leads in and out, or null). Waypoints are the matches of every so
+    many steps. Before them come the points of the first matched lane up to its match, after
+    the whole entry lane if the match is among its first near_end points; behind them the
+    last lane from its match on, and the exit lane if fewer than near_end points are left
+    (with always_on: in any case, and that lane's exit, too). Of these every fifth point
+    counts. Without a match at an end nothing is added there; a track of fewer than two
+    different waypoints has no path. Tracks are independent groups of some hundred points.
+    """
+    key = ["sid", "track_index"]
+    ends = tracks.groupBy(*key).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    at = tracks.join(ends, key).where((F.col("t") == F.col("t1")) | ((F.col("t") - F.col("t0")) % every == 0))
+    met = written(map_match(at, lane_points, keys=(*key, "t")).where("fid IS NOT NULL").join(ends, key))
+    points = lane_points.select("sid", "fid", "pt_idx", "x", "y")
+    main = met.where((F.col("t") - F.col("t0")) % every == 0).join(points, ["sid", "fid", "pt_idx"]).select(*key, F.lit(1).alias("part"), F.col("t").alias("lane"), "pt_idx", "x", "y")
+    first, last = (met.where(F.col("t") == F.col(c)).select(*key, "fid", F.col("pt_idx").alias("i")).join(topology.select("sid", "fid", "entry", "exit"), ["sid", "fid"], "left") for c in ("t0", "t1"))
+    last = last.join(points.groupBy("sid", "fid").agg(F.count(F.lit(1)).alias("n")), ["sid", "fid"])
+    whole = lambda df, lane, part, place: df.select(*key, F.col(lane).alias("fid")).join(points, ["sid", "fid"]).select(*key, F.lit(part).alias("part"), F.lit(place).alias("lane"), "pt_idx", "x", "y")
+    own = lambda df, cond, part, place: df.join(points, ["sid", "fid"]).where(cond).select(*key, F.lit(part).alias("part"), F.lit(place).alias("lane"), "pt_idx", "x", "y")
+    going_on = last if always_on else last.where(F.col("n") - F.col("i") < near_end)
+    parts = [main, whole(first.where(F.col("i") < near_end), "entry", 0, 0), own(first, "pt_idx < i", 0, 1), own(last, "pt_idx >= i", 2, 0), whole(going_on, "exit", 2, 1)]
+    if always_on:
+        after = topology.select("sid", F.col("fid").alias("exit"), F.col("exit").alias("second"))
+        parts.append(whole(going_on.join(after, ["sid", "exit"]), "second", 2, 2))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy(*key, "part").orderBy("lane", "pt_idx")) - 1).where("part = 1 OR place % 5 = 0")
+    rows = rows.join(tracks.where(F.col("t") == now).select(*key, F.col("x").alias("now_x"), F.col("y").alias("now_y")), key)
+
+    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["part", "place"])
+        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+        names = [*key, "k", "x", "y", "yaw", "curvature"]
+        if not ((x != x[0]) | (y != y[0])).any():
+            return pd.DataFrame(columns=names)
+        line = fit_path(x, y, "spline", 0.1)
+        place = np.hypot(line[:, 0] - frame["now_x"].iloc[0], line[:, 1] - frame["now_y"].iloc[0]).argmin()
+        cut = line[max(place - behind, 0) :][:length]
+        out = pd.DataFrame(cut[:, :4], columns=["x", "y", "yaw", "curvature"])
+        return out.assign(sid=frame["sid"].iloc[0], track_index=frame["track_index"].iloc[0], k=np.arange(len(out)))[names]
+
+    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}
+    return rows.groupBy(*key).applyInPandas(smooth, f"sid {kinds['sid']}, track_index {kinds['track_index']}, k int, x double, y double, yaw double, curvature double")
+
+
+def lane_sequences(exits: DataFrame, starts: DataFrame, sizes: DataFrame, limit: int = 300) -> DataFrame:
     """sid, path: all chains of exit lanes from each start lane.
 
     A chain grows until the points of the lanes after the first exceed limit or no exit is
-    left. A lane enters a chain once, so cycles end; rounds bounds the length in lanes.
-    exits has sid, fid, exit_fid; sizes has sid, fid, n.
+    left. A lane enters a chain once, so cycles end, and so do the rounds: they go on until no
+    chain grows. exits has sid, fid, exit_fid; sizes has sid, fid, n.
     """
     steps = exits.select("sid", F.col("fid").alias("last"), F.col("exit_fid").alias("next")).join(sizes.select("sid", F.col("fid").alias("next"), "n"), ["sid", "next"])
-    grown = starts.select("sid", F.array("fid").alias("path"), F.lit(0).cast("long").alias("points"))
-    done = None
-    for _ in range(rounds):
+    steps = written(steps)
+    grown, done = starts.select("sid", F.array("fid").alias("path"), F.lit(0).cast("long").alias("points")), []
+    while not done or not grown.isEmpty():
         ends = grown.withColumn("last", F.element_at("path", -1))
         options = ends.join(steps, ["sid", "last"], "left").withColumn("go", F.coalesce((F.col("points") <= limit) & ~F.array_contains("path", F.col("next")), F.lit(False)))
         options = written(options.select("sid", "path", "points", "next", "n", "go"))
-        more = options.where("go").select("sid", F.concat("path", F.array("next")).alias("path"), (F.col("points") + F.col("n")).alias("points"))
-        stopped = options.groupBy("sid", "path").agg(F.max("go").alias("any")).where("NOT any").select("sid", "path")
-        done = stopped if done is None else done.unionAll(stopped)
-        if more.isEmpty():
-            break
-        grown = more
-    return done
+        done.append(written(options.groupBy("sid", "path").agg(F.max("go").alias("any")).where("NOT any").select("sid", "path")))
+        grown = options.where("go").select("sid", F.concat("path", F.array("next")).alias("path"), (F.col("points") + F.col("n")).alias("points"))
+    return together(done)
 
 
 def annotate_path(path: DataFrame, signals: DataFrame, crosswalks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -96,7 +148,7 @@ def annotate_path(path: DataFrame, signals: DataFrame, crosswalks: DataFrame, li
 
     path has sid, fid, pt_idx, x, y; signals sid, x, y, state (1, 4 and 7 stop); crosswalks sid,
     polygon_id, pt_idx, x, y; limits sid, fid, speed_limit_mph. A point lies inside a polygon
-    if a ray from it crosses an odd number of edges.
+    if a ray from it crosses an odd number of edges; points and edges meet in strips of y.
     """
     cell = 0.2
     grid = lambda c: F.floor(F.col(c) / cell)
@@ -107,13 +159,29 @@ def annotate_path(path: DataFrame, signals: DataFrame, crosswalks: DataFrame, li
     w = W.partitionBy("sid", "polygon_id").orderBy("pt_idx")
     first = w.rowsBetween(W.unboundedPreceding, 0)
     edges = crosswalks.select("sid", "polygon_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce(F.lead("x").over(w), F.first("x").over(first)).alias("x2"), F.coalesce(F.lead("y").over(w), F.first("y").over(first)).alias("y2"))
-    edges = edges.where("y1 != y2")
+    tall = lambda low, high: F.sequence(F.floor(low / EDGE_CELL), F.floor(high / EDGE_CELL))
+    edges = edges.where("y1 != y2").withColumn("cell", F.explode(tall(F.least("y1", "y2"), F.greatest("y1", "y2"))))
     crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    inside = path.join(edges, "sid").where(crossing).groupBy(*key, "polygon_id").count().where("count % 2 = 1").select(*key).distinct()
+    inside = path.withColumn("cell", F.floor(F.col("y") / EDGE_CELL)).join(edges, ["sid", "cell"]).where(crossing).groupBy(*key, "polygon_id").count().where("count % 2 = 1").select(*key).distinct()
     rows = path.join(at_stop.withColumn("stop", F.lit(0.0)), key, "left").join(inside.withColumn("walk", F.lit(1.0)), key, "left").join(limits.select("sid", "fid", "speed_limit_mph"), ["sid", "fid"], "left")
     return rows.select(*path.columns, F.coalesce("stop", "walk", F.col("speed_limit_mph") / 2.237).alias("annotation"))
 
 
+def signal_and_speed(path: DataFrame, signals: DataFrame, limits: DataFrame, near: float = 0.2) -> DataFrame:
+    """Adds signal and speed to path points: the state of the first signal closer than near, else 0, and the lane's limit in m/s.
+
+    path has sid, fid, pt_idx, x, y; signals sid, signal_id, x, y, state; limits sid, fid, speed_limit_mph.
+    """
+    grid = lambda c: F.floor(F.col(c) / near)
+    key = ["sid", "fid", "pt_idx"]
+    spots = signals.select("sid", "signal_id", "state", F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(F.sequence(grid("x") - 1, grid("x") + 1)).alias("gx"), grid("y").alias("gy0"))
+    spots = spots.select("*", F.explode(F.sequence(F.col("gy0") - 1, F.col("gy0") + 1)).alias("gy"))
+    met = path.withColumns({"gx": grid("x"), "gy": grid("y")}).join(spots, ["sid", "gx", "gy"]).where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) < near)
+    first = met.groupBy(*key).agg(F.min_by("state", "signal_id").alias("signal"))
+    rows = path.join(first, key, "left").join(limits.select("sid", "fid", "speed_limit_mph"), ["sid", "fid"], "left")
+    return rows.select(*path.columns, F.coalesce("signal", F.lit(0)).alias("signal"), (F.col("speed_limit_mph") / 2.237).alias("speed"))
+
+
 def drop_overlapping(sequences: DataFrame) -> DataFrame:
     """sid, track_index, pos, path of the lane sequences that no earlier kept one makes redundant.
 
@@ -139,13 +207,11 @@ def lane_bfs(starts: DataFrame, lanes: DataFrame, waypoint_budget: int, lane_bud
     of ids) and neighbors (array of struct id, first, last; left ones before right ones).
     Lanes are expanded first come first served: for each exit its neighbours and then the exit
     itself join, once each, up to lane_budget lanes. reached counts points along the way; a
-    lane that would pass waypoint_budget is cut there and not expanded. Order decides, so an
-    agent and its scenario's lanes are one group.
+    lane that would pass waypoint_budget is cut there and not expanded; a start lane may hold
+    one point more. Order decides, so a scenario's lanes and agents are one group.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lane = {r.lane_id: r for r in frame.itertuples()}
-        begin = frame[frame["pos"].notna()].sort_values("pos")
+    def walk(lane: dict, begin: pd.DataFrame) -> list[tuple]:
         found, queue = {}, []
 
         def add(lane_id: int, first: int, size: int, before: int) -> None:
@@ -157,7 +223,11 @@ def lane_bfs(starts: DataFrame, lanes: DataFrame, waypoint_budget: int, lane_bud
                 queue.append(lane_id)
 
         for r in begin.itertuples():
-            add(r.lane_id, int(r.start), int(lane[r.lane_id].n - r.start), 0)
+            size = int(lane[r.lane_id].n - r.start)
+            if size == waypoint_budget + 1:  # a start lane may pass the budget by its last point
+                found[r.lane_id] = (int(r.start), int(r.start) + size, size)
+            else:
+                add(r.lane_id, int(r.start), size, 0)
         while queue and len(found) < lane_budget:
             parent = queue.pop(0)
             reached = found[parent][2]
@@ -170,10 +240,14 @@ def lane_bfs(starts: DataFrame, lanes: DataFrame, waypoint_budget: int, lane_bud
                 for lane_id, first, size in [*nearby, (child, 0, int(lane[child].n))]:
                     if lane_id in lane and lane_id not in found and len(found) < lane_budget:
                         add(lane_id, first, size, reached)
-        rows = [(frame["sid"].iloc[0], frame["agent"].iloc[0], i, k, *v) for i, (k, v) in enumerate(found.items())]
+        return [(i, k, *v) for i, (k, v) in enumerate(found.items())]
+
+    def run(begin: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        lane = {r.lane_id: r for r in known.itertuples()}
+        begin = begin[begin["lane_id"].isin(lane)].sort_values("pos")
+        rows = [(begin["sid"].iloc[0], agent, *r) for agent, own in begin.groupby("agent") for r in walk(lane, own)]
         return pd.DataFrame(rows, columns=["sid", "agent", "pos", "lane_id", "first", "last", "reached"])
 
-    agents = starts.select("sid", "agent").distinct().join(lanes, "sid")
-    rows = agents.join(starts.select("sid", "agent", "lane_id", "pos", "start"), ["sid", "agent", "lane_id"], "left")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy("sid", "agent").applyInPandas(run, f"sid {kinds['sid']}, agent {kinds['agent']}, pos int, lane_id long, first int, last int, reached int")
+    kinds = {f.name: f.dataType.simpleString() for f in starts.schema.fields}
+    starts = starts.select(*[F.col(c).alias(c) for c in starts.columns])  # names of its own, as both may come from one table
+    return starts.groupBy("sid").cogroup(lanes.groupBy("sid")).applyInPandas(run, f"sid {kinds['sid']}, agent {kinds['agent']}, pos int, lane_id long, first int, last int, reached int")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.geometry import rotated
-from scenejobs.functions.tables import written
+from scenejobs.functions.tables import together, written
 
 
 def ego_pose(tracks: DataFrame, scenarios: DataFrame, t: int = 10) -> DataFrame:
@@ -102,53 +102,82 @@ def cut_on_curvature(segments: DataFrame, threshold: float = 50e-4) -> DataFrame
     return rows.withColumn("piece", piece).select(*segments.columns, "piece")
 
 
-def resample(points: DataFrame, n: int = 128) -> DataFrame:
-    """sid, fid, k, x, y: lanes of three or more points at n even steps of normalised arc length."""
-    w = W.partitionBy("sid", "fid").orderBy("pt_idx")
-    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
-    rows = points.withColumn("step", step)
+def _along(points: DataFrame, n: int, measured: dict[str, Column], values: list[str]) -> DataFrame:
+    """sid, fid, k and values of lanes of three or more points, at n even steps of the normalised arc length of the measured columns."""
+    w, every = W.partitionBy("sid", "fid").orderBy("pt_idx"), W.partitionBy("sid", "fid")
+    rows = points.withColumns(measured)
+    gaps = [(F.col(c) - F.lag(c).over(w)) ** 2 for c in measured]
+    rows = rows.withColumn("step", F.coalesce(F.sqrt(sum(gaps[1:], gaps[0])), F.lit(0.0)))
     rows = rows.withColumn("s", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    every = W.partitionBy("sid", "fid")
-    rows = rows.withColumn("total", F.max("s").over(every)).withColumn("m", F.count(F.lit(1)).over(every)).where("m >= 3 AND total > 0")
-    rows = rows.withColumn("u", F.col("s") / F.col("total"))
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("u", "x", "y")}).withColumn("last", F.lead("next_u").over(w).isNull()).where("next_u > u")
-    ends = F.when(F.col("last"), n - 1).otherwise(F.ceil(F.col("next_u") * (n - 1)) - 1).cast("int")
-    ks = F.explode(F.when(F.ceil(F.col("u") * (n - 1)) <= ends, F.sequence(F.ceil(F.col("u") * (n - 1)).cast("int"), ends)))
-    rows = rows.select("*", ks.alias("k"))
+    rows = rows.withColumn("total", F.max("s").over(every)).withColumn("m", F.count(F.lit(1)).over(every)).where("m >= 3 AND total > 0").withColumn("u", F.col("s") / F.col("total"))
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("u", *values)}).where("next_u > u").withColumn("last", F.col("next_u") == F.max("next_u").over(every))
+    start, ends = F.ceil(F.col("u") * (n - 1)), F.when(F.col("last"), n - 1).otherwise(F.ceil(F.col("next_u") * (n - 1)) - 1)
+    rows = rows.select("*", F.explode(F.when(start <= ends, F.sequence(start, ends))).alias("k"))
     share = (F.col("k") / (n - 1) - F.col("u")) / (F.col("next_u") - F.col("u"))
-    return rows.select("sid", "fid", "k", *[(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * share).alias(c) for c in "xy"])
+    return rows.select("sid", "fid", F.col("k").cast("int").alias("k"), *[(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * share).alias(c) for c in values])
 
 
-def pack(polylines: DataFrame, rows: int, columns: list[str], fill: float = 0.2) -> DataFrame:
-    """sid, slot, mask and the columns: the first rows polylines of a scenario, missing ones filled.
+def resample(points: DataFrame, n: int = 128) -> DataFrame:
+    """sid, fid, k, x, y, z, dir_x, dir_y, dir_z, theta, global_type: lanes of three or more points at n even steps.
 
-    polylines has sid, fid and the columns (one row per polyline).
+    Places run along their own arc length, directions along theirs, theta along that of index and
+    theta; the type is copied. A lane whose directions never change has null directions.
+    """
+    place, turn = ["x", "y", "z"], ["dir_x", "dir_y", "dir_z"]
+    rows = _along(points, n, {f"__{c}": F.col(c) for c in place}, place)
+    for measured, values in (({f"__{c}": F.col(c) for c in turn}, turn), ({"__i": F.col("pt_idx"), "__t": F.col("theta")}, ["theta"])):
+        rows = rows.join(_along(points, n, measured, values), ["sid", "fid", "k"], "left")
+    return rows.join(points.groupBy("sid", "fid").agg(F.min_by("global_type", "pt_idx").alias("global_type")), ["sid", "fid"])
+
+
+def pack(polylines: DataFrame, rows: int, columns: list[str], fill: float = 0.2, scenarios: DataFrame | None = None) -> DataFrame:
+    """sid, slot, mask, empty and the columns: the first rows polylines of a scenario, missing ones filled.
+
+    polylines has sid, fid and the columns (one row per polyline), numbers or arrays of one length,
+    such as the coordinates of resampled points. Scenarios of the table scenarios without any
+    polyline give slots of zeros with empty set; mask is 0 in them, too.
     """
     w = W.partitionBy("sid").orderBy("fid")
     kept = polylines.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < rows).withColumn("mask", F.lit(1))
-    slots = polylines.select("sid").distinct().select("sid", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("slot"))
-    return slots.join(kept, ["sid", "slot"], "left").select("sid", "slot", F.coalesce("mask", F.lit(0)).alias("mask"), *[F.coalesce(c, F.lit(fill)).alias(c) for c in columns])
+    known = polylines.select("sid").distinct().withColumn("empty", F.lit(False))
+    if scenarios is not None:
+        known = scenarios.select("sid").distinct().join(known, "sid", "left").withColumn("empty", F.coalesce("empty", F.lit(True)))
+    slots = known.select("sid", "empty", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("slot"))
+    arrays = [c for c, kind in polylines.dtypes if c in columns and kind.startswith("array")]
+    sizes = F.broadcast(polylines.agg(*[F.max(F.size(c)).alias(f"__{c}") for c in arrays], F.lit(0).alias("__")))  # one row
+    value = F.when(F.col("empty"), 0.0).otherwise(fill)
+    filled = lambda c: F.coalesce(c, F.array_repeat(value, F.coalesce(f"__{c}", F.lit(0))) if c in arrays else value).alias(c)
+    return slots.join(kept, ["sid", "slot"], "left").crossJoin(sizes).select("sid", "slot", F.coalesce("mask", F.lit(0)).alias("mask"), "empty", *[filled(c) for c in columns])
 
 
 def unpack(packed: DataFrame) -> DataFrame:
     """The polylines of a packed table, without the filled slots."""
-    return packed.where("mask = 1").drop("mask")
+    return packed.where("mask = 1").drop("mask", "empty")
 
 
 def nearest_polylines(centers: DataFrame, points: DataFrame, k: int, offset: tuple[float, float] = (30.0, 0.0)) -> DataFrame:
-    """sid, center_index, rank, fid, pt_idx, x, y, prev_x, prev_y: the k polylines nearest to each centre, in its frame.
-
-    Polylines are ranked by the distance of their mean point to the centre plus offset (turned
-    by the centre's heading); only one row per polyline is ranked, points are joined back after.
+    """The k polylines nearest to each centre, in its frame: a row per point.
+
+    sid, center_index, rank, fid, pt_idx, x, y, z, dir_x, dir_y, valid, prev_x, prev_y, mean_x, mean_y.
+    points has sid, fid, pt_idx, x, y, z, dir_x, dir_y, valid. Polylines are ranked by the
+    distance of the mean of their valid points to the centre plus offset (turned by the
+    centre's heading); only one row per polyline is ranked, points are joined back after.
+    Points that aren't valid are 0; the first point is its own predecessor; mean_x and mean_y
+    are the mean of the valid points in the centre's frame.
     """
-    means = points.groupBy("sid", "fid").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    seen = points.where("valid")
+    means = seen.groupBy("sid", "fid").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
     dx, dy = rotated(F.lit(offset[0]), F.lit(offset[1]), F.col("heading"))
-    c = centers.select("sid", "center_index", F.col("x").alias("cx"), F.col("y").alias("cy"), "heading")
+    c = centers.select("sid", "center_index", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"), "heading")
     pairs = c.join(means, "sid").withColumn("d", F.hypot(F.col("mean_x") - F.col("cx") - dx, F.col("mean_y") - F.col("cy") - dy))
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("sid", "center_index").orderBy("d", "fid"))).where(F.col("rank") <= k)
-    rows = ranked.select("sid", "center_index", "rank", "fid", "cx", "cy", "heading").join(points.select("sid", "fid", "pt_idx", "x", "y"), ["sid", "fid"])
-    x, y = rotated(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), -F.col("heading"))
-    rows = rows.select("sid", "center_index", "rank", "fid", "pt_idx", x.alias("x"), y.alias("y"))
+    rows = ranked.join(points.select("sid", "fid", "pt_idx", "x", "y", "z", "dir_x", "dir_y", "valid"), ["sid", "fid"])
+    turned = lambda a, b: rotated(a, b, -F.col("heading"))
+    (x, y), (u, v), (mx, my) = turned(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), turned(F.col("dir_x"), F.col("dir_y")), turned(F.col("mean_x") - F.col("cx"), F.col("mean_y") - F.col("cy"))
+    masked = lambda value, name: F.when(F.col("valid"), value).otherwise(0.0).alias(name)
+    rows = rows.select(
+        "sid", "center_index", "rank", "fid", "pt_idx", masked(x, "x"), masked(y, "y"), masked(F.col("z") - F.col("cz"), "z"), masked(u, "dir_x"), masked(v, "dir_y"), "valid", mx.alias("mean_x"), my.alias("mean_y")
+    )
     w = W.partitionBy("sid", "center_index", "fid").orderBy("pt_idx")
     return rows.withColumns({f"prev_{a}": F.coalesce(F.lag(a).over(w), F.col(a)) for a in "xy"})
 
@@ -180,12 +209,13 @@ def cut_at_endpoints(segments: DataFrame, half: float, near: float = 1.5, apart:
     return split.withColumn("size", size).where("size >= 3 OR size = n").select("sid", "seg", "piece", "pos", "x", "y")
 
 
-def root_leaf_paths(ends: DataFrame, half: float, edge: float = 0.5, link: float = 0.5, rounds: int = 32) -> DataFrame:
+def root_leaf_paths(ends: DataFrame, half: float, edge: float = 0.5, link: float = 0.5) -> DataFrame:
     """sid, path: all simple chains of polylines from a root to the first leaf.
 
     ends has sid, seg, start_x, start_y, end_x, end_y. A root starts, a leaf ends within edge of
-    the view's border; a link joins an end to a start at most link away. rounds bounds the
-    length of a chain; every round is written, so plans stay short.
+    the view's border; a link joins an end to a start at most link away. A polyline enters
+    a chain once, so the rounds, which go on until no chain grows, come to an end; every
+    round is written, so plans stay short.
     """
     border = lambda x, y: F.least(F.abs(F.abs(x) - half), F.abs(F.abs(y) - half)) <= edge
     ends = ends.withColumns({"root": border("start_x", "start_y"), "leaf": border("end_x", "end_y")})
@@ -194,15 +224,12 @@ def root_leaf_paths(ends: DataFrame, half: float, edge: float = 0.5, link: float
     a = a.select("*", F.explode(F.sequence(F.col("gy0") - 1, F.col("gy0") + 1)).alias("gy"))
     b = ends.select("sid", F.col("seg").alias("next"), F.col("leaf").alias("next_leaf"), "start_x", "start_y", cell("start_x").alias("gx"), cell("start_y").alias("gy"))
     links = written(a.join(b, ["sid", "gx", "gy"]).where(F.hypot(F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")) <= link).select("sid", "last", "next", "next_leaf"))
-    grown = ends.where("root").select("sid", F.array("seg").alias("path"), "leaf")
-    done = grown.where("leaf").select("sid", "path")
-    for _ in range(rounds):
+    grown, done = written(ends.where("root").select("sid", F.array("seg").alias("path"), "leaf")), []
+    while not done or not grown.isEmpty():
+        done.append(grown)
         open_paths = grown.where("NOT leaf").withColumn("last", F.element_at("path", -1))
         grown = written(open_paths.join(links, ["sid", "last"]).where(~F.array_contains("path", F.col("next"))).select("sid", F.concat("path", F.array("next")).alias("path"), F.col("next_leaf").alias("leaf")))
-        if grown.isEmpty():
-            break
-        done = done.unionAll(grown.where("leaf").select("sid", "path"))
-    return done
+    return together(done).where("leaf").select("sid", "path")
 
 
 def vertices_and_edges(points: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scenejobs.functions.geometry import wrap_angle
+
 #: The eight neighbours of a pixel, in turn around it.
 AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
@@ -126,31 +130,89 @@ def lanes_output(polylines: DataFrame) -> DataFrame:
 
 
 def pair_edges_at_node(ends: DataFrame) -> DataFrame:
-    """image_id, node, end, partner, mutual: each edge end votes for the end whose yaw is closest to opposite.
+    """image_id, node, end, partner, bend, voted, votes: edge ends that go on in each other, both ways round.
 
-    ends has image_id, node, end, yaw. Ties fall to the smaller end.
+    ends has image_id, node, end, yaw (pointing away from the node). Each end votes for the end
+    whose yaw is closest to opposite, the smaller one on ties; one vote matches the two. voted
+    marks the ends that vote for their partner, votes counts those that an end has got.
     """
-    from scenejobs.functions.geometry import wrap_angle
-    import math
-
     a, b = (ends.select("image_id", "node", F.col("end").alias(n), F.col("yaw").alias(f"yaw_{n}")) for n in "ab")
     pairs = a.join(b, ["image_id", "node"]).where("a != b").withColumn("bend", F.abs(wrap_angle(F.col("yaw_a") - F.col("yaw_b") - math.pi)))
-    votes = pairs.groupBy("image_id", "node", "a").agg(F.min(F.struct(F.round("bend", 9).alias("bend"), "b")).alias("m")).select("image_id", "node", "a", F.col("m.b").alias("b"))
-    back = votes.select("image_id", "node", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("mutual"))
-    return votes.join(back, ["image_id", "node", "a", "b"], "left").select("image_id", "node", F.col("a").alias("end"), F.col("b").alias("partner"), F.coalesce("mutual", F.lit(False)).alias("mutual"))
+    votes = pairs.groupBy("image_id", "node", "a").agg(F.min(F.struct(F.round("bend", 9).alias("bend"), "b")).alias("m")).select("image_id", "node", "a", F.col("m.b").alias("b"), F.col("m.bend").alias("bend"), F.lit(True).alias("voted"))
+    back = votes.select("image_id", "node", F.col("b").alias("a"), F.col("a").alias("b"), "bend", F.lit(False).alias("voted"))
+    both = votes.unionByName(back).groupBy("image_id", "node", F.col("a").alias("end"), F.col("b").alias("partner"), "bend").agg(F.max("voted").alias("voted"))
+    got = votes.groupBy("image_id", "node", F.col("b").alias("end")).agg(F.count(F.lit(1)).alias("votes"))
+    return both.join(got, ["image_id", "node", "end"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+
+
+def directed(edges: DataFrame, flow: DataFrame) -> DataFrame:
+    """Edges (image_id, edge_id, n1, n2, path) turned to run with the colours under them; those that already do, or have none, stay.
+
+    flow has image_id, edge_id, keep, see edge_flow().
+    """
+    rows = edges.join(flow.select("image_id", "edge_id", "keep"), ["image_id", "edge_id"], "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
+    turned = lambda a, b: F.when(F.col("keep"), a).otherwise(b)
+    return rows.select("image_id", "edge_id", turned(F.col("n1"), F.col("n2")).alias("n1"), turned(F.col("n2"), F.col("n1")).alias("n2"), turned(F.col("path"), F.reverse("path")).alias("path"))
+
+
+def inlets_and_outlets(edges: DataFrame) -> DataFrame:
+    """image_id, node, edge_id, kind: nodes with one edge end, an inlet where the directed edge starts and an outlet where it ends."""
+    ends = F.explode(F.array(*[F.struct(F.col(n).alias("node"), F.lit(kind).alias("kind")) for n, kind in (("n1", "inlet"), ("n2", "outlet"))]))
+    rows = edges.select("image_id", "edge_id", ends.alias("e")).select("image_id", "edge_id", "e.*")
+    return rows.groupBy("image_id", "node").agg(F.count(F.lit(1)).alias("n"), F.min("edge_id").alias("edge_id"), F.min("kind").alias("kind")).where("n = 1").select("image_id", "node", "edge_id", "kind")
 
 
 def cut_lanes(edges: DataFrame, offset: int = 5, min_len: int = 25) -> DataFrame:
-    """image_id, edge_id, path: lanes with their junction ends cut back by offset points.
+    """image_id, edge_id, path, start_type, start, end_type, end: lanes with their junction ends cut back by offset points.
 
-    edges has image_id, edge_id, start_terminal, end_terminal, path. A terminal edge is cut at
-    its junction; an inner one of min_len points or more at both ends, if points are left.
+    edges has image_id, edge_id, start_terminal, end_terminal, path (points with x and y), in the
+    direction of travel. A terminal edge is cut at its junction; an inner one of min_len
+    points or more at both ends, if points are left. A lane leaves a junction at a node of
+    type exit and enters the next at one of type entry, at the cut points rounded to 0.1;
+    terminals are of type map_entry and map_exit; what is not cut has neither.
     """
     n = F.size("path")
     enough = n > 2 * offset + 1
-    cut = (
-        F.when(F.col("start_terminal") & F.col("end_terminal"), F.col("path"))
-        .when(F.col("start_terminal") & enough, F.slice("path", F.lit(1), n - offset)).when(F.col("end_terminal") & enough, F.slice("path", F.lit(offset + 1), n - offset))
-        .when(enough & (n >= min_len), F.slice("path", F.lit(offset + 1), n - 2 * offset)).otherwise(F.col("path"))
-    )
-    return edges.select("image_id", "edge_id", cut.alias("path"))
+    inner = enough & (n >= min_len) & ~F.col("start_terminal") & ~F.col("end_terminal")
+    front, rear = inner | (enough & F.col("end_terminal") & ~F.col("start_terminal")), inner | (enough & F.col("start_terminal") & ~F.col("end_terminal"))
+    skip, drop = F.when(front, offset).otherwise(0), F.when(rear, offset).otherwise(0)
+    rows = edges.select("*", F.slice("path", skip + 1, n - skip - drop).alias("cut"), front.alias("front"), rear.alias("rear"))
+    spot = lambda i: F.struct(*[F.round(F.element_at("cut", i)[c], 1).alias(c) for c in "xy"])
+    start_type = F.when(F.col("start_terminal"), "map_entry").when(F.col("front"), "exit")
+    end_type = F.when(F.col("end_terminal"), "map_exit").when(F.col("rear"), "entry")
+    return rows.select("image_id", "edge_id", F.col("cut").alias("path"), start_type.alias("start_type"), F.when(start_type.isNotNull(), spot(1)).alias("start"), end_type.alias("end_type"), F.when(end_type.isNotNull(), spot(-1)).alias("end"))
+
+
+def connect_intersections(entries: DataFrame, exits: DataFrame, routes: DataFrame, near: float = 3.0, least_inliers: float = 0.5, points: int = 33) -> DataFrame:
+    """image_id, entry, exit, kind, curve: the connections over junctions, from where a lane ends to where one begins.
+
+    entries and exits have image_id, node, x, y, yaw; routes has image_id, source, target, nodes and
+    waypoints (x, y) of the shortest path between them. A route over another entry or exit is
+    none. Of the others, those with at most one inner node are direct; those whose direction
+    and final bend are within 10 degrees are straight; a turn changes the yaw by up to 135
+    degrees, its final bend lies in [-5, 95] degrees and within the factor two of the
+    first, and at least least_inliers of the waypoints lie within near of the Bezier curve.
+    """
+    a = entries.select("image_id", F.col("node").alias("source"), *[F.col(c).alias(f"{c}1") for c in ("x", "y", "yaw")])
+    b = exits.select("image_id", F.col("node").alias("target"), *[F.col(c).alias(f"{c}2") for c in ("x", "y", "yaw")])
+    ends = entries.select("image_id", "node").unionByName(exits.select("image_id", "node")).distinct()
+    key = ["image_id", "source", "target"]
+    inner = routes.select(*key, F.explode(F.expr("slice(nodes, 2, greatest(size(nodes) - 2, 0))")).alias("node"))
+    over = inner.join(ends, ["image_id", "node"], "left_semi").select(*key).distinct()
+    rows = routes.join(over, key, "left_anti").join(a, ["image_id", "source"]).join(b, ["image_id", "target"])
+    first = wrap_angle(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")) - F.col("yaw1"))
+    rows = rows.withColumns({"first": first, "diff": wrap_angle(F.col("yaw2") - F.col("yaw1"))})
+    final = wrap_angle(F.col("diff") - F.col("first"))
+    rows = rows.withColumn("final", F.when(F.col("first") < 0, -final).otherwise(final)).withColumn("d", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 3)
+
+    def at(c: str, turn, t: Column) -> Column:
+        p0, p3, u = F.col(f"{c}1"), F.col(f"{c}2"), 1 - t
+        return p0 * u * u * u + (p0 + F.col("d") * turn("yaw1")) * 3 * u * u * t + (p3 - F.col("d") * turn("yaw2")) * 3 * u * t * t + p3 * t * t * t
+
+    curve = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(at("x", F.cos, i / (points - 1)).alias("x"), at("y", F.sin, i / (points - 1)).alias("y")))
+    rows = rows.withColumn("curve", curve)
+    inliers = F.size(F.filter("waypoints", lambda w: F.exists("curve", lambda p: F.hypot(p["x"] - w["x"], p["y"] - w["y"]) <= near)))
+    small, ratio = math.radians(10), F.abs(F.col("first") / F.col("final"))
+    turn = (F.abs("diff") <= math.radians(135)) & F.col("final").between(math.radians(-5), math.radians(95)) & (F.col("final") != 0) & (ratio > 0.5) & (ratio < 2) & (inliers >= least_inliers * F.size("waypoints"))
+    kind = F.when(F.size("nodes") - 2 <= 1, "direct").when((F.abs("first") <= small) & (F.abs("final") <= small), "straight").when(turn, "turn")
+    return rows.select("image_id", F.col("source").alias("entry"), F.col("target").alias("exit"), kind.alias("kind"), "curve").where("kind IS NOT NULL")

@@ -7,23 +7,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from scenejobs.functions.ranges import running
 
 _PT = "struct<x:double,y:double,z:double>"
-_NEIGHBOR = "array<struct<feature_id:bigint,self_start_index:int,self_end_index:int,neighbor_start_index:int,neighbor_end_index:int>>"
+NEIGHBORS = "array<struct<feature_id:bigint,self_start_index:int,self_end_index:int,neighbor_start_index:int,neighbor_end_index:int>>"
 _POLYLINE = f"struct<type:int,polyline:array<{_PT}>>"
 _POLYGON = f"struct<polygon:array<{_PT}>>"
 _STATE = "struct<center_x:double,center_y:double,center_z:double,length:double,width:double,height:double,heading:double,velocity_x:double,velocity_y:double,valid:boolean>"
+#: Members of a track's state.
+STATES = [m.split(":")[0] for m in _STATE[len("struct<") : -1].split(",")]
 #: Schema of decoded scenario records.
 SCENARIO = (
     "sid string, sdc_track_index int, current_time_index int, predict_list array<int>, map_features array<struct<id:bigint,"
-    f"lane:struct<type:int,speed_limit_mph:double,polyline:array<{_PT}>,entry_lanes:array<bigint>,exit_lanes:array<bigint>,left_neighbors:{_NEIGHBOR},right_neighbors:{_NEIGHBOR}>,"
+    f"lane:struct<type:int,speed_limit_mph:double,polyline:array<{_PT}>,entry_lanes:array<bigint>,exit_lanes:array<bigint>,left_neighbors:{NEIGHBORS},right_neighbors:{NEIGHBORS}>,"
     f"road_line:{_POLYLINE},road_edge:{_POLYLINE},stop_sign:struct<position:{_PT}>,crosswalk:{_POLYGON},speed_bump:{_POLYGON},driveway:{_POLYGON}>>,"
     f"tracks array<struct<id:int,object_type:int,states:array<{_STATE}>>>"
 )
 
 
+def schema_of(name: str) -> StructType:
+    """Members of the structs in an array column of SCENARIO."""
+    return StructType.fromDDL(SCENARIO)[name].dataType.elementType
+
+
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Decoded scenario records, nested."""
     return spark.read.schema(SCENARIO).parquet(path)
@@ -59,11 +68,9 @@ def write_vectors(lanes: DataFrame, agents: DataFrame, edges: DataFrame, path: s
 
 
 def manifest(df: DataFrame) -> DataFrame:
-    """sid, idx: scenario ids in order, numbered from 0.
-
-    The window runs over one row per scenario id, the size of the list that it makes.
-    """
-    return df.select("sid").distinct().withColumn("idx", (F.row_number().over(W.orderBy("sid")) - 1).cast("long"))
+    """sid, idx: scenario ids in order, numbered from 0."""
+    numbered = running(df.select("sid").distinct(), "sid", F.lit(1).cast("long"), "idx")
+    return numbered.select("sid", (F.col("idx") - 1).alias("idx"))
 
 
 def every_nth(listed: DataFrame, n: int) -> DataFrame:
