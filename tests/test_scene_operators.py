@@ -61,10 +61,11 @@ def test_chunks(spark, n):
 
 
 def test_constant_direction_and_resample(spark):
-    points = maps.polyline_direction(_lane(spark, [(0, 0), (1, 0), (2, 0), (4, 0)]))
+    points = maps.polyline_heading(maps.polyline_direction(_lane(spark, [(0, 0), (1, 0), (2, 0), (4, 0)])))
     assert {r["dir_y"] for r in polylines.normalize_direction(points).collect()} == {0.0}
     rows = polylines.resample(points, 5).orderBy("k").collect()
-    assert [r["x"] for r in rows] == pytest.approx([0, 1, 2, 3, 4])
+    assert [r["x"] for r in rows] == pytest.approx([0, 1, 2, 3, 4]) and {r["theta"] for r in rows} == {0.0}
+    assert [r["dir_x"] for r in rows] == pytest.approx([0, 0.25, 0.5, 0.75, 1])  # directions turn in the first step only
 
 
 def test_pack_and_unpack(spark):
@@ -72,6 +73,9 @@ def test_pack_and_unpack(spark):
     packed = polylines.pack(lines, 3, ["v"])
     assert [(r["mask"], r["v"]) for r in packed.orderBy("slot").collect()] == [(1, 1.0), (1, 2.0), (0, 0.2)]
     assert [r["v"] for r in polylines.unpack(packed).orderBy("slot").collect()] == [1.0, 2.0]
+    known = spark.createDataFrame([(0,), (3,)], "sid int")
+    packed = polylines.pack(lines.withColumn("a", F.array("v", "v")), 2, ["a"], scenarios=known)
+    assert [(r["sid"], r["mask"], r["empty"], r["a"]) for r in packed.orderBy("sid", "slot").collect()] == [(0, 1, False, [1, 1]), (0, 1, False, [2, 2]), (3, 0, True, [0, 0]), (3, 0, True, [0, 0])]
 
 
 TRACK = "sid int, track_index long, object_type int, t int, x double, y double, z double, length double, width double, height double, heading double, vx double, vy double, valid boolean"
@@ -160,5 +164,5 @@ def test_distances_of_equal_samples_are_zero(spark):
     assert one(graphs.wasserstein_1d(x, x)) == 0 and one(graphs.mmd(x, x)) == pytest.approx(0)
     assert one(graphs.mmd(x, y)) == pytest.approx(one(graphs.mmd(y, x))) and one(graphs.wasserstein_1d(x, y)) == pytest.approx(1.5)
     v = np.random.default_rng(0).normal(size=(50, 2))
-    df = spark.createDataFrame([tuple(map(float, r)) for r in v], "a double, b double")
-    assert one(graphs.frechet_gaussian(df, df, ["a", "b"])) == pytest.approx(0, abs=1e-6)
+    df, far = (spark.createDataFrame([(list(map(float, r + d)),) for r in v], "vector array<double>") for d in (0, 3))
+    assert one(graphs.frechet_gaussian(df, df)) == pytest.approx(0, abs=1e-6) and one(graphs.frechet_gaussian(df, far)) == pytest.approx(18, abs=1e-6)
