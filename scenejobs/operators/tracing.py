@@ -134,60 +134,88 @@ def thinned(image: np.ndarray) -> np.ndarray:
             return image[1:-1, 1:-1]
 
 
-def traced(skeleton: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Paths between the nodes of a skeleton, each once; a node has other than two neighbours."""
-    near = {p: [q for dr, dc in AROUND if (q := (p[0] + dr, p[1] + dc)) in skeleton] for p in skeleton}
-    nodes = {p for p, q in near.items() if len(q) != 2}
-    used: set[frozenset] = set()
-    paths = []
-    for start in sorted(nodes):
-        for step in near[start]:
-            if frozenset((start, step)) in used:
-                continue
-            path = [start, step]
-            while path[-1] not in nodes:
-                following = [q for q in near[path[-1]] if q != path[-2]]
-                if not following or following[0] in path:
-                    break
-                path.append(following[0])
-            used.update(frozenset(x) for x in zip(path, path[1:]))
-            if path[-1] in nodes and path[-1] != start:
-                paths.append(path)
-    return paths
+Pixel = tuple[int, int]
+
+
+def crossing_nodes(skeleton: set[Pixel]) -> set[Pixel]:
+    """Pixels whose crossing number is 1 or at least 3, as vectorize.skeleton_nodes has them."""
+    ring = {(r, c): [(r + dr, c + dc) in skeleton for dr, dc in AROUND] for r, c in skeleton}
+    count = {p: sum(not on[i - 1] and on[i] for i in range(8)) for p, on in ring.items()}
+    return {p for p, n in count.items() if n == 1 or n >= 3}
+
 
+def block_centres(skeleton: set[Pixel]) -> list[Pixel]:
+    """Truncated centres of the components that a 2 x 2 erosion leaves, as in dense_nodes()."""
+    left = sorted((r, c) for r, c in skeleton if {(r + 1, c), (r, c + 1), (r + 1, c + 1)} <= skeleton)
+    if not left:
+        return []
+    at = np.array(left)
+    number = label(at[:, 0], at[:, 1])
+    return [tuple(at[number == k].mean(axis=0).astype(int).tolist()) for k in range(number.max() + 1)]
 
-def merged(paths: list[list[tuple[int, int]]], min_distance: int) -> list[list[tuple[float, float]]]:
-    """Paths after nodes that a path of under min_distance steps joins have moved to its middle, until none is left."""
-    paths = [list(p) for p in paths]
-    while short := next((p for p in paths if len(p) - 1 < min_distance), None):
-        ends, middle = {short[0], short[-1]}, short[len(short) // 2]
-        paths.remove(short)
-        for p in paths:
-            for at in (0, -1):
-                if p[at] in ends:
-                    p[at] = middle
-        paths = [p for p in paths if p[0] != p[-1]]
+
+def paths_between(skeleton: set[Pixel], nodes: set[Pixel]) -> list[list[Pixel]]:
+    """Paths over the skeleton between different nodes, shortest first.
+
+    All nodes flood the skeleton at once, so each pixel belongs to a node that is nearest in
+    steps. Where two nodes' pixels touch, the ways back to both make a path; it stays if no
+    shorter one between the same nodes shares a pixel of its inside.
+    """
+    near = {p: [q for dr, dc in AROUND if (q := (p[0] + dr, p[1] + dc)) in skeleton or q in nodes] for p in skeleton | nodes}
+    root, steps, came = {p: p for p in nodes}, dict.fromkeys(nodes, 0), {}
+    wave = sorted(nodes)
+    while wave:
+        reached = []
+        for p in wave:
+            for q in near[p]:
+                if q not in root:
+                    root[q], steps[q], came[q] = root[p], steps[p] + 1, p
+                    reached.append(q)
+        wave = reached
+
+    def way(p: Pixel) -> list[Pixel]:
+        """From p back to its node."""
+        out = [p]
+        while out[-1] in came:
+            out.append(came[out[-1]])
+        return out
+
+    meetings = [(steps[p] + steps[q], p, q) for p in root for q in near[p] if root[p] < root[q]]
+    taken: dict[tuple[Pixel, Pixel], set[Pixel]] = {}
+    out = []
+    for _, p, q in sorted(meetings):
+        path = [*way(p)[::-1], *way(q)]
+        inside, before = set(path[1:-1]), taken.setdefault((path[0], path[-1]), set())
+        if inside.isdisjoint(before):
+            before |= inside
+            out.append(path)
+    return out
+
+
+def joined_paths(skeleton: set[Pixel], nodes: set[Pixel], min_distance: int) -> list[list[Pixel]]:
+    """paths_between() once no path has under min_distance steps: the middle of the shortest one replaces its two nodes, and paths are found anew."""
+    nodes = set(nodes)
+    while (paths := paths_between(skeleton, nodes)) and len(short := paths[0]) - 1 < min_distance:
+        nodes = nodes - {short[0], short[-1]} | {short[len(short) // 2]}
     return paths
 
 
-def trace_graph(foreground: DataFrame, min_distance: int = 4) -> DataFrame:
+def trace_graph(foreground: DataFrame, min_distance: int = 4, apart: float = 5.0) -> DataFrame:
     """image_id, edge_id, d, path, error: edges of each image's thinned foreground; d is the number of steps.
 
-    One image is one group, and only its foreground pixels are shipped. A path between the same
-    ends as an earlier one is kept only if their interiors are disjoint.
+    One image is one group, and only its foreground pixels are shipped. Nodes are the pixels
+    with a crossing number of 1 or at least 3, and the centres of dense blocks that are apart
+    from all of these; nodes that under min_distance steps join become one.
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         row, col = frame["row"].to_numpy(), frame["col"].to_numpy()
         image = np.zeros((row.max() + 1, col.max() + 1), bool)
         image[row, col] = True
-        paths, seen = merged(traced(set(zip(*(x.tolist() for x in np.nonzero(thinned(image)))))), min_distance), {}
-        rows = []
-        for p in paths:
-            inner, others = set(p[1:-1]), seen.setdefault(frozenset((p[0], p[-1])), [])
-            if all(inner.isdisjoint(o) for o in others) and (inner or not others):
-                others.append(inner)
-                rows.append((len(rows), len(p) - 1, [{"row": int(r), "col": int(c)} for r, c in p]))
+        skeleton = set(zip(*(x.tolist() for x in np.nonzero(thinned(image)))))
+        nodes = crossing_nodes(skeleton)
+        dense = {p for p in block_centres(skeleton) if all(np.hypot(p[0] - r, p[1] - c) >= apart for r, c in nodes)}
+        rows = [(i, len(p) - 1, [{"row": int(r), "col": int(c)} for r, c in p]) for i, p in enumerate(joined_paths(skeleton, nodes | dense, min_distance))]
         return pd.DataFrame(rows, columns=["edge_id", "d", "path"])
 
     return per_image(foreground.select("image_id", "row", "col"), work, "image_id long, edge_id int, d int, path array<struct<row:int,col:int>>, error string")

@@ -49,11 +49,30 @@ def test_thinning_keeps_the_shape():
 
 def test_tracing_a_cross_and_merging():
     skeleton = {(5, c) for c in range(11)} | {(r, 5) for r in range(11)}
-    paths = tracing.traced(skeleton)
+    nodes = tracing.crossing_nodes(skeleton)
+    assert nodes == {(5, 0), (5, 10), (0, 5), (10, 5), (5, 5)}
+    paths = tracing.paths_between(skeleton, nodes)
     ends = {p for path in paths for p in (path[0], path[-1])}
     assert {(5, 0), (5, 10), (0, 5), (10, 5)} <= ends
-    joined = tracing.merged(paths, 3)
-    assert len(joined) == 4 and len({p for path in joined for p in (path[0], path[-1])}) == 5
+    joined = tracing.joined_paths(skeleton, nodes, 3)
+    assert len([p for p in joined if (5, 5) in p]) == 4 and len({p for path in joined for p in (path[0], path[-1])}) == 5
+
+
+def test_merged_nodes_leave_no_gap():
+    # two crossings two steps apart become one in their middle, and paths run up to it
+    skeleton = {(5, c) for c in range(20)} | {(r, 9) for r in range(6)} | {(r, 11) for r in range(5, 11)}
+    joined = tracing.joined_paths(skeleton, tracing.crossing_nodes(skeleton), 4)
+    assert {p for path in joined for p in (path[0], path[-1])} == {(5, 0), (5, 19), (0, 9), (10, 11), (5, 10)}
+    assert all(max(abs(a - c), abs(b - d)) == 1 for path in joined for (a, b), (c, d) in zip(path, path[1:]))
+
+
+def test_dense_blocks_and_twin_paths():
+    assert tracing.block_centres({(r, c) for r in range(3) for c in range(3)}) == [(0, 0)]
+    assert tracing.block_centres({(0, c) for c in range(5)}) == []
+    ring = {(r, c) for r in range(9) for c in range(9) if r in (0, 8) or c in (0, 8)}
+    twins = tracing.paths_between(ring, {(0, 0), (8, 8)})
+    assert len(twins) == 2 and set(twins[0][1:-1]).isdisjoint(twins[1][1:-1])
+    assert tracing.paths_between(ring, {(0, 0)}) == [] and tracing.paths_between(set(), set()) == []
 
 
 def test_boxes_and_bad_images(spark):

@@ -199,7 +199,10 @@ def test_boxes_of_upright_rectangles(spark):
 
 def test_traced_paths_are_steps(spark, sf_dir):
     rows = tracing.trace_graph(helper_queries._foreground(spark, sf_dir)).collect()
-    assert rows and all(r["error"] is None and r["d"] == len(r["path"]) - 1 for r in rows)
+    assert rows and all(r["error"] is None and r["d"] == len(r["path"]) - 1 >= 4 for r in rows)
+    for r in rows:
+        p = r["path"]
+        assert p[0] != p[-1] and all(max(abs(a["row"] - b["row"]), abs(a["col"] - b["col"])) == 1 for a, b in zip(p, p[1:]))
 
 
 def test_every_graph_is_read(spark, sf_dir):
