@@ -15,8 +15,10 @@ from scenejobs.llm.shared import U64, HashedTexts, gram_hashes, mixed, signed, s
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
-#: Rows of a bucket that are compared with as many others at a time.
+#: About so many rows of a bucket are compared with as many others at a time.
 CELL_ROWS = 1024
+#: A class with more than one in so many of all rows is labelled without moving its rows; there are fewer such classes than this.
+HEAVY = 1000
 #: About so many rows of cells go to one task.
 ROWS_PER_TASK = 100_000
 
@@ -218,8 +220,8 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 def _stars(buckets: DataFrame) -> DataFrame:
     """Pairs of each bucket's most central set (fewest symbols of its own) with the others."""
-    centre = F.first("cls").over(W.partitionBy("key").orderBy("alone", "cls").rowsBetween(W.unboundedPreceding, 0))
-    pairs = buckets.withColumn("centre", centre).where("centre != cls")
+    centres = buckets.groupBy("key").agg(F.min(F.struct("alone", "cls")).alias("first")).select("key", F.col("first.cls").alias("centre"))
+    pairs = buckets.join(centres, "key").where("centre != cls")
     return pairs.select(F.least("centre", "cls").alias("a"), F.greatest("centre", "cls").alias("b"), "g").distinct()
 
 
@@ -261,16 +263,15 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def _across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
     """Screened pairs of sets that share a bucket but no component yet.
 
-    Buckets that one component fills are done. The others are dealt in cells of CELL_ROWS rows by
-    as many, many cells to a task, where numpy compares the bit sketches; only pairs that may
-    link leave it.
+    Buckets that one component fills are done. The rows of the others are dealt by hash in cells
+    of about CELL_ROWS, and every cell meets every other, many to a task, where numpy compares
+    the bit sketches; only pairs that may link leave it.
     """
     named = buckets.select("key", "cls", "g").join(labels, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).withColumn("labelled", F.col("label").isNotNull()).drop("label")
-    of_key = W.partitionBy("key")
     name = F.struct("labelled", "comp")
-    open_rows = named.withColumn("differ", F.min(name).over(of_key) != F.max(name).over(of_key)).where("differ")
-    open_rows = open_rows.withColumn("cell", F.floor((F.row_number().over(of_key.orderBy("labelled", "comp", "cls")) - 1) / CELL_ROWS)).withColumn("cells", F.max("cell").over(of_key) + 1)
-    open_rows = written(open_rows.drop("differ"))
+    spread = named.groupBy("key").agg(F.min(name).alias("least"), F.max(name).alias("most"), F.count(F.lit(1)).alias("sets"))
+    spread = spread.where("least != most").select("key", F.ceil(F.col("sets") / CELL_ROWS).alias("cells"))
+    open_rows = written(named.join(spread, "key").withColumn("cell", F.pmod(F.xxhash64("cls"), F.col("cells"))))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other")
     rows = open_rows.select("*", other).withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
     rows = rows.join(sketches, ["cls", "g"])
@@ -302,6 +303,20 @@ def _across(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataF
     return rows.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Returns id, n, component: rows (id, n, cls) with the component of their class, else their own id.
+
+    Rows without a class don't move. A class with many copies is one of fewer than HEAVY, so
+    their labels go to the rows; all other rows meet theirs by class.
+    """
+    classed, total = rows.where("cls IS NOT NULL"), rows.count()
+    heavy = known.where(F.col("copies") * HEAVY > total)
+    large = classed.join(F.broadcast(heavy), "cls")
+    small = classed.join(F.broadcast(heavy), "cls", "left_anti").join(known, "cls", "left")
+    alone = rows.where("cls IS NULL").select("id", "n", F.col("id").alias("component"))
+    return large.unionByName(small).select("id", "n", F.coalesce("component", "id").alias("component")).unionByName(alone)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_shingles, component_id for every row.
 
@@ -347,6 +362,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _verified(_across(buckets, labels, sketches), sets)
     labels = components(links.unionByName(more), nodes)
     firsts = linking.groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    known = firsts.join(labels, "cls", "left").where("copies > 1 OR label IS NOT NULL").select("cls", F.coalesce("label", "least").alias("component"))
-    out = found.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(known, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    known = firsts.join(labels, "cls", "left").where("copies > 1 OR label IS NOT NULL")
+    known = written(known.select("cls", "copies", F.coalesce("label", "least").alias("component")))
+    rows = found.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("cls")).alias("cls"))
+    return _labelled(rows, known).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
