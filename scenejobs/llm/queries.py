@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenejobs.llm import chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, outliers, packing, repeats, token_counts
+from scenejobs.llm import chat, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, outliers, packing, quality, repeats, spelling, token_counts
 
 SEQUENCE_TOKENS = 2048
 
@@ -182,6 +182,41 @@ FROM placed
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(spelling.mistyped(spelling.runs(_read(spark, sf_dir, "documents"))), least_length=6, least_count=5)
+    return spelling.variants(words, factor=5)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    found = hard_negatives.mine(rows, is_anchor=F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, least=0.5, most=0.95)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    found = quality.score_quality(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -194,8 +229,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_outliers": op8_quality_outliers,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_mixing": op10_mixing,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_quality_scores": op13_quality_scores,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op12_hard_negatives": OP12_SQL}
