@@ -12,7 +12,7 @@ from scenejobs.sources.views import with_views
 
 STATS_SQL = """ends AS (SELECT graph_id, n1 AS node FROM graph_edges UNION ALL SELECT graph_id, n2 FROM graph_edges),
 nodes AS (SELECT graph_id, node, count(*) AS degree FROM ends GROUP BY 1, 2),
-stats AS (SELECT * FROM (SELECT graph_id, avg(degree) AS connectivity, CAST(count(*) AS DOUBLE) AS density, avg((node % 63) / 10.0::DOUBLE - 3.1) AS orientation FROM nodes GROUP BY 1) a
+stats AS (SELECT * FROM (SELECT graph_id, avg(degree) AS connectivity, CAST(count(*) AS DOUBLE) AS density, avg((node % 63 - 31) / 16.0::DOUBLE) AS orientation FROM nodes GROUP BY 1) a
   JOIN (SELECT graph_id, CAST(count(*) AS DOUBLE) AS reach, avg(dist) AS length, 2 * sum(CASE WHEN n1 <> n2 THEN dist ELSE 0 END) AS spectrum FROM graph_edges GROUP BY 1) b USING (graph_id)),
 tall AS (SELECT graph_id, unnest(['connectivity', 'density', 'reach', 'length', 'orientation', 'spectrum']) AS statistic, unnest([connectivity, density, reach, length, orientation, spectrum]) AS value FROM stats),
 fits AS (SELECT graph_id % 2 AS side, statistic, avg(value) AS mu, stddev_pop(value) AS sigma FROM tall GROUP BY 1, 2)"""
@@ -26,7 +26,8 @@ def _edges(spark, sf_dir) -> DataFrame:
 
 
 def _yaws(edges: DataFrame) -> DataFrame:
-    return graphs.edge_nodes(edges).select("graph_id", "node", (F.col("node") % 63 / 10.0 - 3.1).alias("yaw"))
+    """Yaws in sixteenths, so that their sums are exact in any order."""
+    return graphs.edge_nodes(edges).select("graph_id", "node", ((F.col("node") % 63 - 31) / 16.0).alias("yaw"))
 
 
 def _stats(spark, sf_dir) -> DataFrame:

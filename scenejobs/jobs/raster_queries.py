@@ -14,12 +14,22 @@ from scenejobs.sources.views import with_views
 CELLS_SQL = DIRECTION_SQL + """,
 drawn AS (SELECT sid, CAST(least(floor((40 - y) / 1.25), 63) AS INT) AS row, CAST(least(floor((x + 40) / 1.25), 63) AS INT) AS col, fid * 100 + pt_idx AS o, dir_x, dir_y FROM directed WHERE global_type = 2 AND abs(x) < 40 AND abs(y) < 40),
 cells AS (SELECT sid, row, col, arg_max(dir_x, o) / 2 + 0.5 AS r, arg_max(dir_y, o) / 2 + 0.5 AS g, 0.0::DOUBLE AS b FROM drawn GROUP BY 1, 2, 3)"""
-PIXELS_SQL = CELLS_SQL + """,
+LINES_SQL = DIRECTION_SQL + """,
+spot AS (SELECT sid, fid, pt_idx, (x + 40) / 1.25 AS u, (40 - y) / 1.25 AS v, dir_x, dir_y FROM directed WHERE global_type = 2),
+line AS (SELECT sid, fid * 100 + pt_idx AS o, dir_x, dir_y, u AS u1, v AS v1, lead(u) OVER w AS u2, lead(v) OVER w AS v2 FROM spot WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx)),
+colm AS (SELECT *, unnest(range(greatest(CAST(floor(least(u1, u2)) AS INT), 0), least(CAST(floor(greatest(u1, u2)) AS INT), 63) + 1)) AS col FROM line WHERE u2 IS NOT NULL AND least(u1, u2) < 64 AND greatest(u1, u2) >= 0 AND least(v1, v2) < 64 AND greatest(v1, v2) >= 0),
+ends AS (SELECT *, CASE WHEN u1 = u2 THEN v1 ELSE least(greatest(v1 + (v2 - v1) * (greatest(CAST(col AS DOUBLE), least(u1, u2)) - u1) / (u2 - u1), least(v1, v2)), greatest(v1, v2)) END AS a,
+  CASE WHEN u1 = u2 THEN v2 ELSE least(greatest(v1 + (v2 - v1) * (least(CAST(col + 1 AS DOUBLE), greatest(u1, u2)) - u1) / (u2 - u1), least(v1, v2)), greatest(v1, v2)) END AS b FROM colm),
+crossed AS (SELECT sid, o, dir_x, dir_y, CAST(col AS INT) AS col, CAST(unnest(range(greatest(CAST(floor(least(a, b)) AS INT), 0), least(CAST(floor(greatest(a, b)) AS INT), 63) + 1)) AS INT) AS row FROM ends WHERE least(a, b) < 64 AND greatest(a, b) >= 0),
+cells AS MATERIALIZED (SELECT sid, row, col, arg_max(dir_x, o) / 2 + 0.5 AS r, arg_max(dir_y, o) / 2 + 0.5 AS g, 0.0::DOUBLE AS b FROM crossed GROUP BY 1, 2, 3)"""
+PIXELS_SQL = LINES_SQL + """,
 spots AS (SELECT sid, CAST(i // 64 AS INT) AS row, CAST(i % 64 AS INT) AS col FROM (SELECT sid, unnest(range(4096)) AS i FROM (SELECT DISTINCT sid FROM cells))),
 pixels AS (SELECT s.sid AS image_id, s.row, s.col, coalesce(r, 0.5) AS r, coalesce(g, 0.5) AS g, coalesce(b, 0) AS b FROM spots s LEFT JOIN cells c ON c.sid = s.sid AND c.row = s.row AND c.col = s.col)"""
-MODES_SQL = PIXELS_SQL + """,
-bins AS (SELECT image_id, channel, CAST(least(floor(v * 256), 255) AS INT) AS bin, count(*) AS n FROM (SELECT image_id, unnest(['r', 'g', 'b']) AS channel, unnest([r, g, b]) AS v FROM pixels) GROUP BY 1, 2, 3),
-modes AS (SELECT image_id, channel, bin / 256.0::DOUBLE AS mode FROM (SELECT *, row_number() OVER (PARTITION BY image_id, channel ORDER BY n DESC, bin) AS rn FROM bins) WHERE rn = 1)"""
+# Colours and how many cells have them: each coloured cell, and per image the grey rest.
+COUNTED_SQL = """tones AS (SELECT sid AS image_id, r, g, b, 1 AS n FROM cells UNION ALL SELECT sid, 0.5, 0.5, 0.0, 4096 - count(*) FROM cells GROUP BY 1),
+bins AS (SELECT image_id, channel, CAST(least(floor(v * 256), 255) AS INT) AS bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT image_id, n, unnest(['r', 'g', 'b']) AS channel, unnest([r, g, b]) AS v FROM tones) GROUP BY 1, 2, 3),
+modes AS MATERIALIZED (SELECT image_id, channel, bin / 256.0::DOUBLE AS mode FROM (SELECT *, row_number() OVER (PARTITION BY image_id, channel ORDER BY n DESC, bin) AS rn FROM bins) WHERE rn = 1)"""
+MODES_SQL = PIXELS_SQL + ",\n" + COUNTED_SQL
 HALF, RES = 40.0, 64
 
 
@@ -28,7 +38,8 @@ def _directed(spark, sf_dir):
 
 
 def _pixels(spark, sf_dir):
-    return written(raster.filled(raster.rasterize_points(_directed(spark, sf_dir), HALF, RES), RES))
+    """All pixels of the images of lanes drawn as lines."""
+    return written(raster.filled(raster.rasterize_lines(_directed(spark, sf_dir), HALF, RES), RES))
 
 
 def _agents(spark, sf_dir, t=10):
@@ -40,6 +51,11 @@ def r1(spark, sf_dir):
     return rounded(raster.rasterize_points(_directed(spark, sf_dir), HALF, RES))
 
 
+@query("r1_rasterize_lines", with_views(["lane_points"], f"WITH {LINES_SQL} SELECT sid, row, col, {_r('r', 'g', 'b')} FROM cells"))
+def r1_lines(spark, sf_dir):
+    return rounded(raster.rasterize_lines(_directed(spark, sf_dir), HALF, RES))
+
+
 BOX_SQL = """boxes AS (SELECT * REPLACE (length * 4 AS length, width * 4 AS width) FROM tracks WHERE t = 10 AND valid AND object_type = 1),
 seg AS (SELECT sid, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM lane_points WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx)),
 f AS (SELECT o.sid, o.track_index, length / 2 AS hl, width / 2 AS hw, (x1 - x) * cos(heading) + (y1 - y) * sin(heading) AS ax, (y1 - y) * cos(heading) - (x1 - x) * sin(heading) AS ay,
@@ -83,9 +99,11 @@ def r5(spark, sf_dir):
     return raster.channel_mode(_pixels(spark, sf_dir))
 
 
-FOREGROUND_SQL = MODES_SQL + """,
+FOREGROUND_SQL = f"""{LINES_SQL}, {COUNTED_SQL},
 wide AS (SELECT image_id, max(mode) FILTER (channel = 'r') AS mr, max(mode) FILTER (channel = 'g') AS mg FROM modes GROUP BY 1),
-fore AS (SELECT p.* FROM pixels p JOIN wide USING (image_id) WHERE abs(r - mr) > 0.1 OR abs(g - mg) > 0.1)"""
+rest AS (SELECT image_id, CAST(i // 64 AS INT) AS row, CAST(i % 64 AS INT) AS col FROM (SELECT image_id, unnest(range(4096)) AS i FROM wide WHERE abs(0.5 - mr) > 0.1 OR abs(0.5 - mg) > 0.1)),
+fore AS MATERIALIZED (SELECT image_id, row, col, r, g, b FROM cells JOIN wide ON image_id = sid WHERE abs(r - mr) > 0.1 OR abs(g - mg) > 0.1
+  UNION ALL SELECT image_id, row, col, 0.5, 0.5, 0.0 FROM rest WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.sid = image_id AND c.row = rest.row AND c.col = rest.col))"""
 
 
 @query("r6_foreground", with_views(["lane_points"], f"WITH {FOREGROUND_SQL} SELECT image_id, row, col, {_r('r', 'g', 'b')} FROM fore"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from scenejobs.functions.geometry import wrap_angle
 from scenejobs.functions.tables import together, written
 from scenejobs.operators.curves import fit_path
-
+from scenejobs.operators.nearest import within_reach
 
 #: Height in metres of the strips in which path points meet polygon edges.
 EDGE_CELL = 4.0
@@ -24,14 +25,19 @@ def reference_lanes(agents: DataFrame, lane_points: DataFrame) -> DataFrame:
 
     agents has sid, track_index, is_pedestrian, x, y. Pedestrians look 10 m and 5 m further
     until a lane is hit, and start at 0; the others look 5 m and 3.5 m further, and start ten
-    points before the nearest one. The first level that hits is min over lanes in closed form.
+    points before the nearest one. The first level that hits is min over lanes in closed form,
+    over the lanes that within_reach() finds.
     """
     a = agents.select("sid", "track_index", "is_pedestrian", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-    pairs = a.join(lane_points.select("sid", "fid", "pt_idx", "x", "y"), "sid").groupBy("sid", "track_index", "is_pedestrian", "fid").agg(F.min(F.struct(d.alias("d"), "pt_idx")).alias("m"))
     base, step = F.when(F.col("is_pedestrian"), 10.0).otherwise(5.0), F.when(F.col("is_pedestrian"), 5.0).otherwise(3.5)
-    pairs = pairs.withColumn("level", F.greatest(F.lit(0), F.floor((F.col("m.d") - base) / step) + 1))
-    hit = pairs.withColumn("first", F.min("level").over(W.partitionBy("sid", "track_index"))).where("level = first")
+
+    def lanes_hit(pairs: DataFrame) -> DataFrame:
+        of_lane = pairs.groupBy("sid", "track_index", "is_pedestrian", "fid").agg(F.min(F.struct("d", "pt_idx")).alias("m"))
+        of_lane = of_lane.withColumn("level", F.greatest(F.lit(0), F.floor((F.col("m.d") - base) / step) + 1))
+        hit = of_lane.withColumn("first", F.min("level").over(W.partitionBy("sid", "track_index"))).where("level = first")
+        return hit.withColumn("reach", base + F.col("first") * step)
+
+    hit = within_reach(a, lane_points.select("sid", "fid", "pt_idx", "x", "y"), ("sid", "track_index"), "sid", lanes_hit)
     start = F.when(F.col("is_pedestrian"), 0).otherwise(F.greatest(F.lit(0), F.col("m.pt_idx") - 10))
     return hit.select("sid", "track_index", "fid", start.cast("int").alias("start"))
 
@@ -53,12 +59,16 @@ def neighbor_lanes(current: DataFrame, neighbors: DataFrame, lane_points: DataFr
     return at.groupBy("sid", "track_index", "side", "fid").agg(F.min_by("pt_idx", F.struct(d, "pt_idx")).alias("start"))
 
 
+def _first_of(keys: tuple[str, ...], *order: str) -> Callable[[DataFrame], DataFrame]:
+    """For within_reach(): the nearest point as struct m of its distance and order, the first in order on ties."""
+    return lambda pairs: pairs.groupBy(*keys).agg(F.min(F.struct("d", *order)).alias("m")).withColumn("reach", F.col("m.d"))
+
+
 def nearest_point(positions: DataFrame, points: DataFrame) -> DataFrame:
     """sid, track_index, fid, pt_idx, dist of the nearest point; the first on ties."""
     a = positions.select("sid", "track_index", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-    best = a.join(points.select("sid", "fid", "pt_idx", "x", "y"), "sid").groupBy("sid", "track_index").agg(F.min(F.struct(d.alias("dist"), "fid", "pt_idx")).alias("m"))
-    return best.select("sid", "track_index", "m.fid", "m.pt_idx", "m.dist")
+    best = within_reach(a, points.select("sid", "fid", "pt_idx", "x", "y"), ("sid", "track_index"), "sid", _first_of(("sid", "track_index"), "fid", "pt_idx"))
+    return best.select("sid", "track_index", "m.fid", "m.pt_idx", F.col("m.d").alias("dist"))
 
 
 def map_match(positions: DataFrame, points: DataFrame, degrees: float = 10.0, keys: tuple[str, ...] = ("sid", "track_index")) -> DataFrame:
@@ -69,9 +79,8 @@ def map_match(positions: DataFrame, points: DataFrame, degrees: float = 10.0, ke
     """
     a = positions.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), "heading")
     p = points.select("sid", "fid", "pt_idx", "x", "y", "theta")
-    near = a.join(p, "sid").where(F.abs(wrap_angle(F.col("heading") - F.col("theta"))) <= math.radians(degrees))
-    d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-    best = near.groupBy(*keys).agg(F.min(F.struct(d, "fid", "pt_idx")).alias("m")).where("m.fid > 0")
+    alike = F.abs(wrap_angle(F.col("heading") - F.col("theta"))) <= math.radians(degrees)
+    best = within_reach(a, p, keys, "sid", _first_of(keys, "fid", "pt_idx"), alike).where("m.fid > 0")
     return positions.select(*keys).join(best, list(keys), "left").select(*keys, "m.fid", "m.pt_idx")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,36 @@ def rasterize_points(points: DataFrame, half: float, res: int) -> DataFrame:
     return last.select("sid", "row", "col", (F.col("d.dir_x") / 2 + 0.5).alias("r"), (F.col("d.dir_y") / 2 + 0.5).alias("g"), F.lit(0.0).alias("b"))
 
 
+def rasterize_lines(points: DataFrame, half: float, res: int) -> DataFrame:
+    """sid, row, col, r, g, b: the lines between successive type-2 points as cells coloured by the direction of their first point; the last line drawn wins.
+
+    points as for rasterize_points(). A line colours every cell that it touches: per column, the rows
+    between its heights at the column's sides. Parts outside the view are left out; points
+    without a place end a line; a polyline of one point has none.
+    """
+    cell = 2 * half / res
+    w = W.partitionBy("sid", "fid").orderBy("pt_idx")
+    u, v = (F.col("x") + half) / cell, (half - F.col("y")) / cell
+    drawn = points.where(F.col("global_type") == 2).select("sid", F.struct("fid", "pt_idx").alias("drawn"), F.struct("dir_x", "dir_y").alias("d"), u.alias("u1"), v.alias("v1"), F.lead(u).over(w).alias("u2"), F.lead(v).over(w).alias("v2"))
+    drawn = drawn.where(" AND ".join(f"abs({c}) < double('inf')" for c in ("u1", "v1", "u2", "v2")))
+    low, high = lambda c: F.least(f"{c}1", f"{c}2"), lambda c: F.greatest(f"{c}1", f"{c}2")
+    inside = drawn.where((low("u") < res) & (high("u") >= 0) & (low("v") < res) & (high("v") >= 0))
+    span = lambda a, b: F.sequence(F.greatest(F.floor(a), F.lit(0)), F.least(F.floor(b), F.lit(res - 1)))
+    columns = inside.select("*", F.explode(span(low("u"), high("u"))).alias("col"))
+
+    def height(at: Column) -> Column:
+        there = F.col("v1") + (F.col("v2") - F.col("v1")) * (at - F.col("u1")) / (F.col("u2") - F.col("u1"))
+        return F.least(F.greatest(there, low("v")), high("v"))
+
+    flat = F.col("u1") == F.col("u2")
+    left, right = height(F.greatest(F.col("col").cast("double"), low("u"))), height(F.least(F.col("col") + 1.0, high("u")))
+    columns = columns.withColumns({"a": F.when(flat, F.col("v1")).otherwise(left), "b": F.when(flat, F.col("v2")).otherwise(right)})
+    columns = columns.where((F.least("a", "b") < res) & (F.greatest("a", "b") >= 0))
+    cells = columns.select("sid", "drawn", "d", F.col("col").cast("int").alias("col"), F.explode(span(F.least("a", "b"), F.greatest("a", "b")).cast("array<int>")).alias("row"))
+    last = cells.groupBy("sid", "row", "col").agg(F.max_by("d", "drawn").alias("d"))
+    return last.select("sid", "row", "col", (F.col("d.dir_x") / 2 + 0.5).alias("r"), (F.col("d.dir_y") / 2 + 0.5).alias("g"), F.lit(0.0).alias("b"))
+
+
 def filled(cells: DataFrame, res: int) -> DataFrame:
     """All res x res pixels of each image; cells without a colour are grey (0.5, 0.5, 0)."""
     every = cells.select("sid").distinct().select("sid", F.explode(F.sequence(F.lit(0), F.lit(res - 1))).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.lit(res - 1))).alias("col"))

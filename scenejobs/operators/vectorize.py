@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.geometry import wrap_angle
+from scenejobs.operators.nearest import within_reach
 
 #: The eight neighbours of a pixel, in turn around it.
 AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
@@ -31,9 +32,12 @@ def snap_to_lane(agents: DataFrame, lane_points: DataFrame, max_dist: float = 3.
 
     lane_points has image_id, lane_id, pt_idx, x, y, dx, dy. Speed is held to [2, 10] near a lane, else 0.
     """
-    pairs = agents.select("image_id", "agent_idx", F.col("x").alias("ax"), F.col("y").alias("ay"), "speed").join(lane_points, "image_id")
-    d = F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))
-    near = pairs.groupBy("image_id", "agent_idx", "speed").agg(F.min(F.struct(d.alias("d"), "lane_id", "pt_idx", "dx", "dy")).alias("p"))
+    asked = agents.select("image_id", "agent_idx", F.col("x").alias("ax"), F.col("y").alias("ay"), "speed")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("image_id", "agent_idx", "speed").agg(F.min(F.struct("d", "lane_id", "pt_idx", "dx", "dy")).alias("p")).withColumn("reach", F.col("p.d"))
+
+    near = within_reach(asked, lane_points.select("image_id", "lane_id", "pt_idx", "x", "y", "dx", "dy"), ("image_id", "agent_idx"), "image_id", nearest)
     speed = F.when(F.col("p.d") < max_dist, F.least(F.greatest("speed", F.lit(2.0)), F.lit(10.0))).otherwise(0.0)
     found = near.select("image_id", "agent_idx", F.atan2("p.dy", "p.dx").alias("yaw"), speed.alias("speed"))
     return found.withColumns({"vx": F.col("speed") * F.cos("yaw"), "vy": F.col("speed") * F.sin("yaw")})
