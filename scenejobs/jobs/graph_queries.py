@@ -55,7 +55,11 @@ def g2(spark, sf_dir):
     return rounded(_stats(spark, sf_dir))
 
 
-@query("g3_convenience", None)
+@query("g3_convenience", with_views(["graph_edges"], """WITH near AS MATERIALIZED (SELECT graph_id, a, b, min(dist) AS step FROM (SELECT graph_id, n1 AS a, n2 AS b, dist FROM graph_edges UNION ALL SELECT graph_id, n2, n1, dist FROM graph_edges) WHERE a <> b GROUP BY 1, 2, 3),
+far(graph_id, source, node, d) USING KEY (graph_id, source, node) AS (SELECT graph_id, a, b, step FROM near
+  UNION SELECT n.graph_id, n.source, n.node, n.d FROM (SELECT f.graph_id, f.source, e.b AS node, min(f.d + e.step) AS d FROM far f JOIN near e ON e.graph_id = f.graph_id AND e.a = f.node WHERE e.b <> f.source GROUP BY 1, 2, 3) n
+  LEFT JOIN recurring.far r ON r.graph_id = n.graph_id AND r.source = n.source AND r.node = n.node WHERE r.d IS NULL OR n.d < r.d)
+SELECT graph_id, round(avg(d), 4) AS convenience FROM far GROUP BY 1"""))
 def g3(spark, sf_dir):
     return rounded(graphs.convenience(_edges(spark, sf_dir)))
 
@@ -98,6 +102,16 @@ def g6_wasserstein(spark, sf_dir):
     return rounded(graphs.mmd_wasserstein(*_degrees(spark, sf_dir)))
 
 
+@query("g6_mmd_tvd", with_views(["graph_edges"], f"""WITH {DEGREES_SQL},
+km AS (SELECT a.side, a.v, sum(b.n * exp(-(a.v - b.v) * (a.v - b.v) / 2)) / sum(b.n) AS m FROM counted a JOIN counted b ON a.side = b.side GROUP BY 1, 2),
+placed AS (SELECT side, row_number() OVER (PARTITION BY side ORDER BY graph_id, node) AS place, v FROM (SELECT graph_id % 2 AS side, graph_id, node, CAST(count(*) AS DOUBLE) AS v FROM ends GROUP BY 1, 2, 3)),
+means AS (SELECT p.side, place, m FROM placed p JOIN km ON km.side = p.side AND km.v = p.v)
+SELECT round(sum(apart) / 2, 4) AS distance FROM (SELECT place, abs(sum(CASE WHEN side = 0 THEN m ELSE -m END)) AS apart FROM means GROUP BY 1)"""))
+def g6_tvd(spark, sf_dir):
+    nodes = graphs.edge_nodes(_edges(spark, sf_dir)).select("graph_id", "node", F.col("degree").cast("double").alias("value"))
+    return rounded(graphs.mmd_tvd(nodes.where("graph_id % 2 = 0"), nodes.where("graph_id % 2 = 1"), ["graph_id", "node"]))
+
+
 @query("g7_wasserstein_1d", with_views(["graph_edges"], f"""WITH {DEGREES_SQL},
 steps AS (SELECT v, sum(CASE WHEN side = 0 THEN n ELSE -n END * 1.0::DOUBLE / t) AS step FROM (SELECT *, sum(n) OVER (PARTITION BY side) AS t FROM counted) GROUP BY 1)
 SELECT round(sum(area), 4) AS distance FROM (SELECT abs(sum(step) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING)) * (lead(v) OVER (ORDER BY v) - v) AS area FROM steps)"""))

@@ -37,10 +37,33 @@ def v7(spark, sf_dir):
     return tracing.trace_graph(_foreground(spark, sf_dir)).select("image_id", "edge_id", "d", F.size("path").alias("n"), "error")
 
 
+def _paths(spark, sf_dir):
+    return views.lane_points(spark, sf_dir).select(F.col("sid").cast("long").alias("image_id"), F.col("fid").alias("edge_id"), "pt_idx", "x", "y")
+
+
 @query("v13_fit_curves", None)
 def v13(spark, sf_dir):
-    paths = views.lane_points(spark, sf_dir).select(F.col("sid").cast("long").alias("image_id"), F.col("fid").alias("edge_id"), "pt_idx", "x", "y")
-    return rounded(curves.fit_curves(paths, "spline", 0.5))
+    return rounded(curves.fit_splines(_paths(spark, sf_dir), 0.5))
+
+
+# The same cubics by polynomials that are orthogonal over a path's points, instead of normal equations.
+@query("v13_fit_polynomials", with_views(["lane_points"], """WITH along AS (SELECT sid, fid, pt_idx, x, y, sum(d) OVER (PARTITION BY sid, fid ORDER BY pt_idx) AS s FROM (
+  SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS d FROM lane_points WINDOW w AS (PARTITION BY sid, fid ORDER BY pt_idx))),
+u AS (SELECT *, 2 * s / whole - 1 AS t FROM (SELECT *, max(s) OVER (PARTITION BY sid, fid) AS whole FROM along)),
+o1 AS (SELECT *, t - avg(t) OVER w AS p1, avg(t) OVER w AS a0 FROM u WINDOW w AS (PARTITION BY sid, fid)),
+o2 AS (SELECT *, (t - a1) * p1 - b1 AS p2 FROM (SELECT *, sum(t * p1 * p1) OVER w / sum(p1 * p1) OVER w AS a1, avg(p1 * p1) OVER w AS b1 FROM o1 WINDOW w AS (PARTITION BY sid, fid))),
+o3 AS (SELECT *, (t - a2) * p2 - b2 * p1 AS p3 FROM (SELECT *, sum(t * p2 * p2) OVER w / sum(p2 * p2) OVER w AS a2, sum(p2 * p2) OVER w / sum(p1 * p1) OVER w AS b2 FROM o2 WINDOW w AS (PARTITION BY sid, fid))),
+fit AS (SELECT sid, fid, whole, a0, a1, b1, a2, b2, arg_min(x, pt_idx) AS x1, arg_min(y, pt_idx) AS y1, arg_max(x, pt_idx) AS x2, arg_max(y, pt_idx) AS y2,
+  avg(x) AS x_0, sum(x * p1) / sum(p1 * p1) AS x_1, sum(x * p2) / sum(p2 * p2) AS x_2, sum(x * p3) / sum(p3 * p3) AS x_3, avg(y) AS y_0, sum(y * p1) / sum(p1 * p1) AS y_1, sum(y * p2) / sum(p2 * p2) AS y_2, sum(y * p3) / sum(p3 * p3) AS y_3 FROM o3 GROUP BY ALL),
+k AS (SELECT *, 2 * s / whole - 1 AS t FROM (SELECT *, i * 0.5::DOUBLE AS s FROM (SELECT *, CAST(unnest(range(CAST(ceil(whole / 0.5) AS INT))) AS INT) AS i FROM fit)) WHERE s < whole),
+q AS (SELECT *, (t - a1) * (t - a0) - b1 AS q2, (t - a1) + (t - a0) AS d2 FROM k),
+c AS (SELECT *, (t - a2) * q2 - b2 * (t - a0) AS q3, q2 + (t - a2) * d2 - b2 AS d3, 2 * d2 + (t - a2) * 2 AS e3 FROM q),
+v AS (SELECT *, x_0 + x_1 * (t - a0) + x_2 * q2 + x_3 * q3 AS x, y_0 + y_1 * (t - a0) + y_2 * q2 + y_3 * q3 AS y, (x_1 + x_2 * d2 + x_3 * d3) * 2 / whole AS dx, (y_1 + y_2 * d2 + y_3 * d3) * 2 / whole AS dy,
+  (x_2 * 2 + x_3 * e3) * 4 / whole / whole AS ddx, (y_2 * 2 + y_3 * e3) * 4 / whole / whole AS ddy FROM c),
+n AS (SELECT *, first_value(i) OVER (PARTITION BY sid, fid ORDER BY sqrt((x - x1) ** 2 + (y - y1) ** 2), i) AS a, first_value(i) OVER (PARTITION BY sid, fid ORDER BY sqrt((x - x2) ** 2 + (y - y2) ** 2), i) AS b FROM v)
+SELECT sid AS image_id, fid AS edge_id, i - a AS k, round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y, round(atan2(dy, dx), 4) + 0.0::DOUBLE AS yaw, round((dx * ddy - dy * ddx) / greatest(dx * dx + dy * dy, 1e-12) ** 1.5, 4) + 0.0::DOUBLE AS curvature, s FROM n WHERE i BETWEEN a AND b""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8")))
+def v13_polynomials(spark, sf_dir):
+    return rounded(curves.fit_polynomials(_paths(spark, sf_dir), 0.5)).drop("error")
 
 
 def _ends(spark, sf_dir):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from scenejobs.functions.tables import written
+from scenejobs.functions.tables import shared_folder, written
 from scenejobs.jobs.map_queries import DIRECTION_SQL, _r
 from scenejobs.jobs.registry import query, rounded
-from scenejobs.operators import maps, raster, vectorize
-from scenejobs.sources import views
+from scenejobs.operators import maps, raster, splicing, vectorize
+from scenejobs.sources import images, scenes, views
 from scenejobs.sources.views import with_views
 
 CELLS_SQL = DIRECTION_SQL + """,
@@ -111,6 +113,13 @@ def r6(spark, sf_dir):
     return rounded(raster.foreground(_pixels(spark, sf_dir)))
 
 
+@query("s3_read_pixels", with_views(["lane_points"], f"WITH {PIXELS_SQL} SELECT image_id, row, col, " + ", ".join(f"round(floor({c} * 255 + 0.5) / 255, 4) AS {c}" for c in "rgb") + " FROM pixels"))
+def s3(spark, sf_dir):
+    path = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    images.write_pixels(_pixels(spark, sf_dir), path)
+    return rounded(scenes.read_pixels(spark, path))
+
+
 @query("v2_agent_speed", with_views(["lane_points", "tracks"], f"""WITH {MODES_SQL},
 wide AS (SELECT image_id, max(mode) FILTER (channel = 'r') AS mr, max(mode) FILTER (channel = 'g') AS mg FROM modes GROUP BY 1),
 boxes AS (SELECT sid AS image_id, track_index AS agent_idx, floor((40 - y) / 1.25) AS row, floor((x + 40) / 1.25) AS col FROM tracks WHERE t = 10 AND valid AND abs(x) < 40 AND abs(y) < 40),
@@ -198,13 +207,38 @@ def v8_inlets(spark, sf_dir):
 TERMINALS_SQL = "ends AS (SELECT sid AS image_id, fid * 2 + CASE WHEN pt_idx = 0 THEN 0 ELSE 1 END AS terminal, fid AS edge_id, x, y FROM lane_points WHERE pt_idx IN (0, 31))"
 
 
-@query("v9_close_gaps", with_views(["lane_points"], f"""WITH {TERMINALS_SQL},
+PAIRS_SQL = TERMINALS_SQL + """,
 p AS (SELECT a.image_id, a.terminal AS a, b.terminal AS b, row_number() OVER (PARTITION BY a.image_id, a.terminal ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.terminal) AS rn FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.edge_id <> b.edge_id
-  WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8)
-SELECT x.image_id, x.a, x.b FROM p x JOIN p y ON x.image_id = y.image_id AND x.a = y.b AND x.b = y.a WHERE x.rn = 1 AND y.rn = 1 AND x.a < x.b"""))
+  WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 8),
+gaps AS (SELECT x.image_id, x.a, x.b FROM p x JOIN p y ON x.image_id = y.image_id AND x.a = y.b AND x.b = y.a WHERE x.rn = 1 AND y.rn = 1 AND x.a < x.b)"""
+
+
+@query("v9_close_gaps", with_views(["lane_points"], f"WITH {PAIRS_SQL} SELECT * FROM gaps"))
 def v9(spark, sf_dir):
-    ends = views.lane_points(spark, sf_dir).where("pt_idx IN (0, 31)").selectExpr("sid AS image_id", "fid * 2 + CASE WHEN pt_idx = 0 THEN 0 ELSE 1 END AS terminal", "fid AS edge_id", "x", "y")
-    return vectorize.close_gaps(ends)
+    return vectorize.close_gaps(_terminals(spark, sf_dir))
+
+
+def _terminals(spark, sf_dir):
+    return views.lane_points(spark, sf_dir).where("pt_idx IN (0, 31)").selectExpr("sid AS image_id", "fid * 2 + CASE WHEN pt_idx = 0 THEN 0 ELSE 1 END AS terminal", "fid AS edge_id", "pt_idx = 31 AS at_end", "x", "y")
+
+
+@query("v9_splice_gaps", with_views(["lane_points"], f"""WITH {PAIRS_SQL},
+steps AS MATERIALIZED (SELECT image_id, a // 2 AS edge_id, a % 2 = 0 AS back, b // 2 AS next_edge, b % 2 = 1 AS next_back FROM (SELECT image_id, a, b FROM gaps UNION ALL SELECT image_id, b, a FROM gaps)),
+walk AS (SELECT image_id, edge_id AS first_edge, back AS first_back, edge_id, back, [edge_id] AS es, [back] AS bs,
+    NOT EXISTS (SELECT 1 FROM steps t WHERE t.image_id = s.image_id AND t.next_edge = s.edge_id AND t.next_back = s.back) AS begins FROM steps s
+  UNION ALL SELECT w.image_id, first_edge, first_back, next_edge, next_back, list_append(es, next_edge), list_append(bs, next_back), begins FROM walk w JOIN steps s ON s.image_id = w.image_id AND s.edge_id = w.edge_id AND s.back = w.back
+  WHERE NOT (next_edge = first_edge AND next_back = first_back)),
+whole AS (SELECT w.image_id, es, bs FROM walk w LEFT JOIN steps s ON s.image_id = w.image_id AND s.edge_id = w.edge_id AND s.back = w.back
+  WHERE es[1] < es[-1] AND CASE WHEN s.image_id IS NULL THEN begins ELSE s.next_edge = first_edge AND s.next_back = first_back AND NOT first_back AND first_edge = list_min(es) END
+  UNION ALL SELECT DISTINCT sid, [fid], [FALSE] FROM lane_points WHERE NOT EXISTS (SELECT 1 FROM steps t WHERE t.image_id = sid AND t.edge_id = fid OR t.image_id = sid AND t.next_edge = fid)),
+part AS (SELECT image_id, list_min(es) AS edge_id, array_to_string(list_transform(range(1, len(es) + 1), lambda i: es[i] || CASE WHEN bs[i] THEN '-' ELSE '+' END), ' ') AS edges, 32 * len(es) - 1 AS d, unnest(es) AS e, unnest(bs) AS back, unnest(range(len(es))) AS pos FROM whole)
+SELECT image_id, edge_id, edges, CAST(d AS INT) AS d, CAST(pos * 32 + CASE WHEN back THEN 31 - pt_idx ELSE pt_idx END AS INT) AS k, {_r('x', 'y')} FROM part JOIN lane_points ON sid = image_id AND fid = e"""))
+def v9_splice(spark, sf_dir):
+    ends = written(_terminals(spark, sf_dir))
+    edges = views.lane_points(spark, sf_dir).groupBy(F.col("sid").alias("image_id"), F.col("fid").alias("edge_id")).agg(F.sort_array(F.collect_list(F.struct("pt_idx", "x", "y"))).alias("path"))
+    found = splicing.splice_gaps(edges, ends, written(vectorize.close_gaps(ends)))
+    names = F.array_join(F.transform("edges", lambda e: F.concat(e["edge_id"].cast("string"), F.when(e["back"], "-").otherwise("+"))), " ")
+    return rounded(found.select("image_id", "edge_id", names.alias("edges"), "d", F.posexplode("path").alias("k", "p")).select("image_id", "edge_id", "edges", "d", "k", "p.x", "p.y"))
 
 
 ENDS_SQL = """e AS (SELECT graph_id AS image_id, n1 AS node, n2 AS "end", (n2 * 37 % 63) / 10.0::DOUBLE - 3.1 AS yaw FROM graph_edges)"""

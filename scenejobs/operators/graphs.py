@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.ranges import running
+from scenejobs.functions.tables import written
 
 STATS = ["connectivity", "density", "reach", "length", "orientation", "spectrum"]
 
@@ -59,11 +60,34 @@ def graph_stats(edges: DataFrame, yaws: DataFrame) -> DataFrame:
     return per_node.join(per_edge, "graph_id").select("graph_id", *STATS)
 
 
+#: Graphs of more nodes than this are spread over tasks.
+NODES_PER_WORKER = 1_000
+
+
+def shortest_distances(edges: DataFrame) -> DataFrame:
+    """graph_id, source, node, dist: weighted shortest distances between all connected pairs of different nodes, both ways.
+
+    All sources relax their edges at once; only distances that became shorter in a round go on
+    to the next. Rows are spread by graph, source and node, so a graph of any size is worked
+    on by all tasks. dist must not be negative.
+    """
+    key = ["graph_id", "source", "node"]
+    near = edges.select("graph_id", F.explode(F.array(F.struct(F.col("n1").alias("node"), F.col("n2").alias("next")), F.struct(F.col("n2").alias("node"), F.col("n1").alias("next")))).alias("e"), "dist")
+    near = written(near.where("e.node != e.next").groupBy("graph_id", "e.node", "e.next").agg(F.min("dist").alias("step")))
+    best = written(near.select("graph_id", F.col("node").alias("source"), F.col("next").alias("node"), F.col("step").alias("dist"), F.lit(True).alias("fresh")))
+    while not (wave := best.where("fresh")).isEmpty():
+        reached = wave.join(near, ["graph_id", "node"]).where("next != source").select("graph_id", "source", F.col("next").alias("node"), (F.col("dist") + F.col("step")).alias("dist"))
+        both = best.select(*key, "dist", F.lit(True).alias("known")).unionAll(reached.select(*key, "dist", F.lit(False)))
+        best = both.groupBy(*key).agg(F.min("dist").alias("dist"), F.min(F.when(F.col("known"), F.col("dist"))).alias("before"))
+        best = written(best.select(*key, "dist", (F.col("before").isNull() | (F.col("dist") < F.col("before"))).alias("fresh")))
+    return best.select(*key, "dist")
+
+
 def convenience(edges: DataFrame) -> DataFrame:
     """graph_id, convenience: mean weighted shortest path over connected node pairs.
 
-    0 below two nodes, null where no pair is connected. Each graph is one group of numpy
-    min-plus steps; graphs are independent and small.
+    0 below two nodes, null where no pair is connected. Graphs of up to NODES_PER_WORKER nodes
+    are groups of numpy min-plus steps; larger ones go through shortest_distances().
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +104,14 @@ def convenience(edges: DataFrame) -> DataFrame:
         value = 0.0 if len(names) < 2 else pairs.mean() if len(pairs) else None
         return pd.DataFrame({"graph_id": [frame["graph_id"].iloc[0]], "convenience": [value]})
 
-    return edges.groupBy("graph_id").applyInPandas(run, f"graph_id {edges.schema['graph_id'].dataType.simpleString()}, convenience double")
+    kind = edges.schema["graph_id"].dataType.simpleString()
+    sizes = edge_nodes(edges).groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
+    large = written(sizes.where(F.col("nodes") > NODES_PER_WORKER).select("graph_id"))
+    if large.isEmpty():
+        return edges.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, convenience double")
+    small = edges.join(large, "graph_id", "left_anti").groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, convenience double")
+    far = shortest_distances(edges.join(large, "graph_id", "left_semi")).groupBy("graph_id").agg(F.avg("dist").alias("convenience"))
+    return small.unionAll(large.join(far, "graph_id", "left"))
 
 
 def fit_normal(stats: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
@@ -101,15 +132,15 @@ def _counted(values: DataFrame, name: str) -> DataFrame:
     return values.groupBy(F.col("value").alias(name)).agg(F.count(F.lit(1)).cast("double").alias(f"{name}_n"))
 
 
-#: The kernel is left out beyond so many sigmas, where it is below 2e-8.
-REACH = 6
+#: The kernel is left out beyond so many sigmas, where it is below 3e-18.
+REACH = 9
 
 
 def kernel_means(x: DataFrame, y: DataFrame, sigma: float = 1.0) -> DataFrame:
     """value, n, mean: mean Gaussian kernel of each distinct x value with all y values.
 
     Values repeat heavily, so both sides shrink to (value, count) before they meet, and they
-    meet in cells of REACH sigmas and their neighbours only; a mean is less than 2e-8 short.
+    meet in cells of REACH sigmas and their neighbours only; a mean is less than 3e-18 short.
     """
     cell = lambda c: F.floor(F.col(c) / (REACH * sigma))
     near = F.explode(F.sequence(cell("y") - 1, cell("y") + 1)).alias("cell")
@@ -131,6 +162,23 @@ def mmd_wasserstein(x: DataFrame, y: DataFrame, sigma: float = 1.0) -> DataFrame
     return _wasserstein(kernel_means(x, x, sigma).select(F.col("mean").alias("value"), "n"), kernel_means(y, y, sigma).select(F.col("mean").alias("value"), "n"))
 
 
+def mmd_tvd(x: DataFrame, y: DataFrame, order: list[str], sigma: float = 1.0) -> DataFrame:
+    """One row, distance: half the sum of differences between the kernel means at equal places of two samples.
+
+    x and y have value and the columns of order, by which no two rows are equal; a row's place
+    is its number in that order, counted over ranges. Where one sample is longer, its further
+    means count in full. 0 for two empty samples.
+    """
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        means = kernel_means(df, df, sigma).select("value", F.col("mean").alias(name))
+        rows = df.select("value", F.struct(*order).alias("order")).join(means, "value")
+        return running(rows, "order", F.lit(1).cast("long"), "place").select("place", name)
+
+    apart = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
+    return placed(x, "a").join(placed(y, "b"), "place", "full").agg((F.coalesce(F.sum(apart), F.lit(0.0)) / 2).alias("distance"))
+
+
 def wasserstein_1d(x: DataFrame, y: DataFrame) -> DataFrame:
     """One row, distance: area between the distribution functions of two samples (column value)."""
     return _wasserstein(_counted(x, "value").withColumnRenamed("value_n", "n"), _counted(y, "value").withColumnRenamed("value_n", "n"))

@@ -123,7 +123,7 @@ def reference_path(tracks: DataFrame, lane_points: DataFrame, topology: DataFram
         names = [*key, "k", "x", "y", "yaw", "curvature"]
         if not ((x != x[0]) | (y != y[0])).any():
             return pd.DataFrame(columns=names)
-        line = fit_path(x, y, "spline", 0.1)
+        line = fit_path(x, y, 0.1)
         place = np.hypot(line[:, 0] - frame["now_x"].iloc[0], line[:, 1] - frame["now_y"].iloc[0]).argmin()
         cut = line[max(place - behind, 0) :][:length]
         out = pd.DataFrame(cut[:, :4], columns=["x", "y", "yaw", "curvature"])

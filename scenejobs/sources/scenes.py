@@ -45,8 +45,13 @@ def write_scenarios(df: DataFrame, path: str, shards: int) -> None:
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, row, col, r, g, b in [0, 1] of image files; Spark's image source holds BGR bytes."""
-    images = spark.read.format("image").load(path).select(F.col("image.origin").alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data")
+    """image_id, row, col, r, g, b in [0, 1] of image files; Spark's image source holds BGR bytes.
+
+    image_id is the number that the file is named with; files of other names are left out,
+    as the source leaves out those that hold no image.
+    """
+    number = F.regexp_extract("image.origin", r"/(\d+)\.\w+$", 1)
+    images = spark.read.format("image").load(path).where(number != "").select(number.cast("long").alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -57,7 +62,7 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
                 flat = values.reshape(-1, 3)
                 yield pd.DataFrame({"image_id": image.image_id, "row": row.astype(np.int32), "col": col.astype(np.int32), "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]})
 
-    return images.mapInPandas(unpack, "image_id string, row int, col int, r double, g double, b double")
+    return images.mapInPandas(unpack, "image_id long, row int, col int, r double, g double, b double")
 
 
 def write_vectors(lanes: DataFrame, agents: DataFrame, edges: DataFrame, path: str) -> None:
