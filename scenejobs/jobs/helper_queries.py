@@ -8,13 +8,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.tables import shared_folder, written
-from scenejobs.jobs.raster_queries import HALF, _agents, _pixels
+from scenejobs.jobs import route_sql
+from scenejobs.jobs.raster_queries import FOREGROUND_SQL, HALF, NODES_SQL, _agents, _pixels
 from scenejobs.jobs.registry import query, rounded
-from scenejobs.operators import agents, curves, graphs, lanes, maps, raster, tracing, vectorize
+from scenejobs.operators import agents, components, curves, graphs, lanes, maps, raster, tracing, vectorize
 from scenejobs.sources import scenes, views
 from scenejobs.sources.views import with_views
 
 
+SEQUENCES_SQL = """chains AS (SELECT sid, [fid] AS path, 0 AS points FROM lane_rank
+  UNION ALL SELECT c.sid, list_append(c.path, t.exit_fid), c.points + 32 FROM chains c JOIN lane_topology t ON t.sid = c.sid AND t.fid = c.path[len(c.path)] WHERE c.points <= 300 AND NOT list_contains(c.path, t.exit_fid)),
+sequences AS (SELECT sid, path FROM chains c WHERE points > 300 OR NOT EXISTS (SELECT 1 FROM lane_topology t WHERE t.sid = c.sid AND t.fid = c.path[len(c.path)]))"""
+
+
 @query("v1_agent_boxes", None)
 def v1(spark, sf_dir):
     boxes = _agents(spark, sf_dir).withColumns({"displacement": F.lit(6.0), "image_id": F.col("sid").cast("long")})
@@ -26,10 +32,31 @@ def _foreground(spark, sf_dir):
     return raster.foreground(_pixels(spark, sf_dir)).select(F.col("image_id").cast("long").alias("image_id"), "row", "col")
 
 
-@query("v6_dense_nodes", None)
+DENSE_SQL = f"""{FOREGROUND_SQL}, {NODES_SQL},
+eroded AS MATERIALIZED (SELECT image_id, row, col FROM fore f WHERE (SELECT count(*) FROM fore q WHERE q.image_id = f.image_id AND q.row BETWEEN f.row AND f.row + 1 AND q.col BETWEEN f.col AND f.col + 1) = 4),
+spread(image_id, row, col, first) USING KEY (image_id, row, col) AS (SELECT image_id, row, col, row * 1000 + col FROM eroded
+  UNION SELECT n.image_id, n.row, n.col, n.first FROM (SELECT e.image_id, e.row, e.col, min(s.first) AS first FROM spread s JOIN eroded e ON e.image_id = s.image_id AND abs(e.row - s.row) <= 1 AND abs(e.col - s.col) <= 1 GROUP BY 1, 2, 3) n
+  JOIN recurring.spread r ON r.image_id = n.image_id AND r.row = n.row AND r.col = n.col WHERE n.first < r.first),
+centres AS (SELECT image_id, first, CAST(sum(row) // count(*) AS INT) AS row, CAST(sum(col) // count(*) AS INT) AS col, count(*) AS size FROM spread GROUP BY 1, 2)"""
+
+
+@query("v6_dense_nodes", with_views(["lane_points"], f"WITH {DENSE_SQL} SELECT image_id, row, col, size, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.image_id = c.image_id AND sqrt((n.row - c.row) ** 2 + (n.col - c.col) ** 2) < 5) AS kept FROM centres c"))
 def v6(spark, sf_dir):
-    fore = _foreground(spark, sf_dir)
-    return tracing.dense_nodes(fore, vectorize.skeleton_nodes(fore).where("crossings = 1"), 2.0)
+    fore = written(_foreground(spark, sf_dir))
+    return tracing.dense_centres(fore, vectorize.skeleton_nodes(fore))
+
+
+# Which neighbourhoods lose their pixel in either pass; the passes follow each other until none does, 40 rounds at most here.
+@query("v7_skeleton", with_views(["lane_points"], f"""WITH {FOREGROUND_SQL},
+o AS (SELECT unnest(range(8)) AS i, unnest([-1, -1, 0, 1, 1, 1, 0, -1]) AS dr, unnest([0, 1, 1, 1, 0, -1, -1, -1]) AS dc),
+rule AS MATERIALIZED (SELECT b, side FROM (SELECT unnest(range(256)) AS b), (SELECT unnest([0, 1]) AS side) WHERE bit_count(CAST(b AS INT)) BETWEEN 2 AND 6 AND len(list_filter(range(8), lambda i: (b >> i) % 2 = 0 AND (b >> ((i + 1) % 8)) % 2 = 1)) = 1
+  AND CASE WHEN side = 0 THEN (b & 21) <> 21 AND (b & 84) <> 84 ELSE (b & 69) <> 69 AND (b & 81) <> 81 END),
+thin AS (SELECT 0 AS pass, image_id, row, col FROM fore
+  UNION ALL SELECT pass + 1, image_id, row, col FROM (SELECT t.pass, t.image_id, t.row, t.col, coalesce(sum(1 << i) FILTER (q.image_id IS NOT NULL), 0) AS b FROM thin t CROSS JOIN o LEFT JOIN thin q ON q.image_id = t.image_id AND q.row = t.row + dr AND q.col = t.col + dc GROUP BY 1, 2, 3, 4)
+  WHERE pass < 80 AND NOT EXISTS (SELECT 1 FROM rule r WHERE r.b = CAST(b AS BIGINT) AND r.side = pass % 2))
+SELECT image_id, row, col FROM thin WHERE pass = 80""".replace("r.b = CAST(b AS BIGINT)", "r.b = around").replace(", 0) AS b FROM thin t", ", 0) AS around FROM thin t")))
+def v7_skeleton(spark, sf_dir):
+    return components.skeleton(_foreground(spark, sf_dir))
 
 
 @query("v7_trace_graph", None)
@@ -117,14 +144,14 @@ def _route_rows(found):
     return found.select("graph_id", "source", "target", "length", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("nodes"), F.array_join(F.transform("waypoints", lambda p: F.concat_ws(":", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))), " ").alias("waypoints"))
 
 
-@query("v17_routes", None)
+@query("v17_routes", route_sql.V17)
 def v17(spark, sf_dir):
     edges, _, found = _routes(spark, sf_dir)
     pairs = vectorize.pair_edges_at_node(_sides(edges).selectExpr("graph_id AS image_id", "node", "edge_id AS end", "yaw")).withColumnRenamed("image_id", "graph_id")
     return _route_rows(graphs.with_waypoints(graphs.smooth_routes(found, pairs), edges))
 
 
-@query("v12_connect_intersections", None)
+@query("v12_connect_intersections", route_sql.V12)
 def v12(spark, sf_dir):
     edges, terminals, found = _routes(spark, sf_dir)
     ends = terminals.join(_sides(edges), ["graph_id", "node"]).selectExpr("graph_id AS image_id", "node", "kind", "x", "y", "IF(kind = 'inlet', yaw, yaw + pi()) AS yaw")
@@ -197,7 +224,14 @@ def s4(spark, sf_dir):
     return count("lanes", F.lit(0).cast("long")).unionAll(count("agents", F.sum(F.expr("IF(object_type = 1 AND sdc_track_index = 0, 1, 0)")))).unionAll(count("edges", F.lit(0).cast("long")))
 
 
-@query("l6_drop_overlapping", None)
+@query("l6_drop_overlapping", with_views(["lane_topology"], f"""WITH {SEQUENCES_SQL},
+listed AS MATERIALIZED (SELECT sid, path, row_number() OVER (PARTITION BY sid ORDER BY path) AS pos FROM sequences),
+covers AS MATERIALIZED (SELECT a.sid, a.pos AS outer_, b.pos AS inner_ FROM listed a JOIN listed b ON a.sid = b.sid AND a.pos <> b.pos WHERE a.path[2:] = b.path[2:] OR len(list_filter(b.path, lambda x: NOT list_contains(a.path, x))) = 0),
+sooner AS MATERIALIZED (SELECT l.sid, l.pos, coalesce(list(c.outer_) FILTER (c.outer_ < l.pos), []) AS before FROM listed l LEFT JOIN covers c ON c.sid = l.sid AND c.inner_ = l.pos GROUP BY 1, 2),
+turn AS (SELECT sid, 0 AS pos, CAST([] AS BIGINT[]) AS acting FROM listed GROUP BY 1
+  UNION ALL SELECT t.sid, t.pos + 1, CASE WHEN len(list_intersect(t.acting, s.before)) = 0 THEN list_append(t.acting, s.pos) ELSE t.acting END FROM turn t JOIN sooner s ON s.sid = t.sid AND s.pos = t.pos + 1),
+acted AS (SELECT sid, unnest(acting) AS pos FROM (SELECT sid, arg_max(acting, pos) AS acting FROM turn GROUP BY 1))
+SELECT l.sid, CAST(l.pos AS INT) AS pos, array_to_string(path, ',') AS path FROM listed l JOIN acted a ON a.sid = l.sid AND a.pos = l.pos WHERE NOT EXISTS (SELECT 1 FROM covers c JOIN acted k ON k.sid = c.sid AND k.pos = c.outer_ WHERE c.sid = l.sid AND c.inner_ = l.pos)"""))
 def l6(spark, sf_dir):
     known = views.lanes(spark, sf_dir)
     found = lanes.lane_sequences(views.lane_topology(spark, sf_dir), known, known.selectExpr("sid", "fid", "32L AS n"))
@@ -205,7 +239,7 @@ def l6(spark, sf_dir):
     return lanes.drop_overlapping(listed).select("sid", "pos", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query("l7_lane_bfs", None)
+@query("l7_lane_bfs", route_sql.L7)
 def l7(spark, sf_dir):
     ranked = views.lanes(spark, sf_dir).withColumnRenamed("fid", "lane_id")
     exits = views.lane_topology(spark, sf_dir).groupBy("sid", F.col("fid").alias("lane_id")).agg(F.array_sort(F.collect_list("exit_fid")).alias("exits"))

@@ -149,11 +149,13 @@ def v4(spark, sf_dir):
     return rounded(vectorize.pixels_to_world(views.tracks(spark, sf_dir).select("sid", "track_index", "t", "x", "y", "vy"), 70.0, 300))
 
 
-@query("v5_skeleton_nodes", with_views(["lane_points"], f"""WITH {FOREGROUND_SQL},
-o AS (SELECT unnest(range(8)) AS i, unnest([-1, -1, 0, 1, 1, 1, 0, -1]) AS dr, unnest([0, 1, 1, 1, 0, -1, -1, -1]) AS dc),
+NODES_SQL = """o AS (SELECT unnest(range(8)) AS i, unnest([-1, -1, 0, 1, 1, 1, 0, -1]) AS dr, unnest([0, 1, 1, 1, 0, -1, -1, -1]) AS dc),
 n AS (SELECT f.image_id, f.row, f.col, i, EXISTS (SELECT 1 FROM fore q WHERE q.image_id = f.image_id AND q.row = f.row + dr AND q.col = f.col + dc) AS lit FROM fore f, o),
-c AS (SELECT image_id, row, col, sum(CASE WHEN NOT a.lit AND b.lit THEN 1 ELSE 0 END) AS crossings FROM n a JOIN n b USING (image_id, row, col) WHERE b.i = (a.i + 1) % 8 GROUP BY 1, 2, 3)
-SELECT image_id, row, col, CAST(crossings AS INT) AS crossings FROM c WHERE crossings = 1 OR crossings >= 3"""))
+c AS (SELECT image_id, row, col, sum(CASE WHEN NOT a.lit AND b.lit THEN 1 ELSE 0 END) AS crossings FROM n a JOIN n b USING (image_id, row, col) WHERE b.i = (a.i + 1) % 8 GROUP BY 1, 2, 3),
+nodes AS (SELECT image_id, row, col, CAST(crossings AS INT) AS crossings FROM c WHERE crossings = 1 OR crossings >= 3)"""
+
+
+@query("v5_skeleton_nodes", with_views(["lane_points"], f"WITH {FOREGROUND_SQL}, {NODES_SQL} SELECT * FROM nodes"))
 def v5(spark, sf_dir):
     return vectorize.skeleton_nodes(raster.foreground(_pixels(spark, sf_dir)).select("image_id", "row", "col"))
 

