@@ -23,8 +23,8 @@ sequences AS (SELECT sid, path FROM chains c WHERE points > 300 OR NOT EXISTS (S
 
 @query("v1_agent_boxes", None)
 def v1(spark, sf_dir):
-    boxes = _agents(spark, sf_dir).withColumns({"displacement": F.lit(6.0), "image_id": F.col("sid").cast("long")})
-    cells = raster.rasterize_boxes(boxes, HALF, 256).select(F.col("sid").cast("long").alias("image_id"), "row", "col", F.col("value").alias("b"))
+    moving = raster.step_displacement(views.tracks(spark, sf_dir)).where("t = 10 AND valid AND displacement IS NOT NULL")
+    cells = raster.rasterize_boxes(moving, HALF, 256).select(F.col("sid").cast("long").alias("image_id"), "row", "col", F.col("value").alias("b"))
     return rounded(tracing.agent_boxes(cells, 2 * HALF / 256))
 
 
@@ -216,12 +216,16 @@ def s1(spark, sf_dir):
     return rounded(found.withColumn("track_index", F.col("track_index").cast("long")), 3)
 
 
-@query("s4_write_vectors", with_views(["lane_points", "tracks", "graph_edges"], """SELECT 'lanes' AS part, count(*) AS n, CAST(0 AS BIGINT) AS marks FROM lane_points UNION ALL SELECT 'agents', count(*), count(*) FROM tracks WHERE t = 10 AND valid UNION ALL SELECT 'edges', count(*), 0 FROM graph_edges"""))
+@query("s4_write_vectors", with_views(["lane_points", "tracks", "graph_edges"], """SELECT 'lanes' AS part, sid, fid AS id, CAST(pt_idx AS BIGINT) AS pos, round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y, CAST(NULL AS INT) AS sdc, CAST(NULL AS INT) AS kind FROM lane_points
+UNION ALL SELECT 'agents', sid, track_index, t, round(x, 4) + 0.0::DOUBLE, round(y, 4) + 0.0::DOUBLE, 0, 1 FROM tracks WHERE t = 10 AND valid UNION ALL SELECT 'edges', graph_id, n1, n2, dist, NULL, NULL, NULL FROM graph_edges"""))
 def s4(spark, sf_dir):
     path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
     scenes.write_vectors(views.lane_points(spark, sf_dir), views.tracks(spark, sf_dir).where("t = 10 AND valid").drop("object_type"), views.graph_edges(spark, sf_dir), path)
-    count = lambda part, marks: spark.read.parquet(f"{path}/{part}").agg(F.count(F.lit(1)).alias("n"), marks.alias("marks")).select(F.lit(part).alias("part"), "n", F.coalesce("marks", F.lit(0).cast("long")).alias("marks"))
-    return count("lanes", F.lit(0).cast("long")).unionAll(count("agents", F.sum(F.expr("IF(object_type = 1 AND sdc_track_index = 0, 1, 0)")))).unionAll(count("edges", F.lit(0).cast("long")))
+    read = lambda part, *columns: spark.read.parquet(f"{path}/{part}").selectExpr(f"'{part}' AS part", *columns)
+    lanes_ = read("lanes", "sid", "fid AS id", "CAST(pt_idx AS BIGINT) AS pos", "x", "y", "CAST(NULL AS INT) AS sdc", "CAST(NULL AS INT) AS kind")
+    agents_ = read("agents", "sid", "track_index", "CAST(t AS BIGINT)", "x", "y", "sdc_track_index", "object_type")
+    edges = read("edges", "graph_id", "n1", "n2", "dist", "CAST(NULL AS DOUBLE)", "CAST(NULL AS INT)", "CAST(NULL AS INT)")
+    return rounded(lanes_.unionAll(agents_).unionAll(edges))
 
 
 @query("l6_drop_overlapping", with_views(["lane_topology"], f"""WITH {SEQUENCES_SQL},

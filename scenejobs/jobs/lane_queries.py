@@ -82,3 +82,13 @@ def l9(spark, sf_dir):
     path = points.select("sid", "fid", "pt_idx", "x", "y")
     limits = path.select("sid", "fid").distinct().withColumn("speed_limit_mph", (25 + 5 * (F.col("fid") % 5)).cast("double"))
     return rounded(lanes.annotate_path(path, signals, walks, limits).select("sid", "fid", "pt_idx", "annotation"))
+
+
+@query("l9_signal_and_speed", with_views(BASE, """WITH s AS (SELECT sid, track_index * 100 + t AS signal_id, round(x * 2) / 2 AS sx, round(y * 2) / 2 AS sy, t % 9 AS state FROM tracks),
+m AS (SELECT p.sid, p.fid, p.pt_idx, arg_min(state, signal_id) AS signal FROM lane_points p JOIN s ON s.sid = p.sid WHERE sqrt((x - sx) ** 2 + (y - sy) ** 2) < 0.2 GROUP BY 1, 2, 3)
+SELECT p.sid, p.fid, p.pt_idx, CAST(coalesce(signal, 0) AS INT) AS signal, round((25 + 5 * (p.fid % 5)) / 2.237::DOUBLE, 4) AS speed FROM lane_points p LEFT JOIN m ON m.sid = p.sid AND m.fid = p.fid AND m.pt_idx = p.pt_idx"""))
+def l9_two(spark, sf_dir):
+    path = views.lane_points(spark, sf_dir).select("sid", "fid", "pt_idx", "x", "y")
+    signals = views.tracks(spark, sf_dir).selectExpr("sid", "track_index * 100 + t AS signal_id", "round(x * 2) / 2 AS x", "round(y * 2) / 2 AS y", "CAST(t % 9 AS INT) AS state")
+    limits = path.select("sid", "fid").distinct().withColumn("speed_limit_mph", (25 + 5 * (F.col("fid") % 5)).cast("double"))
+    return rounded(lanes.signal_and_speed(path, signals, limits).select("sid", "fid", "pt_idx", "signal", "speed"))

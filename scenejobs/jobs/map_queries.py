@@ -51,11 +51,11 @@ def m3(spark, sf_dir):
     return rounded(maps.polyline_heading(_points(spark, sf_dir)).select("sid", "fid", "pt_idx", "theta"))
 
 
-@query("m4_all_polylines", with_views(["lane_points"], "SELECT global_type, count(*) AS n, round(sum(CAST(CAST(x AS FLOAT) AS DOUBLE)), 2) AS x FROM lane_points GROUP BY 1"))
+@query("m4_all_polylines", with_views(["lane_points"], f"SELECT sid, fid, pt_idx, global_type, {', '.join(f'round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 4) + 0.0::DOUBLE AS {c}' for c in 'xyz')} FROM lane_points"))
 def m4(spark, sf_dir):
     points = _points(spark, sf_dir)
     whole = maps.all_polylines(*[points.where(f"global_type = {k}") for k in (1, 2, 3)])
-    return rounded(whole.groupBy("global_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("x")), 2)
+    return rounded(whole.select("sid", "fid", "pt_idx", "global_type", *[F.col(c).cast("double").alias(c) for c in "xyz"]))
 
 
 @query("m5_densify_polygon", with_views(["lane_points"], f"""WITH e AS (SELECT sid, fid, pt_idx AS edge, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS tx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ty
@@ -160,16 +160,17 @@ def p12(spark, sf_dir):
     return rounded(polylines.resample(points, 16).select("sid", "fid", "k", "x", "y", "z", "dir_x", "dir_y", "dir_z", "theta", "global_type"))
 
 
-@query("p13_pack", with_views(["lane_points"], """WITH l AS (SELECT sid, fid, avg(x) AS mean_x, list(x ORDER BY pt_idx) AS xs FROM lane_points WHERE global_type = 2 AND sid <> 1 GROUP BY 1, 2),
+# A further scenario, -1, is listed without any polyline.
+@query("p13_pack", with_views(["lane_points"], """WITH l AS (SELECT sid, fid, avg(x) AS mean_x, list(x ORDER BY pt_idx) AS xs FROM lane_points WHERE global_type = 2 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fid) - 1 AS slot FROM l),
-s AS (SELECT *, unnest(range(16)) AS slot FROM (SELECT DISTINCT p.sid, l.sid IS NULL AS empty FROM lane_points p LEFT JOIN l ON l.sid = p.sid)),
+s AS (SELECT *, unnest(range(16)) AS slot FROM (SELECT DISTINCT p.sid, l.sid IS NULL AS empty FROM (SELECT sid FROM lane_points UNION ALL SELECT -1) p LEFT JOIN l ON l.sid = p.sid)),
 c AS (SELECT s.sid, s.slot, s.empty, r.fid, mean_x, unnest(coalesce(xs, list_resize(CAST([] AS DOUBLE[]), 32, CASE WHEN s.empty THEN 0.0 ELSE 0.2 END))) AS x, unnest(range(32)) AS i FROM s LEFT JOIN r ON r.sid = s.sid AND r.slot = s.slot)
 SELECT sid, CAST(slot AS INT) AS slot, CASE WHEN fid IS NULL THEN 0 ELSE 1 END AS mask, empty, round(coalesce(mean_x, CASE WHEN empty THEN 0 ELSE 0.2 END), 4) + 0.0::DOUBLE AS mean_x, CAST(i AS INT) AS i, round(x, 4) + 0.0::DOUBLE AS x FROM c"""))
 def p13(spark, sf_dir):
     points = _points(spark, sf_dir)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pt_idx", "x"))), lambda p: p["x"])
-    lanes = points.where("global_type = 2 AND sid != 1").groupBy("sid", "fid").agg(F.avg("x").alias("mean_x"), ordered.alias("xs"))
-    packed = polylines.pack(lanes, 16, ["mean_x", "xs"], scenarios=points)
+    lanes = points.where("global_type = 2").groupBy("sid", "fid").agg(F.avg("x").alias("mean_x"), ordered.alias("xs"))
+    packed = polylines.pack(lanes, 16, ["mean_x", "xs"], scenarios=points.select("sid").union(spark.createDataFrame([(-1,)], "sid long")))
     return rounded(packed.select("sid", "slot", "mask", "empty", "mean_x", F.posexplode("xs").alias("i", "x")))
 
 

@@ -272,11 +272,14 @@ def v11(spark, sf_dir):
     return rounded(rows.select("image_id", "edge_id", "p.pt_idx", "p.x", F.coalesce(at("_type"), F.lit("")).alias("node_type"), F.coalesce(at(".x"), F.lit(0.0)).alias("node_x"), F.coalesce(at(".y"), F.lit(0.0)).alias("node_y")))
 
 
-@query("v14_downsample_path", with_views(["lane_points"], """WITH p AS (SELECT sid AS image_id, fid AS edge_id, pt_idx, x, max(pt_idx) OVER (PARTITION BY sid, fid) + 1 AS n FROM lane_points WHERE pt_idx < 4 + fid % 29),
+# Every lane whole, and again, as edge -1 - fid, up to a point of its own, which gives paths of 4 to 32 points.
+@query("v14_downsample_path", with_views(["lane_points"], """WITH b AS (SELECT sid AS image_id, fid AS edge_id, pt_idx, x FROM lane_points UNION ALL SELECT sid, -1 - fid, pt_idx, x FROM lane_points WHERE pt_idx < 4 + fid % 29),
+p AS (SELECT *, max(pt_idx) OVER (PARTITION BY image_id, edge_id) + 1 AS n FROM b),
 k AS (SELECT *, CASE WHEN n <= 6 THEN pt_idx IN (1, n - 1) WHEN pt_idx = n - 1 THEN TRUE WHEN pt_idx = (n - 1) // 6 * 6 THEN n % 6 > 3 ELSE pt_idx % 6 = 0 END AS keep FROM p)
 SELECT image_id, edge_id, pt_idx, CAST(row_number() OVER (PARTITION BY image_id, edge_id ORDER BY pt_idx) - 1 AS INT) AS k, round(x, 4) + 0.0::DOUBLE AS x FROM k WHERE keep"""))
 def v14(spark, sf_dir):
-    paths = views.lane_points(spark, sf_dir).where("pt_idx < 4 + fid % 29").selectExpr("sid AS image_id", "fid AS edge_id", "pt_idx", "x")
+    points = views.lane_points(spark, sf_dir)
+    paths = points.selectExpr("sid AS image_id", "fid AS edge_id", "pt_idx", "x").unionAll(points.where("pt_idx < 4 + fid % 29").selectExpr("sid", "-1 - fid", "pt_idx", "x"))
     return rounded(vectorize.downsample_path(paths, 6).select("image_id", "edge_id", "pt_idx", F.col("k").cast("int").alias("k"), "x"))
 
 
