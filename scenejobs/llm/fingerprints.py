@@ -107,7 +107,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     links = followers(texts, "id").join(texts.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).alias("wanted")), "id")
-    dealt = texts.where("id IS NOT NULL").repartition("id")  # one exchange, which both joins read
+    dealt = texts.where("id IS NOT NULL")  # both joins read one exchange of it, which Spark splits where an id has very many rows
     heads = dealt.alias("d").join(links.alias("l"), F.expr("d.id = l.next_id"))
     heads = heads.select(F.col("l.id").alias("id"), F.struct(F.substring(F.col("d.text"), F.lit(1), F.col("wanted").cast("int")).alias("head"), sketch(F.col("d.text"), scale).alias("sketch")).alias("next"))
     heads = heads.groupBy("id").agg(F.min("next").alias("next"))
