@@ -23,6 +23,8 @@ ORDINARY, SPECIAL, DOCUMENT = "p", "s", "d"
 ENTRY = np.dtype([("place", "<u2"), ("times", "u1")])
 #: Bytes of text of a slice.
 SLICE = 8_000_000
+#: Reading tasks whose postings of one pre-token may meet in one task.
+TASKS_PER_BLOCK = 256
 #: Largest frequency of one entry of a posting; a larger one is split into several entries.
 MOST = 255
 
@@ -39,6 +41,17 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def check_tokenizer(path: str) -> None:
+    """Refuses a file whose tokenizer doesn't put words in lower case and drop white space, or that has added tokens which take in what is around them."""
+    library = tokenizer(path)
+    cut = library.normalizer and library.pre_tokenizer and [x for x, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str("Ab \n cD"))]
+    if cut != ["ab", "cd"]:
+        raise ValueError(f"{path}: counts need a tokenizer that lower-cases words and drops white space, this one cuts 'Ab \\n cD' into {cut}")
+    wide = [t.content for t in library.get_added_tokens_decoder().values() if t.lstrip or t.rstrip or t.single_word or t.normalized]
+    if wide:
+        raise ValueError(f"{path}: added tokens {wide} depend on what is around them")
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE's letter of each byte: printable Latin-1 stays, the rest follow from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -118,11 +131,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
        for the documents of each slice that it meets, and slices add up these sums. No ids
        are kept.
 
-    A pre-token that all documents share has one posting per slice, so it doesn't draw all
-    documents into one task; beyond that Spark splits large partitions of the join as it
-    runs. A slice holds a few megabytes of text. Null and empty texts have 0 bytes and 0
-    tokens. Repeated rows are counted each. Other columns are ignored; an id may be null.
+    A pre-token that all documents share has one posting per slice, and postings are dealt by
+    pre-token and block of TASKS_PER_BLOCK reading tasks, so one key never has more postings
+    than such a block has slices; a pre-token is tokenised once a block. A slice holds a
+    few megabytes of text. Null and empty texts have 0 bytes and 0 tokens. Repeated rows are
+    counted each. Other columns are ignored; an id may be null. A tokenizer file that
+    check_tokenizer() doesn't know to handle is refused.
     """
+    check_tokenizer(path)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -148,9 +164,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = tokenizer(path).model.tokenize
         for batch in batches:
-            tokens = [t for t in batch.column(0).to_pylist() if t[0] != DOCUMENT]
-            counts = [len(tokenize(t[1:])) if t[0] == ORDINARY else 1 for t in tokens]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["token", "pieces"])
+            tokens = batch.column(0).to_pylist()
+            at = [i for i, t in enumerate(tokens) if t[0] != DOCUMENT]
+            counts = [len(tokenize(tokens[i][1:])) if tokens[i][0] == ORDINARY else 1 for i in at]
+            chosen = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(counts, pa.int64())], ["token", "block", "pieces"])
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -198,9 +216,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         place = np.frombuffer(b"".join(known["places"].to_pylist()), "<u2")
         return pa.table({"id": known["id"], "n_bytes": known["n_bytes"], "n_tokens": pa.array(total[place])})
 
-    dealt = rows.mapInArrow(posted, f"token string, payload struct<slice:long,id:{kind},n_bytes:long,entries:binary>").repartition("token")  # one exchange, which both sides read
-    vocabulary = dealt.groupBy("token").agg(F.count("payload").alias("n_postings")).mapInArrow(pieces, "token string, pieces long")
-    joined = dealt.join(vocabulary, "token", "left").select("payload", "pieces")
+    dealt = rows.mapInArrow(posted, f"token string, payload struct<slice:long,id:{kind},n_bytes:long,entries:binary>")
+    block = (F.shiftright("payload.slice", 32) / TASKS_PER_BLOCK).cast("int")  # a slice's number begins with its reading task
+    dealt = dealt.select("token", block.alias("block"), "payload").repartition("token", "block")  # one exchange, which both sides read
+    vocabulary = dealt.groupBy("token", "block").agg(F.count("payload").alias("n_postings")).select("token", "block").mapInArrow(pieces, "token string, block int, pieces long")
+    joined = dealt.join(vocabulary, ["token", "block"], "left").select("payload", "pieces")
     parts = joined.mapInArrow(combined, f"slice long, id {kind}, n_bytes long, places binary, sums binary")
     out = parts.groupBy("slice").applyInArrow(added, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
