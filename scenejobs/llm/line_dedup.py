@@ -104,7 +104,8 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "do
        first place of their equals.
     3. Joined runs that go on at the same distance from their source make up maximal runs.
 
-    Documents are dealt by id to slices. A slice names each hash once, with its first place, so
+    Documents are dealt to slices by a number of their row, so neither a repeated id nor equal
+    rows make a slice larger. A slice names each hash once, with its first place, so
     a line or passage that most documents share is one row per slice and makes no pairs. Rows
     with an equal id are documents of their own, but what they share at the same line number
     is no repeat, as neither place is earlier. Rows with a null id repeat nothing and are no
@@ -165,9 +166,9 @@ def _runs_of_rows(docs: DataFrame, run_lines: int, id_col: str, text_col: str, r
     from pyspark.sql.pandas.types import to_arrow_type
 
     runs_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source_id", to_arrow_type(texts.schema["id"].dataType)), ("source_start", pa.int32())]))
-    lines = written(texts.mapInArrow(hashed, f"id {kind}, same long, lines array<long>, words array<int>").where("size(lines) > 0"))
+    lines = written(texts.mapInArrow(hashed, f"id {kind}, same long, lines array<long>, words array<int>").where("size(lines) > 0").withColumn("row", F.monotonically_increasing_id()))
     n = (lines.agg(F.sum(F.size("lines"))).first()[0] or 0) // SLICE_LINES + 1
-    dealt = lines.select("id", "same", "lines", "words", F.pmod(F.xxhash64("id"), F.lit(n)).alias("slice")).repartition("slice").groupBy("slice")
+    dealt = lines.select("id", "same", "lines", "words", F.pmod(F.xxhash64("row"), F.lit(n)).alias("slice")).repartition("slice").groupBy("slice")
     marks = dealt.applyInArrow(ask_fingerprints, "slice long, hash long, n long")
     often = marks.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     hits = marks.join(often, "hash", "left_semi").select("slice", "hash")
