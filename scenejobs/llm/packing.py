@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import written
-from scenejobs.llm.token_counts import byte_letters
+from scenejobs.llm.shared import unused, written
+from scenejobs.llm.token_counts import byte_letters, tokenizer
 
 #: About so many pieces are packed together in one task.
 PIECES_PER_SHARD = 25_000
+#: One text in so many is checked against the library.
+CHECKED_ONE_IN = 200
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -46,7 +48,9 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Returns id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian bytes)
     per piece. All pieces of a document but the first have the full length. A null or empty
-    text is one piece that holds end_id alone. Repeated rows give their pieces again.
+    text is one piece that holds end_id alone. Repeated rows give their pieces again. Of
+    texts, one in CHECKED_ONE_IN (by its check sum) is given to the library, too, and any
+    difference ends the job.
     """
     tail = np.array([end_id], "<u4").tobytes()
 
@@ -56,7 +60,10 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(texts):
-                data = encoding.encode_to_numpy(text or "", allowed_special="all").astype("<u4").tobytes() + tail
+                ids_of = encoding.encode_to_numpy(text or "", allowed_special="all").astype("<u4")
+                if zlib.crc32((text or "").encode()) % CHECKED_ONE_IN == 0 and tokenizer(path).encode(text or "", add_special_tokens=False).ids != ids_of.tolist():
+                    raise ValueError(f"{path}: the library gives other ids for a text of {len(text or '')} characters")
+                data = ids_of.tobytes() + tail
                 n = len(data) // 4
                 ends = range(n % limit or limit, n + 1, limit)
                 for k, end in enumerate(ends):
@@ -122,17 +129,19 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(pieces: DataFrame, limit: int = 2048, id_col: str = "doc_id", pieces_per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """Adds sequence_id and offset to every piece; sequences hold at most limit tokens, without gaps.
 
-    Pieces are dealt by hash to shards of about pieces_per_shard, however skewed the ids are,
+    Pieces are dealt to shards of about pieces_per_shard by a hash of their row's number, so
+    neither a repeated id nor equal rows make a shard larger,
     and each shard is packed best-fit decreasing; ties fall by id, piece and check sum, so
-    reruns agree. About one sequence of a shard stays part empty more than if all were packed
+    reruns over the same files agree. About one sequence of a shard stays part empty more than if all were packed
     together (on 66,866 pieces 33,807 sequences in one shard, 33,815 in ten, 33,897 in a
     hundred; 33,806 is the least possible), a share that doesn't grow with the input. An empty
     table gives no rows. Lengths must be 1 to limit.
     """
-    pieces = written(pieces)
+    names, schema = pieces.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+    row = unused(pieces, "row")
+    pieces = written(pieces.withColumn(row, F.monotonically_increasing_id()))
     shards = -(-max(1, pieces.count()) // pieces_per_shard)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", "start"), F.lit(shards)))
-    names = pieces.columns
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(row), F.lit(shards))).drop(row)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -140,5 +149,4 @@ def pack(pieces: DataFrame, limit: int = 2048, id_col: str = "doc_id", pieces_pe
         bins += table["shard"].to_numpy().astype(np.int64) << 32
         return table.select(names).append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     return dealt.groupBy("shard").applyInArrow(run, schema)
