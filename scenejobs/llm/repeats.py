@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenejobs.llm.shared import SLICE_BYTES, U64, HashedTexts, groups, signed
+from scenejobs.llm.shared import SLICE_BYTES, U64, HashedTexts, groups, signed, written
 
 #: A repeat is a window of so many consecutive words.
 WINDOW = 13
@@ -20,7 +20,7 @@ WINDOW = 13
 BLOCK = 7
 #: Bits of a block's hash. Blocks only propose windows, which are compared by 64 bits.
 KEY_BITS = 48
-#: Documents are dealt by id to slices of about so many bytes of text.
+#: Documents are dealt to slices of about so many bytes of text.
 DOCUMENT_SLICE = SLICE_BYTES
 #: About so many bytes of text give the probes that meet in one bucket.
 BUCKET_BYTES = 12_000_000
@@ -137,7 +137,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        hash: documents with a larger id than the first lose the words they cover.
        Neighbouring windows that go join to maximal repeats.
 
-    Documents are dealt by id to slices of a few megabytes. A slice asks for its distinct
+    Documents are dealt to slices of a few megabytes by a number of their row, so neither a
+    repeated id nor equal rows make a slice larger. A slice asks for its distinct
     keys, packed by the bucket of keys that they fall into, and each bucket answers to the
     slices; so a passage that most documents hold is one entry per slice, no group is ever
     paired, and slices and buckets are of bounded size at any size of the corpus.
@@ -150,14 +151,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = texts.where("id IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices, bits = size // DOCUMENT_SLICE + 1, max(0, int(size // BUCKET_BYTES).bit_length())
-    slice_of = F.pmod(F.xxhash64("id"), F.lit(n_slices)).alias("slice")
+    slice_of = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_slices)).alias("slice")
     low = KEY_BITS - bits
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = map(_words, batch.column(1).cast(pa.binary()).to_pylist())
-            digests = [xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= WINDOW else None for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["id", "digest"])
+    def digest(texts: pa.Table) -> pa.Table:
+        words = map(_words, texts["text"].cast(pa.binary()).to_pylist())
+        digests = [xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= WINDOW else None for w in words]
+        return pa.table({"slice": texts["slice"], "id": texts["id"], "digest": pa.array(digests, pa.binary())})
 
     def ask_blocks(texts: pa.Table, answers: pa.Table) -> pa.Table:
         part = Slice(texts, answers)
@@ -229,9 +229,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = pa.array(map(len, words), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pc.multiply(n, 0), pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    digests = known.mapInArrow(digest, f"id {kind}, digest binary").where("digest IS NOT NULL")
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("id")).select("id", slice_of)
     dealt = known.select("id", "text", slice_of).repartition("slice").groupBy("slice")  # one exchange, which every pass below reads
+    digests = written(dealt.applyInArrow(digest, f"slice long, id {kind}, digest binary").where("digest IS NOT NULL").distinct())
+    least = digests.groupBy("digest").agg(F.min("id").alias("id"))
+    firsts = digests.join(least, ["digest", "id"]).select("id", "slice").distinct()  # ids that come first, in every slice that holds them
     asked = dealt.cogroup(firsts.groupBy("slice")).applyInArrow(ask_blocks, "bucket long, slice long, n long, keys binary, blocks binary, several binary")
     shared = asked.groupBy("bucket").applyInArrow(answer_blocks, "slice long, keys array<long>")
     asked = dealt.cogroup(firsts.unionByName(shared, allowMissingColumns=True).groupBy("slice")).applyInArrow(ask_windows, f"bucket long, slice long, hashes array<long>, least array<{kind}>, several binary")
