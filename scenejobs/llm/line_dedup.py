@@ -55,6 +55,8 @@ class Lines:
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.end = np.cumsum(sizes)
         self.begin, self.owner = self.end - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        new = pc.not_equal(self.ids.slice(1), self.ids.slice(0, max(len(self.ids) - 1, 0))).to_numpy(zero_copy_only=False)
+        self.rank = np.cumsum(np.r_[False, new].astype(np.int64)) if len(self.ids) else np.empty(0, np.int64)
         self.run_lines, self.run_words = run_lines, run_words
 
     def runs(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,7 +136,7 @@ def _runs_of_rows(docs: DataFrame, run_lines: int, id_col: str, text_col: str, r
     def ask_runs(table: pa.Table, answers: pa.Table) -> pa.Table:
         part = Lines(table, run_lines, run_words)
         hashes, at, _ = part.around(answers["hash"].to_numpy().view(U64))
-        order = np.lexsort((at, hashes))
+        order = np.lexsort((at - part.begin[part.owner[at]], part.rank[part.owner[at]], hashes))  # by id and line, as places go
         first, count = groups(hashes[order])
         return pa.table({"slice": pa.array(np.full(len(first), table["slice"][0].as_py())), "hash": signed(hashes[order[first]]), "place": part.places(at[order[first]]), "n": pa.array(count, pa.int64())})
 
