@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scenejobs.functions.tables import shared_folder, written
 from scenejobs.jobs import route_sql
-from scenejobs.jobs.raster_queries import FOREGROUND_SQL, HALF, NODES_SQL, _agents, _pixels
+from scenejobs.jobs.raster_queries import FOREGROUND_SQL, HALF, NODES_SQL, _pixels
 from scenejobs.jobs.registry import query, rounded
 from scenejobs.operators import agents, components, curves, graphs, lanes, maps, raster, tracing, vectorize
 from scenejobs.sources import scenes, views
@@ -68,9 +68,9 @@ def _paths(spark, sf_dir):
     return views.lane_points(spark, sf_dir).select(F.col("sid").cast("long").alias("image_id"), F.col("fid").alias("edge_id"), "pt_idx", "x", "y")
 
 
-@query("v13_fit_curves", None)
+@query("v13_fit_curves", route_sql.V13)
 def v13(spark, sf_dir):
-    return rounded(curves.fit_splines(_paths(spark, sf_dir), 0.5))
+    return rounded(curves.fit_splines(_paths(spark, sf_dir), 0.5)).drop("error")
 
 
 # The same cubics by polynomials that are orthogonal over a path's points, instead of normal equations.
@@ -160,7 +160,7 @@ def v12(spark, sf_dir):
     return rounded(joined.select("image_id", "entry", "exit", "kind", F.posexplode("curve").alias("i", "p")).select("image_id", "entry", "exit", "kind", "i", "p.x", "p.y"))
 
 
-@query("l8_reference_path", None)
+@query("l8_reference_path", route_sql.L8)
 def l8(spark, sf_dir):
     points = maps.polyline_heading(views.lane_points(spark, sf_dir))
     topology = views.lane_topology(spark, sf_dir)
