@@ -219,7 +219,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     dealt = rows.mapInArrow(posted, f"token string, payload struct<slice:long,id:{kind},n_bytes:long,entries:binary>")
     block = (F.shiftright("payload.slice", 32) / TASKS_PER_BLOCK).cast("int")  # a slice's number begins with its reading task
     dealt = dealt.select("token", block.alias("block"), "payload").repartition("token", "block")  # one exchange, which both sides read
-    vocabulary = dealt.groupBy("token", "block").agg(F.count("payload").alias("n_postings")).select("token", "block").mapInArrow(pieces, "token string, block int, pieces long")
+    vocabulary = dealt.groupBy("token", "block").agg(F.count("payload").alias("n_postings")).mapInArrow(pieces, "token string, block int, pieces long")
     joined = dealt.join(vocabulary, ["token", "block"], "left").select("payload", "pieces")
     parts = joined.mapInArrow(combined, f"slice long, id {kind}, n_bytes long, places binary, sums binary")
     out = parts.groupBy("slice").applyInArrow(added, f"id {kind}, n_bytes long, n_tokens long")
