@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenejobs.functions.tables import written
 from scenejobs.jobs.registry import query, rounded
 from scenejobs.operators import graphs
 from scenejobs.sources import views
@@ -31,7 +32,7 @@ def _yaws(edges: DataFrame) -> DataFrame:
 
 
 def _stats(spark, sf_dir) -> DataFrame:
-    edges = _edges(spark, sf_dir)
+    edges = written(_edges(spark, sf_dir))
     return graphs.graph_stats(edges, _yaws(edges))
 
 
@@ -73,7 +74,7 @@ def g4(spark, sf_dir):
 SELECT statistic, round(abs(a.mu - b.mu) + sqrt(a.sigma ** 2 + b.sigma ** 2) - sqrt(2 * a.sigma * b.sigma) * exp(-0.5 * ((a.mu - b.mu) / sqrt(a.sigma ** 2 + b.sigma ** 2)) ** 2), 4) AS frechet
 FROM (SELECT * FROM fits WHERE side = 0) a JOIN (SELECT * FROM fits WHERE side = 1) b USING (statistic)"""))
 def g5(spark, sf_dir):
-    fits = graphs.fit_normal(_stats(spark, sf_dir).withColumn("side", F.col("graph_id") % 2), graphs.STATS, ["side"])
+    fits = written(graphs.fit_normal(_stats(spark, sf_dir).withColumn("side", F.col("graph_id") % 2), graphs.STATS, ["side"]))  # a row per side and statistic
     return rounded(graphs.frechet_1d(fits.where("side = 0"), fits.where("side = 1")))
 
 

@@ -12,6 +12,8 @@ from scenejobs.functions.geometry import box_corners, rotated, segment_hits_box,
 VEHICLE, PEDESTRIAN, CYCLIST = 1, 2, 3
 #: Seconds per step.
 STEP = 0.1
+#: Side in metres of the cells in which sight lines meet boxes.
+SIGHT_CELL = 10.0
 
 
 def explode_tracks(scenarios: DataFrame) -> DataFrame:
@@ -139,16 +141,25 @@ def visible_agents(states: DataFrame, max_dist: float) -> DataFrame:
     """sid, t, ego, target of valid rows within max_dist whose sight line crosses no other agent's box.
 
     states has sid, t, track_index, is_ego, x, y, length, width, heading. An occluder counts only
-    if both its coordinates differ from ego's and target's; pairs are cut to max_dist and boxes
-    near the sight line's bounding rectangle before the exact test.
+    if both its coordinates differ from ego's and target's. Pairs are cut to max_dist; a sight
+    line and a box are tested where a grid cell that the line crosses lies in the box's bounding rectangle.
     """
     agent = lambda p: states.select("sid", "t", *[F.col(c).alias(f"{p}_{c}") for c in ("track_index", "is_ego", "x", "y", "length", "width", "heading")])
     pairs = agent("e").where("e_is_ego").join(agent("a"), ["sid", "t"]).where("e_track_index != a_track_index")
     pairs = pairs.where(F.hypot(F.col("a_x") - F.col("e_x"), F.col("a_y") - F.col("e_y")) <= max_dist).select("sid", "t", "e_track_index", "e_x", "e_y", "a_track_index", "a_x", "a_y")
+    cell = lambda c: F.floor(c / SIGHT_CELL)
+    low, high = lambda c: F.least(f"e_{c}", f"a_{c}"), lambda c: F.greatest(f"e_{c}", f"a_{c}")
+    lines = pairs.withColumn("gx", F.explode(F.sequence(cell(low("x")), cell(high("x")))))
+    height = lambda x: F.least(F.greatest(F.col("e_y") + (F.col("a_y") - F.col("e_y")) * (x - F.col("e_x")) / (F.col("a_x") - F.col("e_x")), low("y")), high("y"))
+    flat = F.col("e_x") == F.col("a_x")
+    left, right = height(F.greatest(F.col("gx") * SIGHT_CELL, low("x"))), height(F.least((F.col("gx") + 1) * SIGHT_CELL, high("x")))
+    ends = [F.when(flat, F.col(own)).otherwise(side) for own, side in (("e_y", left), ("a_y", right))]
+    lines = lines.withColumn("gy", F.explode(F.sequence(cell(F.least(*ends)), cell(F.greatest(*ends)))))
     reach = F.hypot(F.col("o_length"), F.col("o_width")) / 2
-    near = lambda c: (F.col(f"o_{c}") >= F.least(f"e_{c}", f"a_{c}") - reach) & (F.col(f"o_{c}") <= F.greatest(f"e_{c}", f"a_{c}") + reach)
+    spots = lambda c: F.explode(F.sequence(cell(F.col(f"o_{c}") - reach), cell(F.col(f"o_{c}") + reach)))
+    boxes = agent("o").withColumn("gx", spots("x")).withColumn("gy", spots("y"))
     differs = (F.col("o_x") != F.col("e_x")) & (F.col("o_y") != F.col("e_y")) & (F.col("o_x") != F.col("a_x")) & (F.col("o_y") != F.col("a_y"))
     hit = segment_hits_box(*(F.col(c) for c in ("e_x", "e_y", "a_x", "a_y", "o_x", "o_y", "o_length", "o_width", "o_heading")))
-    hidden = pairs.join(agent("o"), ["sid", "t"]).where(near("x") & near("y") & differs & hit).select("sid", "t", "e_track_index", "a_track_index").distinct()
+    hidden = lines.join(boxes, ["sid", "t", "gx", "gy"]).where(differs & hit).select("sid", "t", "e_track_index", "a_track_index").distinct()
     seen = pairs.join(hidden, ["sid", "t", "e_track_index", "a_track_index"], "left_anti")
     return seen.select("sid", "t", F.col("e_track_index").alias("ego"), F.col("a_track_index").alias("target"))

@@ -102,32 +102,37 @@ def cut_on_curvature(segments: DataFrame, threshold: float = 50e-4) -> DataFrame
     return rows.withColumn("piece", piece).select(*segments.columns, "piece")
 
 
-def _along(points: DataFrame, n: int, measured: dict[str, Column], values: list[str]) -> DataFrame:
-    """sid, fid, k and values of lanes of three or more points, at n even steps of the normalised arc length of the measured columns."""
-    w, every = W.partitionBy("sid", "fid").orderBy("pt_idx"), W.partitionBy("sid", "fid")
-    rows = points.withColumns(measured)
-    gaps = [(F.col(c) - F.lag(c).over(w)) ** 2 for c in measured]
-    rows = rows.withColumn("step", F.coalesce(F.sqrt(sum(gaps[1:], gaps[0])), F.lit(0.0)))
-    rows = rows.withColumn("s", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("total", F.max("s").over(every)).withColumn("m", F.count(F.lit(1)).over(every)).where("m >= 3 AND total > 0").withColumn("u", F.col("s") / F.col("total"))
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("u", *values)}).where("next_u > u").withColumn("last", F.col("next_u") == F.max("next_u").over(every))
-    start, ends = F.ceil(F.col("u") * (n - 1)), F.when(F.col("last"), n - 1).otherwise(F.ceil(F.col("next_u") * (n - 1)) - 1)
-    rows = rows.select("*", F.explode(F.when(start <= ends, F.sequence(start, ends))).alias("k"))
-    share = (F.col("k") / (n - 1) - F.col("u")) / (F.col("next_u") - F.col("u"))
-    return rows.select("sid", "fid", F.col("k").cast("int").alias("k"), *[(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * share).alias(c) for c in values])
+#: What resample() measures a lane by, and what it places along each measure.
+_MEASURES = {"place": (["x", "y", "z"], ["x", "y", "z"]), "turn": (["dir_x", "dir_y", "dir_z"], ["dir_x", "dir_y", "dir_z"]), "theta": (["pt_idx", "theta"], ["theta"])}
 
 
 def resample(points: DataFrame, n: int = 128) -> DataFrame:
     """sid, fid, k, x, y, z, dir_x, dir_y, dir_z, theta, global_type: lanes of three or more points at n even steps.
 
     Places run along their own arc length, directions along theirs, theta along that of index and
-    theta; the type is copied. A lane whose directions never change has null directions.
+    theta; the type is copied. A lane whose directions never change has null directions. All
+    three measures share one order of the points; their values meet again by step.
     """
-    place, turn = ["x", "y", "z"], ["dir_x", "dir_y", "dir_z"]
-    rows = _along(points, n, {f"__{c}": F.col(c) for c in place}, place)
-    for measured, values in (({f"__{c}": F.col(c) for c in turn}, turn), ({"__i": F.col("pt_idx"), "__t": F.col("theta")}, ["theta"])):
-        rows = rows.join(_along(points, n, measured, values), ["sid", "fid", "k"], "left")
-    return rows.join(points.groupBy("sid", "fid").agg(F.min_by("global_type", "pt_idx").alias("global_type")), ["sid", "fid"])
+    w, every = W.partitionBy("sid", "fid").orderBy("pt_idx"), W.partitionBy("sid", "fid")
+    values = [c for _, placed in _MEASURES.values() for c in placed]
+    step = lambda columns: F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in columns[1:]), (F.col(columns[0]) - F.lag(columns[0]).over(w)) ** 2))
+    rows = points.withColumns({f"d_{m}": F.coalesce(step(by), F.lit(0.0)) for m, (by, _) in _MEASURES.items()})
+    rows = rows.withColumns({f"s_{m}": F.sum(f"d_{m}").over(w.rowsBetween(W.unboundedPreceding, 0)) for m in _MEASURES})
+    rows = rows.withColumns({f"u_{m}": F.when(F.max(f"s_{m}").over(every) > 0, F.col(f"s_{m}") / F.max(f"s_{m}").over(every)) for m in _MEASURES} | {"m": F.count(F.lit(1)).over(every), "kind": F.first("global_type").over(w.rowsBetween(W.unboundedPreceding, 0))}).where("m >= 3")
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in (*values, *[f"u_{m}" for m in _MEASURES])})
+    rows = rows.withColumns({f"end_{m}": F.max(F.when(F.col(f"next_u_{m}") > F.col(f"u_{m}"), F.col(f"next_u_{m}"))).over(every) for m in _MEASURES})
+
+    def steps(m: str, placed: list[str]) -> Column:
+        """The steps that lie between a point and the next along a measure, with the values there."""
+        u, after = F.col(f"u_{m}"), F.col(f"next_u_{m}")
+        start, end = F.ceil(u * (n - 1)), F.when(after == F.col(f"end_{m}"), n - 1).otherwise(F.ceil(after * (n - 1)) - 1)
+        at = lambda k: (k / (n - 1) - u) / (after - u)
+        filled = lambda k: F.struct(k.cast("int").alias("k"), *[(F.col(c) + (F.col(f"next_{c}") - F.col(c)) * at(k) if c in placed else F.lit(None).cast("double")).alias(c) for c in values], F.lit(m == "place").alias("own"))
+        return F.coalesce(F.when((after > u) & (start <= end), F.transform(F.sequence(start, end), filled)), F.array())
+
+    each = rows.select("sid", "fid", "kind", F.explode(F.concat(*[steps(m, placed) for m, (_, placed) in _MEASURES.items()])).alias("e")).select("sid", "fid", "kind", "e.*")
+    met = each.groupBy("sid", "fid", "k").agg(*[F.max(c).alias(c) for c in values], F.first("kind").alias("global_type"), F.max("own").alias("own"))
+    return met.where("own").drop("own")
 
 
 def pack(polylines: DataFrame, rows: int, columns: list[str], fill: float = 0.2, scenarios: DataFrame | None = None) -> DataFrame:
