@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.geometry import wrap_angle
-from scenejobs.functions.tables import together, written
+from scenejobs.functions.tables import written
+from scenejobs.operators import chains
 from scenejobs.operators.curves import fit_path
 from scenejobs.operators.nearest import within_reach
 
@@ -138,18 +139,14 @@ def lane_sequences(exits: DataFrame, starts: DataFrame, sizes: DataFrame, limit:
 
     A chain grows until the points of the lanes after the first exceed limit or no exit is
     left. A lane enters a chain once, so cycles end, and so do the rounds: they go on until no
-    chain grows. exits has sid, fid, exit_fid; sizes has sid, fid, n.
+    chain grows. Every step of a chain is written once, see chains.grow(). exits has sid, fid, exit_fid; sizes has sid, fid, n.
     """
-    steps = exits.select("sid", F.col("fid").alias("last"), F.col("exit_fid").alias("next")).join(sizes.select("sid", F.col("fid").alias("next"), "n"), ["sid", "next"])
-    steps = written(steps)
-    grown, done = starts.select("sid", F.array("fid").alias("path"), F.lit(0).cast("long").alias("points")), []
-    while not done or not grown.isEmpty():
-        ends = grown.withColumn("last", F.element_at("path", -1))
-        options = ends.join(steps, ["sid", "last"], "left").withColumn("go", F.coalesce((F.col("points") <= limit) & ~F.array_contains("path", F.col("next")), F.lit(False)))
-        options = written(options.select("sid", "path", "points", "next", "n", "go"))
-        done.append(written(options.groupBy("sid", "path").agg(F.max("go").alias("any")).where("NOT any").select("sid", "path")))
-        grown = options.where("go").select("sid", F.concat("path", F.array("next")).alias("path"), (F.col("points") + F.col("n")).alias("points"))
-    return together(done)
+    links = exits.select("sid", F.col("fid").alias("element"), F.col("exit_fid").alias("next")).join(sizes.select("sid", F.col("fid").alias("next"), "n"), ["sid", "next"])
+    first = starts.select("sid", F.col("fid").alias("element"), F.lit(0).cast("long").alias("points"))
+    levels = chains.grow(first, links, f"points <= {limit}", {"points": "points + n"})
+    after = [*levels[1:], levels[0].limit(0)]
+    ends = [level.join(more.select("sid", F.col("parent").alias("node")).distinct(), ["sid", "node"], "left_anti") for level, more in zip(levels, after)]
+    return chains.spelt_out(levels, ends)
 
 
 def annotate_path(path: DataFrame, signals: DataFrame, crosswalks: DataFrame, limits: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.geometry import rotated
-from scenejobs.functions.tables import together, written
+from scenejobs.functions.tables import written
+from scenejobs.operators import chains
 
 
 def ego_pose(tracks: DataFrame, scenarios: DataFrame, t: int = 10) -> DataFrame:
@@ -220,7 +221,7 @@ def root_leaf_paths(ends: DataFrame, half: float, edge: float = 0.5, link: float
     ends has sid, seg, start_x, start_y, end_x, end_y. A root starts, a leaf ends within edge of
     the view's border; a link joins an end to a start at most link away. A polyline enters
     a chain once, so the rounds, which go on until no chain grows, come to an end; every
-    round is written, so plans stay short.
+    step is written once, see chains.grow().
     """
     border = lambda x, y: F.least(F.abs(F.abs(x) - half), F.abs(F.abs(y) - half)) <= edge
     ends = ends.withColumns({"root": border("start_x", "start_y"), "leaf": border("end_x", "end_y")})
@@ -229,12 +230,9 @@ def root_leaf_paths(ends: DataFrame, half: float, edge: float = 0.5, link: float
     a = a.select("*", F.explode(F.sequence(F.col("gy0") - 1, F.col("gy0") + 1)).alias("gy"))
     b = ends.select("sid", F.col("seg").alias("next"), F.col("leaf").alias("next_leaf"), "start_x", "start_y", cell("start_x").alias("gx"), cell("start_y").alias("gy"))
     links = written(a.join(b, ["sid", "gx", "gy"]).where(F.hypot(F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")) <= link).select("sid", "last", "next", "next_leaf"))
-    grown, done = written(ends.where("root").select("sid", F.array("seg").alias("path"), "leaf")), []
-    while not done or not grown.isEmpty():
-        done.append(grown)
-        open_paths = grown.where("NOT leaf").withColumn("last", F.element_at("path", -1))
-        grown = written(open_paths.join(links, ["sid", "last"]).where(~F.array_contains("path", F.col("next"))).select("sid", F.concat("path", F.array("next")).alias("path"), F.col("next_leaf").alias("leaf")))
-    return together(done).where("leaf").select("sid", "path")
+    first = ends.where("root").select("sid", F.col("seg").alias("element"), "leaf")
+    levels = chains.grow(first, links.withColumnRenamed("last", "element"), "NOT leaf", {"leaf": "next_leaf"})
+    return chains.spelt_out(levels, [level.where("leaf") for level in levels])
 
 
 def vertices_and_edges(points: DataFrame) -> DataFrame:
