@@ -28,10 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it again, which cuts the lineage and survives lost executors."""
+    """Writes a table into the shared folder and reads it again, which cuts the lineage and survives lost executors.
+
+    The table goes with temporary_tables() or, as results are lazy, at the latest with the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     for made in _OPEN:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
