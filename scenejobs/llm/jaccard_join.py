@@ -207,12 +207,16 @@ def _buckets(rows: DataFrame) -> DataFrame:
     Two sets that link share at least SYMBOLS - FAR symbols. With the symbols of all sets in one
     order, rarest first, each needs only its first FAR + 1 for the two to meet, so the symbols
     that common lines and passages leave everywhere are passed by. Symbols that no other set
-    has are counted (alone) but needn't move on; empty slots come last.
+    has are counted (alone) but needn't move on; empty slots come last. Sets are counted by
+    partial sums and joined to their symbols, which Spark splits where very many sets share one;
+    windows are over the symbols of one set only.
     """
-    of_key = W.partitionBy("key")
-    rows = rows.withColumn("again", F.coalesce(F.lag("cls").over(of_key.orderBy("cls")) == F.col("cls"), F.lit(False)))
-    rows = rows.withColumn("n_sets", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(of_key)).where("NOT again AND n_sets > 1")
-    rows = rows.select("key", "cls", "n_sets", F.expr("CAST((info >> 1) & 32767 AS int)").alias("g"), F.expr("info >> 16").alias("given"), F.expr("info & 1").alias("empty"))
+    band = F.expr("CAST((info >> 1) & 32767 AS int)")
+    once = rows.groupBy("key", "cls").agg(F.max("info").alias("info"))
+    # a symbol has one band; joined by both, the counts move once more, and Spark can split the join
+    shared = once.groupBy("key").agg(F.count("info").alias("n_sets"), F.min(band).alias("g")).where("n_sets > 1")
+    rows = once.withColumn("g", band).join(shared, ["key", "g"])
+    rows = rows.select("key", "cls", "n_sets", "g", F.expr("info >> 16").alias("given"), F.expr("info & 1").alias("empty"))
     of_set = W.partitionBy("cls", "g")
     rows = rows.withColumn("rank", F.row_number().over(of_set.orderBy("empty", "n_sets", "key"))).withColumn("alone", F.col("given") - F.count(F.lit(1)).over(of_set))
     return rows.where(F.col("rank") <= _by_band(FAR, F.col("g")) + 1 - F.col("alone")).select("key", "cls", "g", "alone")

@@ -7,7 +7,7 @@ import statistics
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from scenejobs.llm import fingerprints, line_dedup, mixing, packing, repeats, token_counts
+from scenejobs.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, repeats, token_counts
 from tests.llm.test_duplicates import WORD
 
 N = 240
@@ -127,3 +127,42 @@ def test_chat_of_an_empty_table(spark):
     part = "array<struct<kind:string,text:string,ref:string,n_tokens:int>>"
     empty = spark.createDataFrame([], f"conv_id long, turn int, role string, text string, parts {part}")
     assert chat.read_back(chat.format_chats(empty)).count() == 0
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    from scenejobs.llm import chat
+
+    role, text = F.element_at(F.array(*map(F.lit, ("user", "assistant"))), (F.col("turn") % 2 + 1).cast("int")), F.concat(F.lit("turn <|im_end|> \u00e9 "), F.col("turn").cast("string"))
+    part = F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("n_tokens"))
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("int").alias("turn")).select(F.lit(1).alias("conv_id"), "turn", role.alias("role"), F.array(part).alias("parts"))
+    got = chat.read_back(chat.format_chats(rows)).select("loss_text", "turns.text").collect()
+    want = [f"turn <|im_end|> \u00e9 {i}" for i in range(20_000)]
+    assert got == [("".join(want[1::2]), want)]
+
+
+def test_symbols_of_very_many_sets_are_split(spark, monkeypatch):
+    """A third of the rows under one key: the counts are partial sums, the join is split and the symbols kept are those of a plain count."""
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in confs}
+    draw, g = random.Random(5), 6
+    own = {c: {7} | {draw.randrange(100, 4000) for _ in range(2)} for c in range(6000)}
+    sets = [(k, c, len(keys) << 16 | g << 1) for c, keys in own.items() for k in keys]
+    uses = collections.Counter(k for k, _, _ in sets)
+    want = set()
+    for c, keys in own.items():
+        shared = sorted((k for k in keys if uses[k] > 1), key=lambda k: (uses[k], k))
+        alone = len(keys) - len(shared)
+        want |= {(k, c, g, alone) for k in shared[: max(0, jaccard_join.FAR[g] + 1 - alone)]}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame(sets + sets[:500], "key long, cls long, info long").repartition(8)
+        found = jaccard_join._buckets(rows)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
