@@ -19,6 +19,12 @@ SHINGLE_WORDS = 5
 CELL_ROWS = 1024
 #: A class with more than one in so many of all rows is labelled without moving its rows; there are fewer such classes than this.
 HEAVY = 1000
+#: One text in so many, chosen by its hash, tells which symbols are frequent.
+SAMPLE = 64
+#: A symbol with more than one in so many of the sample's rows is frequent; there are fewer such symbols than this, so they are broadcast.
+FREQUENT = 10_000
+#: Rows of a frequent symbol are dealt by set in so many parts.
+PARTS = 1024
 #: About so many rows of cells go to one task.
 ROWS_PER_TASK = 100_000
 
@@ -201,22 +207,33 @@ def _symbol_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, cls long, info long")
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
+def _frequent(texts: DataFrame) -> DataFrame:
+    """Returns key, often: the frequent symbols of a sample of texts and about how many sets have each; fewer than FREQUENT rows."""
+    counts = _symbol_rows(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return written(counts.crossJoin(F.broadcast(total)).where(f"n > 1 AND n * {FREQUENT} > total").select("key", (F.col("n") * SAMPLE).alias("often")))
+
+
+def _dealt(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Adds often, null but for frequent symbols, and part, by which their rows are dealt."""
+    rows = rows.join(F.broadcast(frequent), "key", "left")
+    return rows.withColumn("part", F.when(F.col("often").isNull(), 0).otherwise(F.pmod(F.xxhash64("cls"), F.lit(PARTS)).cast("int")))
+
+
+def _buckets(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     """Returns key, cls, g, alone: the symbols that sets must be looked up by.
 
     Two sets that link share at least SYMBOLS - FAR symbols. With the symbols of all sets in one
     order, rarest first, each needs only its first FAR + 1 for the two to meet, so the symbols
     that common lines and passages leave everywhere are passed by. Symbols that no other set
-    has are counted (alone) but needn't move on; empty slots come last. Sets are counted by
-    partial sums and joined to their symbols, which Spark splits where very many sets share one;
-    windows are over the symbols of one set only.
+    has are counted (alone) but needn't move on; empty slots come last. Any order that is the
+    same for all sets is right, so a frequent symbol takes its number from the sample and its
+    rows needn't meet; the sets of all others are counted.
     """
-    band = F.expr("CAST((info >> 1) & 32767 AS int)")
-    once = rows.groupBy("key", "cls").agg(F.max("info").alias("info"))
-    # a symbol has one band; joined by both, the counts move once more, and Spark can split the join
-    shared = once.groupBy("key").agg(F.count("info").alias("n_sets"), F.min(band).alias("g")).where("n_sets > 1")
-    rows = once.withColumn("g", band).join(shared, ["key", "g"])
-    rows = rows.select("key", "cls", "n_sets", "g", F.expr("info >> 16").alias("given"), F.expr("info & 1").alias("empty"))
+    of_key = W.partitionBy("key", "part")
+    rows = _dealt(rows, frequent).withColumn("again", F.coalesce(F.lag("cls").over(of_key.orderBy("cls")) == F.col("cls"), F.lit(False)))
+    rows = rows.withColumn("n_sets", F.coalesce("often", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(of_key))).where("NOT again AND n_sets > 1")
+    rows = rows.select("key", "cls", "n_sets", F.expr("CAST((info >> 1) & 32767 AS int)").alias("g"), F.expr("info >> 16").alias("given"), F.expr("info & 1").alias("empty"))
     of_set = W.partitionBy("cls", "g")
     rows = rows.withColumn("rank", F.row_number().over(of_set.orderBy("empty", "n_sets", "key"))).withColumn("alone", F.col("given") - F.count(F.lit(1)).over(of_set))
     return rows.where(F.col("rank") <= _by_band(FAR, F.col("g")) + 1 - F.col("alone")).select("key", "cls", "g", "alone")
@@ -344,7 +361,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = written(_sets(texts, kind))
     linking = found.where("n > 0 AND id IS NOT NULL")
     classes = linking.groupBy("cls").agg(F.min("id").alias("label"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    buckets = written(_buckets(_symbol_rows(texts.where("id IS NOT NULL").select("text"))))
+    named = texts.where("id IS NOT NULL").select("text")
+    buckets = written(_buckets(_symbol_rows(named), _frequent(named)))
     meeting = buckets.select("cls").distinct()
     classes = written(classes.join(meeting, "cls", "left_semi"))
     sketches = classes.select("cls", "n", F.inline("sketches"))

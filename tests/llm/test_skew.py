@@ -140,13 +140,8 @@ def test_a_conversation_of_very_many_turns(spark):
     assert got == [("".join(want[1::2]), want)]
 
 
-def test_symbols_of_very_many_sets_are_split(spark, monkeypatch):
-    """A third of the rows under one key: the counts are partial sums, the join is split and the symbols kept are those of a plain count."""
-    confs = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
-    }
-    before = {k: spark.conf.get(k, None) for k in confs}
+def test_symbols_of_very_many_sets_are_dealt(spark):
+    """A third of the rows under one symbol: they are dealt evenly, and the symbols kept are those of a plain count."""
     draw, g = random.Random(5), 6
     own = {c: {7} | {draw.randrange(100, 4000) for _ in range(2)} for c in range(6000)}
     sets = [(k, c, len(keys) << 16 | g << 1) for c, keys in own.items() for k in keys]
@@ -156,13 +151,19 @@ def test_symbols_of_very_many_sets_are_split(spark, monkeypatch):
         shared = sorted((k for k in keys if uses[k] > 1), key=lambda k: (uses[k], k))
         alone = len(keys) - len(shared)
         want |= {(k, c, g, alone) for k in shared[: max(0, jaccard_join.FAR[g] + 1 - alone)]}
-    try:
-        for k, v in confs.items():
-            spark.conf.set(k, v)
-        rows = spark.createDataFrame(sets + sets[:500], "key long, cls long, info long").repartition(8)
-        found = jaccard_join._buckets(rows)
-        assert {tuple(r) for r in found.collect()} == want
-        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    rows = spark.createDataFrame(sets + sets[:500], "key long, cls long, info long").repartition(8)
+    for frequent in ([], [(7, uses[7])], [(7, 1_000_000), (5, 9)]):
+        frequent = spark.createDataFrame(frequent, "key long, often long")
+        assert sorted(map(tuple, jaccard_join._buckets(rows, frequent).collect())) == sorted(want)
+    parts = [r["count"] for r in jaccard_join._dealt(rows, frequent).where("key = 7").groupBy("part").count().collect()]
+    assert len(parts) > 900 and max(parts) <= 3 * statistics.median(parts)
+
+
+def test_components_with_frequent_symbols(make_docs, rows, monkeypatch):
+    """The frequent symbols change the order in which sets are looked up, not what links."""
+    plain = sorted(map(str, jaccard_join.jaccard_components(make_docs(rows)).collect()))
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 2)
+    monkeypatch.setattr(jaccard_join, "PARTS", 3)
+    found = jaccard_join._frequent(make_docs(rows).select("text"))
+    assert found.count() > 0 and found.where("often < 4").count() == 0
+    assert sorted(map(str, jaccard_join.jaccard_components(make_docs(rows)).collect())) == plain
