@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenejobs.llm import chat, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, outliers, packing, quality, repeats, spelling, token_counts
+from scenejobs.llm.shared import written
 
 SEQUENCE_TOKENS = 2048
 
@@ -211,9 +212,9 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 
 
 def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    model = quality.fit_quality(docs, labels.where(~quality.held_out(F.col("doc_id"))))
-    found = quality.score_quality(docs.select("doc_id", "text"), model)
+    rows, labels = written(quality.featured(_read(spark, sf_dir, "documents").select("doc_id", "text"))), _read(spark, sf_dir, "labels")
+    model = quality.fit_features(rows, labels.where(~quality.held_out(F.col("doc_id"))))
+    found = quality.score_features(rows, model)
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

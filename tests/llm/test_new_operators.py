@@ -223,6 +223,39 @@ def test_quality_of_odd_tables(spark, make_docs):
     assert quality.score_quality(docs, quality.fit_quality(make_docs([]), labels)).count() == n + 7
 
 
+def _labelled(n_bad, n_good):
+    """Documents of random letters and signs, more signs in those of label 0, and their labels."""
+    rng = np.random.default_rng(3)
+    kinds = [0] * n_bad + [1] * n_good
+    texts = ["".join(rng.choice(list("abcdE 1#.\n"), 60, p=[x / 10 for x in (([1] * 10) if k else [1, 1, 1, 1, 1, 1, 1, 2, 0.5, 0.5])])) for k in kinds]
+    return list(enumerate(texts)), list(enumerate(kinds)), np.array([quality.features(t) for t in texts]), np.array(kinds)
+
+
+def test_quality_is_fitted_on_all_labelled_documents(spark):
+    docs, labels, rows, kinds = _labelled(2_300, 2_900)
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    assert np.abs(model.mean - rows.mean(axis=0)).max() < 1e-9 and np.abs(model.spread - rows.std(axis=0) - 1e-3).max() < 1e-6
+    assert np.sum(model.utilities(rows) < model.cut) == 2_300
+    again = quality.fit_quality(docs.repartition(7), labels.repartition(3))
+    assert (again.slope == model.slope).all() and again.cut == model.cut
+
+
+def test_quality_compares_all_pairs_of_a_block(spark, monkeypatch):
+    docs, labels, rows, kinds = _labelled(20, 90)
+    once = docs
+    docs = spark.createDataFrame([*docs, *docs[15:30]], "doc_id long, text string")  # rows that come twice count twice
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    at = np.r_[np.arange(len(once)), 15:30]
+    worse, better = rows[at[kinds[at] == 0]], rows[at[kinds[at] == 1]]
+    mean, spread = rows[at].mean(axis=0), rows[at].std(axis=0) + 1e-3
+    want = quality.fit_pairs(np.tile((better - mean) / spread, (len(worse), 1)), np.repeat((worse - mean) / spread, len(better), axis=0))
+    assert np.abs(quality.fit_quality(docs, labels).slope - want).max() < 1e-3
+    monkeypatch.setattr(quality, "BLOCK_MANY", 30)  # three blocks, each with a copy of the few
+    model = quality.fit_quality(docs, labels)
+    assert np.abs(model.slope - want).max() < 1e-3 and np.abs(model.mean - mean).max() < 1e-9
+
+
 def test_hard_negatives_sql_on_larger_tables(spark):
     con = duckdb.connect()
     con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
