@@ -203,17 +203,16 @@ def dedup_lines(docs: DataFrame, run_lines: int = RUN_LINES, id_col: str = "doc_
     docs = docs.drop("n_gone")
     key, same, runs = unused(docs, "id"), unused(docs, "same"), unused(docs, "runs")
     gone = _runs_of_rows(docs, run_lines, id_col, text_col, run_words).select(F.col(id_col).alias(key), F.col("same").alias(same), F.col("runs").alias(runs)).dropDuplicates([key, same])
-    names = docs.columns
-    joined = docs.join(gone, (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(same)), "left").select(*[docs[c] for c in names], runs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
-        for batch in batches:
-            gone = [{k for r in runs or () for k in range(r["start"], r["start"] + r["length"])} for runs in batch.column(len(names)).to_pylist()]
-            columns = [batch.column(i) for i in range(len(names))]
-            texts = columns[at].cast(pa.binary()).to_pylist()
-            columns[at] = pa.array(map(without_lines, texts, gone), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(len, gone), pa.int64())], [*names, "n_gone"])
-
-    return joined.mapInArrow(rewrite, schema + ", n_gone long")
+    joined = docs.join(gone, (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(same)), "left").select(*[docs[c] for c in docs.columns], runs)
+
+    @F.arrow_udf("text string, n_gone long")
+    def rewrite(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        gone = [{k for r in found or () for k in range(r["start"], r["start"] + r["length"])} for found in runs.to_pylist()]
+        kept = pa.array(map(without_lines, texts.cast(pa.binary()).to_pylist(), gone), pa.binary()).cast(pa.string())
+        return pa.StructArray.from_arrays([kept, pa.array(map(len, gone), pa.int64())], ["text", "n_gone"])
+
+    # Python gets only the texts that lose lines, not the whole rows of all; not deterministic, or Spark would call it again for each use of what it returns
+    found = unused(joined, "found")
+    joined = joined.withColumn(found, rewrite.asNondeterministic()(F.when(F.col(runs).isNotNull(), F.col(text_col)), F.col(runs)))
+    text = F.when(F.col(runs).isNotNull(), F.col(found)["text"]).otherwise(F.col(text_col)).alias(text_col)
+    return joined.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(found)["n_gone"].alias("n_gone"))

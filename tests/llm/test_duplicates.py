@@ -203,6 +203,14 @@ def test_line_edge_tables(make_docs):
     assert rows[0]["id"] == "clash"
 
 
+def test_lines_send_only_changed_texts_through_python(make_docs):
+    docs = make_docs([(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, None)]).selectExpr("*", "make_interval(0, CAST(doc_id AS INT)) AS span")  # Arrow has no such type
+    found = line_dedup.dedup_lines(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["text"], r["n_gone"], r["span"]) for r in found.selectExpr("doc_id", "text", "n_gone", "CAST(span AS STRING) AS span").collect()) == [(1, "a\nb\nc", 0, "1 months"), (2, "d", 3, "2 months"), (3, None, 0, "3 months")]
+
+
 def test_lines_of_rows_with_an_equal_id(make_docs):
     docs = make_docs([(3, "a\nb\nc"), (4, "x\na\nb\nc"), (4, "x\na\nb\nc"), (4, "a\nb\nc\ny"), (4, "q\nr\ns"), (4, None)]).withColumn("n_gone", F.lit("old"))
     rows = line_dedup.dedup_lines(docs).collect()
