@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.ranges import running
-from scenejobs.llm.shared import written
+from scenejobs.llm.shared import groups, written
 
 #: Pivots: a bounded number of rows whose distances to all rows are stored.
 PIVOTS = 8
@@ -20,7 +20,7 @@ PIVOTS = 8
 PIVOT_SAMPLE = 1_000
 #: Rows and anchors of one comparison.
 BLOCK_ROWS, BLOCK_ANCHORS = 4096, 1024
-#: Anchors whose bounds a task works out at once.
+#: Anchors that are bracketed and multiplied out together.
 STRIPE = 64
 #: Components are held to this size, so that sums of 64-bit products stay exact.
 LARGEST = 1 << 28
@@ -28,10 +28,10 @@ LARGEST = 1 << 28
 ROOM = 1e-9
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of all rows of a with all rows of b; in doubles where these hold them."""
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b as doubles if these hold every sum of products of their rows, else as they are."""
     reach = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64) if reach < 2**53 else a @ b.T
+    return (a.astype(float), b.astype(float)) if reach < 2**53 else (a, b)
 
 
 def _stack(vectors: pd.Series, width: int) -> np.ndarray:
@@ -74,8 +74,9 @@ def _table(rows: DataFrame, is_anchor: Column, scale: int) -> tuple[DataFrame, f
         for frame in frames:
             v = _stack(frame["v"], width).astype(float)
             high = np.sqrt(np.maximum(largest - frame["norm"].to_numpy(), 0))
-            far = [np.sqrt(((v - p[:-1]) ** 2).sum(axis=1) + (high - p[-1]) ** 2) for p in pivots]
-            ask = [np.sqrt(((v - p[:-1]) ** 2).sum(axis=1) + p[-1] ** 2) for p in pivots]
+            flat = [((v - p[:-1]) ** 2).sum(axis=1) for p in pivots]
+            far = [np.sqrt(d + (high - p[-1]) ** 2) for d, p in zip(flat, pivots)]
+            ask = [np.sqrt(d + p[-1] ** 2) for d, p in zip(flat, pivots)]
             yield frame.assign(far=list(np.column_stack(far)), ask=list(np.column_stack(ask)))
 
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
@@ -123,23 +124,36 @@ def _compared(anchors: DataFrame, rows: DataFrame, pairs: DataFrame, work: Calla
     return a.groupBy("ask", "block").cogroup(b.groupBy("ask", "block")).applyInPandas(work, schema)
 
 
-def _stripes(asking: pd.DataFrame, held: pd.DataFrame, width: int, room: float, alike: bool):
-    """For each anchor its place in asking, the places in held (by id and row) whose bracket allows a distance between nearest and farthest, and their scores."""
-    v, q, far, ask = _stack(held["v"], width), _stack(asking["v"], width), np.stack(held["far"]), np.stack(asking["far"])
-    label, row = held["label"].to_numpy(), held["row"].to_numpy()
+def _stripes(asking: pd.DataFrame, held: pd.DataFrame, width: int, room: float, alike: bool, lowest: np.ndarray | None = None, highest: np.ndarray | None = None):
+    """For each anchor its place in asking, the places in held (by id and row) of rows that may lie between nearest and farthest, and their scores.
+
+    Anchors with one nearest pivot (and label, if alike) go together, those at like distances
+    side by side; a row that is out of bracket for all of them is not multiplied out. Brackets
+    of single pairs would cost more than the products. Of the rest only scores from lowest to
+    highest are given, where these are set; anchors without any are left out.
+    """
+    far, ask = np.stack(held["far"]), np.stack(asking["far"])
+    v, q = _exact(_stack(held["v"], width), _stack(asking["v"], width))
+    label, row, own, me = (frame[c].to_numpy() for frame in (held, asking) for c in ("label", "row"))
     nearest, farthest = asking["nearest"].to_numpy(), asking["farthest"].to_numpy()
-    for start in range(0, len(asking), STRIPE):
-        part = slice(start, start + STRIPE)
-        open_ = (asking["label"].to_numpy()[part, None] == label) == alike
-        open_ &= asking["row"].to_numpy()[part, None] != row
-        for a, f in zip(ask[part].T, far.T):
-            open_ &= np.abs(a[:, None] - f) <= farthest[part, None] + room
-            open_ &= a[:, None] + f >= nearest[part, None] - room
-        some = np.flatnonzero(open_.any(axis=0))
-        scores = _products(q[part], v[some])
-        for i, allowed in enumerate(open_[:, some]):
-            chosen = np.flatnonzero(allowed)
-            yield start + i, some[chosen], scores[i, chosen]
+    kind = ask.argmin(axis=1) + (own.astype(np.int64) * ask.shape[1] if alike else 0)
+    order = np.lexsort((ask.min(axis=1), kind))
+    parts = [order[i : min(i + STRIPE, begin + n)] for begin, n in zip(*groups(kind[order])) for i in range(begin, begin + n, STRIPE)]
+    for part in parts:
+        low, high = ask[part].min(axis=0), ask[part].max(axis=0)
+        open_ = (np.maximum(far - high, low - far).max(axis=1) <= farthest[part].max() + room) & ((far + high).min(axis=1) >= nearest[part].min() - room)
+        some = np.flatnonzero(open_ & np.isin(label, own[part]) if alike else open_)
+        scores = q[part] @ (v if len(some) == len(v) else v[some]).T
+        allowed = (own[part, None] == label[some]) == alike
+        if alike:
+            allowed &= me[part, None] != row[some]
+        if lowest is not None:
+            allowed &= scores >= lowest[part, None]
+        if highest is not None:
+            allowed &= scores <= highest[part, None]
+        for i in np.flatnonzero(allowed.any(axis=1)):
+            chosen = np.flatnonzero(allowed[i])
+            yield int(part[i]), some[chosen], scores[i, chosen].astype(np.int64)
 
 
 def _first(scores: np.ndarray, wanted: int) -> np.ndarray:
@@ -190,8 +204,9 @@ def mine(rows: DataFrame, is_anchor: Column, scale: int = 256, positives: int =
         out = []
         for i, at, scores in _stripes(a, b, width, room, True):
             first = _first(scores, positives)
-            out.append(pd.DataFrame({"row": a["row"].iloc[i], "positive_row": b["row"].to_numpy()[at[first]], "positive_id": b["id"].astype("Int64").iloc[at[first]].array, "positive_score": scores[first]}))
-        return pd.concat(out)
+            out.append(np.stack([np.full(len(first), i), at[first], scores[first]]))
+        i, at, score = np.concatenate([np.empty((3, 0), np.int64), *out], axis=1)
+        return pd.DataFrame({"row": a["row"].to_numpy()[i], "positive_row": b["row"].to_numpy()[at], "positive_id": b["id"].astype("Int64").array[at], "positive_score": score})
 
     near = lambda asked: _spans(asked, F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"))
     found = _compared(asking, blocks, _pairs(near(asking), spans, room, True), like, "row long, positive_row long, positive_id long, positive_score long")
@@ -202,23 +217,25 @@ def mine(rows: DataFrame, is_anchor: Column, scale: int = 256, positives: int =
     bands = found.withColumns({"low": -F.expr(f"(-{low_share} * positive_score) div 100"), "high": F.expr(f"({high_share} * positive_score) div 100")}).where("positive_score >= 0 AND low <= high")
     bands = bands.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "positive_id", "positive_score", "low", "high"))).alias("bands"), F.min("low").alias("low"), F.max("high").alias("high"))
     distance = lambda score: F.sqrt(F.greatest(F.col("norm") + largest - 2 * F.col(score), F.lit(0.0)))
-    asking = asking.drop("nearest", "farthest").join(bands, "row").withColumns({"nearest": distance("high"), "farthest": distance("low")}).drop("low", "high", "norm")
+    asking = asking.drop("nearest", "farthest").join(bands, "row").withColumns({"nearest": distance("high"), "farthest": distance("low")}).drop("norm")
     asking = written(asking)
 
     def unlike(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["id", "row"], na_position="last", ignore_index=True)
-        out = []
-        for i, at, scores in _stripes(a, b, width, room, False):
+        ks, lows, highs, out = a["k"].to_list(), a["lows"].to_list(), a["highs"].to_list(), []
+        for i, at, scores in _stripes(a, b, width, room, False, a["low"].to_numpy(), a["high"].to_numpy()):
             order = np.argsort(-scores, kind="stable")
-            ranked = scores[order]
-            for band in a["bands"].iloc[i]:
-                begin, end = np.searchsorted(-ranked, -band["high"], side="left"), np.searchsorted(-ranked, -band["low"], side="right")
-                first = order[begin : min(end, begin + negatives)]
-                if len(first):
-                    out.append(pd.DataFrame({"row": a["row"].iloc[i], "k": band["k"], "negative_row": b["row"].to_numpy()[at[first]], "negative_id": b["id"].astype("Int64").iloc[at[first]].array, "negative_score": scores[first]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["row", "k", "negative_row", "negative_id", "negative_score"])
-
-    hard = _compared(asking, blocks, _pairs(near(asking), spans, room, False), unlike, "row long, k int, negative_row long, negative_id long, negative_score long")
+            below = -scores[order]
+            begin, end = np.searchsorted(below, -highs[i], side="left"), np.searchsorted(below, -lows[i], side="right")
+            place = begin[:, None] + np.arange(negatives)
+            band, n = np.nonzero(place < end[:, None])
+            first = order[place[band, n]]
+            out.append(np.stack([np.full(len(first), i), ks[i][band], at[first], scores[first]]))
+        i, k, at, score = np.concatenate([np.empty((4, 0), np.int64), *out], axis=1)
+        return pd.DataFrame({"row": a["row"].to_numpy()[i], "k": k, "negative_row": b["row"].to_numpy()[at], "negative_id": b["id"].astype("Int64").array[at], "negative_score": score})
+
+    banded = asking.withColumns({"k": F.col("bands.k"), "lows": F.col("bands.low"), "highs": F.col("bands.high")}).drop("bands")
+    hard = _compared(banded, blocks, _pairs(near(asking), spans, room, False), unlike, "row long, k int, negative_row long, negative_id long, negative_score long")
     order = [F.desc("negative_score"), F.asc_nulls_last("negative_id"), "negative_row"]
     hard = hard.withColumn("rank", F.row_number().over(W.partitionBy("row", "k").orderBy(*order)).cast("int")).where(F.col("rank") <= negatives)
     of_anchor = asking.select("row", F.col("id").alias("anchor_id"), F.explode("bands").alias("band")).select("row", "anchor_id", "band.k", "band.positive_id", "band.positive_score")

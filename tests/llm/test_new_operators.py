@@ -186,6 +186,24 @@ def test_brackets_rule_out_far_rows_and_no_near_one():
         assert (scores == v[at] @ v[i]).all()
 
 
+def test_two_blocks_make_one_frame(spark, monkeypatch):
+    """However many anchors and positives meet the rows of a block."""
+    calls, compared = [], hard_negatives._compared
+
+    def spy(anchors, rows, pairs, work, schema):
+        calls.append((anchors.toPandas(), rows.toPandas(), work))
+        return compared(anchors, rows, pairs, work, schema)
+
+    monkeypatch.setattr(hard_negatives, "_compared", spy)
+    hard_negatives.mine(vectors(spark, random_rows(1000, 4)), F.col("vec_id") % 5 == 0)
+    frames, frame = [], pd.DataFrame
+    monkeypatch.setattr(pd, "DataFrame", lambda *a, **k: frames.append(1) or frame(*a, **k))
+    for anchors, held, work in calls:
+        frames.clear()
+        assert len(work(anchors, held)) > 500 and len(frames) == 1
+    assert len(calls) == 2
+
+
 def test_quality_learns_from_labels_and_holds_out(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
