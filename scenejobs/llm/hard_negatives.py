@@ -214,7 +214,8 @@ def mine(rows: DataFrame, is_anchor: Column, scale: int = 256, positives: int =
     found = found.withColumn("k", F.row_number().over(W.partitionBy("row").orderBy(*order))).where(F.col("k") <= positives)
 
     # A negative's score lies in a band below a positive's: a band of distances.
-    bands = found.withColumns({"low": -F.expr(f"(-{low_share} * positive_score) div 100"), "high": F.expr(f"({high_share} * positive_score) div 100")}).where("positive_score >= 0 AND low <= high")
+    share = lambda part, up: F.expr(f"(positive_score div 100) * {part} + (positive_score % 100 * {part} + {up}) div 100")
+    bands = found.withColumns({"low": share(low_share, 99), "high": share(high_share, 0)}).where("positive_score >= 0 AND low <= high")
     bands = bands.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "positive_id", "positive_score", "low", "high"))).alias("bands"), F.min("low").alias("low"), F.max("high").alias("high"))
     distance = lambda score: F.sqrt(F.greatest(F.col("norm") + largest - 2 * F.col(score), F.lit(0.0)))
     asking = asking.drop("nearest", "farthest").join(bands, "row").withColumns({"nearest": distance("high"), "farthest": distance("low")}).drop("norm")

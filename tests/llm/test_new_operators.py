@@ -186,6 +186,14 @@ def test_brackets_rule_out_far_rows_and_no_near_one():
         assert (scores == v[at] @ v[i]).all()
 
 
+def test_scores_under_half_of_the_positive_are_no_negatives(spark):
+    """Half of an odd score is rounded up; and shares of scores near 2**62 fit."""
+    rows = [(0, [1 / 256], 1), (1, [3 / 256], 1), (2, [1 / 256], 2), (3, [2 / 256], 3)]
+    assert mined(vectors(spark, rows)) == brute_mined(rows) == [(0, 1, 1, 3, 3, 2)]
+    rows = [(0, [1e6] * 64, 1), (1, [1e6] * 64, 1), (2, [9e5] * 64, 2)]
+    assert mined(vectors(spark, rows)) == brute_mined(rows) == [(0, 1, 1, 2, 64 * 256_000_000**2, 64 * 256_000_000 * 230_400_000)]
+
+
 def test_two_blocks_make_one_frame(spark, monkeypatch):
     """However many anchors and positives meet the rows of a block."""
     calls, compared = [], hard_negatives._compared
