@@ -18,8 +18,10 @@ from scenejobs.llm.shared import groups, written
 PIVOTS = 8
 #: They are chosen among so many rows, those with the least hash.
 PIVOT_SAMPLE = 1_000
-#: Rows and anchors of one comparison.
-BLOCK_ROWS, BLOCK_ANCHORS = 4096, 1024
+#: Rows and anchors of one comparison. A row moves once for each block of anchors it meets, and the other way round.
+BLOCK_ROWS, BLOCK_ANCHORS = 4096, 16_384
+#: Tables of more rows have so many blocks, until these are as large as the largest of anchors.
+BLOCKS = 64
 #: Anchors that are bracketed and multiplied out together.
 STRIPE = 64
 #: Components are held to this size, so that sums of 64-bit products stay exact.
@@ -51,22 +53,22 @@ def _farthest(rows: np.ndarray, wanted: int) -> np.ndarray:
     return rows[chosen]
 
 
-def _table(rows: DataFrame, is_anchor: Column, scale: int) -> tuple[DataFrame, float, int]:
-    """Written rows (row, id, label, v, anchor, far), the largest squared norm and the longest vector.
+def _table(rows: DataFrame, is_anchor: Column, scale: int) -> tuple[DataFrame, float, int, int]:
+    """Written rows (row, id, label, v, anchor, far), the largest squared norm, the longest vector and the number of rows.
 
     v holds the integers floor(scale * x); far the distances to the pivots after every vector
     has got one more component, which brings all to the largest norm: then the distance from
     an anchor (whose further component is 0) falls exactly as the inner product rises.
     """
-    whole = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("long"))
+    whole = F.transform("embedding", lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(LARGEST)), F.lit(-LARGEST)).cast("int"))
     some = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     kept = rows.where(F.coalesce(some, F.lit(False))).select(F.col("vec_id").alias("id"), "label", whole.alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
     kept = written(kept.withColumns({"row": F.monotonically_increasing_id(), "norm": F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)}))
-    most = kept.agg(F.max("norm").alias("norm"), F.max(F.size("v")).alias("width")).first()
-    largest, width = most["norm"] or 0.0, most["width"] or 0
+    most = kept.agg(F.max("norm").alias("norm"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
+    largest, width, n = most["norm"] or 0.0, most["width"] or 0, most["n"]
     drawn = kept.orderBy(F.xxhash64("v", "id"), "id", "row").limit(PIVOT_SAMPLE).select("v", "norm").toPandas()
     if not len(drawn):
-        return kept.withColumn("far", F.array().cast("array<double>")), largest, width
+        return kept.withColumn("far", F.array().cast("array<double>")), largest, width, n
     lifted = np.column_stack([_stack(drawn["v"], width), np.sqrt(np.maximum(largest - drawn["norm"], 0))])
     pivots = _farthest(lifted, PIVOTS)
 
@@ -81,7 +83,7 @@ def _table(rows: DataFrame, is_anchor: Column, scale: int) -> tuple[DataFrame, f
 
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in kept.columns) + ", far array<double>, ask array<double>"
-    return written(kept.mapInPandas(measure, schema)), largest, width
+    return written(kept.mapInPandas(measure, schema)), largest, width, n
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -182,12 +184,12 @@ def mine(rows: DataFrame, is_anchor: Column, scale: int = 256, positives: int =
     then rows whose bracket lies outside what is wanted drop out, the rest is checked exactly.
     """
     low_share, high_share = round(least * 100), round(most * 100)
-    table, largest, width = _table(rows, is_anchor, scale)
+    table, largest, width, n = _table(rows, is_anchor, scale)
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if "ask" not in table.columns:
         return rows.sparkSession.createDataFrame([], schema)
     room = ROOM * math.sqrt(largest)
-    blocks = written(_blocks(table.select("row", "id", "label", "v", "far"), BLOCK_ROWS))
+    blocks = written(_blocks(table.select("row", "id", "label", "v", "far"), max(BLOCK_ROWS, min(n // BLOCKS, BLOCK_ANCHORS))))
     spans = written(_spans(blocks))
 
     # Of an anchor's label, positives + 1 rows, itself perhaps among them, are no farther from a pivot than the last of so many nearest to it.
@@ -223,7 +225,8 @@ def mine(rows: DataFrame, is_anchor: Column, scale: int = 256, positives: int =
 
     def unlike(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["id", "row"], na_position="last", ignore_index=True)
-        ks, lows, highs, out = a["k"].to_list(), a["lows"].to_list(), a["highs"].to_list(), []
+        ks, lows, highs = (a[c].map(np.asarray).to_list() for c in ("k", "lows", "highs"))
+        out = []
         for i, at, scores in _stripes(a, b, width, room, False, a["low"].to_numpy(), a["high"].to_numpy()):
             order = np.argsort(-scores, kind="stable")
             below = -scores[order]

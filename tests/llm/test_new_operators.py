@@ -212,6 +212,25 @@ def test_two_blocks_make_one_frame(spark, monkeypatch):
     assert len(calls) == 2
 
 
+def test_blocks_grow_with_the_table_up_to_a_bound(spark, monkeypatch):
+    """So that rows meet few blocks of anchors and anchors few blocks of rows, which is what they are moved for."""
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", 100)
+    monkeypatch.setattr(hard_negatives, "BLOCKS", 4)
+    asked, compared = [], hard_negatives._compared
+
+    def spy(anchors, rows, pairs, work, schema):
+        asked.append((rows.groupBy("block").count().toPandas()["count"], anchors.select("block").distinct().count()))
+        return compared(anchors, rows, pairs, work, schema)
+
+    monkeypatch.setattr(hard_negatives, "_compared", spy)
+    for n, largest in ((60, 16), (200, 50), (500, 100)):
+        asked.clear()
+        rows = random_rows(n, 5)
+        assert mined(vectors(spark, rows)) == brute_mined(rows)
+        assert all(counts.max() == largest and blocks == 1 for counts, blocks in asked) and len(asked) == 2
+
+
 def test_quality_learns_from_labels_and_holds_out(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
