@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scenejobs.functions.ranges import running
+from scenejobs.functions.tables import temporary_tables
 from scenejobs.llm.shared import groups, written
 
 #: Pivots: a bounded number of rows whose distances to all rows are stored.
@@ -184,12 +185,16 @@ def mine(rows: DataFrame, is_anchor: Column, scale: int = 256, positives: int =
     then rows whose bracket lies outside what is wanted drop out, the rest is checked exactly.
     """
     low_share, high_share = round(least * 100), round(most * 100)
-    table, largest, width, n = _table(rows, is_anchor, scale)
+    with temporary_tables(rows.sparkSession) as made:
+        table, largest, width, n = _table(rows, is_anchor, scale)
+        made.pop()  # the table itself stays
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if "ask" not in table.columns:
         return rows.sparkSession.createDataFrame([], schema)
     room = ROOM * math.sqrt(largest)
-    blocks = written(_blocks(table.select("row", "id", "label", "v", "far"), max(BLOCK_ROWS, min(n // BLOCKS, BLOCK_ANCHORS))))
+    with temporary_tables(rows.sparkSession) as made:
+        blocks = written(_blocks(table.select("row", "id", "label", "v", "far"), max(BLOCK_ROWS, min(n // BLOCKS, BLOCK_ANCHORS))))
+        made.pop()
     spans = written(_spans(blocks))
 
     # Of an anchor's label, positives + 1 rows, itself perhaps among them, are no farther from a pivot than the last of so many nearest to it.
