@@ -24,7 +24,7 @@ SCENARIO = (
     "sid string, sdc_track_index int, current_time_index int, predict_list array<int>, map_features array<struct<id:bigint,"
     f"lane:struct<type:int,speed_limit_mph:double,polyline:array<{_PT}>,entry_lanes:array<bigint>,exit_lanes:array<bigint>,left_neighbors:{NEIGHBORS},right_neighbors:{NEIGHBORS}>,"
     f"road_line:{_POLYLINE},road_edge:{_POLYLINE},stop_sign:struct<position:{_PT}>,crosswalk:{_POLYGON},speed_bump:{_POLYGON},driveway:{_POLYGON}>>,"
-    f"tracks array<struct<id:int,object_type:int,states:array<{_STATE}>>>"
+    f"tracks array<struct<id:bigint,object_type:int,states:array<{_STATE}>>>"
 )
 
 
