@@ -32,11 +32,16 @@ def lane_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sid, track_index, object_type, t, x, y, z, length, width, height, heading, vx, vy, valid: one row per step."""
-    rows = _table(spark, sf_dir, "events").selectExpr("*", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn")
+def tracks(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """sid, track_index, object_type, t, x, y, z, length, width, height, heading, vx, vy, valid: one row per step.
+
+    together: a scene's events move to one task, so that grouping by sid and more moves no steps again.
+    """
+    rows = _table(spark, sf_dir, "events").selectExpr("*", f"user_id DIV {USERS_PER_SCENE} AS scene")
+    rows = rows.repartition("scene") if together else rows
+    rows = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {'scene, ' if together else ''}user_id ORDER BY ts, event_id) - 1 AS rn")
     return rows.selectExpr(
-        f"user_id DIV {USERS_PER_SCENE} AS sid", f"user_id * {TRACKS_PER_USER} + rn DIV {TRACK_STEPS} AS track_index", "CASE user_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS object_type",
+        "scene AS sid", f"user_id * {TRACKS_PER_USER} + rn DIV {TRACK_STEPS} AS track_index", "CASE user_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS object_type",
         f"rn % {TRACK_STEPS} AS t", "value / 5.0D - 50.0D AS x", "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) - 50.0D AS y", "0.0D AS z", "4.0D + user_id % 3 AS length", "1.75D + (user_id % 5) * 0.1D AS width",
         "1.5D AS height", "value / 50.0D - 4.0D AS heading", "value / 25.0D - 10.0D AS vx", "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) / 5.0D - 10.0D AS vy",
         "event_type <> 'error' AS valid",
