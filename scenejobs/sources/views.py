@@ -54,10 +54,11 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at_ten.groupBy("sid").agg({"track_index": "collect_set"}).selectExpr("sid", "array_min(`collect_set(track_index)`) AS sdc_track_index", "slice(array_sort(`collect_set(track_index)`), 1, 3) AS predict_list")
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """graph_id, n1, n2, dist; even graphs stand for recorded maps, odd ones for generated maps."""
+def graph_edges(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """graph_id, n1, n2, dist; even graphs stand for recorded maps, odd ones for generated maps. together: a graph's lines move to one task before they are summed up."""
     rows = _table(spark, sf_dir, "lineitem")
     rows = rows.selectExpr(f"l_orderkey DIV {ORDERS_PER_GRAPH} AS graph_id", "l_suppkey % 40 AS n1", "100 + l_partkey % 40 AS n2", "CAST(l_quantity AS DOUBLE) AS q")
+    rows = rows.repartition("graph_id") if together else rows
     return rows.groupBy("graph_id", "n1", "n2").agg({"q": "max"}).withColumnRenamed("max(q)", "dist")
 
 
