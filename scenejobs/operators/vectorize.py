@@ -203,20 +203,33 @@ def connect_intersections(entries: DataFrame, exits: DataFrame, routes: DataFram
     key = ["image_id", "source", "target"]
     inner = routes.select(*key, F.explode(F.expr("slice(nodes, 2, greatest(size(nodes) - 2, 0))")).alias("node"))
     over = inner.join(ends, ["image_id", "node"], "left_semi").select(*key).distinct()
-    rows = routes.join(over, key, "left_anti").join(a, ["image_id", "source"]).join(b, ["image_id", "target"])
+    return connections(routes.join(over, key, "left_anti").join(a, ["image_id", "source"]).join(b, ["image_id", "target"]), near, least_inliers, points)
+
+
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once a row: the optimizer copies no expression across a generator, as it does into filters and into lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def connections(rows: DataFrame, near: float = 3.0, least_inliers: float = 0.5, points: int = 33) -> DataFrame:
+    """The second half of connect_intersections(): rows are routes with their ends' x1, y1, yaw1, x2, y2, yaw2."""
     first = wrap_angle(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")) - F.col("yaw1"))
-    rows = rows.withColumns({"first": first, "diff": wrap_angle(F.col("yaw2") - F.col("yaw1"))})
+    rows = _once(rows, {"first": first, "diff": wrap_angle(F.col("yaw2") - F.col("yaw1")), "d": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 3})
     final = wrap_angle(F.col("diff") - F.col("first"))
-    rows = rows.withColumn("final", F.when(F.col("first") < 0, -final).otherwise(final)).withColumn("d", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 3)
+    rows = _once(rows, {"final": F.when(F.col("first") < 0, -final).otherwise(final)})
+    small, ratio = math.radians(10), F.abs(F.col("first") / F.col("final"))
+    turn = (F.abs("diff") <= math.radians(135)) & F.col("final").between(math.radians(-5), math.radians(95)) & (F.col("final") != 0) & (ratio > 0.5) & (ratio < 2)
+    kind = F.when(F.size("nodes") - 2 <= 1, "direct").when((F.abs("first") <= small) & (F.abs("final") <= small), "straight").when(turn, "turn")
+    rows = _once(rows, {"kind": kind}).where("kind IS NOT NULL")
+    handles = {f"{c}{k}": (F.col(f"{c}1") + F.col("d") * turned("yaw1") if k == "a" else F.col(f"{c}2") - F.col("d") * turned("yaw2")) for c, turned in (("x", F.cos), ("y", F.sin)) for k in "ab"}
+    rows = _once(rows, handles)
 
-    def at(c: str, turn, t: Column) -> Column:
-        p0, p3, u = F.col(f"{c}1"), F.col(f"{c}2"), 1 - t
-        return p0 * u * u * u + (p0 + F.col("d") * turn("yaw1")) * 3 * u * u * t + (p3 - F.col("d") * turn("yaw2")) * 3 * u * t * t + p3 * t * t * t
+    def at(c: str, t: Column) -> Column:
+        p0, p1, p2, p3, u = F.col(f"{c}1"), F.col(f"{c}a"), F.col(f"{c}b"), F.col(f"{c}2"), 1 - t
+        return p0 * u * u * u + p1 * 3 * u * u * t + p2 * 3 * u * t * t + p3 * t * t * t
 
-    curve = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(at("x", F.cos, i / (points - 1)).alias("x"), at("y", F.sin, i / (points - 1)).alias("y")))
-    rows = rows.withColumn("curve", curve)
+    curve = F.transform(F.array(*[F.lit(i / (points - 1)) for i in range(points)]), lambda t: F.struct(at("x", t).alias("x"), at("y", t).alias("y")))
+    rows = _once(rows, {"curve": curve})
     inliers = F.size(F.filter("waypoints", lambda w: F.exists("curve", lambda p: F.hypot(p["x"] - w["x"], p["y"] - w["y"]) <= near)))
-    small, ratio = math.radians(10), F.abs(F.col("first") / F.col("final"))
-    turn = (F.abs("diff") <= math.radians(135)) & F.col("final").between(math.radians(-5), math.radians(95)) & (F.col("final") != 0) & (ratio > 0.5) & (ratio < 2) & (inliers >= least_inliers * F.size("waypoints"))
-    kind = F.when(F.size("nodes") - 2 <= 1, "direct").when((F.abs("first") <= small) & (F.abs("final") <= small), "straight").when(turn, "turn")
-    return rows.select("image_id", F.col("source").alias("entry"), F.col("target").alias("exit"), kind.alias("kind"), "curve").where("kind IS NOT NULL")
+    kept = rows.where((F.col("kind") != "turn") | (inliers >= least_inliers * F.size("waypoints")))
+    return kept.select("image_id", F.col("source").alias("entry"), F.col("target").alias("exit"), "kind", "curve")
